@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secret_links, token_counts
+from . import decontaminate, kneser_ney, language_id, license_scan, mixing, mpeg_audio, secret_links, simhash, token_counts, warc_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op3_pfair_mixing": mixing.op3_pfair_mixing,
+        "op4_simhash": simhash.op4_simhash,
+        "op5_mpeg_audio": mpeg_audio.op5_mpeg_audio,
         "op6_secret_links": secret_links.op6_secret_links,
+        "op7_language_id": language_id.op7_language_id,
+        "op8_warc_store": warc_store.op8_warc_store,
+        "op9_kneser_ney": kneser_ney.op9_kneser_ney,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
@@ -23,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": decontaminate.OP2_SQL,
         "op3_pfair_mixing": mixing.op3_sql(),
         "op6_secret_links": secret_links.op6_sql(),
+        "op8_warc_store": warc_store.OP8_SQL,
     }

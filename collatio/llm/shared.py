@@ -14,12 +14,16 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio.session import ship
+
 #: Bytes of text in one Arrow batch at most (a single longer row makes a batch of its own).
 BATCH_BYTES = "16m"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes too, so that very long texts do not gather in a worker's memory."""
+    """Prepares a session for Python workers: the package's modules, and Arrow batches that are bounded by bytes too, so
+    that very long texts do not gather in a worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
@@ -67,25 +71,22 @@ def put_file(address: str, data: bytes) -> None:
     store.move(part, path)
 
 
-def map_file(address: str, dtype, count: int):
-    """A numpy array over a file of the shared folder, memory-mapped.
+def map_file(address: str):
+    """The bytes of a file of the shared folder, memory-mapped, as a numpy array.
 
     A folder that is mounted is mapped in place. Any other store is copied to this worker's temporary folder,
     mapped, and unlinked at once, so that nothing stays behind.
     """
     import numpy as np
 
-    if not count:
-        return np.empty(0, dtype)
-    parsed = urlparse(address)
-    if parsed.scheme in ("", "file"):
-        return np.memmap(parsed.path, dtype=dtype, mode="r", shape=(count,))
     store, path = filesystem(address)
+    if urlparse(address).scheme in ("", "file"):
+        return np.memmap(path, np.uint8, "r")
     handle, local = tempfile.mkstemp(prefix="collatio-map-")
     try:
         with store.open_input_stream(path) as src, os.fdopen(handle, "wb") as out:
             shutil.copyfileobj(src, out, 1 << 22)
-        return np.memmap(local, dtype=dtype, mode="r", shape=(count,))
+        return np.memmap(local, np.uint8, "r")
     finally:
         os.unlink(local)
 
@@ -142,3 +143,14 @@ def is_star(edges: DataFrame) -> bool:
     doubled = edges.groupBy("u").count().where("count > 1").select("u")
     chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
     return doubled.unionAll(chained).isEmpty()
+
+
+def mixed(x, salt=0):
+    """64-bit mix of numpy uint64 values with a salt."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (x ^ (np.asarray(salt, np.uint64) * np.uint64(0x9E3779B97F4A7C15))) + np.uint64(0x632BE59BD9B4E019)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
