@@ -95,9 +95,12 @@ def listed(found: dict[str, Column]) -> Column:
     return F.array_join(F.transform(F.array_sort(rows), lambda x: F.concat_ws(":", x["n"], x["a"], x["b"])), ",")
 
 
-def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", scope: int = SCOPE) -> DataFrame:
-    """df and a struct column: an array of spans for each kind (of weak ones, those that are linked), base and spans as lists in text form."""
-    own = [c for c in df.columns if c != into]
+def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", scope: int = SCOPE, keep_text: bool = True) -> DataFrame:
+    """df and a struct column: an array of spans for each kind (of weak ones, those that are linked), base and spans as lists in text form.
+
+    keep_text: whether the result has the text column, which is then stored once more on the way.
+    """
+    own = [c for c in df.columns if c != into and (keep_text or c != text)]
     whole = F.coalesce(F.col(text), F.lit(""))
     scan = F.struct(*[spans(whole, k).alias(k) for k in KINDS])
     scanned = df.select(F.struct(*own).alias("row"), scan.alias("scan"), whole.alias("whole"))
@@ -112,14 +115,23 @@ def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", scope
     return joined.select("row.*", out.alias(into))
 
 
+def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
+    """The text with `mark` in place of every stretch that spans of a with_secrets column cover."""
+    places = F.array_sort(F.concat(*[secrets[k] for k in KINDS]))
+
+    def step(state: Column, x: Column) -> Column:
+        before = F.substring(text, state["at"] + 1, x["start"] - state["at"])
+        new = x["start"] >= state["at"]
+        return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(new, F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+    done = F.aggregate(places, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(places) > 0, done).otherwise(text)
+
+
 def op6_secret_links(spark, sf_dir: str) -> DataFrame:
     """Strong and linked weak secrets of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(docs)
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    out = with_secrets(docs.select("doc_id", F.col("text").alias("whole_text")), text="whole_text")
+    out = with_secrets(docs)
     s = F.col("secrets")
     return out.select("doc_id", *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(s["base"].cast("binary"), 256).alias("base_sha256"), s["spans"].alias("spans"), *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in WEAK])
 

@@ -46,9 +46,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the shared folder, so that a lost executor costs no recomputation upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as a table in the shared folder, so that a lost executor costs no recomputation upstream."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def filesystem(address: str):

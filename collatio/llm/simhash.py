@@ -45,18 +45,21 @@ HOT = 4096
 VERIFY = 0.02
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The fingerprint of one text, with shingles of `width` words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every shingle of `width` words, repeats included."""
     import xxhash
 
     words = ascii_lower_words(text)
-    if not words:
-        return 0
     if len(words) < width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The fingerprint of one text, with shingles of `width` words."""
+    h = shingle_hashes(text, width)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -153,7 +156,7 @@ def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]
         costs = []
         for g in groups:
             near = within(p, c, g, distance)
-            costs.append([0.0] + [n * comb(len(g), t) + VERIFY * comb(len(g), t) * n * n * near[t] / 2 for t in range(distance + 1)])
+            costs.append([0.0] + [n * comb(len(g), t) + VERIFY * comb(len(g), t) * n * n * near[t] / 2 for t in range(min(distance, len(g)) + 1)])
         cost, chosen = allot(costs, distance - m + 1)
         options.append((cost, [(g, t) for g, t in zip(groups, chosen) if t >= 0]))
     return min(options, key=lambda x: x[0])[1]
@@ -181,7 +184,22 @@ def keyed(masks: list[int]):
 
 
 def forest(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all members of x that links of up to `distance` bits connect."""
+    """Links that connect all members of x that links of up to `distance` bits connect; a few times len(x) at most."""
+    a, b, found = [], [], 0
+    step = max(1, (1 << 20) // len(x))
+    for i in range(0, len(x), step):
+        u, v = np.nonzero(np.bitwise_count(x[i : i + step, None] ^ x[None, i:]) <= distance)
+        later = v > u
+        a.append(x[u[later] + i])
+        b.append(x[v[later] + i])
+        found += len(a[-1])
+        if found > 2 * len(x) + 64:  # dense: a search that leaves out what it has reached
+            return reached(x, distance)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def reached(x: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of up to `distance` bits, by comparing each reached member with those not yet reached."""
     a, b = [], []
     rest = x
     while len(rest):
@@ -240,7 +258,8 @@ def links(prints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     chosen = plan(n, both, distance)
     kept = [(mask, g, t) for g, t in chosen for mask in masks(g, t)]
     probes = settle(prints.select("fp").mapInPandas(keyed([k[0] for k in kept]), "key long, mask int, fp long"))
-    crowded = probes.groupBy("key").count().where(F.col("count") > hot).select("key")
+    usual = max(n / 2.0 ** (len(g) - t) for g, t in chosen)  # members of a bucket if all were alike
+    crowded = probes.groupBy("key").count().where(F.col("count") > max(hot, 16 * usual)).select("key")
     if not crowded.isEmpty():
         crowded = settle(crowded)
         # inside a bucket the other partitions' bits must hold all of the difference that the blanked bits don't
@@ -254,20 +273,49 @@ def links(prints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     return sorted_probes.mapInPandas(bucket_links(distance), "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, distance: int = 2, hot: int = HOT) -> DataFrame:
-    """(key, fp, component): each row's key, fingerprint and the smallest key of its group."""
+def shingle_sets(text: Column | str, width: int) -> Column:
+    """The distinct shingle hashes of a text column."""
+
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts])
+
+    return run.asNondeterministic()(text)
+
+
+def verified(edges: DataFrame, rows: DataFrame, text: str, width: int, share: float) -> DataFrame:
+    """The links whose fingerprints' first texts share at least `share` of their shingles."""
+    ends = edges.select(F.col("u").alias("fp")).unionAll(edges.select(F.col("v").alias("fp"))).distinct()
+    first = rows.select("fp", F.col(text).alias("text")).join(ends, "fp").groupBy("fp").agg(F.min("text").alias("text"))
+    sets = settle(first.select("fp", shingle_sets("text", width).alias("s")))
+    a, b = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return edges.join(a, "u").join(b, "v").where(both >= share * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+
+def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 3, distance: int = 2, hot: int = HOT, share: float | None = None, keep_text: bool = True) -> DataFrame:
+    """df and a struct column: fp, component (the smallest key of the group) and root (the group's smallest fingerprint).
+
+    share: if given, links count only if the texts share as much of their shingles, counted exactly.
+    keep_text: whether the result has the text column, which is then stored once more on the way.
+    """
     bound_batches(df.sparkSession)
-    rows = settle(df.select(F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fp")))
+    own = [c for c in df.columns if c != into and (keep_text or share is not None or c != text)]
+    rows = settle(df.select(F.struct(*own).alias("row"), F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fp")))
     prints = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = components(links(prints, distance, hot))
+    edges = links(prints, distance, hot)
+    if share is not None:
+        edges = verified(settle(edges), rows.select("fp", f"row.{text}"), text, width, share)
+    roots = components(edges)
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    groups = placed.join(least, "root").select("fp", "component")
-    return rows.join(groups, "fp").select("key", "fp", "component")
+    groups = placed.join(least, "root").select("fp", F.struct("fp", "component", "root").alias(into))
+    return rows.join(groups, "fp").select("row.*", into)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = near_duplicates(docs)
-    return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    out = with_groups(docs, keep_text=False)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("near.fp"), 16, "0")).alias("fingerprint"), F.col("near.component").alias("component_id"))
