@@ -1,4 +1,9 @@
-"""The library's named queries and their SQL counterparts."""
+"""The library's named queries over the driver's tables, and DuckDB SQL with the same rows.
+
+The tables hold no pairs of originals and versions, bullets or blank lines, so queries that need them derive their input
+from `documents`, the same way in both forms: `original` has a blank line for each line end, `version` replaces a few
+words and one accent, `bulleted` puts a bullet in front of every line but the first.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,407 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio.functions import lexicon, predicates
+from collatio.functions import text as T
+from collatio.operators import candidates, concepts, guards, halves, overlap, rhythm, segment
+
+from .report import fidelity_report
+
+CONCEPTS = [("the", ["the"]), ("over", ["over", "of"]), ("des", ["des", "der"]), ("with", ["with*"]), ("que", ["que"]), ("nothing", ["zzzz"])]
+W = r"[\p{L}\p{N}_]"
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query by its name."""
+
+    def add(f: Query) -> Query:
+        REGISTRY[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, original, version)."""
+    original = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    version = original
+    for a, b in ((" the ", " a "), (" of ", " over "), ("é", "e")):
+        version = F.replace(version, F.lit(a), F.lit(b))
+    return table(spark, sf_dir).select("doc_id", original.alias("original"), version.alias("version"))
+
+
+PAIRS = "p AS (SELECT doc_id, o AS original, replace(replace(replace(o, ' the ', ' a '), ' of ', ' over '), 'é', 'e') AS version FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS o FROM documents))"
+
+
+def bulleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.list_rows(table(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n• ")).alias("text")), ["doc_id"])
+
+
+STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
+BULLETS = rf"""l AS (SELECT doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i, len(x) AS n FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || '• '), chr(10)) AS x FROM documents)),
+f AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM l WHERE {STRIP % 'line'} <> ''),
+rows_ AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS block_no, regexp_extract(line, '^(\s*(?:[•●◦▪▫·‣⁃∙*]\s*|[-–—]\s+))', 1) AS mark, {STRIP % "substr(line, length(regexp_extract(line, '^(\\s*(?:[•●◦▪▫·‣⁃∙*]\\s*|[-–—]\\s+))', 1)) + 1)"} AS block, CAST(coalesce(nx, n + 1) - i - 1 AS INTEGER) AS blank_after FROM f)"""
+
+
+@query(f"WITH {BULLETS} SELECT * FROM rows_")
+def line_blocks(spark, sf_dir):
+    """Non-blank lines with their bullets and the blank lines behind."""
+    return bulleted(spark, sf_dir)
+
+
+@query(rf"""WITH {BULLETS},
+r AS (SELECT *, trim(mark) <> '' AS bullet, sum(CASE WHEN trim(mark) <> '' AND lag(trim(mark) <> '', 1, false) OVER w AND lag(blank_after, 1, 1) OVER w = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_no) AS run FROM (SELECT *, lag(trim(mark) <> '', 1, false) OVER (PARTITION BY doc_id ORDER BY block_no) AS a FROM rows_) WINDOW w AS (PARTITION BY doc_id ORDER BY block_no))
+SELECT doc_id, CAST(run AS INTEGER) AS block_no, CASE WHEN first(bullet) THEN '' ELSE first(mark) END AS mark, string_agg(CASE WHEN NOT bullet OR regexp_matches(block, '[.!?…]\s*$') THEN block ELSE regexp_replace(block, '[ ;,]+$', '') || '.' END, ' ' ORDER BY block_no) AS block, max_by(blank_after, block_no) AS blank_after, CASE WHEN first(bullet) THEN CAST(count(*) AS INTEGER) END AS merged FROM r GROUP BY doc_id, run""".replace("lag(trim(mark) <> '', 1, false) OVER w AND lag(blank_after, 1, 1) OVER w = 0", "a AND b = 0").replace("AS a FROM rows_) WINDOW w AS (PARTITION BY doc_id ORDER BY block_no))", "AS a, lag(blank_after, 1, 1) OVER (PARTITION BY doc_id ORDER BY block_no) AS b FROM rows_))"))
+def merge_lists(spark, sf_dir):
+    """Runs of bullets as one block."""
+    return segment.merged_lists(bulleted(spark, sf_dir), ["doc_id"])
+
+
+@query(f"WITH {BULLETS} SELECT doc_id, regexp_replace(string_agg(mark || block || CASE WHEN blank_after > 0 THEN chr(10) ELSE '' END, chr(10) ORDER BY block_no), '\\n+$', '') || chr(10) AS text FROM rows_ GROUP BY doc_id")
+def restore_lists(spark, sf_dir):
+    """Blocks and bullets put together again."""
+    return segment.restored_lists(bulleted(spark, sf_dir), ["doc_id"])
+
+
+@query(f"WITH {BULLETS} SELECT doc_id, coalesce(list_sort(list(block_no) FILTER (trim(mark) <> '')), []) AS bullets FROM rows_ GROUP BY doc_id")
+def bullet_numbers(spark, sf_dir):
+    return segment.bullet_numbers(bulleted(spark, sf_dir), ["doc_id"])
+
+
+@query()
+def list_maps(spark, sf_dir):
+    """Lists' marks as JSON, read back and joined to their blocks."""
+    rows = bulleted(spark, sf_dir)
+    return segment.with_list_map(rows, segment.list_map(rows, ["doc_id"]), ["doc_id"])
+
+
+@query(rf"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_parts, CAST(len(regexp_extract_all(lower(text), '{W}+')) AS INTEGER) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '{W}+'))) AS INTEGER) AS n_distinct FROM documents""")
+def tokens_per_doc(spark, sf_dir):
+    t = T.tokens(F.col("text"))
+    return table(spark, sf_dir).select("doc_id", T.n_parts(F.col("text")).alias("n_parts"), F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(rf"""WITH {PAIRS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS para_no, para FROM (SELECT doc_id, {STRIP % 'x'} AS para, i FROM (SELECT doc_id, unnest(s) AS x, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(original, '\n\s*\n') AS s FROM p))) WHERE para <> ''""")
+def paragraphs(spark, sf_dir):
+    return segment.paragraph_rows(pairs(spark, sf_dir).select("doc_id", "original"), "original")
+
+
+@query(rf"""SELECT doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS sent_no, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace({STRIP % 'text'}, '\. ([A-ZÁÉÍÓÚÑ¿¡])', '.' || chr(1) || '\1', 'g'), chr(1)) AS s FROM documents)""")
+def sentences(spark, sf_dir):
+    return segment.sentence_rows(table(spark, sf_dir).select("doc_id", "text"), "text")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS INTEGER) AS n FROM documents")
+def sentence_ends(spark, sf_dir):
+    return table(spark, sf_dir).select("doc_id", T.sentence_ends(F.col("text")).alias("n"))
+
+
+LINES = "l AS (SELECT doc_id, i, line, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n, regexp_replace(line, '\\s+$', '') AS r, " + STRIP % "line" + " AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))"
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, CAST(i AS INTEGER) AS line_no,
+n <= 12 AND (n <= 4 OR (regexp_matches(r, ':$') AND n <= 8 AND NOT regexp_matches(s, '[.!?…]\s')) OR NOT regexp_matches(r, '[.!?…:]$') OR (regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1) <> '' AND NOT regexp_matches(regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1), '[.!?…]\s'))) AS title,
+n <= 4 OR NOT regexp_matches(r, '[.!?…]$') AS check_heading,
+n <= 12 AND (n < 5 OR regexp_matches(s, ':$') OR regexp_matches(s, '(?i)^(\d+[.)]\s|acci[oó]n\s+\d+[.:]|anexo\b)')) AS document_heading,
+n <= 12 AND NOT regexp_matches(line, '[.!?]$') AS half_heading,
+n >= 5 AND NOT (n <= 12 AND (n < 5 OR regexp_matches(s, ':$') OR regexp_matches(s, '(?i)^(\d+[.)]\s|acci[oó]n\s+\d+[.:]|anexo\b)'))) AS prose FROM l""")
+def headings(spark, sf_dir):
+    """The four heading rules and the prose rule, line by line."""
+    rows = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "line_no", "line").drop("text")
+    x, p = F.col("line"), predicates
+    return rows.select("doc_id", "line_no", p.is_title(x).alias("title"), p.is_check_heading(x).alias("check_heading"), p.is_document_heading(x).alias("document_heading"), p.is_half_heading(x).alias("half_heading"), p.is_prose(x).alias("prose"))
+
+
+def in_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
+def among_sql(array: str, words) -> str:
+    return f"len(list_filter({array}, lambda w: w IN ({in_list(words)})))"
+
+
+HINTS = "regexp_extract_all(lower(text), '[a-záéíóúñü]+')"
+
+
+@query(f"SELECT doc_id, CASE WHEN {among_sql(HINTS, lexicon.JOINING['en']['hints'])} > {among_sql(HINTS, lexicon.JOINING['es']['hints'])} THEN 'en' ELSE 'es' END AS lang FROM documents")
+def language_guess(spark, sf_dir):
+    return table(spark, sf_dir).select("doc_id", predicates.language(F.col("text")).alias("lang"))
+
+
+LETTERS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')"
+
+
+@query(f"SELECT doc_id, CAST({among_sql(LETTERS, lexicon.SPANISH)} AS INTEGER) AS es, CAST({among_sql(LETTERS, lexicon.ENGLISH)} AS INTEGER) AS en FROM documents")
+def function_words(spark, sf_dir):
+    es, en = predicates.function_words(F.col("text"))
+    return table(spark, sf_dir).select("doc_id", es.alias("es"), en.alias("en"))
+
+
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
+def fold_text(spark, sf_dir):
+    return table(spark, sf_dir).select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+def concept_table(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{n}', array({', '.join(repr(v) for v in vs)}))" for n, vs in CONCEPTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS c(name, variants)")
+
+
+def concept_sql(text: str) -> str:
+    one = lambda v: f"regexp_matches({text}, '(?:^|[^\\p{{L}}\\p{{N}}_]){v.rstrip('*')}{'' if v.endswith('*') else '(?:e?s)?(?:$|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])'}')"
+    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, {' OR '.join(map(one, vs))} AS hit FROM p" for n, vs in CONCEPTS)
+
+
+@query(f"WITH {PAIRS} {concept_sql('lower(strip_accents(version))')}")
+def concept_matches(spark, sf_dir):
+    return concepts.concept_hits(pairs(spark, sf_dir), concept_table(spark), ["doc_id"], "version")
+
+
+@query(f"WITH {PAIRS}, h AS ({concept_sql('lower(strip_accents(version))')}) SELECT doc_id, CAST(sum(CAST(hit AS BIGINT)) AS BIGINT) AS n_kept, count(*) AS n_concepts, avg(CAST(hit AS DOUBLE)) AS share, coalesce(list_sort(list(name) FILTER (NOT hit)), []) AS lost FROM h GROUP BY doc_id")
+def fidelity_totals(spark, sf_dir):
+    return concepts.fidelity(concepts.concept_hits(pairs(spark, sf_dir), concept_table(spark), ["doc_id"], "version"), ["doc_id"])
+
+
+@query()
+def extracted_concepts(spark, sf_dir):
+    return concepts.extracted_concepts(table(spark, sf_dir), ["doc_id"])
+
+
+CLEAN = "regexp_replace(lower(strip_accents(%s)), '[«»\"“”‘’()\\[\\]]', ' ', 'g')"
+
+
+def negation_sql(text: str) -> str:
+    """Pairs by words between blanks: a negation at the end of one, and what the next begins with."""
+    words = f"list_filter(regexp_split_to_array({CLEAN % text}, '\\s+'), lambda x: x <> '')"
+    return f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: CASE WHEN regexp_matches(w[i], '(?:^|[^\\p{{L}}\\p{{N}}_])({lexicon.NEGATIONS})$') AND regexp_matches(w[i + 1], '^{W}') THEN regexp_extract(w[i], '({lexicon.NEGATIONS})$', 1) || ' ' || regexp_extract(w[i + 1], '^({W}+)', 1) END), lambda x: x IS NOT NULL))) AS pairs FROM (SELECT doc_id, {words} AS w FROM p)"""
+
+
+@query(f"WITH {PAIRS} {negation_sql('original')}")
+def negation_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", concepts.negation_pairs(F.col("original")).alias("pairs"))
+
+
+@query(f"WITH {PAIRS}, a AS ({negation_sql('original')}), b AS ({negation_sql('version')}) SELECT doc_id, list_sort(list_filter(a.pairs, lambda x: NOT list_contains(b.pairs, x))) AS lost FROM a JOIN b USING (doc_id)")
+def lost_negations(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", F.array_sort(concepts.lost_negations(F.col("original"), F.col("version"))).alias("lost"))
+
+
+FRAMED = "concat('Tema: ', split(text, ' ')[0], ' alfa. Texto: ', split(text, ' ')[1], ' beta.\n\nEl tema es uno.\n\nEl tema es dos.\n\nEl tema son tres.\n\nno ', split(text, ' ')[0], ', sino otro.')"
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(string_split(text, ' ')[1], '') AS a, string_split(text, ' ')[2] AS b FROM documents)
+SELECT doc_id, CAST(1 AS INTEGER) AS para_no, 'labels' AS kind, 'Tema; Texto' AS excerpt FROM t WHERE b IS NOT NULL
+UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'frame', '«el tema» in paragraphs 2, 3, 4' FROM t WHERE b IS NOT NULL
+UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'antithesis', 'no ' || a || ', sino' FROM t WHERE b IS NOT NULL""")
+def flagged_shapes(spark, sf_dir):
+    """Shapes of a text built around each document's first words (those made of letters alone)."""
+    docs = table(spark, sf_dir).where("text rlike '^[a-zA-Z]+ [a-zA-Z]+ '").select("doc_id", F.expr(FRAMED).alias("text"))
+    return concepts.flagged_shapes(docs, ["doc_id"])
+
+
+REGISTRY["flagged_shapes"] = REGISTRY["flagged_shapes"][0], REGISTRY["flagged_shapes"][1].replace("FROM documents)", "FROM documents WHERE regexp_matches(text, '^[a-zA-Z]+ [a-zA-Z]+ '))")
+
+
+def grams_sql(text: str, source: str, key: str, n: int) -> str:
+    return f"SELECT {key}, i, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '{W}+') AS w FROM {source}))"
+
+
+@query(f"WITH g AS ({grams_sql('text', 'documents', 'doc_id', 8)}) SELECT doc_id, g AS gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2")
+def ngram_repeats(spark, sf_dir):
+    """8-grams that a document says more than once."""
+    rows = table(spark, sf_dir).select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")), 8)).alias("gram"))
+    return rows.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query(f"WITH a AS (SELECT DISTINCT doc_id, g FROM ({grams_sql('text', 'documents', 'doc_id', 8)})), b AS (SELECT DISTINCT item_id, g FROM ({grams_sql('text', 'benchmark', 'item_id', 8)})) SELECT doc_id, item_id, count(*) AS n_shared FROM a JOIN b USING (g) GROUP BY ALL")
+def contamination(spark, sf_dir):
+    return overlap.shared_ngrams(table(spark, sf_dir), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@query(f"WITH a AS (SELECT DISTINCT doc_id, g FROM ({grams_sql('text', 'documents', 'doc_id', 8)})), b AS (SELECT DISTINCT item_id, g FROM ({grams_sql('text', 'benchmark', 'item_id', 8)})), hit AS (SELECT DISTINCT doc_id FROM a JOIN b USING (g)) SELECT quality, count(*) AS n_docs, count(hit.doc_id) AS n_contaminated FROM labels LEFT JOIN hit USING (doc_id) GROUP BY quality")
+def label_quality_by_overlap(spark, sf_dir):
+    """Contaminated documents by quality label."""
+    hit = contamination(spark, sf_dir).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    return table(spark, sf_dir, "labels").join(hit, "doc_id", "left").groupBy("quality").agg(F.count("*").alias("n_docs"), F.count("hit").alias("n_contaminated"))
+
+
+@query(f"WITH {PAIRS}, a AS (SELECT DISTINCT doc_id, g FROM ({grams_sql('original', 'p', 'doc_id', 4)})), b AS ({grams_sql('version', 'p', 'doc_id', 4)}), c AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 3)) AS x FROM b SEMI JOIN a USING (doc_id, g)) GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS DOUBLE) / greatest(1, len(regexp_extract_all(lower(version), '{W}+'))) AS bound FROM p LEFT JOIN c USING (doc_id)")
+def copied_bound(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", overlap.copied_bound(F.col("original"), F.col("version"), 4).alias("bound"))
+
+
+@query()
+def copied_share(spark, sf_dir):
+    """The exact share, for documents of which the bound leaves open whether half is copied."""
+    rows = pairs(spark, sf_dir)
+    near = overlap.copied_bound(F.col("original"), F.col("version"), 4)
+    return overlap.with_copied_share(rows.where(F.length("original") < 20_000), "original", "version", 4, only=(near >= 0.5) & (near < 1)).select("doc_id", "share")
+
+
+@query()
+def still_original(spark, sf_dir):
+    return overlap.still_original(pairs(spark, sf_dir), ["doc_id"])
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[áéíóúüñ]')) AS DOUBLE) / greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS density FROM documents")
+def accent_density(spark, sf_dir):
+    return table(spark, sf_dir).select("doc_id", guards.accent_density(F.col("text")).alias("density"))
+
+
+@query(r"""SELECT page_id, CASE WHEN m IS NOT NULL THEN '(broken characters: mojibake ''' || m || ''')' WHEN e IS NOT NULL THEN '(broken characters: HTML entity ''' || e || ''')' WHEN d IS NOT NULL THEN '(broken characters: digit inside a word ''' || d || ''')' END AS problem FROM (SELECT page_id, list_min(regexp_extract_all(html, '[ÃÂ][\x{80}-\x{bf}]')) AS m, list_min(regexp_extract_all(html, '&(?:[a-zA-Z]{2,8}|#\d{2,5});')) AS e, list_min(regexp_extract_all(html, '[\p{L}]+\d[\p{L}]+')) AS d FROM pages)""")
+def encoding_defects(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", guards.encoding_problem(F.lit(""), F.col("html")).alias("problem"))
+
+
+@query(rf"""WITH {PAIRS} SELECT doc_id, CASE WHEN oes > oen AND ((ven >= 2 AND ven > 0.5 * ves) OR (ves = 0 AND n >= 5)) THEN '(switched to English)' WHEN oen > oes AND ves >= 2 AND ves > 0.5 * ven THEN '(switched to Spanish)' END AS problem FROM (SELECT a.doc_id, {among_sql(LETTERS.replace('text', 'a.original'), lexicon.SPANISH)} AS oes, {among_sql(LETTERS.replace('text', 'a.original'), lexicon.ENGLISH)} AS oen, {among_sql(LETTERS.replace('text', 'b.original'), lexicon.SPANISH)} AS ves, {among_sql(LETTERS.replace('text', 'b.original'), lexicon.ENGLISH)} AS ven, len({LETTERS.replace('text', 'b.original')}) AS n FROM p a JOIN p b ON b.doc_id = a.doc_id + 1)""")
+def language_switch(spark, sf_dir):
+    """The language guard, with the next document as the version."""
+    a, b = pairs(spark, sf_dir).select("doc_id", "original"), pairs(spark, sf_dir).select((F.col("doc_id") - 1).alias("doc_id"), F.col("original").alias("version"))
+    return a.join(b, "doc_id").select("doc_id", guards.language_problem(F.col("original"), F.col("version")).alias("problem"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), n AS (SELECT *, len(list_filter(regexp_split_to_array(a, '\s+'), lambda x: x <> '')) AS o, len(list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '')) AS v FROM c WHERE b IS NOT NULL) SELECT conv_id, turn, CASE WHEN v < 0.6 * o OR v > 1.6 * o + 10 THEN '(truncated or too long)' END AS problem FROM n""")
+def length_band(spark, sf_dir):
+    """The length guard on consecutive turns."""
+    return turns(spark, sf_dir).select("conv_id", "turn", guards.length_problem(F.col("original"), F.col("version")).alias("problem"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("original"), F.lead("text").over(order).alias("version")).where("version IS NOT NULL")
+
+
+@query()
+def guard_messages(spark, sf_dir):
+    """Every guard on paragraphs of the derived pairs."""
+    return guards.with_guards(overlap.paired_paragraphs(pairs(spark, sf_dir), ["doc_id"]), "a", "b").drop("a", "b")
+
+
+@query()
+def guard_verdicts(spark, sf_dir):
+    """The chain of guards on paragraphs of the derived pairs."""
+    rows = overlap.paired_paragraphs(pairs(spark, sf_dir), ["doc_id"])
+    return guards.verdict(rows, "a", "b", CONCEPTS).drop("a", "b")
+
+
+HALF = r"""x AS (SELECT doc_id, i AS para_no, para, len(list_filter(regexp_split_to_array(para, '\s+'), lambda y: y <> '')) AS n FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS i, para FROM (SELECT doc_id, regexp_replace(z, '^\s+|\s+$', '', 'g') AS para, i FROM (SELECT doc_id, unnest(s) AS z, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(original, '\n\s*\n') AS s FROM p))) WHERE para <> '')),
+y AS (SELECT *, n <= 12 AND NOT regexp_matches(para, '[.!?]$') AS h, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY doc_id) AS total, count(*) OVER (PARTITION BY doc_id) AS k FROM x),
+c AS (SELECT doc_id, coalesce(arg_min(para_no, abs(2 * before - total) * 100000 + para_no) FILTER (para_no > 1 AND h AND 10 * abs(2 * before - total) <= 3 * total), arg_min(para_no, abs(2 * before - total) * 100000 + para_no) FILTER (para_no > 1)) AS cut FROM y GROUP BY doc_id),
+d AS (SELECT doc_id, greatest(coalesce(max(para_no) FILTER (para_no < cut AND NOT h), 1) + 1, 2) AS cut FROM y JOIN c USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(f"WITH {PAIRS}, {HALF} SELECT doc_id, CAST(CASE WHEN total <= 400 OR k < 2 OR para_no < cut THEN 1 ELSE 2 END AS INTEGER) AS half_no, string_agg(para, chr(10) || chr(10) ORDER BY para_no) || chr(10) AS half, CAST(sum(n) AS BIGINT) AS n_words FROM y JOIN d USING (doc_id) GROUP BY ALL")
+def text_halves(spark, sf_dir):
+    return halves.halves(pairs(spark, sf_dir), ["doc_id"], "original", 400)
+
+
+REGISTRY["text_halves"] = REGISTRY["text_halves"][0], REGISTRY["text_halves"][1].replace("GROUP BY ALL", "GROUP BY doc_id, 2")
+
+
+@query()
+def check_phrases(spark, sf_dir):
+    """The first new phrase of every half."""
+    both = halves.halves(pairs(spark, sf_dir), ["doc_id"], "version", 400).join(pairs(spark, sf_dir).select("doc_id", "original"), "doc_id")
+    return both.select("doc_id", "half_no", halves.check_phrase(F.col("half"), F.col("original")).alias("phrase"))
+
+
+@query()
+def rhythm_join(spark, sf_dir):
+    return rhythm.with_joined(pairs(spark, sf_dir), "original").select("doc_id", "joined.*")
+
+
+@query()
+def rhythm_pauses(spark, sf_dir):
+    out = rhythm.with_joined(pairs(spark, sf_dir), "original", pauses=2)
+    return rhythm.sentence_change(out.select("doc_id", "original", F.col("joined.text").alias("joined")), "original", "joined").select("doc_id", "n_before", "n_after")
+
+
+def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six made-up tries of each document, some copied, some lost."""
+    rows = table(spark, sf_dir).select("doc_id", F.substring("text", 1, 20).alias("para"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    x = (F.col("doc_id") * 7 + F.col("k") * 5) % 11
+    problem = F.when(x < 4, "(copied)").when(x < 7, "(accents lost)").when(x < 9, "(quote changed)")
+    return rows.select("doc_id", "para", F.expr("k div 3").cast("int").alias("round"), (F.col("k") % 3 + 1).cast("int").alias("try"), F.concat("para", F.lit("#"), F.col("k").cast("string")).alias("text"), (x / 11.0).alias("share"), problem.alias("problem"))
+
+
+TRIES = "t AS (SELECT doc_id, para, CAST(k // 3 AS INTEGER) AS round, CAST(k % 3 + 1 AS INTEGER) AS try, para || '#' || k AS text, x / 11.0::DOUBLE AS share, CASE WHEN x < 4 THEN '(copied)' WHEN x < 7 THEN '(accents lost)' WHEN x < 9 THEN '(quote changed)' END AS problem FROM (SELECT doc_id, left(text, 20) AS para, k, (doc_id * 7 + k * 5) % 11 AS x FROM documents, generate_series(0, 5) AS s(k)))"
+TITLE = r"(n <= 12 AND (n <= 4 OR (regexp_matches(r, ':$') AND n <= 8 AND NOT regexp_matches(s, '[.!?…]\s')) OR NOT regexp_matches(r, '[.!?…:]$') OR (regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1) <> '' AND NOT regexp_matches(regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1), '[.!?…]\s'))))"
+
+
+@query(rf"""WITH {TRIES}, g AS (SELECT doc_id, arg_min(text, round * 10 + try) AS good FROM t WHERE problem IS NULL GROUP BY doc_id), c AS (SELECT doc_id, arg_min(text, (share, round, try)) AS copied FROM t WHERE problem = '(copied)' GROUP BY doc_id),
+p AS (SELECT DISTINCT doc_id, para, len(list_filter(regexp_split_to_array(para, '\s+'), lambda x: x <> '')) AS n, regexp_replace(para, '\s+$', '') AS r, {STRIP % 'para'} AS s FROM t)
+SELECT doc_id, coalesce(good, copied, para) AS text, CASE WHEN {TITLE} THEN 'title' WHEN good IS NOT NULL THEN 'accepted' WHEN copied IS NOT NULL THEN 'copied' ELSE 'untouched' END AS status FROM p LEFT JOIN g USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def select_candidates(spark, sf_dir):
+    made = tries(spark, sf_dir)
+    return candidates.chosen(made.select("doc_id", "para").distinct(), made, ["doc_id"])
+
+
+@query(f"WITH {TRIES} SELECT doc_id, CAST(cand_no AS INTEGER) AS cand_no, text, share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round, try) AS cand_no FROM t WHERE problem IS NULL) WHERE cand_no <= 2")
+def first_candidates(spark, sf_dir):
+    return candidates.first_candidates(tries(spark, sf_dir), ["doc_id"], 2)
+
+
+@query(f"WITH {TRIES} SELECT doc_id, problem, n_tries FROM (SELECT doc_id, problem, count(*) AS n_tries, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(round * 10 + try)) AS k FROM t WHERE problem <> '(copied)' GROUP BY doc_id, problem) WHERE k <= 2")
+def common_failures(spark, sf_dir):
+    return candidates.common_failures(tries(spark, sf_dir), ["doc_id"])
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:2], ' ') AS lead, '<source_text>' || chr(10) || " + STRIP % "text" + r" || chr(10) || '</source_text>' || chr(10) || chr(10) || '<target_text>' || chr(10) || array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:2], ' ') AS prompt FROM documents")
+def prompts(spark, sf_dir):
+    lead = candidates.first_words(F.col("text"))
+    return table(spark, sf_dir).select("doc_id", lead.alias("lead"), candidates.prompt(F.col("text"), lead).alias("prompt"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS para, unnest(generate_series(1, len(string_split(text, chr(10))))) AS para_no FROM documents) SELECT doc_id, CAST(para_no AS INTEGER) AS para_no, CASE WHEN para_no = 1 THEN 'new text ' || doc_id ELSE para END AS para FROM p""")
+def adopt_paragraphs(spark, sf_dir):
+    """Every document's first line replaced by another text."""
+    rows = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "para_no", "para").drop("text")
+    specs = table(spark, sf_dir).select("doc_id", F.lit(1).alias("para_no"), F.concat(F.lit("new  text "), F.col("doc_id").cast("string")).alias("text"))
+    return candidates.adopted(rows, specs, ["doc_id", "para_no"])
+
+
+@query()
+def generated_versions(spark, sf_dir):
+    """The stand-in generator's tries of every document's first line, with verdicts."""
+    paras = table(spark, sf_dir).select("doc_id", F.lit(1).alias("para_no"), F.substring_index("text", "\n", 1).alias("para"))
+    made = candidates.generated(candidates.requests(paras, 0, 1))
+    return guards.verdict(made, "para", "text").select("doc_id", "para_no", "round", "try", "problem", "share")
+
+
+@query()
+def percent_signs(spark, sf_dir):
+    """Numbers that lost their percent sign get it back."""
+    original = F.regexp_replace("text", r"(\d+)", "$1%")
+    return table(spark, sf_dir).where("text rlike '[0-9]'").select("doc_id", candidates.restored_percent(original, F.col("text")).alias("restored"))
+
+
+@query("SELECT count(*) AS n_docs, count(DISTINCT sha256(text)) AS n_digests FROM documents")
+def text_digests(spark, sf_dir):
+    """Documents and their distinct digests."""
+    return table(spark, sf_dir).agg(F.count("*").alias("n_docs"), F.countDistinct(F.sha2(F.col("text").cast("binary"), 256)).alias("n_digests"))
+
+
+@query()
+def fidelity_reports(spark, sf_dir):
+    """The whole report for every document and its derived version."""
+    return fidelity_report(pairs(spark, sf_dir).withColumnRenamed("doc_id", "pair_id"), concept_table(spark))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+    return fidelity_reports(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
