@@ -29,12 +29,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, settle
+from .shared import bound_batches, mixed, settle
 
 #: Training texts of a language, about; rounds of expectation-maximisation; count added to every piece; languages at most.
 PER_LANGUAGE, ROUNDS, SMOOTH, MAX_LANGUAGES = 5000, 2, 0.05, 256
 #: Bytes of a word that are fitted as one (longer words are cut, in fitting alone); words whose probabilities a worker keeps.
-FIT_BYTES, KEPT = 32, 250_000
+FIT_BYTES, KEPT = 32, 400_000
+#: Bytes of words whose segmentations are computed together.
+GROUP = 200_000
+#: Words that fitting holds at a time.
+HELD = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -73,23 +77,101 @@ def forward(word: bytes, get, longest: int, width: int) -> list[float]:
     return [math.log(max(x, 1e-320)) + shift for x in sums[n]]
 
 
-def expected(word: bytes, get, longest: int) -> dict[bytes, float]:
-    """Each piece's expected count in a word of at most FIT_BYTES, over all segmentations, by one language's probabilities."""
-    n = len(word)
-    ahead, cuts = [1.0] + [0.0] * n, []
-    for i in range(1, n + 1):
-        for j in range(max(0, i - longest), i):
-            if (p := get(word[j:i])) is not None:
-                ahead[i] += ahead[j] * p
-                cuts.append((j, i, p))
-    behind = [0.0] * n + [1.0]
-    for j, i, p in reversed(cuts):
-        behind[j] += p * behind[i]
-    out: dict[bytes, float] = {}
-    if ahead[n] > 0:
-        for j, i, p in cuts:
-            w = ahead[j] * p * behind[i] / ahead[n]
-            out[word[j:i]] = out.get(word[j:i], 0.0) + w
+class Pieces:
+    """The vocabulary as hash tables over 64-bit hashes of byte strings, for many substrings at once."""
+
+    BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, pieces: list[bytes]):
+        self.longest = max(map(len, pieces))
+        self.hashes = np.array([self.hash(p) for p in pieces], np.uint64)
+        if len(np.unique(self.hashes)) < len(pieces):
+            raise ValueError("two pieces share a hash")
+        self.bits = max(12, len(pieces).bit_length() + 2)
+        self.tables, left = [], np.arange(len(pieces))
+        while len(left):  # a piece is in the first table where its slot was free
+            slots = self.slot(self.hashes[left], len(self.tables))
+            first = np.unique(slots, return_index=True)[1]
+            table = np.full(1 << self.bits, -1, np.int32)
+            table[slots[first]] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+
+    def hash(self, piece: bytes) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + c + 1) % (1 << 64)
+        return h
+
+    def slot(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return (mixed(hashes, 77 + k) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in hashes, pieces) of the hashes that are pieces."""
+        at, which, rest = [], [], np.arange(len(hashes))
+        for k, table in enumerate(self.tables):
+            got = table[self.slot(hashes[rest], k)]
+            used = got >= 0  # a piece goes to a later table only if an earlier slot is taken
+            rest, got = rest[used], got[used]
+            same = self.hashes[got] == hashes[rest]
+            at.append(rest[same])
+            which.append(got[same])
+            rest = rest[~same]
+        return np.concatenate(at), np.concatenate(which)
+
+    def lattice(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, words, pieces) of all pieces in words of equal length, a row of bytes each; by end."""
+        n, out = words.shape[1], []
+        prefix = [np.zeros(len(words), np.uint64)]
+        for i in range(n):
+            prefix.append(prefix[-1] * self.BASE + words[:, i] + np.uint64(1))
+        power = [np.uint64(pow(int(self.BASE), k, 1 << 64)) for k in range(n + 1)]
+        for i in range(1, n + 1):
+            for j in range(max(0, i - self.longest), i):
+                at, which = self.find(prefix[i] - prefix[j] * power[i - j])
+                if len(at):
+                    out.append((j, i, at, which))
+        return out
+
+
+def grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, bytes) of words of equal length, in groups of bounded size."""
+    sizes = np.array([len(w) for w in words])
+    for n in np.unique(sizes):
+        places = np.flatnonzero(sizes == n)
+        step = max(1, GROUP // int(n))
+        for k in range(0, len(places), step):
+            part = places[k : k + step]
+            yield part, np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)
+
+
+def many_forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """forward for many words of at most FIT_BYTES + 1 bytes. p: a row for each piece, a column for each language."""
+    out = np.empty((len(words), p.shape[1]))
+    for part, rows in grouped(words):
+        sums = [np.zeros((len(part), p.shape[1])) for _ in range(rows.shape[1] + 1)]
+        sums[0] += 1
+        for j, i, at, which in pieces.lattice(rows):
+            sums[i][at] += sums[j][at] * p[which]
+        out[part] = np.log(np.maximum(sums[-1], 1e-320))
+    return out
+
+
+def many_expected(words: list[bytes], times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Each piece's expected count, over all segmentations of words that occur so many times, by one language's probabilities."""
+    out = np.zeros(len(p))
+    for part, rows in grouped(words):
+        n = rows.shape[1]
+        ahead, behind = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
+        ahead[0] = behind[n] = 1
+        cuts = pieces.lattice(rows)
+        for j, i, at, which in cuts:
+            ahead[i][at] += ahead[j][at] * p[which]
+        for j, i, at, which in reversed(cuts):
+            behind[j][at] += behind[i][at] * p[which]
+        scale = times[part] / np.maximum(ahead[n], 1e-300)
+        for j, i, at, which in cuts:
+            out += np.bincount(which, ahead[j][at] * p[which] * behind[i][at] * scale[at], len(p))
     return out
 
 
@@ -102,7 +184,6 @@ class Model:
             counts = np.ones((len(languages), len(pieces)))
         smooth = counts + SMOOTH
         self.p = smooth / smooth.sum(axis=1, keepdims=True)
-        self.longest = max(map(len, pieces))
 
 
 class Predictor:
@@ -110,34 +191,65 @@ class Predictor:
 
     def __init__(self, model: Model, kept: int = KEPT):
         self.model, self.kept = model, kept
-        self.table = dict(zip(model.pieces, map(tuple, model.p.T.tolist())))
         self.width = len(model.languages)
+        self.pieces, self.columns = Pieces(model.pieces), np.ascontiguousarray(model.p.T)
+        self.index = {x: i for i, x in enumerate(model.pieces)}
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.logs = np.empty((self.kept + 1, self.width))
 
+    def one(self, piece: bytes):
+        i = self.index.get(piece)
+        return None if i is None else self.columns[i].tolist()
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Likelihoods of words."""
+        raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
+        out = np.empty((len(raw), self.width))
+        short = [i for i, w in enumerate(raw) if len(w) <= FIT_BYTES + 1]
+        if short:
+            out[short] = many_forward([raw[i] for i in short], self.pieces, self.columns)
+        for i in set(range(len(raw))).difference(short):
+            out[i] = forward(raw[i], self.one, self.pieces.longest, self.width)
+        return out
+
     def learn(self, words: set[str]) -> None:
-        if len(self.row) + len(words) > self.kept:
+        listed, k = list(words), len(self.row)
+        self.logs[k : k + len(listed)] = self.of(listed)
+        self.row.update(zip(listed, range(k, k + len(listed))))
+
+    def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Predictions of many texts; the words of as many texts as fit are learned together."""
+        out: list[tuple[str, float]] = []
+        if len(self.row) > self.kept // 2:
             self.clear()
-        for w in words:
-            self.row[w] = k = len(self.row)
-            self.logs[k] = self.of(w)
-
-    def of(self, word: str) -> list[float]:
-        return forward(b" " + word.encode("utf-8", "surrogatepass"), self.table.get, self.model.longest, self.width)
+        while len(out) < len(texts):
+            new: set[str] = set()
+            stop = len(out)
+            while stop < len(texts):
+                more = set((texts[stop] or "").split()).difference(self.row, new)
+                if len(self.row) + len(new) + len(more) > self.kept:
+                    break
+                new |= more
+                stop += 1
+            self.learn(new)
+            if stop == len(out):
+                if self.row:  # room for the next text
+                    self.clear()
+                    continue
+                stop += 1  # a text of too many words goes part by part
+            out += [self.predict(t) for t in texts[len(out) : stop]]
+        return out
 
     def likelihoods(self, text: str) -> np.ndarray:
         words = text.split()
         total = np.zeros(self.width)
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
+        size = min(50_000, self.kept)
+        for i in range(0, len(words), size):
+            part = words[i : i + size]
             new = set(part).difference(self.row)
-            if len(new) > self.kept // 2:
-                for w, n in Counter(part).items():
-                    total += n * np.array(self.of(w))
-                continue
             if len(self.row) + len(new) > self.kept:
                 self.clear()
                 new = set(part)
@@ -175,14 +287,22 @@ def piece_counts(words: DataFrame, model: Model, shared) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        at, index = {k: i for i, k in enumerate(m.languages)}, {p: i for i, p in enumerate(m.pieces)}
-        tables = [dict(zip(m.pieces, row.tolist())) for row in m.p]
+        at, pieces = {k: i for i, k in enumerate(m.languages)}, Pieces(m.pieces)
         found = np.zeros(m.p.shape)
+        held, n = [], 0
+
+        def add() -> None:
+            for lang, part in pd.concat(held).groupby("lang"):
+                found[at[lang]] += many_expected([bytes(w) for w in part["word"]], part["n"].to_numpy(), pieces, m.p[at[lang]])
+
         for b in batches:
-            for lang, word, n in zip(b["lang"], b["word"], b["n"]):
-                k = at[lang]
-                for piece, x in expected(bytes(word), tables[k].get, m.longest).items():
-                    found[k, index[piece]] += n * x
+            held.append(b)
+            n += len(b)
+            if n > HELD:
+                add()
+                held, n = [], 0
+        if n:
+            add()
         k, i = np.nonzero(found)
         yield pd.DataFrame({"lang": k, "piece": i, "x": found[k, i]})
 
@@ -223,7 +343,7 @@ def with_language(df: DataFrame, model: Model, text: str = "text", into: str = "
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor = Predictor(shared.value)
         for texts in batches:
-            yield pd.DataFrame([predictor.predict(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame(predictor.predict_many(list(texts)), columns=["lang", "score"])
 
     return df.withColumn(into, run.asNondeterministic()(F.col(text)))
 
