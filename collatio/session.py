@@ -8,13 +8,11 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_shipped: set[int] = set()
-
 
 def ship(spark: SparkSession) -> None:
     """Sends this package's modules to Python workers, once for each Spark context, so that clusters need no installation."""
     context = spark.sparkContext
-    if id(context._jsc) in _shipped:
+    if getattr(context, "collatio_shipped", False):
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="collatio-")) / "collatio.zip"
@@ -22,4 +20,4 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
     context.addPyFile(str(target))
-    _shipped.add(id(context._jsc))
+    context.collatio_shipped = True
