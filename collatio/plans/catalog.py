@@ -387,6 +387,67 @@ def generated_versions(spark, sf_dir):
     return guards.verdict(made, "para", "text").select("doc_id", "para_no", "round", "try", "problem", "share")
 
 
+OPENED = ("However,", "So, ", "", "Así también,", "En cambio,")
+
+
+@query(f"SELECT doc_id, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['en']['openers'])} END AS en, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['es']['openers'])} END AS es FROM (SELECT doc_id, ['However,', 'So, ', '', 'Así también,', 'En cambio,'][doc_id % 5 + 1] || ' ' || left(text, 30) AS x FROM documents)")
+def openers(spark, sf_dir):
+    """The connector that each document would begin with, if one were put in front."""
+    lead = F.element_at(F.array(*map(F.lit, OPENED)), (F.col("doc_id") % 5 + 1).cast("int"))
+    x = F.concat(lead, F.lit(" "), F.substring("text", 1, 30))
+    return table(spark, sf_dir).select("doc_id", predicates.opener(x, "en").alias("en"), predicates.opener(x, "es").alias("es"))
+
+
+@query("SELECT doc_id, regexp_matches(x, '(?i)(?:^|\\s)(?:Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Srta|Dra|Lic|Ing|vs|etc|approx|e\\.g|i\\.e|U\\.S|p\\.ej)\\.$') AS short FROM (SELECT doc_id, left(text, 10) || [' Dr.', 'dr.', ' etc', ' p.ej.'][doc_id % 4 + 1] AS x FROM documents)")
+def abbreviations(spark, sf_dir):
+    """Whether a text's last full stop belongs to an abbreviation."""
+    end = F.element_at(F.array(*map(F.lit, (" Dr.", "dr.", " etc", " p.ej."))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir).select("doc_id", predicates.ends_abbreviated(F.concat(F.substring("text", 1, 10), end)).alias("short"))
+
+
+VERBS = {"Ofrecer": ("Ofrecemos", "Ofreceremos", "Vamos a ofrecer", "Queremos ofrecer"), "Formar": ("Formamos", "Formaremos", "Vamos a formar", "Queremos formar"), "Tener": ("Tenemos", "Tendremos", "Vamos a tener", "Queremos tener"), "Ir": (None,) * 4, "Decir": ("Decimos", "Diremos", "Vamos a decir", "Queremos decir"), "Reunirse": ("Vamos a reunirnos", "Vamos a reunirnos", "Vamos a reunirnos", "Queremos reunirnos"), "Lugar": (None,) * 4, "the": (None,) * 4}
+
+
+def bullet_sql() -> str:
+    rows = ", ".join(f"({i}, {k}, {'NULL' if lead is None else repr(lead)})" for i, leads in enumerate(VERBS.values()) for k, lead in enumerate(leads))
+    return f"SELECT doc_id, lead FROM documents JOIN (VALUES {rows}) AS v(i, k, lead) ON i = doc_id % {len(VERBS)} AND k = doc_id % 7 % 4"
+
+
+@query(bullet_sql())
+def bullet_leads(spark, sf_dir):
+    """Openings of made-up bullets that begin with an infinitive."""
+    word = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("doc_id") % len(VERBS) + 1).cast("int"))
+    return table(spark, sf_dir).select("doc_id", candidates.bullet_lead(F.concat(word, F.lit(" algo nuevo")), F.col("doc_id") % 7 % 4).alias("lead"))
+
+
+@query("""SELECT doc_id, regexp_extract_all(x, '["“«]([^"”»]{12,})["”»]', 1) AS quotes, regexp_extract_all(x, '(?i)\\(([^()]*\\b(?:[ivxlc]+|\\d+)\\b[^()]*)\\)', 1) AS refs FROM (SELECT doc_id, 'He said "' || replace(left(text, 30), '"', '') || '" (see ' || doc_id || ') («x») (civic) (none here).' AS x FROM documents)""")
+def quotes_and_references(spark, sf_dir):
+    x = F.concat(F.lit('He said "'), F.replace(F.substring("text", 1, 30), F.lit('"'), F.lit("")), F.lit('" (see '), F.col("doc_id").cast("string"), F.lit(") («x») (civic) (none here)."))
+    return table(spark, sf_dir).select("doc_id", T.quotes(x).alias("quotes"), T.references(x).alias("refs"))
+
+
+@query("WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS para, unnest(generate_series(1, len(string_split(text, chr(10))))) AS para_no FROM documents) SELECT doc_id, CAST(para_no AS INTEGER) AS para_no, CASE WHEN para_no IN (1, 3) THEN para ELSE 'x' || para END AS para, para_no IN (1, 3) AS redo FROM p")
+def only_paragraphs(spark, sf_dir):
+    """Lines 1 and 3 are to be done again, the others stay as an earlier result has them."""
+    rows = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "para_no", "para").drop("text")
+    return candidates.only(rows, rows.withColumn("para", F.concat(F.lit("x"), "para")), [1, 3], ["doc_id"])
+
+
+@query("SELECT doc_id, 'a' || doc_id AS name, ['a' || doc_id, 'b c', 'd*'] AS variants FROM documents")
+def concept_lines(spark, sf_dir):
+    """Concept files' lines, parsed."""
+    lines = table(spark, sf_dir).select("doc_id", F.concat(F.lit("  a"), F.col("doc_id").cast("string"), F.lit(" | b c | | d* # e | f")).alias("value"))
+    return concepts.parsed_concepts(lines, key=["doc_id"])
+
+
+@query("SELECT doc_id, CASE WHEN length(b) <= 18 THEN b ELSE left(b, 17) || '…' END AS name FROM (SELECT doc_id, 'file-' || source || '-' || repeat('x', CAST(doc_id % 20 AS INTEGER)) AS b FROM documents)")
+def short_names(spark, sf_dir):
+    from collatio.sources.texts import short_name
+
+    path = F.concat(F.lit("/a\\b/file-"), F.col("source"), F.lit("-"), F.repeat(F.lit("x"), (F.col("doc_id") % 20).cast("int")))
+    return table(spark, sf_dir).select("doc_id", short_name(path).alias("name"))
+
+
 @query()
 def percent_signs(spark, sf_dir):
     """Numbers that lost their percent sign get it back."""
