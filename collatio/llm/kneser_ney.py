@@ -4,7 +4,7 @@ Tokens are the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end tok
 
 Counting:
 
-1. Words are hashed (64 bits) and counted; the distinct hashes, sorted, are the vocabulary, cut by leading bits
+1. Words are hashed (64 bits, vectorised over all bytes of many texts) and counted; the distinct hashes, sorted, are the vocabulary, cut by leading bits
    into files of about SHARD entries. A word's number is its place in the sorted hashes.
 2. Texts become numbers, and bigrams become 64-bit keys (context, word). Every task counts its own bigrams, packs them by
    shard (differences of sorted keys, compressed) and sends few large rows instead of a row for each bigram. A shard has
@@ -27,9 +27,9 @@ rows repeat (and count as often in training); empty tables give empty results; o
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import count
 from typing import Any
 
 import numpy as np
@@ -37,32 +37,111 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower_words, bound_batches, map_file, mixed, new_folder, put_file, settle
+from .shared import bound_batches, map_file, mixed, new_folder, put_file, settle
 
 #: Vocabulary entries or bigram tokens of a file; a context is hot from this part of a shard's tokens; tokens a task holds.
 SHARD, HOT, HELD = 3_000_000, 8, 4_000_000
 #: Files that a worker keeps mapped.
 MAPPED = 600
-END = b" end"  # no word has a blank
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, every token's index in them, tokens of each text) of texts, an end after each."""
-    words: list[bytes] = []
-    sizes = []
+#: Bytes that are hashed together, and characters of texts that are counted or scored together.
+SEGMENT, PORTION = 1 << 20, 2_000_000
+#: The hash of the end token.
+END = np.uint64(0x5DEECE66D1234567)
+BLANK_BYTE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def blanks() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[0x20, *range(0x09, 0x0E)]] = True
+    return table
+
+
+BLANKS = blanks()
+#: Odd, so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse up to n, at least."""
+    if not POWERS or len(POWERS[0]) < n:
+        size = max(n, SEGMENT + 4096)
+        POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, pow(BASE, e, 1 << 64), np.uint64)))) for e in (1, -1)]
+    return POWERS[0], POWERS[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word begins, its hash). A word's hash is a polynomial of its bytes, taken from running sums over all."""
+    b = np.frombuffer(raw, np.uint8)
+    blank = np.concatenate(([True], BLANKS[b], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+    return starts, mixed((sums[ends] - sums[starts]) * down[starts], 31)
+
+
+def segments(raw: bytes) -> Iterator[bytes]:
+    """A text in stretches of about SEGMENT bytes that end at blanks."""
+    at = 0
+    while len(raw) - at > SEGMENT:
+        cut = BLANK_BYTE.search(raw, at + SEGMENT)
+        if cut is None:
+            break
+        yield raw[at : cut.start()]
+        at = cut.start()
+    yield raw[at:]
+
+
+def hashed(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, an end after each text; tokens of each text)."""
+    sizes, parts = np.ones(len(texts), np.int64), []
+    held: list[bytes] = []
+    n = first = 0
+
+    def flush(stop: int) -> None:
+        nonlocal held, n, first
+        if held:
+            offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
+            starts, h = word_hashes(b"\n".join(held))
+            sizes[first:stop] += np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(held))
+            parts.append(h)
+        held, n, first = [], 0, stop
+
+    for i, t in enumerate(texts):
+        raw = t.encode("utf-8", "surrogatepass").lower() if t else b""
+        if len(raw) + n > SEGMENT:
+            flush(i)
+        if len(raw) > SEGMENT:
+            for part in segments(raw):
+                h = word_hashes(part)[1]
+                sizes[i] += len(h)
+                parts.append(h)
+            first = i + 1
+            continue
+        held.append(raw)
+        n += len(raw)
+    flush(len(texts))
+    out = np.full(int(sizes.sum()), END, np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    if parts:
+        out[inner] = np.concatenate(parts)
+    return out, sizes
+
+
+def portions(texts) -> Iterator[list]:
+    """Texts in lists of about PORTION characters."""
+    held, n = [], 0
     for t in texts:
-        w = ascii_lower_words(t)
-        words += w
-        words.append(END)
-        sizes.append(len(w) + 1)
-    index = dict(zip(dict.fromkeys(words), count()))
-    return list(index), np.fromiter(map(index.__getitem__, words), np.int64, len(words)), np.array(sizes, np.int64)
+        held.append(t)
+        n += len(t or "")
+        if n > PORTION:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +222,9 @@ def count_words(texts: DataFrame, folder: str) -> tuple[Vocabulary, int, list[tu
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         frame = lambda: pd.DataFrame({"h": keys.view(np.int64), "n": counts})
-        for b in batches:
-            words, codes, _ = coded(b["text"])
-            keys, counts = merged(np.concatenate((keys, hashed(words))), np.concatenate((counts, np.bincount(codes, minlength=len(words)))))
+        for texts in (p for b in batches for p in portions(b["text"])):
+            new, n = np.unique(hashed(texts)[0], return_counts=True)
+            keys, counts = merged(np.concatenate((keys, new)), np.concatenate((counts, n)))
             if len(keys) > HELD // 2:
                 yield frame()
                 keys, counts = keys[:0], counts[:0]
@@ -277,8 +356,9 @@ class Model:
                     put(s, at, (place, s[which][place] == keys[at]))
 
     def score(self, texts) -> pd.DataFrame:
-        words, codes, sizes = coded(texts)
-        ids, known = self.vocabulary.find(hashed(words))
+        hashes, sizes = hashed(texts)
+        distinct, codes = np.unique(hashes, return_inverse=True)
+        ids, known = self.vocabulary.find(distinct)
         lower = self.unigrams(ids)
         base = np.log10((known + 1) / (self.total + self.vocabulary.n + 1))
         numbers = np.where(ids < 0, self.begin + 1, ids)[codes]  # unknown words share a number that no key has
@@ -319,12 +399,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
             rows = [(k, packed(keys[at], counts[at])) for k in range(shards.n) if len(at := order[cuts[k] : cuts[k + 1]])]
             return pd.DataFrame(rows, columns=["shard", "blob"])
 
-        for b in batches:
-            distinct, codes, sizes = coded(b["text"])
-            if not len(sizes):
-                continue
-            ids, _ = vocabulary.find(hashed(distinct))
-            held.append(bigrams(ids[codes], sizes, begin))
+        for texts in (p for b in batches for p in portions(b["text"])):
+            hashes, sizes = hashed(texts)
+            distinct, codes = np.unique(hashes, return_inverse=True)
+            held.append(bigrams(vocabulary.find(distinct)[0][codes], sizes, begin))
             n += len(codes)
             if n > HELD:
                 yield flush()
@@ -376,7 +454,8 @@ def with_scores(df: DataFrame, model: Model, text: str = "text", into: str = "lm
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            out = m.score(texts) if len(texts) else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"], dtype=float)
+            scored = [m.score(part) for part in portions(texts)]
+            out = pd.concat(scored, ignore_index=True) if scored else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"], dtype=float)
             yield out.assign(perplexity=10 ** np.minimum(-out["score"] / out["n_tokens"], 300.0))
 
     return df.withColumn(into, run.asNondeterministic()(F.col(text)))
