@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import alnum_words, bound_batches, new_folder
 
 #: Words of a window; benchmark words in one broadcast; words that one cursor searches.
-WINDOW, MAX_WORDS, STRETCH = 10, 2_000_000, 256
+WINDOW, MAX_WORDS, STRETCH = 10, 300_000, 256
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: int, stop: int>>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

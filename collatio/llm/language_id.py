@@ -223,6 +223,8 @@ class Predictor:
     def predict_many(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Predictions of many texts; the words of as many texts as fit are learned together."""
         out: list[tuple[str, float]] = []
+        if not self.width:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.row) > self.kept // 2:
             self.clear()
         while len(out) < len(texts):
@@ -277,7 +279,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     raw = b" " + w.encode("utf-8", "surrogatepass")
                     for i in range(0, len(raw), FIT_BYTES):
                         found[lang, raw[i : i + FIT_BYTES]] += n
-            yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
+            if found:  # an empty frame has no types
+                yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
 
     return rows.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 

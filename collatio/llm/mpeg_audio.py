@@ -164,7 +164,7 @@ def parse(data: bytes) -> dict:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if synced:
-            h = h if h and at + h[4] <= end and h[:3] == kind else None
+            h = h if h and at + h[4] <= end and kind in (None, h[:3]) else None
         else:
             h = believed(at)
         if h is None:

@@ -150,6 +150,7 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """The partitions to probe and their thresholds."""
     p, c = np.diag(both) / max(n, 1), correlations(n, both)
+    n = max(n, 1)  # so that probes cost something in an empty table too
     options = []
     for m in range(1, min(distance + 2, 16) + 1):
         groups = grouped_bits(c, m)
