@@ -51,14 +51,15 @@ def copied_bound(original: Column, version: Column, run: int = RUN) -> Column:
 
 
 def with_copied_share(df: DataFrame, original: str, version: str, run: Column | int = RUN, into: str = "share", only: Column | None = None) -> DataFrame:
-    """df and the exact copied share. only: rows for which it is needed; others get null and never reach Python."""
+    """df and the exact copied share. only: rows for which it is needed; others get null, and nothing of their texts is sent to
+    Python."""
     ship(df.sparkSession)
     n = F.lit(run) if isinstance(run, int) else run
     if only is None:
         return df.withColumn(into, exact_share(F.col(original), F.col(version), n))
-    need = F.coalesce(only, F.lit(False))
-    sent = df.where(need).withColumn(into, exact_share(F.col(original), F.col(version), n))
-    return sent.unionByName(df.where(~need).withColumn(into, F.lit(None).cast("double")))
+    rows = df.withColumn("__need", F.coalesce(only, F.lit(False)))
+    sent = [F.when(F.col("__need"), F.col(c)) for c in (original, version)]
+    return rows.withColumn(into, exact_share(*sent, n)).drop("__need")
 
 
 def paired_paragraphs(pairs: DataFrame, key: list[str], original: str = "original", version: str = "version") -> DataFrame:

@@ -188,9 +188,8 @@ CLEAN = "regexp_replace(lower(strip_accents(%s)), '[«»\"“”‘’()\\[\\]]'
 
 
 def negation_sql(text: str) -> str:
-    """Pairs by words between blanks: a negation at the end of one, and what the next begins with."""
-    words = f"list_filter(regexp_split_to_array({CLEAN % text}, '\\s+'), lambda x: x <> '')"
-    return f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(generate_series(1, len(w) - 1), lambda i: CASE WHEN regexp_matches(w[i], '(?:^|[^\\p{{L}}\\p{{N}}_])({lexicon.NEGATIONS})$') AND regexp_matches(w[i + 1], '^{W}') THEN regexp_extract(w[i], '({lexicon.NEGATIONS})$', 1) || ' ' || regexp_extract(w[i + 1], '^({W}+)', 1) END), lambda x: x IS NOT NULL))) AS pairs FROM (SELECT doc_id, {words} AS w FROM p)"""
+    found = f"regexp_extract_all({CLEAN % text}, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:{lexicon.NEGATIONS})\\s+{W}+)', 1)"
+    return f"SELECT doc_id, list_sort(list_distinct(list_transform({found}, lambda x: regexp_replace(x, '\\s+', ' ', 'g')))) AS pairs FROM p"
 
 
 @query(f"WITH {PAIRS} {negation_sql('original')}")
@@ -203,20 +202,15 @@ def lost_negations(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", F.array_sort(concepts.lost_negations(F.col("original"), F.col("version"))).alias("lost"))
 
 
-FRAMED = "concat('Tema: ', split(text, ' ')[0], ' alfa. Texto: ', split(text, ' ')[1], ' beta.\n\nEl tema es uno.\n\nEl tema es dos.\n\nEl tema son tres.\n\nno ', split(text, ' ')[0], ', sino otro.')"
+FRAMED = "concat('Tema: x', doc_id, ' alfa. Texto: y', doc_id, ' beta.\n\nEl tema es uno.\n\nEl tema es dos.\n\nEl tema son tres.\n\nno x', doc_id, ', sino otro.')"
 
 
-@query(r"""WITH t AS (SELECT doc_id, coalesce(string_split(text, ' ')[1], '') AS a, string_split(text, ' ')[2] AS b FROM documents)
-SELECT doc_id, CAST(1 AS INTEGER) AS para_no, 'labels' AS kind, 'Tema; Texto' AS excerpt FROM t WHERE b IS NOT NULL
-UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'frame', '«el tema» in paragraphs 2, 3, 4' FROM t WHERE b IS NOT NULL
-UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'antithesis', 'no ' || a || ', sino' FROM t WHERE b IS NOT NULL""")
+@query("""SELECT doc_id, CAST(1 AS INTEGER) AS para_no, 'labels' AS kind, 'Tema; Texto' AS excerpt FROM documents
+UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'frame', '«el tema» in paragraphs 2, 3, 4' FROM documents
+UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'antithesis', 'no x' || doc_id || ', sino' FROM documents""")
 def flagged_shapes(spark, sf_dir):
-    """Shapes of a text built around each document's first words (those made of letters alone)."""
-    docs = table(spark, sf_dir).where("text rlike '^[a-zA-Z]+ [a-zA-Z]+ '").select("doc_id", F.expr(FRAMED).alias("text"))
-    return concepts.flagged_shapes(docs, ["doc_id"])
-
-
-REGISTRY["flagged_shapes"] = REGISTRY["flagged_shapes"][0], REGISTRY["flagged_shapes"][1].replace("FROM documents)", "FROM documents WHERE regexp_matches(text, '^[a-zA-Z]+ [a-zA-Z]+ '))")
+    """Shapes of a text that is built for each document, one of every kind but the fragment."""
+    return concepts.flagged_shapes(table(spark, sf_dir).select("doc_id", F.expr(FRAMED).alias("text")), ["doc_id"])
 
 
 def grams_sql(text: str, source: str, key: str, n: int) -> str:
@@ -252,7 +246,7 @@ def copied_share(spark, sf_dir):
     """The exact share, for documents of which the bound leaves open whether half is copied."""
     rows = pairs(spark, sf_dir)
     near = overlap.copied_bound(F.col("original"), F.col("version"), 4)
-    return overlap.with_copied_share(rows.where(F.length("original") < 20_000), "original", "version", 4, only=(near >= 0.5) & (near < 1)).select("doc_id", "share")
+    return overlap.with_copied_share(rows, "original", "version", 4, only=(near >= 0.5) & (near < 1)).select("doc_id", "share")
 
 
 @query()
@@ -337,13 +331,13 @@ def rhythm_pauses(spark, sf_dir):
 
 def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six made-up tries of each document, some copied, some lost."""
-    rows = table(spark, sf_dir).select("doc_id", F.substring("text", 1, 20).alias("para"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    rows = table(spark, sf_dir).select("doc_id", F.col("text").alias("para"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     x = (F.col("doc_id") * 7 + F.col("k") * 5) % 11
     problem = F.when(x < 4, "(copied)").when(x < 7, "(accents lost)").when(x < 9, "(quote changed)")
     return rows.select("doc_id", "para", F.expr("k div 3").cast("int").alias("round"), (F.col("k") % 3 + 1).cast("int").alias("try"), F.concat("para", F.lit("#"), F.col("k").cast("string")).alias("text"), (x / 11.0).alias("share"), problem.alias("problem"))
 
 
-TRIES = "t AS (SELECT doc_id, para, CAST(k // 3 AS INTEGER) AS round, CAST(k % 3 + 1 AS INTEGER) AS try, para || '#' || k AS text, x / 11.0::DOUBLE AS share, CASE WHEN x < 4 THEN '(copied)' WHEN x < 7 THEN '(accents lost)' WHEN x < 9 THEN '(quote changed)' END AS problem FROM (SELECT doc_id, left(text, 20) AS para, k, (doc_id * 7 + k * 5) % 11 AS x FROM documents, generate_series(0, 5) AS s(k)))"
+TRIES = "t AS (SELECT doc_id, para, CAST(k // 3 AS INTEGER) AS round, CAST(k % 3 + 1 AS INTEGER) AS try, para || '#' || k AS text, x / 11.0::DOUBLE AS share, CASE WHEN x < 4 THEN '(copied)' WHEN x < 7 THEN '(accents lost)' WHEN x < 9 THEN '(quote changed)' END AS problem FROM (SELECT doc_id, text AS para, k, (doc_id * 7 + k * 5) % 11 AS x FROM documents, generate_series(0, 5) AS s(k)))"
 TITLE = r"(n <= 12 AND (n <= 4 OR (regexp_matches(r, ':$') AND n <= 8 AND NOT regexp_matches(s, '[.!?…]\s')) OR NOT regexp_matches(r, '[.!?…:]$') OR (regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1) <> '' AND NOT regexp_matches(regexp_extract(s, '^\d+(?:\.\d+)*(?:\.-?|\))\s+(.+)$', 1), '[.!?…]\s'))))"
 
 
@@ -381,8 +375,8 @@ def adopt_paragraphs(spark, sf_dir):
 
 @query()
 def generated_versions(spark, sf_dir):
-    """The stand-in generator's tries of every document's first line, with verdicts."""
-    paras = table(spark, sf_dir).select("doc_id", F.lit(1).alias("para_no"), F.substring_index("text", "\n", 1).alias("para"))
+    """The stand-in generator's tries of every line, with verdicts."""
+    paras = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "para_no", "para").drop("text")
     made = candidates.generated(candidates.requests(paras, 0, 1))
     return guards.verdict(made, "para", "text").select("doc_id", "para_no", "round", "try", "problem", "share")
 
@@ -390,19 +384,19 @@ def generated_versions(spark, sf_dir):
 OPENED = ("However,", "So, ", "", "Así también,", "En cambio,")
 
 
-@query(f"SELECT doc_id, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['en']['openers'])} END AS en, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['es']['openers'])} END AS es FROM (SELECT doc_id, ['However,', 'So, ', '', 'Así también,', 'En cambio,'][doc_id % 5 + 1] || ' ' || left(text, 30) AS x FROM documents)")
+@query(f"SELECT doc_id, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['en']['openers'])} END AS en, CASE {' '.join(f"WHEN starts_with(x, '{o}') THEN '{o}'" for o in lexicon.JOINING['es']['openers'])} END AS es FROM (SELECT doc_id, ['However,', 'So, ', '', 'Así también,', 'En cambio,'][doc_id % 5 + 1] || ' ' || text AS x FROM documents)")
 def openers(spark, sf_dir):
     """The connector that each document would begin with, if one were put in front."""
     lead = F.element_at(F.array(*map(F.lit, OPENED)), (F.col("doc_id") % 5 + 1).cast("int"))
-    x = F.concat(lead, F.lit(" "), F.substring("text", 1, 30))
+    x = F.concat(lead, F.lit(" "), "text")
     return table(spark, sf_dir).select("doc_id", predicates.opener(x, "en").alias("en"), predicates.opener(x, "es").alias("es"))
 
 
-@query("SELECT doc_id, regexp_matches(x, '(?i)(?:^|\\s)(?:Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Srta|Dra|Lic|Ing|vs|etc|approx|e\\.g|i\\.e|U\\.S|p\\.ej)\\.$') AS short FROM (SELECT doc_id, left(text, 10) || [' Dr.', 'dr.', ' etc', ' p.ej.'][doc_id % 4 + 1] AS x FROM documents)")
+@query("SELECT doc_id, regexp_matches(x, '(?i)(?:^|\\s)(?:Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Srta|Dra|Lic|Ing|vs|etc|approx|e\\.g|i\\.e|U\\.S|p\\.ej)\\.$') AS short FROM (SELECT doc_id, text || [' Dr.', 'dr.', ' etc', ' p.ej.'][doc_id % 4 + 1] AS x FROM documents)")
 def abbreviations(spark, sf_dir):
     """Whether a text's last full stop belongs to an abbreviation."""
     end = F.element_at(F.array(*map(F.lit, (" Dr.", "dr.", " etc", " p.ej."))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir).select("doc_id", predicates.ends_abbreviated(F.concat(F.substring("text", 1, 10), end)).alias("short"))
+    return table(spark, sf_dir).select("doc_id", predicates.ends_abbreviated(F.concat("text", end)).alias("short"))
 
 
 VERBS = {"Ofrecer": ("Ofrecemos", "Ofreceremos", "Vamos a ofrecer", "Queremos ofrecer"), "Formar": ("Formamos", "Formaremos", "Vamos a formar", "Queremos formar"), "Tener": ("Tenemos", "Tendremos", "Vamos a tener", "Queremos tener"), "Ir": (None,) * 4, "Decir": ("Decimos", "Diremos", "Vamos a decir", "Queremos decir"), "Reunirse": ("Vamos a reunirnos", "Vamos a reunirnos", "Vamos a reunirnos", "Queremos reunirnos"), "Lugar": (None,) * 4, "the": (None,) * 4}
@@ -420,9 +414,9 @@ def bullet_leads(spark, sf_dir):
     return table(spark, sf_dir).select("doc_id", candidates.bullet_lead(F.concat(word, F.lit(" algo nuevo")), F.col("doc_id") % 7 % 4).alias("lead"))
 
 
-@query("""SELECT doc_id, regexp_extract_all(x, '["“«]([^"”»]{12,})["”»]', 1) AS quotes, regexp_extract_all(x, '(?i)\\(([^()]*\\b(?:[ivxlc]+|\\d+)\\b[^()]*)\\)', 1) AS refs FROM (SELECT doc_id, 'He said "' || replace(left(text, 30), '"', '') || '" (see ' || doc_id || ') («x») (civic) (none here).' AS x FROM documents)""")
+@query("""SELECT doc_id, regexp_extract_all(x, '["“«]([^"”»]{12,})["”»]', 1) AS quotes, regexp_extract_all(x, '(?i)\\(([^()]*\\b(?:[ivxlc]+|\\d+)\\b[^()]*)\\)', 1) AS refs FROM (SELECT doc_id, 'He said "' || replace(text, '"', '') || '" (see ' || doc_id || ') («x») (civic) (none here).' AS x FROM documents)""")
 def quotes_and_references(spark, sf_dir):
-    x = F.concat(F.lit('He said "'), F.replace(F.substring("text", 1, 30), F.lit('"'), F.lit("")), F.lit('" (see '), F.col("doc_id").cast("string"), F.lit(") («x») (civic) (none here)."))
+    x = F.concat(F.lit('He said "'), F.replace("text", F.lit('"'), F.lit("")), F.lit('" (see '), F.col("doc_id").cast("string"), F.lit(") («x») (civic) (none here)."))
     return table(spark, sf_dir).select("doc_id", T.quotes(x).alias("quotes"), T.references(x).alias("refs"))
 
 
@@ -452,7 +446,7 @@ def short_names(spark, sf_dir):
 def percent_signs(spark, sf_dir):
     """Numbers that lost their percent sign get it back."""
     original = F.regexp_replace("text", r"(\d+)", "$1%")
-    return table(spark, sf_dir).where("text rlike '[0-9]'").select("doc_id", candidates.restored_percent(original, F.col("text")).alias("restored"))
+    return table(spark, sf_dir).select("doc_id", candidates.restored_percent(original, F.col("text")).alias("restored"))
 
 
 @query("SELECT count(*) AS n_docs, count(DISTINCT sha256(text)) AS n_digests FROM documents")
