@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import BLANK, LETTER, ends_with, found, n_parts, strip
+from .text import BLANK, LETTER, among, ends_with, found, n_parts, strip
 
 NUMBERED = rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*(?:\.-?|\))[{BLANK}]+(.+)$"
 INNER_STOP = f"[.!?…][{BLANK}]"
@@ -57,15 +57,10 @@ def letters(text: Column) -> Column:
     return found(F.lower(text), f"[{LETTER}]+")
 
 
-def counted(words: Column, listed) -> Column:
-    known = F.array(*[F.lit(w) for w in sorted(listed)])
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
-
-
 def hints(text: Column) -> dict[str, Column]:
     """How many common words of each joining language a text has."""
     words = found(F.lower(text), "[a-záéíóúñü]+")
-    return {lang: counted(words, x["hints"]) for lang, x in lexicon.JOINING.items()}
+    return {lang: among(words, x["hints"]) for lang, x in lexicon.JOINING.items()}
 
 
 def language(text: Column) -> Column:
@@ -77,7 +72,7 @@ def language(text: Column) -> Column:
 def function_words(text: Column) -> tuple[Column, Column]:
     """(Spanish, English) function words of a text."""
     words = letters(text)
-    return counted(words, lexicon.SPANISH), counted(words, lexicon.ENGLISH)
+    return among(words, lexicon.SPANISH), among(words, lexicon.ENGLISH)
 
 
 def looks_spanish(text: Column) -> Column:

@@ -90,10 +90,15 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """A hash of every run of n words; none if there are fewer. Cheaper than ngrams where runs are only compared."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def among(words: Column, listed) -> Column:
-    """How many words are in a list."""
-    known = F.array(*[F.lit(w) for w in sorted(listed)])
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    """How many words are in a list (by hash, as the list is literal)."""
+    return F.size(F.filter(words, lambda w: w.isin(*sorted(listed))))
 
 
 def paragraphs(text: Column) -> Column:

@@ -133,12 +133,14 @@ def negation_problem(original: Column, version: Column) -> Column:
 
 def repetition_problem(original: Column, version: Column, n: int = RUN) -> Column:
     """The first run of n words that is said twice or more, and more often than in the original."""
-    have, had = T.ngrams(T.tokens(T.fold(version)), n), T.ngrams(T.tokens(T.fold(original)), n)
+    words, hashes = T.tokens(T.fold(version)), T.ngram_hashes(T.tokens(T.fold(version)), n)
+    have, had = T.ngrams(words, n), T.ngrams(T.tokens(T.fold(original)), n)
     times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
     twice = lambda b: F.filter(F.array_distinct(b["have"]), lambda g: (times(b["have"], g) >= 2) & (times(b["have"], g) > times(b["had"], g)))
     message = lambda b: F.concat(F.lit("(repeated: "), F.get(twice(b), F.lit(0)), F.lit(")"))
     # most versions repeat nothing, and then no run is counted
-    return T.let(F.struct(have.alias("have"), had.alias("had")), lambda b: F.when(F.size(b["have"]) > F.size(F.array_distinct(b["have"])), message(b)))
+    repeats = T.let(hashes, lambda h: F.size(h) > F.size(F.array_distinct(h)))
+    return F.when(repeats, T.let(F.struct(have.alias("have"), had.alias("had")), message))
 
 
 GUARDS = {

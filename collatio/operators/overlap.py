@@ -44,12 +44,25 @@ def copied_bound(original: Column, version: Column, run: int = RUN) -> Column:
 
     Every matching block of `run` words or more consists of such runs, so that the share can't be larger.
     """
-    hashes = lambda t: F.transform(T.ngrams(T.tokens(t), run), lambda g: F.xxhash64(g))
+    hashes = lambda t: T.ngram_hashes(T.tokens(t), run)
     places = T.let(F.array_distinct(hashes(original)), lambda known: F.filter(F.transform(hashes(version), lambda g, i: F.when(F.array_contains(known, g), i)), lambda x: x.isNotNull()))
     covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, i: F.struct((s["n"] + F.lit(run) - F.greatest(s["to"] - i, F.lit(0))).alias("n"), (i + run).alias("to")), lambda s: s["n"])
     return covered / F.greatest(F.regexp_count(F.lower(version), F.lit(f"[{T.WORD}]+")), F.lit(1))
 
 
+def copied_bounds(pairs: DataFrame, key: list[str], original: str = "original", version: str = "version", run: int = RUN) -> DataFrame:
+    """(key, bound): copied_bound for long texts, where searching an array for every run would be quadratic.
+
+    Hashed runs of both sides meet in a semi-join on key and hash, and each text's places come back as one sorted array.
+    """
+    runs = lambda c: pairs.select(*key, F.posexplode(T.ngram_hashes(T.tokens(F.col(c)), run)).alias("i", "h"))
+    hits = runs(version).join(runs(original).select(*key, "h"), [*key, "h"], "left_semi")
+    places = hits.groupBy(*key).agg(F.array_sort(F.collect_list("i")).alias("at"))
+    n = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), lambda s, i: F.struct((s["n"] + F.lit(run) - F.greatest(s["to"] - i, F.lit(0))).alias("n"), (i + run).alias("to")), lambda s: s["n"])
+    words = F.regexp_count(F.lower(version), F.lit(f"[{T.WORD}]+"))
+    return pairs.select(*key, words.alias("w")).join(places, key, "left").select(*key, (F.coalesce(n, F.lit(0)) / F.greatest("w", F.lit(1))).alias("bound"))
+
+
 def with_copied_share(df: DataFrame, original: str, version: str, run: Column | int = RUN, into: str = "share", only: Column | None = None) -> DataFrame:
     """df and the exact copied share. only: rows for which it is needed; others get null, and nothing of their texts is sent to
     Python."""

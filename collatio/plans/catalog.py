@@ -238,7 +238,7 @@ def label_quality_by_overlap(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, a AS (SELECT DISTINCT doc_id, g FROM ({grams_sql('original', 'p', 'doc_id', 4)})), b AS ({grams_sql('version', 'p', 'doc_id', 4)}), c AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 3)) AS x FROM b SEMI JOIN a USING (doc_id, g)) GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS DOUBLE) / greatest(1, len(regexp_extract_all(lower(version), '{W}+'))) AS bound FROM p LEFT JOIN c USING (doc_id)")
 def copied_bound(spark, sf_dir):
-    return pairs(spark, sf_dir).select("doc_id", overlap.copied_bound(F.col("original"), F.col("version"), 4).alias("bound"))
+    return overlap.copied_bounds(pairs(spark, sf_dir), ["doc_id"], run=4)
 
 
 @query()

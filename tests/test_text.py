@@ -76,7 +76,7 @@ def test_check_phrase_is_new_at_both_ends(spark):
     assert one(spark, halves.check_phrase, old, old) is None
 
 
-@pytest.mark.parametrize("term, body, hit", [("ser", "el servicio", False), ("ser*", "el servicio", True), ("joven", "los jovenes", False), ("plan", "dos planes", True), ("Tomás de Aquino", "tomas  de\naquino dijo", True), ("60%", "un 60% mas", True)])
+@pytest.mark.parametrize("term, body, hit", [("ser", "el servicio", False), ("ser*", "el servicio", True), ("joven", "los jovenes", True), ("joven", "la juventud", False), ("plan", "dos planes", True), ("Tomás de Aquino", "tomas  de\naquino dijo", True), ("60%", "un 60% mas", True)])
 def test_concept_patterns(spark, term, body, hit):
     assert one(spark, lambda t, b: concepts.has_concept(text.fold(b), F.array(t)), term, body) is hit
 
