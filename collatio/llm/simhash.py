@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .shared import ascii_lower_words, bound_batches, components, mixed, settle
 
 BITS, SEED = 64, 42
-#: Members from which a bucket is divided.
-HOT = 4096
+#: Members from which a bucket is divided; fingerprints that may be broadcast.
+HOT, SENT = 4096, 500_000
 #: Cost of a verified candidate against that of one probe row.
 VERIFY = 0.02
 
@@ -287,7 +287,9 @@ def shingle_sets(text: Column | str, width: int) -> Column:
 
 def verified(edges: DataFrame, rows: DataFrame, text: str, width: int, share: float) -> DataFrame:
     """The links whose fingerprints' first texts share at least `share` of their shingles."""
-    ends = edges.select(F.col("u").alias("fp")).unionAll(edges.select(F.col("v").alias("fp"))).distinct()
+    ends = settle(edges.select(F.col("u").alias("fp")).unionAll(edges.select(F.col("v").alias("fp"))).distinct())
+    if ends.count() <= SENT:  # else both sides are shuffled by fingerprint, with their texts
+        ends = F.broadcast(ends)
     first = rows.select("fp", F.col(text).alias("text")).join(ends, "fp").groupBy("fp").agg(F.min("text").alias("text"))
     sets = settle(first.select("fp", shingle_sets("text", width).alias("s")))
     a, b = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
