@@ -274,42 +274,22 @@ def links(prints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     return sorted_probes.mapInPandas(bucket_links(distance), "u long, v long").distinct()
 
 
-def shingle_sets(text: Column | str, width: int) -> Column:
-    """The distinct shingle hashes of a text column."""
-
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts])
-
-    return run.asNondeterministic()(text)
-
-
-def verified(edges: DataFrame, rows: DataFrame, text: str, width: int, share: float) -> DataFrame:
-    """The links whose fingerprints' first texts share at least `share` of their shingles."""
-    ends = settle(edges.select(F.col("u").alias("fp")).unionAll(edges.select(F.col("v").alias("fp"))).distinct())
-    if ends.count() <= SENT:  # else both sides are shuffled by fingerprint, with their texts
-        ends = F.broadcast(ends)
-    first = rows.select("fp", F.col(text).alias("text")).join(ends, "fp").groupBy("fp").agg(F.min("text").alias("text"))
-    sets = settle(first.select("fp", shingle_sets("text", width).alias("s")))
-    a, b = sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), sets.select(F.col("fp").alias("v"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return edges.join(a, "u").join(b, "v").where(both >= share * (F.size("a") + F.size("b") - both)).select("u", "v")
-
-
 def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 3, distance: int = 2, hot: int = HOT, share: float | None = None, keep_text: bool = True) -> DataFrame:
     """df and a struct column: fp, component (the smallest key of the group) and root (the group's smallest fingerprint).
 
-    share: if given, links count only if the texts share as much of their shingles, counted exactly.
+    share: if given, links are all pairs of texts that share as much of their shingles, whatever their distance, found and
+    counted exactly (near_copies); the struct then has a node in place of fp.
     keep_text: whether the result has the text column, which is then stored once more on the way.
     """
+    if share is not None:
+        from . import near_copies
+
+        return near_copies.with_groups(df, text, key, into, width, share)
     bound_batches(df.sparkSession)
-    own = [c for c in df.columns if c != into and (keep_text or share is not None or c != text)]
+    own = [c for c in df.columns if c != into and (keep_text or c != text)]
     rows = settle(df.select(F.struct(*own).alias("row"), F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fp")))
     prints = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
     edges = links(prints, distance, hot)
-    if share is not None:
-        edges = verified(settle(edges), rows.select("fp", f"row.{text}"), text, width, share)
     roots = components(edges)
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
