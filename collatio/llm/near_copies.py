@@ -13,7 +13,7 @@ link is a pair with Jaccard of at least `share`; groups are what links connect.
    pairs have failed, holds for its next buckets. A task yields fewer links than it has nodes.
 
 A text of fewer words than a shingle is one shingle; texts without words, and null, are one group. A group's component is its
-smallest non-null key. Repeated rows repeat; empty tables give empty results. Other columns stay. Two texts of one bucket that
+smallest non-null key. Repeated rows repeat (with_groups); empty tables give empty results. Other columns stay. Two texts of one bucket that
 don't link cost a comparison, so the work grows with the square of a bucket's unlike members, its rows don't.
 """
 
@@ -23,13 +23,14 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from math import ceil
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, components, map_file, new_folder, put_file, settle
+from .shared import bound_batches, components, filesystem, map_file, new_folder, put_file, settle
 from .simhash import SEED, SENT, shingle_hashes
 
 #: Texts of the sample; the shingles that it says are common at most (an order only, no shingle is left out).
@@ -237,7 +238,7 @@ def verified_links(share: float, folder: str):
 
 
 def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
-    """Links (u, v) that connect all nodes of (node, text) which links connect. n: about how many nodes there are."""
+    """Links (u, v), stored, that connect all nodes of (node, text) which links connect. n: about how many nodes there are."""
     by_size = lambda df: df.repartition("h").sortWithinPartitions("h", "size", "node")
     rows = texts.mapInPandas(prefixes(width, share, common_shingles(texts, n, width)), "h long, node long, size long")
     close = settle(by_size(rows).mapInPandas(buckets(share), "h long, node long, size long"))
@@ -247,18 +248,73 @@ def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
     folder = new_folder(texts.sparkSession, "sets")
     stored = settle(texts.join(wanted, "node").select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long"))
     places = stored.groupBy("node").agg(F.min(F.struct("file", "start")).alias("at")).select("node", "at.*")
-    return by_size(close.join(places, "node")).mapInPandas(verified_links(share, folder), "u long, v long").distinct()
+    found = settle(by_size(close.join(places, "node")).mapInPandas(verified_links(share, folder), "u long, v long").distinct())
+    store, path = filesystem(folder)
+    if not stored.isEmpty():
+        store.delete_dir(path)  # links are stored, nothing reads the sets again
+    return found
 
 
-def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 5, share: float = 0.8) -> DataFrame:
-    """df and a struct column: node, component (the smallest key of the group) and root (the group's smallest node)."""
+def grouped(df: DataFrame, text: str, key: str, width: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, placed): df's rows (row, id, key, set), stored; and the root of every node, with the node's first row."""
     bound_batches(df.sparkSession)
-    own = [c for c in df.columns if c != into]
-    rows = settle(df.select(F.struct(*own).alias("row"), F.col(key).alias("key"), nodes(F.col(text), width).alias("set")))
-    known = settle(rows.groupBy("set.node").agg(F.min("key").alias("least")))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), nodes(F.col(text), width).alias("set"), F.monotonically_increasing_id().alias("id"))
+    rows = settle(rows)
+    known = settle(rows.groupBy("set.node").agg(F.min(F.struct(F.col("key").isNull().alias("without"), "key", "id")).alias("first")))
     edges = links(rows.where("set.size > 0").select("set.node", F.col(f"row.{text}").alias("text")), known.count(), width, share)
     roots = components(edges).withColumnRenamed("node", "member")
-    placed = known.join(roots, known["node"] == roots["member"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
+    return rows, known.join(roots, known["node"] == roots["member"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
+def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 5, share: float = 0.8) -> DataFrame:
+    """df and a struct column: node, component (the smallest key of the group) and root (the group's smallest node)."""
+    rows, placed = grouped(df.select(*[c for c in df.columns if c != into]), text, key, width, share)
+    least = placed.groupBy("root").agg(F.min("first.key").alias("component"))
     groups = placed.join(least, "root").select("node", F.struct("node", "component", "root").alias(into))
     return rows.select("row", "set.node").join(groups, "node").select("row.*", into)
+
+
+def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, share: float = 0.8) -> DataFrame:
+    """One row of each group: that of the smallest key (null if there is no other), and of its repetitions one.
+
+    The numbers of all other rows go to files, so that texts aren't shuffled.
+    """
+    rows, placed = grouped(df, text, key, width, share)
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.id")
+    listed = Listed(rows.select("id").join(kept, "id", "left_anti"))
+    return rows.where(~listed.has("id")).select("row.*")
+
+
+class Listed:
+    """The ids of a data frame, in sorted files of the shared folder that workers map."""
+
+    def __init__(self, ids: DataFrame):
+        self.folder = folder = new_folder(ids.sparkSession, "ids")
+        ids = settle(ids)
+        self.files = files = max(64, ids.count() // REMEMBERED + 1)
+
+        def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+            put_file(f"{folder}/{key[0]}", np.sort(frame["id"].to_numpy()).astype("<i8").tobytes())
+            return pd.DataFrame({"file": [key[0]]})
+
+        file = F.pmod(F.xxhash64("id"), F.lit(files)).cast("int").alias("file")
+        self.found = {r["file"] for r in ids.groupBy(file).applyInPandas(write, "file int").collect()}
+
+    def has(self, column: str) -> Column:
+        folder, found = self.folder, self.found
+
+        @F.pandas_udf("boolean")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            maps: dict[int, np.ndarray] = {}
+            for ids, file in batches:
+                x, at, out = ids.to_numpy(), file.to_numpy(), np.zeros(len(ids), bool)
+                for k in found.intersection(np.unique(at).tolist()):
+                    if k not in maps:
+                        if len(maps) >= MAPPED:
+                            maps.clear()
+                        maps[k] = map_file(f"{folder}/{k}").view("<i8")
+                    own = np.flatnonzero(at == k)
+                    out[own] = maps[k][np.minimum(np.searchsorted(maps[k], x[own]), len(maps[k]) - 1)] == x[own]
+                yield pd.Series(out)
+
+        return run.asNondeterministic()(F.col(column), F.pmod(F.xxhash64(column), F.lit(self.files)).cast("int"))

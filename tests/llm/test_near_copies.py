@@ -50,3 +50,44 @@ def test_copies_of_a_hub_that_are_unlike_each_other(spark):
     assert sum(jaccard(sets[0], s) < 0.8 for s in sets[1:-1]) > 250  # copies are linked by the hub alone
     want = brute(texts)
     assert want.count(0) > 250 and found(spark, texts) == want
+
+
+def test_texts_of_one_fingerprint_are_told_apart(spark):
+    r = random.Random(5)
+    line = "one common line of eleven words that all of them have"
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(100)) + f"\n{line}" * 60 for _ in range(40)]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) < 40
+    texts += [t.replace(" one", " uno", 1).replace("w", "v", 1) for t in texts[5:8]] + texts[3:5]
+    want = brute(texts)
+    assert want[:40] == list(range(40)) and want[40:] == [5, 6, 7, 3, 4]
+    assert found(spark, texts) == want
+
+
+def test_sizes_at_the_edge_and_common_shingles(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    texts = [" ".join(words), " ".join(words[:84]), " ".join(words[:83]), None, "", " \n", "a b", "A  b", "a b c"]
+    assert brute(texts[:2]) == [0, 0] and jaccard(shingles(texts[0]), shingles(texts[2])) < 0.8
+    assert found(spark, texts) == [0, 0, 0, 3, 3, 3, 6, 6, 8]
+    r = random.Random(7)
+    lines = ["\n".join(" ".join(r.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(2)) for _ in range(30)]
+    mix = ["\n".join(r.choice(lines) for _ in range(r.randint(3, 9))) for _ in range(400)]
+    assert found(spark, mix) == brute(mix)
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7])
+def test_keys_go_on_over_batches(cut):
+    import pandas as pd
+
+    rows = pd.DataFrame({"h": [1, 1, 2, 3, 3, 3, 3, 4], "node": range(8), "size": 10})
+    parts = list(near_copies.whole_keys(iter([rows[i : i + cut] for i in range(0, 8, cut)])))
+    assert pd.concat(parts)["node"].tolist() == list(range(8))
+    assert sum(p["h"].nunique() for p in parts) == 4
+
+
+def test_first_rows_of_groups(spark):
+    rows = [(5, "a b c"), (None, "a b c"), (4, "a  B c"), (4, "a b c"), (None, "d"), (None, "d"), (7, None), (6, ""), (9, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = near_copies.first_of_groups(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0 for r in out.collect())) == [0, 4, 6, 9]
+    assert near_copies.first_of_groups(df.limit(0)).count() == 0
