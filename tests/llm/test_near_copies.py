@@ -63,6 +63,18 @@ def test_texts_of_one_fingerprint_are_told_apart(spark):
     assert found(spark, texts) == want
 
 
+def test_pairs_near_the_threshold_are_all_found(spark):
+    r = random.Random(6)
+    texts = []
+    for _ in range(150):
+        words = [f"w{r.randrange(10**9)}" for _ in range(200)]
+        texts += [" ".join(words), edited(r, words, 4)]
+    same = [a == b for a, b in zip(brute(texts)[::2], brute(texts)[1::2])]
+    far = [bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") > 12 for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(s and f for s, f in zip(same, far)) > 5  # links that 12 bits would miss
+    assert found(spark, texts) == brute(texts)
+
+
 def test_sizes_at_the_edge_and_common_shingles(spark):
     words = [f"w{i}" for i in range(104)]  # 100 shingles
     texts = [" ".join(words), " ".join(words[:84]), " ".join(words[:83]), None, "", " \n", "a b", "A  b", "a b c"]
