@@ -243,10 +243,13 @@ def copied_bound(spark, sf_dir):
 
 @query()
 def copied_share(spark, sf_dir):
-    """The exact share, for documents of which the bound leaves open whether half is copied."""
+    """The exact share of every document; those without a shared run and those with equal words are settled natively."""
     rows = pairs(spark, sf_dir)
-    near = overlap.copied_bound(F.col("original"), F.col("version"), 4)
-    return overlap.with_copied_share(rows, "original", "version", 4, only=(near >= 0.5) & (near < 1)).select("doc_id", "share")
+    a, b = F.col("original"), F.col("version")
+    none = overlap.copied_bound(a, b, 4) == 0
+    rows = rows.withColumn("known", F.when(none & a.isNotNull() & b.isNotNull(), F.lit(0.0)).when(T.tokens(a) == T.tokens(b), F.lit(1.0)))
+    out = overlap.with_copied_share(rows, "original", "version", 4, only=F.col("known").isNull())
+    return out.select("doc_id", F.coalesce("known", "share").alias("share"))
 
 
 @query()
