@@ -213,6 +213,13 @@ def flagged_shapes(spark, sf_dir):
     return concepts.flagged_shapes(table(spark, sf_dir).select("doc_id", F.expr(FRAMED).alias("text")), ["doc_id"])
 
 
+@query()
+def document_shapes(spark, sf_dir):
+    """Shapes of the documents' whole texts, with a tail that has one of every kind."""
+    tail = F.concat(F.lit("\n\n"), F.expr(FRAMED), F.lit("\n\nCompromiso: que x"), F.col("doc_id").cast("string"))
+    return concepts.flagged_shapes(pairs(spark, sf_dir).select("doc_id", F.concat("original", tail).alias("text")), ["doc_id"])
+
+
 def grams_sql(text: str, source: str, key: str, n: int) -> str:
     return f"SELECT {key}, i, array_to_string(w[i : i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT {key}, regexp_extract_all(lower({text}), '{W}+') AS w FROM {source}))"
 
