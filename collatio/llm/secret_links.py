@@ -4,7 +4,7 @@ Strong findings stand alone: assign (a key word, a separator and a value of ASSI
 identifiers) and hex (long runs of hexadecimal digits). Weak candidates are parts that prove nothing alone:
 
 * ident: an account, client or user identifier that is assigned a value, or a shorter AKIA identifier;
-* blob: a token of 32 to 128 characters of the base64 alphabet with a capital, a small letter and a digit;
+* blob: a token of 32 or more characters of the base64 alphabet with a capital, a small letter and a digit;
 * endpoint: a URL, or a host of three labels or more that is assigned to a host key.
 
 A part's scope reaches SCOPE code points to both sides. An interval join on the scopes links parts of a text, and a weak
@@ -16,6 +16,9 @@ parts that fit into three cells, however long a text or however often it repeats
 their copies. Semi-joins keep a part at most once and never make pairs.
 
 Positions are code points of the text, ends exclusive. Per kind, matches are the leftmost ones that do not overlap.
+Very long texts and texts of very many matches take the same way: patterns have no group that Java would match by
+recursion (the one repeated group is possessive), running sums over a text's matches take log2(matches) passes, and a text is
+marked out by pieces of CHUNK code points. Equal spans of two kinds are both reported, in the order of kinds.
 Nulls are empty texts without spans; repeated rows and null keys keep their rows; empty tables give empty results. Other
 columns stay; the result is one struct column that the caller names.
 """
@@ -25,18 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collatio.functions.text import let
+
 from .shared import settle
 
-#: Code points that a part's scope reaches to both sides.
-SCOPE = 400
-#: Kinds in the order of reports: pattern, the group that is tested, what must match in it.
+#: Code points that a part's scope reaches to both sides; code points of a piece that is cut from a text at once.
+SCOPE, CHUNK = 400, 4096
+#: Kinds in the order of reports: pattern, the group that is tested, its least length, what must match in it.
 KINDS = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, ["^.{6,}$"]),
-    "access": (r"AKIA[A-Z0-9]+", 0, ["^.{20,}$"]),
-    "hex": (r"[0-9a-f]{24,}", 0, []),
-    "ident": (r"""(?i:account|client|user|access)[_-]?(?i:id|name|key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}|AKIA[A-Z0-9]+""", 0, ["^(AKIA[A-Z0-9]{4,15}|[AaCcUu][^K].*)$"]),
-    "blob": (r"[A-Za-z0-9+/]{32,}", 0, ["^.{32,128}$", "[A-Z]", "[a-z]", "[0-9]"]),
-    "endpoint": (r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){2,}""", 0, []),
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, []),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20, []),
+    "hex": (r"[0-9a-f]{24,}", 0, 24, []),
+    "ident": (r"""(?i:account|client|user|access)[_-]?(?i:id|name|key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}|AKIA[A-Z0-9]+""", 0, 8, ["^(?:AKIA[A-Z0-9]{4,15}$|[AaCcUu][^K])"]),
+    "blob": (r"[A-Za-z0-9+/]{32,}", 0, 32, ["[A-Z]", "[a-z]", "[0-9]"]),
+    "endpoint": (r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){2,}+""", 0, 1, []),
 }
 BASE, WEAK = ("assign", "access", "hex"), ("ident", "blob", "endpoint")
 #: What makes up a credential: identifiers and secrets, strong or weak.
@@ -44,26 +49,37 @@ IDS, SECRETS = ("access", "ident"), ("assign", "hex", "blob")
 SPANS = "array<struct<start: int, stop: int>>"
 
 
+def running(values: Column, op) -> Column:
+    """At each place of an array, op over all values up to it. Every pass doubles the reach, so there are log2(n) of them."""
+
+    def scan(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(v))).cast("int"), F.lit(0))), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(steps, v, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(F.get(acc, i - d), x)).otherwise(x)))
+
+    return let(values, scan)
+
+
 def spans(text: Column, kind: str) -> Column:
     """The places of a kind's matches. What lies between matches comes from a split by the same pattern."""
-    pattern, group, tests = KINDS[kind]
-    none = F.array().cast(SPANS)
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    parts = [found, F.slice(between, F.lit(1), F.size(found))] + ([F.regexp_extract_all(text, F.lit(pattern), F.lit(group))] if group else [])
-    names = ["0", "1", "2"][: len(parts)]
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["1"])
-        stop = start + F.length(x["0"])
-        ok = F.lit(True)
-        for t in tests:
-            ok = ok & x["2" if group else "0"].rlike(t)
-        one = F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
-        return F.struct(stop.cast("int").alias("at"), F.when(ok, F.array_append(state["out"], one)).otherwise(state["out"]).alias("out"))
-
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, names)])
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    pattern, group, least, tests = KINDS[kind]
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("between")]
+    if group:
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("tested"))
+
+    def placed(m: Column) -> Column:
+        stops = running(F.transform(m["whole"], lambda x, i: F.length(x) + F.length(F.get(m["between"], i))), lambda a, b: a + b)
+
+        def one(stop: Column, i: Column) -> Column:
+            tested = F.get(m["tested" if group else "whole"], i)
+            ok = F.length(tested) >= least
+            for t in tests:
+                ok = ok & tested.rlike(t)
+            return F.struct((stop - F.length(F.get(m["whole"], i))).cast("int").alias("start"), stop.cast("int").alias("stop"), ok.alias("ok"))
+
+        kept = F.filter(F.transform(stops, one), lambda x: x["ok"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+
+    return F.when(text.rlike(pattern), let(F.struct(*parts), placed)).otherwise(F.array().cast(SPANS))
 
 
 def near(weak: DataFrame, parts: DataFrame, kinds: tuple[str, ...], scope: int) -> DataFrame:
@@ -118,14 +134,22 @@ def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", scope
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
     """The text with `mark` in place of every stretch that spans of a with_secrets column cover."""
     places = F.array_sort(F.concat(*[secrets[k] for k in KINDS]))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def cut(chunks: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        n = F.floor((stop - 1) / CHUNK).cast("int") - first + 1
+        return F.when(stop > start, F.substring(F.array_join(F.slice(chunks, first + 1, F.greatest(n, F.lit(0))), ""), start - first * CHUNK + 1, stop - start)).otherwise("")
 
-    def step(state: Column, x: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, x["start"] - state["at"])
-        new = x["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], x["stop"]).alias("at"), F.when(new, F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"]).alias("out"))
+    def marked(m: Column) -> Column:
+        reach = F.element_at(m["reach"], -1)
+        before = lambda i: F.when(i > 0, F.get(m["reach"], i - 1)).otherwise(0)
+        opened = F.filter(F.transform(m["places"], lambda x, i: F.struct(before(i).alias("at"), x["start"].alias("start"))), lambda x: x["start"] >= x["at"])
+        body = F.transform(opened, lambda x: F.concat(cut(m["chunks"], x["at"], x["start"]), F.lit(mark)))
+        return F.concat(F.array_join(body, ""), cut(m["chunks"], reach, m["size"]))
 
-    done = F.aggregate(places, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(places) > 0, done).otherwise(text)
+    whole = let(places, lambda p: F.struct(p.alias("places"), running(F.transform(p, lambda x: x["stop"]), F.greatest).alias("reach"), pieces.alias("chunks"), F.length(text).alias("size")))
+    return F.when(F.size(places) > 0, let(whole, marked)).otherwise(text)
 
 
 def op6_secret_links(spark, sf_dir: str) -> DataFrame:
@@ -137,11 +161,18 @@ def op6_secret_links(spark, sf_dir: str) -> DataFrame:
 
 
 def op6_sql() -> str:
-    """The same with the same patterns, by a plain join of all parts of a text."""
+    """The same by a plain join of all parts of a text, with patterns of its own."""
+    kinds = {
+        "assign": (r"""(?i:password|passwd|secret|token|apikey|api_key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 1, "length(v) >= 6"),
+        "access": ("AKIA[A-Z0-9]+", 0, "length(v) >= 20"),
+        "hex": ("[0-9a-f]+", 0, "length(v) >= 24"),
+        "ident": (r"""(?:(?i:account|client|user|access)(?:_|-)?(?i:id|name|key_id)["']?[ ]*[:=][ ]*["']?[A-Za-z0-9._@-]{3,}|AKIA[A-Z0-9]+)""", 0, "(v[1:4] <> 'AKIA' OR length(v) BETWEEN 8 AND 19)"),
+        "blob": ("[A-Za-z0-9+/]+", 0, "length(v) >= 32 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')"),
+        "endpoint": (r"""(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?i:host|endpoint|server)["']?[ ]*[:=][ ]*["']?[A-Za-z0-9-]+[.][A-Za-z0-9-]+[.][A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*)""", 0, "true"),
+    }
     quote = lambda x: x.replace("'", "''")
     parts = []
-    for i, (k, (p, g, tests)) in enumerate(KINDS.items()):
-        ok = " AND ".join(f"regexp_matches(v, '{quote(t)}', 's')" for t in tests) or "true"
+    for i, (k, (p, g, ok)) in enumerate(kinds.items()):
         parts.append(f"""SELECT r, {i} AS k, '{k}' AS n, a, b FROM (SELECT r, unnest(f) AS f, unnest(v) AS v, unnest(e) AS b, unnest(e) - length(unnest(f)) AS a FROM (
             SELECT r, f, v, list_transform(generate_series(1, len(f)), lambda i: CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + list_sum(list_transform(f[1:i], lambda x: length(x))) AS INTEGER)) AS e FROM (
             SELECT r, regexp_extract_all(t, '{quote(p)}', 0) AS f, regexp_extract_all(t, '{quote(p)}', {g}) AS v, string_split_regex(t, '{quote(p)}') AS s FROM d WHERE regexp_matches(t, '{quote(p)}')))) WHERE {ok}""")
@@ -151,6 +182,6 @@ def op6_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({" UNION ALL ".join(parts)}),
 q AS (SELECT r, k, n, a, b FROM p w WHERE n IN ('assign', 'access', 'hex') OR (n = 'ident' AND {near(SECRETS)}) OR (n = 'blob' AND {near(IDS)}) OR (n = 'endpoint' AND {near(IDS)} AND {near(SECRETS)})),
-g AS (SELECT r, {", ".join(count(k) for k in KINDS)}, string_agg(n || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(n || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM q GROUP BY r)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+g AS (SELECT r, {", ".join(count(k) for k in kinds)}, string_agg(n || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(n || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM q GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
 """

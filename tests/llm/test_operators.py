@@ -367,6 +367,57 @@ def test_secrets_are_marked_out(spark, nothing):
     assert secret_links.with_secrets(nothing).count() == 0
 
 
+HUGE = {
+    "host labels": "server=a" + ".a" * 500_000,
+    "url": "https://" + "a." * 500_000,
+    "key words": "password" * 125_000,
+    "blanks": "token=" + " " * 1_000_000 + "abcdef",
+    "one value": "secret=" + "a1B" * 330_000,
+    "hexadecimal": "0f" * 500_000,
+    "identifiers": "AKIA" * 250_000,
+    "account": "client_id=" + "x" * 1_000_000 + " token=abcdefgh",
+    "many matches": "é token=abcdef " * 100_000,
+    "long blob": "Ab1/" * 200 + " " + AKIA,
+}
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame(list(HUGE.items()), "doc_id string, text string").repartition(4)
+    found = secret_links.with_secrets(df)
+    got = {r["doc_id"]: r for r in found.select("doc_id", "secrets", secret_links.redacted(F.col("text"), F.col("secrets")).alias("x")).collect()}
+    for k in HUGE:
+        if k != "many matches":
+            assert got[k]["secrets"]["base"] == brute_base(HUGE[k]), k
+    many = got["many matches"]["secrets"]["assign"]
+    assert [tuple(x) for x in many] == [(2 + 15 * i, 14 + 15 * i) for i in range(100_000)]
+    assert got["many matches"]["x"] == "é [SECRET] " * 100_000
+    assert [tuple(x) for x in got["account"]["secrets"]["ident"]] == [(0, 1_000_010)] and got["account"]["x"] == "[SECRET] [SECRET]"
+    assert [tuple(x) for x in got["long blob"]["secrets"]["blob"]] == [(0, 800)] and got["long blob"]["x"] == "[SECRET] [SECRET]"
+
+
+def test_endpoints_of_many_labels(spark):
+    df = spark.createDataFrame([(1, f"server=a{'.a' * 500_000} {AKIA} token=abcdefgh")], "doc_id long, text string")
+    (r,) = secret_links.with_secrets(df).collect()
+    assert [tuple(x) for x in r["secrets"]["endpoint"]] == [(0, 1_000_008)]
+
+
+def test_secrets_of_odd_rows(spark, odd):
+    tail = F.lit(" token=abcdefgh")
+    rows = odd.withColumn("text", F.concat("text", tail)).withColumns({k: F.lit(k) for k in ("row", "scan", "text_key", "whole", "linked", "secrets", "base")})
+    got = secret_links.with_secrets(rows)
+    assert got.columns == [c for c in rows.columns if c != "secrets"] + ["secrets"]
+    for r in got.collect():
+        assert r["secrets"]["base"] == brute_base(r["text"]) and (r["row"], r["scan"], r["linked"]) == ("row", "scan", "linked")
+    assert got.count() == rows.count() and got.where("doc_id is null").count() == 1
+
+
+def test_running_sums_and_maxima(spark):
+    for n in (0, 1, 2, 3, 7, 64, 1000):
+        v = [(i * 7919) % 101 for i in range(n)]
+        (r,) = spark.createDataFrame([(v,)], "v array<int>").select(secret_links.running(F.col("v"), lambda a, b: a + b).alias("s"), secret_links.running(F.col("v"), F.greatest).alias("m")).collect()
+        assert r["s"] == list(np.cumsum(v, dtype=int)) and r["m"] == [max(v[: i + 1]) for i in range(n)]
+
+
 # 7 language
 
 
