@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import lexicon
 from .text import BLANK, LETTER, among, ends_with, found, n_parts, strip
 
-NUMBERED = rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*(?:\.-?|\))[{BLANK}]+(.+)$"
+NUMBERED = rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*+(?:\.-?|\))[{BLANK}]+(.+)$"
 INNER_STOP = f"[.!?…][{BLANK}]"
 DOCUMENT_HEADING = rf"(?i)^(\p{{Nd}}+[.)][{BLANK}]|acci[oó]n[{BLANK}]+\p{{Nd}}+[.:]|anexo(?![\p{{L}}\p{{N}}_]))"
 

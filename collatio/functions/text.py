@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Characters of a word (letters, numbers, underscore), of letters alone, and blanks, as inner parts of a class.
 WORD, LETTER = r"\p{L}\p{N}_", r"\p{L}\p{Nl}\p{No}"
 BLANK = r"\x09-\x0d\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Blanks at the end; the look behind makes a long run of blanks inside a text cost its length, not its square.
+TRAILING = f"(?<![{BLANK}])[{BLANK}]++$"
 #: Not inside a word, before and behind a place.
 OPEN, SHUT = f"(?<![{WORD}])", f"(?![{WORD}])"
 
@@ -27,7 +29,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Without blanks at both ends."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.regexp_replace(text, f"^[{BLANK}]+|{TRAILING}", "")
 
 
 def squeezed(text: Column) -> Column:
@@ -114,7 +116,7 @@ def lines(text: Column) -> Column:
 
 #: A capital or an opening mark, as sentences begin with.
 BEGIN = "A-ZÁÉÍÓÚÑ¿¡"
-LIST_NUMBER = r"^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+[%s]+)?\p{Nd}+(?:\.\p{Nd}+)*\.$" % BLANK
+LIST_NUMBER = r"^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+[%s]+)?\p{Nd}+(?:\.\p{Nd}+)*+\.$" % BLANK
 
 
 def is_list_number(text: Column) -> Column:
@@ -136,7 +138,7 @@ def sentence_ends(text: Column) -> Column:
 
 def ends_with(text: Column, marks: str) -> Column:
     """Whether the text, without blanks at its end, ends with one of some marks."""
-    return F.regexp_replace(text, f"[{BLANK}]+$", "").rlike(f"[{''.join(chr(92) + m for m in marks)}]$")
+    return F.regexp_replace(text, TRAILING, "").rlike(f"[{''.join(chr(92) + m for m in marks)}]$")
 
 
 QUOTE = '["“«]([^"”»]{12,})["”»]'

@@ -25,29 +25,64 @@ def p(*runs: str, numbered: bool = False) -> str:
     return "<w:p>" + head + "".join(f"<w:r><w:rPr><w:b/></w:rPr><w:t>{r}</w:t></w:r>" for r in runs) + "</w:p>"
 
 
-DOC = document(p("Portada"), p("1. Marco"), p("   El primer ", "párrafo tiene &amp; varias palabras."), p(""), p("uno de la lista larga", numbered=True), p("dos de la lista larga", numbered=True), p("Bibliografía"), p("Autor (2020)."))
+PARAS = [p("Portada"), p("1. Marco"), p("   El primer ", "párrafo tiene &amp; varias palabras."), p(""), p("uno de la lista larga", numbered=True), p("dos de la lista larga", numbered=True), p("Bibliografía"), p("Autor (2020).")]
+DOC = document(*PARAS)
+
+
+def units(spark, content, **options):
+    return [tuple(map(list, u)) for u in docx.with_units(spark.createDataFrame([(bytearray(content),)], "content binary"), **options).first()["units"]]
 
 
 def test_document_round_trip(spark):
-    df = spark.createDataFrame([("a.docx", bytearray(DOC))], "name string, content binary")
-    units = docx.with_units(df, start="1. marco", stop="Bibliografia", merge_lists=True)
-    text = units.select(docx.unit_text(F.col("units")).alias("t")).first()["t"]
-    assert text == "1. Marco\n\nEl primer párrafo tiene & varias palabras.\n\nuno de la lista larga. dos de la lista larga.\n"
-    edited = text.replace("varias palabras", "otras <pocas> palabras")
-    back = docx.with_rebuilt(units.withColumn("text", F.lit(edited))).first()["rebuilt"]
-    xml = docx.body_xml(bytes(back))
-    assert "   El primer párrafo tiene &amp; otras &lt;pocas&gt; palabras." in xml and "<w:t>Portada</w:t>" in xml
-    again = docx.units_of(bytes(back), "1. Marco", "Bibliografía")
-    assert again[1]["texts"] == ["El primer párrafo tiene & otras <pocas> palabras."]
-    with pytest.raises(ValueError):
-        docx.rebuilt(DOC, again, ["x"] * len(again))
-    with pytest.raises(ValueError):
-        docx.units_of(DOC, start="no such")
-
-
-def test_short_prose_takes_the_next_along():
-    content = document(p("una frase corta de prosa."), p("otra frase corta de prosa."), p("tercera frase corta de prosa."))
-    assert [u["paragraphs"] for u in docx.units_of(content, merge_short=10)] == [[0, 1], [2]]
+    df = spark.createDataFrame([("a.docx", bytearray(DOC)), ("none", None)], "name string, content binary")
+    found = docx.with_units(df, start="1. marco", stop="Bibliografia", merge_lists=True)
+    text = {r["name"]: r["t"] for r in found.select("name", docx.unit_text(F.col("units")).alias("t")).collect()}
+    assert text == {"a.docx": "1. Marco\n\nEl primer párrafo tiene & varias palabras.\n\nuno de la lista larga. dos de la lista larga.\n", "none": None}
+    assert found.where("content IS NOT NULL").select(docx.prose_count(F.col("units")).alias("n")).first()["n"] == 2
+    edited = text["a.docx"].replace("varias palabras", "otras <pocas> palabras")
+    rebuilt = {r["name"]: r["rebuilt"] for r in docx.with_rebuilt(found.withColumn("text", F.lit(edited))).collect()}
+    assert rebuilt["none"] is None
+    xml = docx.body_xml(bytes(rebuilt["a.docx"]))
+    prose = '<w:p><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">   El primer párrafo tiene &amp; otras &lt;pocas&gt; palabras.</w:t></w:r></w:p>'
+    listed = PARAS[4].replace("<w:t>uno de la lista larga", '<w:t xml:space="preserve">uno de la lista larga. dos de la lista larga.')
+    assert xml == docx.body_xml(DOC).replace(PARAS[2], prose).replace(PARAS[4] + PARAS[5], listed)
+    again = units(spark, rebuilt["a.docx"], start="1. Marco", stop="Bibliografía")
+    assert again[1][1] == ["El primer párrafo tiene & otras <pocas> palabras."]
+    with pytest.raises(ValueError, match="is not the one"):
+        docx.rebuilt(DOC, [{"paragraphs": [2], "texts": ["x"]}], ["y"], [True])
+    with pytest.raises(ValueError, match="2 blocks"):
+        docx.rebuilt(DOC, [{"paragraphs": [2], "texts": ["x"]}], ["y", "z"], [True])
+    with pytest.raises(Exception, match="no paragraph begins"):
+        units(spark, DOC, start="no such")
+
+
+def test_equal_paragraphs_are_told_apart(spark):
+    """Of two paragraphs with the same XML the second one is edited."""
+    same = p("una frase que sale dos veces.")
+    content = document(p("Título"), same, same)
+    df = spark.createDataFrame([(bytearray(content),)], "content binary")
+    back = docx.with_rebuilt(docx.with_units(df, start="Título").withColumn("text", F.lit("Título\n\nuna frase que sale dos veces.\n\notra cosa muy distinta de todo."))).first()["rebuilt"]
+    assert [u[1] for u in units(spark, back)] == [["Título"], ["una frase que sale dos veces."], ["otra cosa muy distinta de todo."]]
+
+
+def test_scan_of_tables_tabs_and_properties():
+    table = "<w:tbl><w:tr><w:tc>" + p("en la tabla", numbered=True) + "</w:tc></w:tr></w:tbl>"
+    tabbed = '<w:p w:rsidR="1"><w:pPr><w:rPr><w:i/></w:rPr></w:pPr><w:r><w:tab/></w:r><w:r><w:t xml:space="preserve"> a </w:t><w:tab/><w:t>b&lt;c</w:t></w:r></w:p>'
+    found = docx.scanned(f"<w:body><w:pgSz/>{table}{tabbed}{p('fuera', numbered=True)}</w:body>")
+    assert [(x.text, x.listed) for x in found] == [("en la tabla", False), ("a b<c", False), ("fuera", True)]
+    assert (found[1].indent, len(found[1].runs), [r.shown for r in found[1].runs]) == (1, 2, [True, True])
+    assert docx.scanned("") == []
+
+
+def test_short_prose_takes_the_next_along(spark):
+    content = document(p("una frase corta de prosa."), p("otra frase corta de prosa."), p("tercera frase corta de prosa."), p("Nota:"), p("una frase corta de prosa."), p("Fin"))
+    assert [u[0] for u in units(spark, content, merge_short=10)] == [[0, 1], [2], [3], [4], [5]]
+    assert [u[0] for u in units(spark, content)] == [[0], [1], [2], [3], [4], [5]]
+
+
+def test_plain_documents_read_back(spark):
+    content = docx.plain_document(["uno & dos", "tres de la lista"], [False, True])
+    assert [(x.text, x.listed) for x in docx.scanned(docx.body_xml(content))] == [("uno & dos", False), ("tres de la lista", True)]
 
 
 def test_texts_and_progress(spark, tmp_path):

@@ -1,12 +1,13 @@
 """Text kernel, lists, halves, concepts, shapes, leads: against plain statements of the rules."""
 
+import itertools
 import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from collatio.functions import predicates, text
+from collatio.functions import lexicon, predicates, text
 from collatio.operators import candidates, concepts, halves, segment
 
 
@@ -86,10 +87,63 @@ def test_concept_files(spark):
     assert [(r["name"], r["variants"]) for r in rows] == [("Kant", ["Kant", "Immanuel Kant"])]
 
 
-def test_extracted_concepts():
-    got = dict(concepts.extract_concepts("Ayer vino Immanuel Kant (razón pura) con 60% y 12. El Sol de Mayo."))
+def plain_concepts(body):
+    """The rules of extraction, stated on one string at a time."""
+    common = lambda w: text.fold_text(w) in lexicon.NOT_NAMES
+    capital = r"[A-ZÁÉÍÓÚÑÜ]\w+"
+    offers = []
+    for m in re.finditer(rf"{capital}(?:(?:\s+(?:de|del|la|las|los|y|of|the)\s+|\s+){capital})*", body):
+        words, ahead = m.group().split(), body[: m.start()].rstrip()
+        if not ahead or ahead[-1] in '.!?¿¡:\n«"—':
+            words = list(itertools.dropwhile(common, words[1:]))
+        if words and not common(words[0]):
+            offers.append((words, words[-1:] if len(words) > 1 else []))
+    for found in (re.findall(r"\d+(?:[.,]\d+)*\s*%?", body), [a or b for a, b in re.findall(r"\(([^()]{2,40})\)|«([^«»]{2,40})»", body)]):
+        for x in found:
+            words = x.strip(" .,;:«»\"'()").split()
+            offers.append((list(itertools.dropwhile(common, words)) or words[-1:], []))
+    out = {}
+    for words, others in offers:
+        if len(name := " ".join(words)) >= 3:
+            out.setdefault(text.fold_text(name), (name, [name, *others]))
+    return list(out.values())
+
+
+CONCEPT_TEXTS = [
+    "Ayer vino Immanuel Kant (razón pura) con 60% y 12. El Sol de Mayo.",
+    "El de Kant. KANT y Kant, 12,5 % de «la Razón» («»), (de la), (el uno) y 1.000.",
+    "La Del Río. Como Vio «El Del» 3\n%. San Juan de la Cruz y Teresa.\n\nÁvila: Más Ávila",
+    "A Bc De",
+    "",
+]
+
+
+def test_extracted_concepts(spark, sf_dir):
+    got = dict(map(tuple, one(spark, concepts.concepts_of, CONCEPT_TEXTS[0])))
     assert got["Immanuel Kant"] == ["Immanuel Kant", "Kant"] and "60%" in got and "razón pura" in got and "12" not in got
-    assert concepts.extract_concepts(None) == [] and concepts.extract_concepts("") == []
+    documents = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").collect()]
+    df = spark.createDataFrame(list(enumerate(CONCEPT_TEXTS + documents)), "k long, text string")
+    for r in df.select("text", concepts.concepts_of(F.col("text")).alias("c")).collect():
+        assert [(x["name"], list(x["variants"])) for x in r["c"]] == plain_concepts(r["text"])
+    assert concepts.extracted_concepts(spark.createDataFrame([(1, None), (2, "")], "k int, text string"), ["k"]).count() == 0
+
+
+WORST = {
+    "numbering": "1" + ".1" * 500_000 + " a",
+    "list number": "Acción 1" + ".1" * 500_000 + ". Uno. Dos.",
+    "capitals": "x " + "Ab " * 300_000,
+    "figures": "1" + ",1" * 500_000,
+    "blanks": "a" + " " * 1_000_000 + "b",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WORST))
+def test_a_megabyte_of_a_patterns_worst_case(spark, name):
+    df = spark.createDataFrame([(WORST[name],)], "t string")
+    t = F.col("t")
+    row = df.select(predicates.is_title(t).alias("title"), F.size(text.sentences(t)).alias("n"), F.size(concepts.concepts_of(t)).alias("c"), F.length(text.strip(t)).alias("length"), text.ends_with(t, ".").alias("end")).first()
+    assert row["length"] == len(WORST[name].strip()) and row["n"] == (2 if name == "list number" else 1)
+    assert row["c"] == {"numbering": 1, "list number": 1, "capitals": 1, "figures": 1, "blanks": 0}[name]
 
 
 def test_negation_pairs(spark):
