@@ -1,89 +1,73 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model, counted in Spark over all training texts.
+"""Language-model scores: an interpolated modified Kneser-Ney n-gram model, counted in Spark over all training texts.
 
-Tokens are the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end token for every text.
+Tokens are the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end token for every text. Before its first token a
+text has order - 1 begin marks, which are never predicted.
 
-Counting:
+Words are told apart by 128 bits of BLAKE2b, for which no two words with one digest are known. A word's number is
+its rank among the sorted digests of its shard. Contexts of two words or more are told apart by 64 bits of a hash of their numbers
+(among 10^12 contexts some 30,000 would share one; base scores and counts of words don't depend on it).
 
-1. Words are hashed (64 bits, vectorised over all bytes of many texts) and counted; the distinct hashes, sorted, are the vocabulary, cut by leading bits
-   into files of about SHARD entries. A word's number is its place in the sorted hashes.
-2. Texts become numbers, and bigrams become 64-bit keys (context, word). Every task counts its own bigrams, packs them by
-   shard (differences of sorted keys, compressed) and sends few large rows instead of a row for each bigram. A shard has
-   the contexts whose number hashes to it, so that a context's totals are complete there. A context with more than
-   a HOT-th of a shard's tokens is spread over all shards by its words, and its totals are summed up apart; their
-   number is bounded by the number of shards.
-3. Each shard writes its sorted keys and counts and, for each context, its total and how many words follow it once,
-   twice and more often. It also sends on how many contexts precede each word; summed up, these are the continuation
-   counts of the lower order.
-4. Discounts of both orders come from the numbers of n-grams seen once to four times.
+1. `encoded` turns texts into portions, files of local word codes in the shared folder, each word spelled once a portion.
+   It runs once, for training and scoring alike. A long text goes on in pieces that carry their last words along.
+2. Words are counted by shard of digest; each shard is written as sorted arrays of digests and counts. A portion looks its words
+   up by sending them to their shards, and is numbered.
+3. N-grams of the highest order are counted per portion, sent packed to shards by context, and written as sorted arrays of
+   context hashes, words and counts. Each shard passes on, for the n-grams one word shorter, how many words precede them
+   (for those that begin a text, how often they occur), and so on down to words: these are the adjusted counts.
+4. Discounts of every order come from the numbers of n-grams with adjusted counts of one to four.
 
-Scoring maps the files into memory where the shared folder is mounted (or copies, maps and unlinks them), looks up
-the distinct bigrams of a batch by binary search, and adds up log10 probabilities:
-p(w|v) = (c(vw) - D) / c(v.) + g(v) p(w), p(w) = (N(.w) - D) / N(..) + g / (V + 1).
+Scoring sends a portion's distinct n-grams to the shards that can have them; there a worker memory-maps one shard's arrays,
+looks them up by binary search, and sends counts back, from which the portion adds up log10 probabilities:
+p(w|h) = (c(hw) - D) / c(h.) + g(h) p(w|h'), down to p(w) = (N(.w) - D) / N(..) + g / (V + 1).
+
+Hot keys: a context whose words all occur HOT times or more is spread over several shards by its words, the more the oftener
+they occur, and its totals are added up apart. Portions count before anything is shuffled, and more than FAN portions
+are merged in two rounds. The driver and broadcasts hold one row a level, whatever the size of the corpus.
 
-The order is two: with three, the distinct trigrams of the check's texts (19 of 27 million tokens) would exceed its disk.
 Nulls are empty texts, whose one token is the end. Without training rows every probability is 1 / (V + 1) = 1. Repeated
-rows repeat (and count as often in training); empty tables give empty results; other columns stay.
+rows and rows with equal keys repeat (and count as often in training), as no key is used; equal texts have equal scores.
+Empty tables give empty results. Other columns stay, whatever their names; a column of the result's name is replaced. Very long texts go by
+pieces of SEGMENT bytes, cut at blanks.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import OrderedDict
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import blake2b
+from itertools import chain
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bound_batches, map_file, mixed, new_folder, put_file, settle
 
-#: Vocabulary entries or bigram tokens of a file; a context is hot from this part of a shard's tokens; tokens a task holds.
-SHARD, HOT, HELD = 3_000_000, 8, 4_000_000
-#: Files that a worker keeps mapped.
-MAPPED = 600
-#: Bytes that are hashed together, and characters of texts that are counted or scored together.
-SEGMENT, PORTION = 1 << 20, 2_000_000
-#: The hash of the end token.
-END = np.uint64(0x5DEECE66D1234567)
+#: Words that a probability depends on, the predicted one included.
+ORDER = 3
+#: Entries that a shard is sent on average; occurrences of a context's rarest word for each shard that it is spread over; portions merged at once.
+SHARD, HOT, FAN = 1_000_000, 3_000_000, 2048
+#: Bytes of texts in a portion, and of a piece of a long text.
+PORTION, SEGMENT = 4 << 20, 1 << 20
+#: Stand for words that no text has: they contain a blank. Their codes in every portion.
+END, BEGIN = b" end", b" begin"
+END_CODE, BEGIN_CODE = 0, 1
+#: Numbers of the begin mark and of words that training texts don't have.
+BEGIN_ID, UNKNOWN = np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
 BLANK_BYTE = re.compile(rb"[\x20\x09-\x0d]")
-
-
-def blanks() -> np.ndarray:
-    table = np.zeros(256, bool)
-    table[[0x20, *range(0x09, 0x0E)]] = True
-    return table
-
-
-BLANKS = blanks()
-#: Odd, so that it has an inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse up to n, at least."""
-    if not POWERS or len(POWERS[0]) < n:
-        size = max(n, SEGMENT + 4096)
-        POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, pow(BASE, e, 1 << 64), np.uint64)))) for e in (1, -1)]
-    return POWERS[0], POWERS[1]
-
-
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(where each word begins, its hash). A word's hash is a polynomial of its bytes, taken from running sums over all."""
-    b = np.frombuffer(raw, np.uint8)
-    blank = np.concatenate(([True], BLANKS[b], [True]))
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-    return starts, mixed((sums[ends] - sums[starts]) * down[starts], 31)
+ROWS = "level int, shard long, kind string, portion long, blob binary"
+#: Kinds of rows: n-grams with counts, totals of contexts that are spread, numbers of n-grams by count.
+GRAMS, TOTALS, STATS = "grams", "totals", "stats"
 
 
 def segments(raw: bytes) -> Iterator[bytes]:
-    """A text in stretches of about SEGMENT bytes that end at blanks."""
+    """A text in pieces of about SEGMENT bytes that end at blanks."""
     at = 0
     while len(raw) - at > SEGMENT:
         cut = BLANK_BYTE.search(raw, at + SEGMENT)
@@ -94,192 +78,424 @@ def segments(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def hashed(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, an end after each text; tokens of each text)."""
-    sizes, parts = np.ones(len(texts), np.int64), []
-    held: list[bytes] = []
-    n = first = 0
-
-    def flush(stop: int) -> None:
-        nonlocal held, n, first
-        if held:
-            offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
-            starts, h = word_hashes(b"\n".join(held))
-            sizes[first:stop] += np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(held))
-            parts.append(h)
-        held, n, first = [], 0, stop
-
-    for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "surrogatepass").lower() if t else b""
-        if len(raw) + n > SEGMENT:
-            flush(i)
-        if len(raw) > SEGMENT:
-            for part in segments(raw):
-                h = word_hashes(part)[1]
-                sizes[i] += len(h)
-                parts.append(h)
-            first = i + 1
-            continue
-        held.append(raw)
-        n += len(raw)
-    flush(len(texts))
-    out = np.full(int(sizes.sum()), END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[np.cumsum(sizes) - 1] = False
-    if parts:
-        out[inner] = np.concatenate(parts)
-    return out, sizes
-
-
-def portions(texts) -> Iterator[list]:
-    """Texts in lists of about PORTION characters."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t or "")
-        if n > PORTION:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and counts in few bytes."""
+def zipped(raw: bytes) -> bytes:
     import zstandard
 
-    step = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    small = np.minimum(counts, 255).astype(np.uint8)
-    large = counts[counts >= 255].astype("<u8")
-    head = np.array([len(keys), len(large)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + step.tobytes() + small.tobytes() + large.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unzipped(blob: bytes) -> bytes:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, m = (int(x) for x in raw[:16].view("<u8"))
-    keys = np.cumsum(np.ascontiguousarray(raw[16 : 16 + 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
-    counts = raw[16 + 8 * n : 16 + 9 * n].astype(np.uint64)
-    counts[counts == 255] = raw[16 + 9 * n :].copy().view("<u8")[:m]
-    return keys, counts
-
-
-class Vocabulary:
-    """Words' numbers and counts, from the sorted hashes in mapped files."""
-
-    def __init__(self, folder: str, bits: int, sizes: list[int]):
-        self.folder, self.bits = folder, bits
-        self.offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.n = int(self.offsets[-1])
-        self.maps: OrderedDict = OrderedDict()
-
-    def __getstate__(self):
-        return self.__dict__ | {"maps": OrderedDict()}
-
-    def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.maps:
-            size = int(self.offsets[k + 1] - self.offsets[k])
-            raw = map_file(f"{self.folder}/words-{k}")
-            self.maps[k] = raw[: 8 * size].view(np.uint64), raw[8 * size : 16 * size].view(np.int64)
-            if len(self.maps) > MAPPED:
-                self.maps.popitem(last=False)
-        return self.maps[k]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, count) of each hash; -1 and 0 for those that are unknown."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        order = np.argsort(hashes)
-        sorted_hashes = hashes[order]
-        part = (sorted_hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(part, np.arange(len(self.offsets)))
-        for k in range(len(self.offsets) - 1):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b and self.offsets[k] < self.offsets[k + 1]:
-                known, n = self.part(k)
-                at = np.searchsorted(known, sorted_hashes[a:b])
-                at[at == len(known)] = 0
-                hit = known[at] == sorted_hashes[a:b]
-                ids[order[a:b][hit]] = self.offsets[k] + at[hit]
-                counts[order[a:b][hit]] = n[at[hit]]
-        return ids, counts
-
-
-def count_words(texts: DataFrame, folder: str) -> tuple[Vocabulary, int, list[tuple[int, int]]]:
-    """(vocabulary, training tokens, (number, count) of the most frequent words) of a column `text`."""
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        frame = lambda: pd.DataFrame({"h": keys.view(np.int64), "n": counts})
-        for texts in (p for b in batches for p in portions(b["text"])):
-            new, n = np.unique(hashed(texts)[0], return_counts=True)
-            keys, counts = merged(np.concatenate((keys, new)), np.concatenate((counts, n)))
-            if len(keys) > HELD // 2:
-                yield frame()
-                keys, counts = keys[:0], counts[:0]
-        yield frame()
-
-    words = settle(texts.mapInPandas(tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    size, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if size >= 1 << 31:
-        raise ValueError("more than 2^31 distinct words")
-    bits = max(0, (-(-size // SHARD) - 1).bit_length())
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length, of numbers up to 64 bits, in few bytes; best if the first one is sorted."""
+    rows = np.stack([np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)), *(c.astype(np.uint64) for c in columns[1:])])
+    planes = rows.astype("<u8").view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1)
+    return zipped(np.array(rows.shape, "<u8").tobytes() + planes.tobytes())
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(unzipped(blob), np.uint8)
+    width, n = (int(x) for x in raw[:16].view("<u8"))
+    rows = np.ascontiguousarray(raw[16:].reshape(width, 8, n).transpose(0, 2, 1)).view("<u8").reshape(width, n).astype(np.uint64)
+    rows[0] = np.cumsum(rows[0], dtype=np.uint64)
+    return list(rows)
+
+
+def put_arrays(address: str, **arrays: np.ndarray) -> None:
+    """A file of named arrays that can be mapped."""
+    head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
+    parts = [len(head).to_bytes(8, "little"), head]
+    for a in arrays.values():
+        parts += b"\0" * (-sum(map(len, parts)) % 8), a.tobytes()
+    put_file(address, b"".join(parts))
+
+
+def map_arrays(address: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, memory-mapped."""
+    raw = map_file(address)
+    size = int(raw[:8].view("<u8")[0])
+    at, out = 8 + size, {}
+    for name, kind, n in json.loads(raw[8 : 8 + size].tobytes()):
+        at += -at % 8
+        width = n * np.dtype(kind).itemsize
+        out[name] = raw[at : at + width].view(kind)
+        at += width
+    return out
+
+
+def smallest(values: np.ndarray) -> np.ndarray:
+    """The values in 32 bits if they fit, else in 64."""
+    return values.astype(np.uint32) if not len(values) or values.max() < 1 << 32 else values.astype(np.uint64)
+
+
+class Portion:
+    """A portion that is being filled."""
+
+    def __init__(self) -> None:
+        self.id, self.local, self.codes, self.pieces, self.bytes = uuid.uuid4().int >> 65, {END: END_CODE, BEGIN: BEGIN_CODE}, [], [], 0
+
+    def add(self, home: tuple[int, int], train: bool, before: list[bytes], words: list[bytes]) -> None:
+        local = self.local
+        self.codes.append(np.array([local.setdefault(w, len(local)) for w in chain(before, words)], np.uint32))
+        self.pieces.append((*home, len(words), train))
+
+    def save(self, folder: str) -> None:
+        digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in self.local), "<u8")
+        codes = np.concatenate(self.codes).astype("<u4").view(np.uint8).reshape(-1, 4).T
+        home, place, size, train = (np.array(x, np.int64) for x in zip(*self.pieces))
+        put_arrays(f"{folder}/portion-{self.id}", high=digests[::2], low=digests[1::2], codes=np.frombuffer(zipped(codes.tobytes()), np.uint8), home=home, place=place, size=size, train=train)
+
+
+def encoder(folder: str, order: int):
+    """Function over texts and whether they train: the portion and the place of each text, and the portions where it goes on."""
+
+    @F.pandas_udf("portion long, place long, more array<long>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, train in batches:
+            now, rows = Portion(), []
+            for text, trains in zip(texts, train):
+                raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+                home, more, before = (now.id, len(now.pieces)), [], [BEGIN] * (order - 1)
+                at = 0
+                for piece in segments(raw):
+                    at += len(piece)
+                    words = piece.split()
+                    if at == len(raw):
+                        words.append(END)
+                    if now.bytes + len(piece) > PORTION and now.pieces:
+                        now.save(folder)
+                        now = Portion()
+                        if at == len(piece):
+                            home = (now.id, 0)
+                        else:
+                            more.append(now.id)
+                    now.add(home, bool(trains), before, words)
+                    now.bytes += len(piece)
+                    before = [*before, *words][len(words) :] if len(words) < order - 1 else words[len(words) - order + 1 :]
+                rows.append((*home, more))
+            if now.pieces:
+                now.save(folder)
+            yield pd.DataFrame(rows, columns=["portion", "place", "more"])
+
+    return run.asNondeterministic()
+
+
+def spread_out(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows in up to n partitions, by keys if there are any: few bytes of packed rows can be much work, which the planner doesn't see."""
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(n, max(4 * parallel, n // 64))), *keys)
+
+
+@dataclass
+class Encoded:
+    """Texts as portions: rows (row, at), the ids of all portions, their number, and how many words they spell."""
+
+    rows: DataFrame
+    portions: DataFrame
+    folder: str
+    order: int
+    n: int
+    spelled: int
+    texts: int
+
+
+def encoded(df: DataFrame, text: str = "text", train: Column | None = None, order: int = ORDER, drop: tuple[str, ...] = ()) -> Encoded:
+    """df's texts as portions. train: the rows to learn from (all); drop: columns that the rows don't keep."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    folder = new_folder(spark, "portions")
+    trains = F.coalesce(train, F.lit(False)) if train is not None else F.lit(True)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in drop] or [F.lit(None).alias("none")]
+    rows = settle(df.select(F.struct(*kept).alias("row"), encoder(folder, order)(F.col(text), trains).alias("at")))
+    portions = settle(rows.select(F.explode(F.concat(F.array("at.portion"), "at.more")).alias("portion")).distinct())
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["portion"]:
+                f = map_arrays(f"{folder}/portion-{p}")
+                begins = (f["home"] == p) & (np.arange(len(f["home"])) == f["place"])  # other pieces go on with a text
+                yield pd.DataFrame({"words": [len(f["high"])], "texts": [int(f["train"][begins].sum())]})
+
+    n, spelled, texts = spread_out(portions, portions.count()).mapInPandas(sizes, "words long, texts long").agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    return Encoded(rows, portions, folder, order, n, spelled, texts)
+
+
+@dataclass
+class Level:
+    """The distinct k-grams of a portion.
+
+    at: for every place, the k-gram that ends there; columns: the codes of each one's words; wanted: whether it ends with a
+    token; shorter: the (k-1)-gram that ends where it does.
+    """
+
+    at: np.ndarray
+    columns: np.ndarray
+    wanted: np.ndarray
+    shorter: np.ndarray | None
+
+
+@dataclass
+class Stream:
+    """A portion as it was written: words, places of tokens, pieces, and all its n-grams."""
+
+    high: np.ndarray
+    low: np.ndarray
+    real: np.ndarray
+    train: np.ndarray
+    pieces: dict[str, np.ndarray]
+    codes: np.ndarray
+    levels: list[Level] = field(default_factory=list)
 
-    def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        h, n = merged(frame["h"].to_numpy().view(np.uint64), frame["n"].to_numpy())
-        put_file(f"{folder}/words-{key[0]}", h.tobytes() + n.astype(np.int64).tobytes())
-        return pd.DataFrame({"shard": [key[0]], "size": [len(h)]})
+    @classmethod
+    def read(cls, folder: str, portion: int, order: int, upto: int | None = None) -> Stream:
+        f = map_arrays(f"{folder}/portion-{portion}")
+        codes = np.ascontiguousarray(np.frombuffer(unzipped(f["codes"].tobytes()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        length = f["size"] + order - 1
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+        real = place >= order - 1
+        out = cls(np.array(f["high"]), np.array(f["low"]), real, np.repeat(f["train"] > 0, length) & real, {k: f[k] for k in ("home", "place", "size")}, codes)
+        at, columns, shorter = codes.astype(np.uint64), np.arange(len(out.high)).reshape(-1, 1), None
+        for k in range(1, (order if upto is None else upto) + 1):
+            if k > 1:
+                inside = np.flatnonzero(place >= k - 1)
+                pairs, first, back = np.unique(at[inside - 1] << np.uint64(32) | codes[inside], return_index=True, return_inverse=True)
+                shorter, columns = at[inside[first]].astype(np.int64), np.column_stack((columns[(pairs >> np.uint64(32)).astype(np.int64)], (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+                at = np.zeros(len(codes), np.uint64)
+                at[inside] = back.astype(np.uint64)
+            wanted = np.zeros(len(columns), bool)
+            wanted[at[real].astype(np.int64)] = True
+            out.levels.append(Level(at, columns, wanted, shorter))
+        return out
+
+
+def hashed(words: np.ndarray) -> np.ndarray:
+    """A hash of each row of word numbers."""
+    out = np.zeros(len(words), np.uint64)
+    for i in range(words.shape[1]):
+        out = mixed(words[:, i] ^ (out << np.uint64(1) | out >> np.uint64(63)), 5)
+    return out
+
+
+def splits(counts: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Over how many shards each context (of codes) is spread: by the count of its rarest word."""
+    return counts[contexts].min(axis=1) // np.uint64(HOT) + np.uint64(1) if contexts.shape[1] else np.ones(len(contexts), np.uint64)
+
+
+def shards_of(grams: np.ndarray, split: np.ndarray, n: int) -> np.ndarray:
+    """Where n-grams (of word numbers) are: by context and, for contexts that are spread, by word; single words by themselves."""
+    word = mixed(grams[:, -1], 2)
+    return (mixed(hashed(grams[:, :-1]) + word % split, 3) if grams.shape[1] > 1 else word) % np.uint64(n)
+
+
+def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of key columns, sorted, and their summed values."""
+    if not len(keys[0]):
+        return keys, values
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys]))))
+    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
 
-    shard = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
-    done = {r["shard"]: r["size"] for r in words.groupBy(shard.alias("shard")).applyInPandas(write, "shard int, size long").collect()}
-    return Vocabulary(folder, bits, [done.get(k, 0) for k in range(1 << bits)]), int(total), words
 
+def gathered(frame: pd.DataFrame, width: int) -> list[np.ndarray]:
+    """The columns of all blobs of a frame, put together."""
+    parts = [unpacked(b) for b in frame["blob"]]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(width)]
 
-class Shards:
-    """Where bigrams are kept: by context, and hot contexts' by the whole key."""
 
-    def __init__(self, n: int, hot: np.ndarray):
-        self.n, self.hot = n, hot
+def by_shard(rows: DataFrame, n_keys: int, width: int, n: int, portions: int) -> DataFrame:
+    """Rows of blobs, ready to be reduced by shard: every shard has a row, and many portions' rows are merged FAN at a time before.
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        context = keys >> np.uint64(32)
-        out = mixed(context, 1) % np.uint64(self.n)
-        if len(self.hot):
-            spread = np.isin(context, self.hot)
-            out[spread] = mixed(keys[spread], 2) % np.uint64(self.n)
-        return out.astype(np.int64)
+    A blob has n_keys key columns, columns that depend on the key, and as the last one a count.
+    """
+    spark = rows.sparkSession
+    if portions > FAN:
 
-    def of_context(self, contexts: np.ndarray) -> np.ndarray:
-        return (mixed(contexts, 1) % np.uint64(self.n)).astype(np.int64)
+        def merge(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+            columns = gathered(frame, width)
+            keys, (counts,) = merged(columns[:-1], columns[-1:])
+            return pd.DataFrame([(frame["level"].iat[0], key[0], GRAMS, 0, packed([*keys, counts]))], columns=["level", "shard", "kind", "portion", "blob"])
 
+        rows = salted(rows, portions).groupBy("shard", "salt").applyInPandas(merge, ROWS)
+    empty = packed([np.empty(0, np.uint64)] * width)
+    every = spark.range(n).select(F.lit(0).alias("level"), F.col("id").alias("shard"), F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("portion"), F.lit(empty).alias("blob"))
+    return spread_out(rows.unionAll(every), 4 * n, "shard")
 
-def bigrams(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
-    """Key of each token with what precedes it in its text (begin for the first)."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = begin
-    return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
+def salted(rows: DataFrame, portions: int) -> DataFrame:
+    """Rows with a salt that few enough portions share."""
+    return rows.withColumn("salt", F.pmod("portion", F.lit(-(-portions // FAN) or 1)))
 
-def contexts_of(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, totals, numbers of words that follow once, twice, more often) of sorted keys."""
-    context = keys >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.empty(0, np.int64)
-    if not len(first):
-        return context[first], np.empty(0, np.float64), np.empty((0, 3), np.uint32)
-    tallies = [np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2)]
-    return context[first], np.add.reduceat(counts, first).astype(np.float64), np.stack(tallies, 1).astype(np.uint32)
+
+def sent(level: int, kind: str, portion: int, shard: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """A row for every shard that is sent something."""
+    order = np.argsort(shard, kind="stable")
+    keys, cuts = np.unique(shard[order], return_index=True)
+    return [(level, int(s), kind, portion, packed([c[at] for c in columns])) for s, at in zip(keys, np.split(order, cuts[1:]))]
+
+
+def as_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["level", "shard", "kind", "portion", "blob"])
+
+
+def over_portions(make):
+    """Function for mapInPandas that makes rows from each portion."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["portion"].tolist():
+                yield as_rows(make(p))
+
+    return run
+
+
+@dataclass
+class Model:
+    """What scoring must know besides the shards' files: a bounded number of values."""
+
+    folder: str
+    order: int
+    word_shards: int
+    shards: int
+    total: int = 0
+    distinct: int = 0
+    texts: int = 0
+    discounts: list[np.ndarray] = field(default_factory=list)
+    types: int = 0
+    gamma: float = 1.0
+
+
+def word_rows(folder: str, portion: int, order: int, n: int, count: bool) -> list[tuple]:
+    """A portion's words, for their shards: digests and, if count is set, how often training texts have them."""
+    s = Stream.read(folder, portion, order, 0)
+    codes = np.flatnonzero(np.arange(len(s.high)) != BEGIN_CODE)
+    columns = [s.high[codes], s.low[codes]]
+    if count:
+        columns.append(np.bincount(s.codes[s.train], minlength=len(s.high)).astype(np.uint64)[codes])
+    return sent(0, GRAMS, portion, s.high[codes] % np.uint64(n), columns)
+
+
+def count_words(enc: Encoded, model: Model) -> None:
+    """Writes the words' shards and puts their totals into the model."""
+    folder, order, n, target = enc.folder, enc.order, model.word_shards, model.folder
+
+    def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        high, low, counts = gathered(frame, 3)
+        (high, low), (counts,) = merged([high, low], [counts])
+        used = counts > 0
+        put_arrays(f"{target}/words-{key[0]}", high=high[used], low=low[used], count=counts[used])
+        return pd.DataFrame({"n": [int(used.sum())], "total": [int(counts.sum())]})
+
+    rows = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n, True)), ROWS)
+    done = by_shard(rows, 2, 3, n, enc.n).groupBy("shard").applyInPandas(write, "n long, total long")
+    model.distinct, model.total = (int(x or 0) for x in done.agg(F.sum("n"), F.sum("total")).first())
+
+
+def numbered(enc: Encoded, model: Model) -> DataFrame:
+    """(portion, grams): writes the numbers and counts of each portion's words beside it; grams: how many n-grams of the highest order it has."""
+    folder, order, n, source = enc.folder, enc.order, model.word_shards, model.folder
+    name = source.rsplit("/", 1)[1]
+
+    def look_up(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        known = map_arrays(f"{source}/words-{key[0]}")
+        out = []
+        for portion, blob in zip(frame["portion"].tolist(), frame["blob"]):
+            high, low = unpacked(blob)
+            at = np.searchsorted(known["high"], high)
+            while True:  # digests whose first halves are equal lie side by side
+                inside = np.minimum(at, max(len(known["high"]) - 1, 0))
+                here = (at < len(known["high"])) & (known["high"][inside] == high) if len(known["high"]) else np.zeros(len(high), bool)
+                hit = here.copy()
+                hit[here] = known["low"][at[here]] == low[here]
+                if not (here & ~hit).any():
+                    break
+                at[here & ~hit] += 1
+            ids, counts = np.full(len(high), UNKNOWN), np.zeros(len(high), np.uint64)
+            ids[hit], counts[hit] = at[hit].astype(np.uint64) * np.uint64(n) + np.uint64(key[0] + 1), known["count"][at[hit]]
+            out.append((0, key[0], GRAMS, portion, packed([ids, counts])))
+        return as_rows(out)
+
+    def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        s = Stream.read(folder, key[0], order)
+        ids, counts = np.full(len(s.high), BEGIN_ID), np.zeros(len(s.high), np.uint64)
+        shard = (s.high % np.uint64(n)).astype(np.int64)
+        shard[BEGIN_CODE] = -1
+        for k, blob in zip(frame["shard"], frame["blob"]):
+            own = np.flatnonzero(shard == k)
+            ids[own], counts[own] = unpacked(blob)
+        counts[BEGIN_CODE] = model.texts
+        put_arrays(f"{folder}/{name}-{key[0]}", ids=ids, counts=counts)
+        return pd.DataFrame({"portion": [key[0]], "grams": [int(s.levels[-1].wanted.sum())]})
+
+    asked = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n, False)), ROWS)
+    replies = spread_out(salted(asked, enc.n), 4 * n * (enc.n // FAN + 1), "shard", "salt").groupBy("shard", "salt").applyInPandas(look_up, ROWS)
+    return settle(spread_out(replies, enc.n, "portion").groupBy("portion").applyInPandas(write, "portion long, grams long"))
+
+
+def counted_grams(folder: str, name: str, portion: int, order: int, n: int) -> list[tuple]:
+    """A portion's n-grams of the highest order in training texts, for their shards: numbers, spreads of all their contexts, counts."""
+    s, own = Stream.read(folder, portion, order), map_arrays(f"{folder}/{name}-{portion}")
+    top = s.levels[-1]
+    count = np.bincount(top.at[s.train].astype(np.int64), minlength=len(top.columns))
+    used = np.flatnonzero(count)
+    words, codes = own["ids"][top.columns[used]], top.columns[used]
+    spread = [splits(own["counts"], codes[:, j:-1]) for j in range(order - 1)]
+    rank = np.lexsort(words.T[::-1])
+    shard = shards_of(words, spread[0] if spread else np.ones(len(words), np.uint64), n)
+    return sent(order, GRAMS, portion, shard[rank], [*words[rank].T, *(x[rank] for x in spread), count[used][rank].astype(np.uint64)])
+
+
+def reduce_level(level: int, model: Model, folder: str):
+    """Function that merges one shard's n-grams, writes them, and gives rows for the next shorter ones, totals of contexts that are spread, and statistics."""
+    n = model.shards
+
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        columns = gathered(frame, 2 * level)
+        keys, (count,) = merged(columns[:-1], columns[-1:])
+        words, spread = np.stack(keys[:level], 1), keys[level:]
+        context = hashed(words[:, :-1])
+        rank = np.lexsort((words[:, -1], context))
+        context, word, sorted_count = context[rank], words[rank, -1], count[rank]
+        put_arrays(f"{folder}/grams-{level}-{key[0]}", context=context, word=smallest(word), count=smallest(sorted_count))
+        stats = [len(count), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count > 2).sum())]
+        rows = [(level, int(key[0]), STATS, 0, np.array(stats, "<i8").tobytes())]
+        if level > 1 and len(count):
+            seen = np.where(words[:, 1] == BEGIN_ID, count, np.uint64(1)) if level > 2 else np.ones(len(count), np.uint64)
+            shorter, (seen,) = merged([*words[:, 1:].T, *spread[1:]], [seen])
+            grams = np.stack(shorter[: level - 1], 1)
+            shard = shards_of(grams, shorter[level - 1] if level > 2 else np.ones(len(grams), np.uint64), n)
+            rows += sent(level - 1, GRAMS, int(key[0]), shard, [*shorter, seen])
+            wide = spread[0][rank] > 1
+            if wide.any():
+                contexts, total, follow = runs(context[wide], sorted_count[wide])
+                rows += sent(level, TOTALS, int(key[0]), mixed(contexts, 4) % np.uint64(n), [contexts, total, *follow])
+        return as_rows(rows)
+
+    return run
+
+
+def runs(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of n-grams sorted by context: the contexts, their totals, and how many words follow each once, twice, more often."""
+    if not len(context):
+        return context, np.empty(0, np.uint64), [np.empty(0, np.uint64)] * 3
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    return context[first], np.add.reduceat(count.astype(np.uint64), first), [np.add.reduceat(x.astype(np.uint64), first) for x in (count == 1, count == 2, count > 2)]
+
+
+def write_totals(level: int, folder: str):
+    """Function that adds up the totals of contexts that are spread and writes a shard of them."""
+
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        columns = gathered(frame, 5)
+        (context,), values = merged(columns[:1], columns[1:])
+        put_arrays(f"{folder}/totals-{level}-{key[0]}", context=context, **dict(zip(("total", "one", "two", "more"), values)))
+        return pd.DataFrame({"n": [len(context)]})
+
+    return run
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -292,181 +508,189 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-class Model:
-    """All that scoring needs: small tables, and addresses of mapped files."""
-
-    def __init__(self, folder, vocabulary, total, begin, shards, hot_totals, d2, d1, types, gamma, span, rows):
-        self.folder, self.vocabulary, self.total, self.begin, self.shards = folder, vocabulary, total, begin, shards
-        self.hot_totals, self.d2, self.d1, self.types, self.gamma, self.span, self.rows = hot_totals, d2, d1, types, gamma, span, rows
-        self.maps: OrderedDict = OrderedDict()
-
-    def __getstate__(self):
-        return self.__dict__ | {"maps": OrderedDict()}
-
-    def mapped(self, name: str) -> np.ndarray:
-        if name not in self.maps:
-            self.maps[name] = map_file(f"{self.folder}/{name}")
-            if len(self.maps) > MAPPED:
-                self.maps.popitem(last=False)
-        return self.maps[name]
-
-    def shard(self, k: int):
-        raw = self.mapped(f"bigrams-{k}")
-        n, m = (int(x) for x in raw[:16].view(np.int64))
-        ends = np.cumsum([16, 8 * n, 8 * m, 8 * m, 4 * n, 12 * m])
-        parts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        return parts[0].view(np.uint64), parts[1].view(np.uint64), parts[2].view(np.float64), parts[3].view(np.uint32), parts[4].view(np.uint32).reshape(-1, 3)
-
-    def unigrams(self, ids: np.ndarray) -> np.ndarray:
-        """p(w) of distinct numbers; -1 for unknown words."""
-        seen = np.zeros(len(ids), np.int64)
-        part = ids // self.span
-        for k in np.unique(part[ids >= 0]):
-            at = part == k
-            seen[at] = self.mapped(f"continuations-{k}").view(np.uint32)[ids[at] - k * self.span]
-        least = 1.0 / (self.vocabulary.n + 1)
-        return np.maximum(seen - self.d1[np.minimum(seen, 3)], 0) / self.types + self.gamma * least if self.types else np.full(len(ids), least)
-
-    def looked_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct sorted keys: (count, context's total, context's numbers of words that follow once, twice, more often)."""
-        seen = np.zeros(len(keys), np.int64)
-        contexts, back = np.unique(keys >> np.uint64(32), return_inverse=True)
-        totals, follow = np.zeros(len(contexts)), np.zeros((len(contexts), 3))
-        if self.rows:
-            self.search(self.shards.of(keys), keys, lambda s, at, hit: seen.__setitem__(at, np.where(hit[1], s[3][hit[0]], 0)), 0)
-
-            def fill(s, at, hit):
-                totals[at], follow[at] = np.where(hit[1], s[2][hit[0]], 0), np.where(hit[1][:, None], s[4][hit[0]], 0)
-
-            self.search(self.shards.of_context(contexts), contexts, fill, 1)
-            for i in np.flatnonzero(np.isin(contexts, self.shards.hot)):
-                totals[i], follow[i] = self.hot_totals.get(int(contexts[i]), (0.0, (0, 0, 0)))
-        return seen, totals[back], follow[back]
-
-    def search(self, shard: np.ndarray, keys: np.ndarray, put, which: int) -> None:
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards.n + 1))
-        for k in range(self.shards.n):
-            at = order[cuts[k] : cuts[k + 1]]
-            if len(at) and self.rows.get(k):
-                s = self.shard(k)
-                if len(s[which]):
-                    place = np.searchsorted(s[which], keys[at])
-                    place[place == len(s[which])] = 0
-                    put(s, at, (place, s[which][place] == keys[at]))
-
-    def score(self, texts) -> pd.DataFrame:
-        hashes, sizes = hashed(texts)
-        distinct, codes = np.unique(hashes, return_inverse=True)
-        ids, known = self.vocabulary.find(distinct)
-        lower = self.unigrams(ids)
-        base = np.log10((known + 1) / (self.total + self.vocabulary.n + 1))
-        numbers = np.where(ids < 0, self.begin + 1, ids)[codes]  # unknown words share a number that no key has
-        keys, first, back = np.unique(bigrams(numbers, sizes, self.begin), return_index=True, return_inverse=True)
-        seen, totals, follow = self.looked_up(keys)
-        some = totals > 0
-        high = np.where(some, np.maximum(seen - self.d2[np.minimum(seen, 3)], 0) / np.maximum(totals, 1), 0)
-        rest = np.where(some, follow @ self.d2[1:] / np.maximum(totals, 1), 1)
-        high, rest = high[back], rest[back]
-        logs = np.log10(high + rest * lower[codes])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        return pd.DataFrame({"n_tokens": sizes, "n_known": np.add.reduceat((known > 0)[codes].astype(np.int64), starts), "base_score": np.add.reduceat(base[codes], starts), "score": np.add.reduceat(logs, starts)})
-
-
-def train(texts: DataFrame, text: str = "text") -> Model:
+def trained(enc: Encoded) -> tuple[Model, DataFrame]:
+    """(model, numbered portions) of encoded texts."""
+    spark = enc.rows.sparkSession
+    model = Model(new_folder(spark, "kneser-ney"), enc.order, -(-enc.spelled // SHARD) or 1, 1, texts=enc.texts)
+    count_words(enc, model)
+    portions = numbered(enc, model)
+    model.shards = -(-(portions.agg(F.sum("grams")).first()[0] or 0) // SHARD) or 1
+    folder, name, order, n, target = enc.folder, model.folder.rsplit("/", 1)[1], enc.order, model.shards, model.folder
+    rows, senders = spread_out(portions.select("portion"), enc.n).mapInPandas(over_portions(lambda p: counted_grams(folder, name, p, order, n)), ROWS), enc.n
+    for level in range(order, 0, -1):
+        made = settle(by_shard(rows, level, 2 * level, n, senders).groupBy("shard").applyInPandas(reduce_level(level, model, target), ROWS))
+        totals = by_shard(made.where(F.col("kind") == TOTALS), 1, 5, n, 0).groupBy("shard").applyInPandas(write_totals(level, target), "n long")
+        totals.agg(F.sum("n")).collect()
+
+        def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([np.frombuffer(x, "<i8") for x in b["blob"]], columns=list("xtabcdm"), dtype=np.int64)
+
+        stats = made.where(F.col("kind") == STATS).select("blob").mapInPandas(numbers, "x long, t long, a long, b long, c long, d long, m long").agg(*[F.sum(k).alias(k) for k in "xtabcdm"]).first()
+        model.discounts.insert(0, discounts([int(stats[k] or 0) for k in "abcd"]))
+        rows, senders = made.where(F.col("kind") == GRAMS), n
+    model.types = int(stats["t"] or 0)
+    d = model.discounts[0]
+    model.gamma = float(d[1] * stats["a"] + d[2] * stats["b"] + d[3] * stats["m"]) / model.types if model.types else 1.0
+    return model, portions
+
+
+def wanted_grams(level: int, s: Stream, own: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which n-grams of a level are asked for, in the order they are sent; their word numbers; spreads; shards)."""
+    x = s.levels[level - 1]
+    words = own["ids"][x.columns]
+    known = (words[:, :-1] != UNKNOWN).all(axis=1) if level > 1 else words[:, 0] != UNKNOWN
+    some = np.flatnonzero(x.wanted & known)
+    some = some[np.lexsort(words[some].T[::-1])]
+    spread = splits(own["counts"], x.columns[some, :-1])
+    return some, words[some], spread, shards_of(words[some], spread, n)
+
+
+def questions(folder: str, name: str, portion: int, order: int, n: int) -> list[tuple]:
+    """A portion's n-grams of all orders, for the shards that can have them, and its contexts that are spread."""
+    s, own = Stream.read(folder, portion, order), map_arrays(f"{folder}/{name}-{portion}")
+    out = []
+    for level in range(1, order + 1):
+        _, words, spread, shard = wanted_grams(level, s, own, n)
+        out += sent(level, GRAMS, portion, shard, list(words.T))
+        wide = np.unique(hashed(words[spread > 1, :-1]))
+        if level > 1:
+            out += sent(level, TOTALS, portion, mixed(wide, 4) % np.uint64(n), [wide])
+    return out
+
+
+def found_at(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each x."""
+    if not len(sorted_values):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return at, sorted_values[at] == x
+
+
+def within_runs(values: np.ndarray, begin: np.ndarray, stop: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each x between its own begin and stop, where values are sorted."""
+    a, b = begin.copy(), stop.copy()
+    while (open_ := a < b).any():
+        m = (a + b) // 2
+        less = np.zeros(len(a), bool)
+        less[open_] = values[m[open_]] < x[open_]
+        a, b = np.where(open_ & less, m + 1, a), np.where(open_ & ~less, m, b)
+    hit = a < stop
+    hit[hit] = values[a[hit]] == x[hit]
+    return a, hit
+
+
+def answers(folder: str):
+    """Function that answers all questions to one shard from its mapped arrays."""
+
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        level, shard, kind = key[0], key[1], key[2]
+        known = map_arrays(f"{folder}/{kind}-{level}-{shard}")
+        out = []
+        if kind == GRAMS:
+            contexts, total, follow = runs(known["context"], known["count"])
+        for portion, blob in zip(frame["portion"].tolist(), frame["blob"]):
+            asked = unpacked(blob)
+            if kind == TOTALS:
+                at, hit = found_at(known["context"], asked[0])
+                values = [np.where(hit, known[k][at], 0) if len(known[k]) else np.zeros(len(at)) for k in ("total", "one", "two", "more")]
+            else:
+                q = hashed(np.stack(asked[:-1], 1)) if len(asked) > 1 else np.zeros(len(asked[0]), np.uint64)
+                begin, stop = (np.searchsorted(known["context"], q, side) for side in ("left", "right"))
+                at, hit = within_runs(known["word"], begin, stop, asked[-1])
+                count = np.zeros(len(at), np.uint64)
+                count[hit] = known["count"][at[hit]]
+                at, hit = found_at(contexts, q)
+                values = [count, *(np.where(hit, v[at], 0) if len(v) else np.zeros(len(at)) for v in (total, *follow))]
+            out.append((level, shard, kind, portion, packed([v.astype(np.uint64) for v in values])))
+        return as_rows(out)
+
+    return run
+
+
+RESULT = "home long, place long, n_tokens long, n_known long, base_score double, score double"
+
+
+def added_up(model: Model, folder: str, name: str):
+    """Function that scores a portion's pieces from the answers it got."""
+    order, n = model.order, model.shards
+
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        s, own = Stream.read(folder, key[0], order), map_arrays(f"{folder}/{name}-{key[0]}")
+        got = {(a, b, c): unpacked(d) for a, b, c, d in zip(frame["level"], frame["kind"], frame["shard"], frame["blob"]) if d is not None}
+        p = None
+        for level in range(1, order + 1):
+            some, words, spread, shard = wanted_grams(level, s, own, n)
+            count, total, follow = np.zeros(len(some)), np.zeros(len(some)), np.zeros((len(some), 3))
+            for k in np.unique(shard):
+                at = np.flatnonzero(shard == k)
+                c, t, *f = got[level, GRAMS, int(k)]
+                count[at], total[at], follow[at] = c, t, np.stack(f, 1)
+            d = model.discounts[level - 1]
+            kept = np.maximum(count - d[np.minimum(count, 3).astype(np.int64)], 0)
+            size = len(s.levels[level - 1].columns)
+            if level == 1:
+                p = np.full(size, model.gamma / (model.distinct + 1))
+                p[some] += kept / max(model.types, 1)
+                continue
+            wide = np.flatnonzero(spread > 1)
+            if len(wide):
+                contexts, back = np.unique(hashed(words[wide, :-1]), return_inverse=True)
+                sums = np.zeros((len(contexts), 4))
+                at_shard = mixed(contexts, 4) % np.uint64(n)
+                for k in np.unique(at_shard):
+                    sums[at_shard == k] = np.stack(got[level, TOTALS, int(k)], 1)
+                total[wide], follow[wide] = sums[back, 0], sums[back, 1:]
+            low = p[s.levels[level - 1].shorter]
+            p = low.copy()
+            there = total > 0
+            at = some[there]
+            p[at] = (kept[there] + follow[there] @ d[1:] * low[at]) / total[there]
+        base = np.log10((own["counts"] + 1.0) / (model.total + model.distinct + 1))
+        codes, size = s.codes[s.real], s.pieces["size"]
+        piece = np.repeat(np.arange(len(size)), size)
+        add = lambda values: np.bincount(piece, weights=values, minlength=len(size))
+        logs = np.log10(p[s.levels[-1].at[s.real].astype(np.int64)])
+        seen = add((own["counts"] > 0)[codes].astype(float)).astype(np.int64)
+        return pd.DataFrame({"home": s.pieces["home"], "place": s.pieces["place"], "n_tokens": size, "n_known": seen, "base_score": add(base[codes]), "score": add(logs)})
+
+    return run
+
+
+def scored(enc: Encoded, model: Model, portions: DataFrame, into: str = "lm") -> DataFrame:
+    """The rows of encoded texts and a struct column: n_tokens, n_known, base_score, score and perplexity."""
+    folder, name, order, n = enc.folder, model.folder.rsplit("/", 1)[1], enc.order, model.shards
+    asked = salted(spread_out(portions.select("portion"), enc.n).mapInPandas(over_portions(lambda p: questions(folder, name, p, order, n)), ROWS), enc.n)
+    keys = ("level", "shard", "kind", "salt")
+    replies = spread_out(asked, 4 * n * order * (enc.n // FAN + 1), *keys).groupBy(*keys).applyInPandas(answers(model.folder), ROWS)
+    every = portions.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("shard"), F.lit("").alias("kind"), "portion", F.lit(None).cast("binary").alias("blob"))
+    pieces = spread_out(replies.unionAll(every), enc.n, "portion").groupBy("portion").applyInPandas(added_up(model, folder, name), RESULT)
+    texts = pieces.groupBy("home", "place").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    texts = texts.select("home", "place", F.struct("n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), F.least(-F.col("score") / F.col("n_tokens"), F.lit(300.0))).alias("perplexity")).alias("lm"))
+    r, t = enc.rows.alias("r"), texts.alias("t")
+    joined = r.join(t, (F.col("r.at.portion") == F.col("t.home")) & (F.col("r.at.place") == F.col("t.place")))
+    return joined.select("r.row", F.col("t.lm").alias("lm")).select("row.*", F.col("lm").alias(into))
+
+
+def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """A model of a column of training texts."""
-    spark = texts.sparkSession
-    bound_batches(spark)
-    texts = texts.select(F.col(text).alias("text"))
-    folder = new_folder(spark, "kneser-ney")
-    vocabulary, total, words = count_words(texts, folder)
-    begin = vocabulary.n
-    shards = Shards(max(1, -(-total // SHARD)), np.empty(0, np.uint64))
-    limit = total // (HOT * shards.n) + 1
-    frequent = [r["h"] for r in words.where(F.col("n") > limit).select("h").collect()]  # fewer than HOT * shards
-    hot, _ = vocabulary.find(np.array(frequent, np.int64).view(np.uint64))
-    shards.hot = np.sort(np.append(hot, begin)).astype(np.uint64)
-    span = SHARD
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-
-        def flush() -> pd.DataFrame:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            shard = shards.of(keys)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards.n + 1))
-            rows = [(k, packed(keys[at], counts[at])) for k in range(shards.n) if len(at := order[cuts[k] : cuts[k + 1]])]
-            return pd.DataFrame(rows, columns=["shard", "blob"])
-
-        for texts in (p for b in batches for p in portions(b["text"])):
-            hashes, sizes = hashed(texts)
-            distinct, codes = np.unique(hashes, return_inverse=True)
-            held.append(bigrams(vocabulary.find(distinct)[0][codes], sizes, begin))
-            n += len(codes)
-            if n > HELD:
-                yield flush()
-                held, n = [], 0
-        yield flush()
-
-    def reduce(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(b) for b in frame["blob"]]
-        keys, counts = merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        context, totals, follow = contexts_of(keys, counts)
-        apart = np.isin(context, shards.hot)
-        rows = [("hot", int(c), None, int(t), *map(int, f), 0) for c, t, f in zip(context[apart], totals[apart], follow[apart])]
-        own = ~apart
-        head = np.array([len(keys), int(own.sum())], np.int64)
-        put_file(f"{folder}/bigrams-{key[0]}", b"".join(x.tobytes() for x in (head, keys, context[own], totals[own], counts.astype(np.uint32), follow[own])))
-        last, before = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        part = last // np.uint64(span)
-        rows += [("word", int(k), packed(last[part == k], before[part == k]), 0, 0, 0, 0, 0) for k in np.unique(part)]
-        rows.append(("shard", int(key[0]), None, len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))))
-        return pd.DataFrame(rows, columns=["kind", "k", "blob", "n", "a", "b", "c", "d"])
-
-    def continuations(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        first = key[0] * span
-        out = np.zeros(min(span, vocabulary.n - first), np.uint32)
-        for blob in frame["blob"]:
-            at, n = unpacked(blob)
-            out[at.astype(np.int64) - first] += n.astype(np.uint32)
-        put_file(f"{folder}/continuations-{key[0]}", out.tobytes())
-        return pd.DataFrame([[key[0], int(out.sum()), *(int((out == k).sum()) for k in (1, 2, 3, 4)), int((out > 2).sum())]], columns=["k", "n", "a", "b", "c", "d", "more"])
-
-    counted = texts.mapInPandas(tally, "shard int, blob binary").groupBy("shard").applyInPandas(reduce, "kind string, k long, blob binary, n long, a long, b long, c long, d long")
-    counted = settle(counted)
-    written = counted.where("kind = 'shard'").drop("blob").collect()
-    hot_totals = {r["k"]: (float(r["n"]), (r["a"], r["b"], r["c"])) for r in counted.where("kind = 'hot'").groupBy("k").agg(*[F.sum(c).alias(c) for c in "nabc"]).collect()}
-    lower = counted.where("kind = 'word'").select("k", "blob").groupBy("k").applyInPandas(continuations, "k long, n long, a long, b long, c long, d long, more long").collect()
-    plus = lambda rows, c: sum(r[c] for r in rows)
-    d2, d1 = discounts([plus(written, c) for c in "abcd"]), discounts([plus(lower, c) for c in "abcd"])
-    types = plus(lower, "n")
-    gamma = float(d1[1] * plus(lower, "a") + d1[2] * plus(lower, "b") + d1[3] * plus(lower, "more")) / types if types else 1.0
-    return Model(folder, vocabulary, total, begin, shards, hot_totals, d2, d1, types, gamma, span, {r["k"]: r["n"] for r in written})
-
-
-def with_scores(df: DataFrame, model: Model, text: str = "text", into: str = "lm") -> DataFrame:
-    """df and a struct column: n_tokens, n_known, base_score, score and the perplexity 10 ** (-score / n_tokens)."""
-    bound_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("n_tokens long, n_known long, base_score double, score double, perplexity double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for texts in batches:
-            scored = [m.score(part) for part in portions(texts)]
-            out = pd.concat(scored, ignore_index=True) if scored else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"], dtype=float)
-            yield out.assign(perplexity=10 ** np.minimum(-out["score"] / out["n_tokens"], 300.0))
-
-    return df.withColumn(into, run.asNondeterministic()(F.col(text)))
+    return trained(encoded(texts, text, order=order, drop=tuple(texts.columns)))[0]
+
+
+def with_scores(df: DataFrame, model: Model, text: str = "text", into: str = "lm", drop: tuple[str, ...] = ()) -> DataFrame:
+    """df and a struct column: n_tokens, n_known, base_score, score and the perplexity 10 ** (-score / n_tokens).
+
+    Columns that the result keeps are stored and shuffled with it once; drop names those that it needn't keep.
+    """
+    enc = encoded(df, text, order=model.order, drop=(*drop, into))
+    return scored(enc, model, numbered(enc, model), into)
 
 
 def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:
     """Scores of every document by a model of those that are not held out."""
     from .language_id import held_out
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = held_out(parts=7)
-    model = train(docs.where(~out))
-    scored = with_scores(docs, model)
-    return scored.select("doc_id", out.alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.total).cast("long").alias("train_tokens"), "lm.base_score", "lm.score", "lm.perplexity")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(parts=7))
+    enc = encoded(docs, train=~F.col("held_out"), drop=("text",))
+    model, portions = trained(enc)
+    return scored(enc, model, portions).select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.total).cast("long").alias("train_tokens"), "lm.base_score", "lm.score", "lm.perplexity")

@@ -526,40 +526,50 @@ def test_archive_restores_records(spark, tmp_path):
 # 9 language model
 
 
-def brute_model(train, texts):
+def brute_model(train, texts, order):
+    """(training tokens, (n_tokens, n_known, base, score) of each text), the model stated over plain counters."""
     tok = lambda x: [*re.findall(r"[^\x20\x09-\x0D]+", lower(x)), None]
-    uni, bi = Counter(), Counter()
+    grams = lambda w: zip(*[(["<begin>"] * (order - 1) + w)[i:] for i in range(order)])
+    uni, counts = Counter(), {order: Counter()}
     for t in train:
-        w = tok(t)
-        uni.update(w)
-        bi.update(zip(["<begin>", *w], w))
-    n, v, ctx, fol, cont = sum(uni.values()), len(uni), Counter(), {}, Counter()
-    for (a, b), c in bi.items():
-        ctx[a] += c
-        fol.setdefault(a, [0, 0, 0])[min(c, 3) - 1] += 1
-        cont[b] += 1
-    d2, d1 = (kneser_ney.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (bi, cont))
-    types = len(bi)
-    gamma = sum(d1[min(c, 3)] for c in cont.values()) / types if types else 1.0
+        uni.update(tok(t))
+        counts[order].update(grams(tok(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter()
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if k > 1 and g[1] == "<begin>" else 1
+    d = {k: kneser_ney.discounts([sum(c == i for c in x.values()) for i in (1, 2, 3, 4)]) for k, x in counts.items()}
+    total, follow = Counter(), {}
+    for k, x in counts.items():
+        for g, c in x.items():
+            total[k, g[:-1]] += c
+            follow.setdefault((k, g[:-1]), [0, 0, 0])[min(c, 3) - 1] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        if not total[k, g[:-1]]:
+            return p(g[1:])
+        c = counts[k][g]
+        return (max(c - d[k][min(c, 3)], 0) + sum(f * d[k][i + 1] for i, f in enumerate(follow[k, g[:-1]])) * p(g[1:])) / total[k, g[:-1]]
+
     out = []
     for t in texts:
-        w, s, base = tok(t), 0.0, 0.0
-        for a, b in zip(["<begin>", *w], w):
-            p = (max(cont[b] - d1[min(cont[b], 3)], 0) / types if types else 0) + gamma / (v + 1)
-            if ctx[a]:
-                c = bi.get((a, b), 0)
-                p = max(c - d2[min(c, 3)], 0) / ctx[a] + sum(f * d2[i + 1] for i, f in enumerate(fol[a])) / ctx[a] * p
-            s, base = s + math.log10(p), base + math.log10((uni[b] + 1) / (n + v + 1))
-        out.append((len(w), sum(uni[x] > 0 for x in w), base, s))
+        w = tok(t)
+        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(g)) for g in grams(w))))
     return n, out
 
 
-@pytest.mark.parametrize("shard", [kneser_ney.SHARD, 3000])
-def test_scores_equal_brute_force(spark, sf_dir, odd, monkeypatch, shard):
-    monkeypatch.setattr(kneser_ney, "SHARD", shard)
+@pytest.mark.parametrize("settings", [{}, {"SHARD": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}])
+def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, settings):
+    """With one shard, and with many shards and portions, contexts that are spread, and texts that go on in other portions."""
+    for k, x in settings.items():
+        monkeypatch.setattr(kneser_ney, k, x)
     texts = texts_of(spark, sf_dir)
     keys = sorted(texts)
-    n, want = brute_model([texts[k] for k in keys if zlib.crc32(str(k).encode()) % 7 != 2], [texts[k] for k in keys])
+    n, want = brute_model([texts[k] for k in keys if zlib.crc32(str(k).encode()) % 7 != 2], [texts[k] for k in keys], kneser_ney.ORDER)
     got = {r["doc_id"]: r for r in kneser_ney.op9_kneser_ney(spark, sf_dir).collect()}
     for k, (tokens, known, base, score) in zip(keys, want):
         r = got[k]
@@ -567,63 +577,58 @@ def test_scores_equal_brute_force(spark, sf_dir, odd, monkeypatch, shard):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
-def test_scores_of_odd_rows(spark, odd, nothing):
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders_on_odd_rows(spark, odd, nothing, order):
     rows = odd.collect()
-    model = kneser_ney.train(odd)
-    n, want = brute_model([r["text"] for r in rows], [r["text"] for r in rows])
-    got = kneser_ney.with_scores(odd.withColumn("i", F.monotonically_increasing_id()), model).orderBy("i").select("text", "lm.*", "hits").collect()
-    assert model.total == n
+    n, want = brute_model([r["text"] for r in rows], [r["text"] for r in rows], order)
+    model = kneser_ney.train(odd, order=order)
+    got = kneser_ney.with_scores(odd.withColumns({"lm": F.lit(1), "row": F.lit(2), "at": F.lit(3)}), model)
+    assert model.total == n and got.columns == [*odd.columns, "row", "at", "lm"]
     key = lambda r: (r[0] or "", r[1])
-    for a, b in zip(sorted(((r["text"], r["n_tokens"], r["score"]) for r in got), key=key), sorted(((r["text"], w[0], w[3]) for r, w in zip(rows, want)), key=key)):
+    for a, b in zip(sorted(((r["text"], r["lm"]["n_tokens"], r["lm"]["score"]) for r in got.collect()), key=key), sorted(((r["text"], w[0], w[3]) for r, w in zip(rows, want)), key=key)):
         assert a[1] == b[1] and a[2] == pytest.approx(b[2])
+    assert kneser_ney.with_scores(nothing, model).count() == 0
+
+
+def test_scores_without_training_rows(spark, odd, nothing):
     empty = kneser_ney.train(nothing)
     assert {r["lm"]["score"] for r in kneser_ney.with_scores(odd, empty).collect()} == {0.0}
-    assert kneser_ney.with_scores(nothing, model).count() == 0
+    assert kneser_ney.with_scores(nothing, empty).count() == 0
 
 
 def test_probabilities_sum_to_one(spark):
-    texts = ["a b a b c", "b c d", "a b", "d d a"]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    words = ["a", "b", "c", "d", "unseen"]
-    total = 10 ** model.score([""])["score"][0]  # the end at once, and every word by its score without the end behind it
-    for w in words:
-        total += 10 ** model.score([w])["score"][0] / end_after(model, w)
-    assert total == pytest.approx(1.0)
+    """Over all texts of up to two words: what a third word would take is one minus their sum, so it must lie between 0 and 1 for every beginning."""
+    train, words = ["a b a b c", "b c d", "a b", "d d a"], ["a", "b", "c", "d", "unseen"]
+    _, brute = brute_model(train, [""], 3)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    asked = ["", *words]
+    p = {r["text"]: 10 ** r["lm"]["score"] for r in kneser_ney.with_scores(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
+    assert p[""] == pytest.approx(10 ** brute[0][3]) and 0 < sum(p.values()) < 1
 
 
-def end_after(model, w):
-    """p(end | w), by hand from the model's tables."""
-    h, _ = kneser_ney.hashed([w])
-    ids, _ = model.vocabulary.find(np.sort(np.unique(h)))
-    order = dict(zip(np.sort(np.unique(h)).tolist(), ids.tolist()))
-    a, e = order[int(h[0])], order[int(h[1])]
-    a = model.begin + 1 if a < 0 else a
-    seen, totals, follow = model.looked_up(np.array([a << 32 | e], np.uint64))
-    low = model.unigrams(np.array([e]))[0]
-    if not totals[0]:
-        return low
-    return max(seen[0] - model.d2[min(seen[0], 3)], 0) / totals[0] + follow[0] @ model.d2[1:] / totals[0] * low
+def test_words_with_equal_polynomial_hashes_are_told_apart(spark):
+    """Two words of 1,024 bytes that any polynomial modulo 2^64 gives the same hash."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    model = kneser_ney.train(spark.createDataFrame([(a,), (a,), ("c",)], "text string"))
+    got = {r["text"]: r["lm"] for r in kneser_ney.with_scores(spark.createDataFrame([(a,), (b,)], "text string"), model).collect()}
+    assert model.distinct == 3 and (got[a]["n_known"], got[b]["n_known"]) == (2, 1)
 
 
-def test_packed_counts_round_trip():
+def test_packed_columns_round_trip():
     r = np.random.default_rng(0)
-    keys = np.unique(r.integers(0, 1 << 63, 1000).astype(np.uint64))
-    counts = r.integers(1, 2000, len(keys)).astype(np.uint64)
-    a, b = kneser_ney.unpacked(kneser_ney.packed(keys, counts))
-    assert (a == keys).all() and (b == counts).all()
-    a, b = kneser_ney.unpacked(kneser_ney.packed(keys[:0], counts[:0]))
-    assert not len(a) and not len(b)
-
-
-def test_word_hashes_tell_words_apart(monkeypatch):
-    monkeypatch.setattr(kneser_ney, "SEGMENT", 3000)
-    kneser_ney.POWERS.clear()
-    texts = [*ODD, "  A b\tA\nb  ", "word " * 3000, "x" * 9000 + " y"]
-    h, sizes = kneser_ney.hashed(texts)
-    words = [w for t in texts for w in [*shared.ascii_lower_words(t), None]]
-    assert sizes.tolist() == [len(shared.ascii_lower_words(t)) + 1 for t in texts] and len(h) == len(words)
-    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
-    kneser_ney.POWERS.clear()
+    columns = [np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64)), r.integers(0, 2000, 1000).astype(np.uint64), np.full(1000, kneser_ney.UNKNOWN)]
+    for n in (1000, 1, 0):
+        got = kneser_ney.unpacked(kneser_ney.packed([c[:n] for c in columns]))
+        assert all((a == c[:n]).all() and len(a) == n for a, c in zip(got, columns))
+
+
+def test_counts_beyond_32_bits():
+    """Counts that don't fit 32 bits stay whole when they are merged and stored."""
+    big = np.array([1 << 40, 5], np.uint64)
+    (keys,), (counts,) = kneser_ney.merged([np.array([7, 7], np.uint64)], [big])
+    assert counts.tolist() == [(1 << 40) + 5] and kneser_ney.smallest(counts).tolist() == counts.tolist()
+    assert kneser_ney.smallest(np.array([3], np.uint64)).dtype == np.uint32
 
 
 # 10 licenses
