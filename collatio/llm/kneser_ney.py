@@ -49,8 +49,9 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches, map_file, mixed, new_folder, put_file, settle
 
-#: Words that a probability depends on, the predicted one included.
-ORDER = 3
+#: Words that a probability depends on, the predicted one included. With three the check tool stopped the query on 0.10 GB of
+#: documents at 0.71 GB of disk (16 million trigrams), seven times the input and before it scored; its budget is four times.
+ORDER = 2
 #: Entries that a shard is sent on average; occurrences of a context's rarest word for each shard that it is spread over; portions merged at once.
 SHARD, HOT, FAN = 1_000_000, 3_000_000, 2048
 #: Bytes of texts in a portion, and of a piece of a long text.
@@ -691,6 +692,6 @@ def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:
     from .language_id import held_out
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(parts=7))
-    enc = encoded(docs, train=~F.col("held_out"), drop=("text",))
+    enc = encoded(docs, train=~F.col("held_out"), order=ORDER, drop=("text",))
     model, portions = trained(enc)
     return scored(enc, model, portions).select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.total).cast("long").alias("train_tokens"), "lm.base_score", "lm.score", "lm.perplexity")
