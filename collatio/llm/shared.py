@@ -6,7 +6,6 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -18,6 +17,8 @@ from collatio.session import ship
 
 #: Bytes of text in one Arrow batch at most (a single longer row makes a batch of its own).
 BATCH_BYTES = "16m"
+#: Rows of a key from which a join splits it; keys that may be broadcast.
+HOT_ROWS, SENT = 1_000_000, 500_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -29,11 +30,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new temporary folder, which is then set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a new temporary folder, which is then set;
+    on a cluster that is an error, since executors would write to disks of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="collatio-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -73,23 +78,50 @@ def put_file(address: str, data: bytes) -> None:
 
 
 def map_file(address: str):
-    """The bytes of a file of the shared folder, memory-mapped, as a numpy array.
-
-    A folder that is mounted is mapped in place. Any other store is copied to this worker's temporary folder,
-    mapped, and unlinked at once, so that nothing stays behind.
-    """
+    """The bytes of a file of the shared folder as a numpy array: memory-mapped where the folder is mounted, else read into memory
+    (nothing is copied to a worker's own disk, so such files must be small)."""
     import numpy as np
 
     store, path = filesystem(address)
     if urlparse(address).scheme in ("", "file"):
         return np.memmap(path, np.uint8, "r")
-    handle, local = tempfile.mkstemp(prefix="collatio-map-")
-    try:
-        with store.open_input_stream(path) as src, os.fdopen(handle, "wb") as out:
-            shutil.copyfileobj(src, out, 1 << 22)
-        return np.memmap(local, np.uint8, "r")
-    finally:
-        os.unlink(local)
+    with store.open_input_file(path) as src:
+        return np.frombuffer(src.read(), np.uint8)
+
+
+class Ranges:
+    """Parts of a file of the shared folder: of its mapped bytes, or read one by one where the folder isn't mounted."""
+
+    def __init__(self, address: str):
+        import numpy as np
+
+        store, path = filesystem(address)
+        mounted = urlparse(address).scheme in ("", "file")
+        self.mapped = np.memmap(path, np.uint8, "r") if mounted else None
+        self.file = None if mounted else store.open_input_file(path)
+
+    def get(self, start: int, size: int):
+        import numpy as np
+
+        return self.mapped[start : start + size] if self.file is None else np.frombuffer(self.file.read_at(size, start), np.uint8)
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, hot: int | None = None) -> DataFrame:
+    """many joined to one (a row for each key), where a key may hold a large part of many.
+
+    rows: the column of one that says how many rows of many a key has. A key of more than `hot` of them is split into parts of
+    about as many, and its row of one repeats for each part. Hot keys are at most a hot-th of the rows; they are broadcast
+    behind a check of their number, beyond which the planner's own splitting of skewed partitions is left to act.
+    """
+    hot = HOT_ROWS if hot is None else hot
+    busy = settle(one.where(F.col(rows) > hot).select(key, F.ceil(F.col(rows) / hot).cast("int").alias("__parts")))
+    n = busy.count()
+    if not 0 < n <= SENT:
+        return many.join(one, key)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = many.join(F.broadcast(busy), key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
+    right = one.join(F.broadcast(busy), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def ascii_lower_words(text: str | None) -> list[bytes]:
@@ -119,7 +151,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v), root being the smallest node reachable.
 
     Alternates large-star and small-star steps, each one group-by over the edges, until nothing changes; hub nodes are
-    halved by the map-side minimum. Every round's edges are stored in the shared folder.
+    halved by the map-side minimum. Every round's edges are stored in the shared folder. Rounds grow with the logarithm of the longest
+    chain, so that `rounds` is a guard against a fault, not a limit.
     """
     e = settle(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct())
     for _ in range(rounds):

@@ -497,30 +497,81 @@ def test_small_caches_change_nothing():
 # 8 WARC
 
 
-def test_archive_restores_records(spark, tmp_path):
-    rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (5, "http://c", None), (7, None, ""), (None, "http://d", "<p>é</p>"), (9, "http://e", "x" * 100_000), (2, "http://b", "<p>é</p>"), (None, "u", "lone\r\n\r\nWARC/1.1")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+PAGES = [
+    (1, "http://a", "<p>é</p>"),
+    (2, "http://b", "<p>é</p>"),
+    (5, "http://c", None),
+    (7, None, ""),
+    (None, "http://d", "<p>é</p>"),
+    (9, "http://e%20f", "x" * 100_000),
+    (2, "http://b", "<p>é</p>"),
+    (None, "u", "lone\r\n\r\nWARC/1.1"),
+    (20, "a\u2028WARC-Refers-To: <urn:page:5:1>\u0085WARC-Type: revisit\u2029x", "own"),
+    (21, "b\r\nWARC-Refers-To: <urn:page:5:1>\r\n%0D\x00\r\n\r\n", "page"),
+    (-3, "", "minus"),
+]
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_archive_restores_records(spark, tmp_path, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(shared, "HOT_ROWS", hot)
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({"digest": F.lit("clash"), "row": F.lit(1), "payload": F.lit(2)})
     folder = str(tmp_path / "w")
     warc_store.write_archive(df, folder)
-    assert spark.read.parquet(folder + "/payloads").count() == 4
-    back = warc_store.restored(spark, folder)
-    got = {(r["page_id"], r["record_type"], r["refers_to"]): r for r in back.select("*", warc_store.record_bytes().alias("bytes")).collect()}
-    assert set(got) == {(1, "revisit", 2), (2, "response", None), (5, "revisit", 7), (7, "response", None), (None, "revisit", 2), (9, "response", None), (None, "response", None)}
-    for (page, kind, refers), r in got.items():
+    assert spark.read.parquet(folder + "/payloads").count() == 7
+    back = warc_store.with_payloads(spark, folder).collect()
+    assert Counter((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in back) == Counter((p, u, h or "") for p, u, h in PAGES)
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in back} == {(1, "revisit", 2), (2, "response", None), (5, "revisit", 7), (7, "response", None), (None, "revisit", 2), (9, "response", None), (None, "response", None), (20, "response", None), (21, "response", None), (-3, "response", None)}
+    ids = set()
+    for r in back:
         fields, content = warc_store.parse_records(bytes(r["bytes"]) * 2)[1]
-        assert fields["WARC-Type"] == kind and content == (b"" if kind == "revisit" else bytes(r["payload"]))
+        ids.add(fields["WARC-Record-ID"])
+        assert fields["WARC-Type"] == r["record_type"] and content == (b"" if r["record_type"] == "revisit" else bytes(r["payload"])) == bytes(r["content"])
         digest = base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode()
-        assert fields["WARC-Payload-Digest"] == f"sha1:{digest}"
+        assert fields["WARC-Payload-Digest"] == f"sha1:{digest}" and r["sha1"] == digest and r["size"] == len(bytes(r["payload"]))
+    assert len(ids) == len(PAGES) and {f.split("WARC-Refers-To: ")[1].split("\r\n")[0] for f in (r["header"] for r in back if r["record_type"] == "revisit")} <= ids
+    assert [f for r in back for f in [warc_store.parse_records(bytes(r["bytes"]))[0][0]["WARC-Type"]] if f != r["record_type"]] == []
     short = str(tmp_path / "s")
     warc_store.write_archive(df, short, least=1000)
     assert warc_store.restored(spark, short).where("record_type = 'revisit'").count() == 0
-    bad = spark.read.parquet(folder + "/payloads").withColumn("payload", F.lit(b"other"))
-    bad.write.parquet(folder + "x/payloads")
-    spark.read.parquet(folder + "/records").write.parquet(folder + "x/records")
-    with pytest.raises(Exception, match="damaged payload"):
-        warc_store.restored(spark, folder + "x").collect()
+
+
+def test_damage_to_an_archive_is_found(spark, tmp_path):
+    df = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    warc_store.write_archive(df, folder)
+    payloads, records = spark.read.parquet(folder + "/payloads"), spark.read.parquet(folder + "/records")
+    cases = {"a": (payloads.withColumn("payload", F.lit(b"other")), records, "damaged payload"), "b": (payloads, records.withColumn("header", F.replace("header", F.lit("Content-Length: 9"), F.lit("Content-Length: 8"))), "is cut|differs"), "c": (payloads, records.withColumn("header", F.regexp_replace("header", "sha1:[A-Z2-7]{4}", "sha1:AAAA")), "payload differs")}
+    for name, (p, r, message) in cases.items():
+        p.write.parquet(f"{folder}{name}/payloads")
+        r.write.parquet(f"{folder}{name}/records")
+        spark.read.parquet(folder + "/uses").write.parquet(f"{folder}{name}/uses")
+        with pytest.raises(Exception, match=message):
+            warc_store.restored(spark, folder + name).collect()
     warc_store.write_archive(df.limit(0), str(tmp_path / "e"))
-    assert warc_store.restored(spark, str(tmp_path / "e")).count() == 0
+    assert warc_store.with_payloads(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_joins_of_hot_keys(spark):
+    many = spark.range(1000).select((F.col("id") % 7 % 4).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("n"))
+    for hot in (10, 200, 10_000):
+        got = shared.join_hot(many, one, "k", "n", hot)
+        assert got.columns == ["k", "id", "n"] and got.count() == 1000 and got.select("id").distinct().count() == 1000
+
+
+def test_a_cluster_without_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://x:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Session())
 
 
 # 9 language model
@@ -562,7 +613,10 @@ def brute_model(train, texts, order):
     return n, out
 
 
-@pytest.mark.parametrize("settings", [{}, {"SHARD": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}])
+SMALL = {"SHARD": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}
+
+
+@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"ORDER": 3}])
 def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, settings):
     """With one shard, and with many shards and portions, contexts that are spread, and texts that go on in other portions."""
     for k, x in settings.items():
@@ -577,7 +631,7 @@ def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, settings):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
-@pytest.mark.parametrize("order", [1, 2, 4])
+@pytest.mark.parametrize("order", [1, 3, 4])
 def test_other_orders_on_odd_rows(spark, odd, nothing, order):
     rows = odd.collect()
     n, want = brute_model([r["text"] for r in rows], [r["text"] for r in rows], order)
@@ -599,7 +653,7 @@ def test_scores_without_training_rows(spark, odd, nothing):
 def test_probabilities_sum_to_one(spark):
     """Over all texts of up to two words: what a third word would take is one minus their sum, so it must lie between 0 and 1 for every beginning."""
     train, words = ["a b a b c", "b c d", "a b", "d d a"], ["a", "b", "c", "d", "unseen"]
-    _, brute = brute_model(train, [""], 3)
+    _, brute = brute_model(train, [""], kneser_ney.ORDER)
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
     asked = ["", *words]
     p = {r["text"]: 10 ** r["lm"]["score"] for r in kneser_ney.with_scores(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
