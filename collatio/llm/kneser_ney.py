@@ -3,14 +3,13 @@
 Tokens are the words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end token for every text. Before its first token a
 text has order - 1 begin marks, which are never predicted.
 
-Words are told apart by 128 bits of BLAKE2b, for which no two words with one digest are known. A word's number is
-its rank among the sorted digests of its shard. Contexts of two words or more are told apart by 64 bits of a hash of their numbers
-(among 10^12 contexts some 30,000 would share one; base scores and counts of words don't depend on it).
+Words are spelled out wherever they are counted or looked up, so no two are taken for one. A word's number is its rank among
+its shard's words, the most frequent first. Contexts of two words or more are told apart by 64 bits of a hash of their numbers
+(among 10^12 contexts some 30,000 would share one; orders one and two have no such contexts).
 
 1. `encoded` turns texts into portions, files of local word codes in the shared folder, each word spelled once a portion.
    It runs once, for training and scoring alike. A long text goes on in pieces that carry their last words along.
-2. Words are counted by shard of digest; each shard is written as sorted arrays of digests and counts. A portion looks its words
-   up by sending them to their shards, and is numbered.
+2. Words are counted by shard. A portion looks its words up by sending them to their shards, and is numbered.
 3. N-grams of the highest order are counted per portion, sent packed to shards by context, and written as sorted arrays of
    context hashes, words and counts. Each shard passes on, for the n-grams one word shorter, how many words precede them
    (for those that begin a text, how often they occur), and so on down to words: these are the adjusted counts.
@@ -35,11 +34,11 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from hashlib import blake2b
-from itertools import chain
+from itertools import chain, count
 from typing import Any
 
 import numpy as np
@@ -53,9 +52,9 @@ from .shared import bound_batches, map_file, mixed, new_folder, put_file, settle
 #: documents at 0.71 GB of disk (16 million trigrams), seven times the input and before it scored; its budget is four times.
 ORDER = 2
 #: Entries that a shard is sent on average; occurrences of a context's rarest word for each shard that it is spread over; portions merged at once.
-SHARD, HOT, FAN = 1_000_000, 3_000_000, 2048
+SHARD, HOT, FAN = 3_000_000, 3_000_000, 2048
 #: Bytes of texts in a portion, and of a piece of a long text.
-PORTION, SEGMENT = 4 << 20, 1 << 20
+PORTION, SEGMENT = 16 << 20, 1 << 20
 #: Stand for words that no text has: they contain a blank. Their codes in every portion.
 END, BEGIN = b" end", b" begin"
 END_CODE, BEGIN_CODE = 0, 1
@@ -91,21 +90,35 @@ def unzipped(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length, of numbers up to 64 bits, in few bytes; best if the first one is sorted."""
-    rows = np.stack([np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)), *(c.astype(np.uint64) for c in columns[1:])])
+def packed(columns: list[np.ndarray], rising: bool = False) -> bytes:
+    """Columns of equal length, of numbers up to 64 bits, in few bytes. rising: the first one is sorted."""
+    first = np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)) if rising else columns[0].astype(np.uint64)
+    rows = np.stack([first, *(c.astype(np.uint64) for c in columns[1:])])
     planes = rows.astype("<u8").view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1)
-    return zipped(np.array(rows.shape, "<u8").tobytes() + planes.tobytes())
+    return zipped(np.array([*rows.shape, rising], "<u8").tobytes() + planes.tobytes())
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(unzipped(blob), np.uint8)
-    width, n = (int(x) for x in raw[:16].view("<u8"))
-    rows = np.ascontiguousarray(raw[16:].reshape(width, 8, n).transpose(0, 2, 1)).view("<u8").reshape(width, n).astype(np.uint64)
-    rows[0] = np.cumsum(rows[0], dtype=np.uint64)
+    width, n, rising = (int(x) for x in raw[:24].view("<u8"))
+    rows = np.ascontiguousarray(raw[24:].reshape(width, 8, n).transpose(0, 2, 1)).view("<u8").reshape(width, n).astype(np.uint64)
+    if rising:
+        rows[0] = np.cumsum(rows[0], dtype=np.uint64)
     return list(rows)
 
 
+def with_words(words: list[bytes], counts: np.ndarray) -> bytes:
+    """Words and a number for each, in few bytes."""
+    spelled = zipped(b"\n".join(words))
+    return len(spelled).to_bytes(8, "little") + spelled + packed([counts])
+
+
+def words_of(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    counts = unpacked(blob[8 + n :])[0]
+    return (unzipped(blob[8 : 8 + n]).split(b"\n") if len(counts) else []), counts
+
+
 def put_arrays(address: str, **arrays: np.ndarray) -> None:
     """A file of named arrays that can be mapped."""
     head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
@@ -137,18 +150,21 @@ class Portion:
     """A portion that is being filled."""
 
     def __init__(self) -> None:
-        self.id, self.local, self.codes, self.pieces, self.bytes = uuid.uuid4().int >> 65, {END: END_CODE, BEGIN: BEGIN_CODE}, [], [], 0
+        self.id, self.codes, self.pieces, self.bytes = uuid.uuid4().int >> 65, [], [], 0
+        self.local: defaultdict[bytes, int] = defaultdict(count().__next__)
+        for word in (END, BEGIN):
+            self.local[word]
 
     def add(self, home: tuple[int, int], train: bool, before: list[bytes], words: list[bytes]) -> None:
-        local = self.local
-        self.codes.append(np.array([local.setdefault(w, len(local)) for w in chain(before, words)], np.uint32))
+        n = len(before) + len(words)
+        self.codes.append(np.fromiter(map(self.local.__getitem__, chain(before, words)), np.uint32, n))
         self.pieces.append((*home, len(words), train))
 
     def save(self, folder: str) -> None:
-        digests = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in self.local), "<u8")
         codes = np.concatenate(self.codes).astype("<u4").view(np.uint8).reshape(-1, 4).T
+        blobs = {"words": b"\n".join(self.local), "codes": codes.tobytes()}
         home, place, size, train = (np.array(x, np.int64) for x in zip(*self.pieces))
-        put_arrays(f"{folder}/portion-{self.id}", high=digests[::2], low=digests[1::2], codes=np.frombuffer(zipped(codes.tobytes()), np.uint8), home=home, place=place, size=size, train=train)
+        put_arrays(f"{folder}/portion-{self.id}", home=home, place=place, size=size, train=train, **{k: np.frombuffer(zipped(b), np.uint8) for k, b in blobs.items()})
 
 
 def encoder(folder: str, order: int):
@@ -156,8 +172,9 @@ def encoder(folder: str, order: int):
 
     @F.pandas_udf("portion long, place long, more array<long>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        now = Portion()
         for texts, train in batches:
-            now, rows = Portion(), []
+            rows = []
             for text, trains in zip(texts, train):
                 raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
                 home, more, before = (now.id, len(now.pieces)), [], [BEGIN] * (order - 1)
@@ -178,9 +195,9 @@ def encoder(folder: str, order: int):
                     now.bytes += len(piece)
                     before = [*before, *words][len(words) :] if len(words) < order - 1 else words[len(words) - order + 1 :]
                 rows.append((*home, more))
-            if now.pieces:
-                now.save(folder)
             yield pd.DataFrame(rows, columns=["portion", "place", "more"])
+        if now.pieces:
+            now.save(folder)
 
     return run.asNondeterministic()
 
@@ -193,7 +210,7 @@ def spread_out(rows: DataFrame, n: int, *keys: str) -> DataFrame:
 
 @dataclass
 class Encoded:
-    """Texts as portions: rows (row, at), the ids of all portions, their number, and how many words they spell."""
+    """Texts as portions: rows (row, at), the ids of all portions, their number, how many words they spell, training texts and all tokens."""
 
     rows: DataFrame
     portions: DataFrame
@@ -202,6 +219,7 @@ class Encoded:
     n: int
     spelled: int
     texts: int
+    tokens: int
 
 
 def encoded(df: DataFrame, text: str = "text", train: Column | None = None, order: int = ORDER, drop: tuple[str, ...] = ()) -> Encoded:
@@ -219,10 +237,16 @@ def encoded(df: DataFrame, text: str = "text", train: Column | None = None, orde
             for p in b["portion"]:
                 f = map_arrays(f"{folder}/portion-{p}")
                 begins = (f["home"] == p) & (np.arange(len(f["home"])) == f["place"])  # other pieces go on with a text
-                yield pd.DataFrame({"words": [len(f["high"])], "texts": [int(f["train"][begins].sum())]})
+                yield pd.DataFrame({"words": [len(spelled_words(f))], "texts": [int(f["train"][begins].sum())], "tokens": [int(f["size"].sum())]})
+
+    found = spread_out(portions, portions.count()).mapInPandas(sizes, "words long, texts long, tokens long")
+    n, *sums = found.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in found.columns]).first()
+    return Encoded(rows, portions, folder, order, n, *sums)
 
-    n, spelled, texts = spread_out(portions, portions.count()).mapInPandas(sizes, "words long, texts long").agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))).first()
-    return Encoded(rows, portions, folder, order, n, spelled, texts)
+
+def spelled_words(file: dict[str, np.ndarray]) -> list[bytes]:
+    """A portion's words, by code."""
+    return unzipped(file["words"].tobytes()).split(b"\n")
 
 
 @dataclass
@@ -241,10 +265,8 @@ class Level:
 
 @dataclass
 class Stream:
-    """A portion as it was written: words, places of tokens, pieces, and all its n-grams."""
+    """A portion as it was written: places of tokens, pieces, and all its n-grams."""
 
-    high: np.ndarray
-    low: np.ndarray
     real: np.ndarray
     train: np.ndarray
     pieces: dict[str, np.ndarray]
@@ -252,23 +274,25 @@ class Stream:
     levels: list[Level] = field(default_factory=list)
 
     @classmethod
-    def read(cls, folder: str, portion: int, order: int, upto: int | None = None) -> Stream:
+    def read(cls, folder: str, portion: int, order: int, n_words: int, upto: int | None = None) -> Stream:
         f = map_arrays(f"{folder}/portion-{portion}")
         codes = np.ascontiguousarray(np.frombuffer(unzipped(f["codes"].tobytes()), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
         length = f["size"] + order - 1
         place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
         real = place >= order - 1
-        out = cls(np.array(f["high"]), np.array(f["low"]), real, np.repeat(f["train"] > 0, length) & real, {k: f[k] for k in ("home", "place", "size")}, codes)
-        at, columns, shorter = codes.astype(np.uint64), np.arange(len(out.high)).reshape(-1, 1), None
+        out = cls(real, np.repeat(f["train"] > 0, length) & real, {k: f[k] for k in ("home", "place", "size")}, codes)
+        at, columns, shorter = codes.astype(np.int64), np.arange(n_words).reshape(-1, 1), None
         for k in range(1, (order if upto is None else upto) + 1):
             if k > 1:
                 inside = np.flatnonzero(place >= k - 1)
-                pairs, first, back = np.unique(at[inside - 1] << np.uint64(32) | codes[inside], return_index=True, return_inverse=True)
-                shorter, columns = at[inside[first]].astype(np.int64), np.column_stack((columns[(pairs >> np.uint64(32)).astype(np.int64)], (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-                at = np.zeros(len(codes), np.uint64)
-                at[inside] = back.astype(np.uint64)
+                pairs, back = np.unique(at[inside - 1] << 32 | codes[inside], return_inverse=True)
+                before, shorter = at, np.empty(len(pairs), np.int64)
+                shorter[back] = before[inside]
+                columns = np.column_stack((columns[pairs >> 32], pairs & 0xFFFFFFFF))
+                at = np.zeros(len(codes), np.int64)
+                at[inside] = back
             wanted = np.zeros(len(columns), bool)
-            wanted[at[real].astype(np.int64)] = True
+            wanted[at[real]] = True
             out.levels.append(Level(at, columns, wanted, shorter))
         return out
 
@@ -292,14 +316,22 @@ def shards_of(grams: np.ndarray, split: np.ndarray, n: int) -> np.ndarray:
     return (mixed(hashed(grams[:, :-1]) + word % split, 3) if grams.shape[1] > 1 else word) % np.uint64(n)
 
 
-def merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows of key columns, sorted, and their summed values."""
+def rank_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of columns, the first one first."""
+    if len(columns) == 2 and len(columns[0]) and max(columns[0].max(), columns[1].max()) < 1 << 32:
+        columns = [columns[0] << np.uint64(32) | columns[1]]  # one key sorts several times faster than two
+    return np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+
+
+def merged(keys: list[np.ndarray], values: list[np.ndarray], given: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of key columns, sorted, their summed values, and what is given with a key."""
+    given = given or []
     if not len(keys[0]):
-        return keys, values
-    order = np.lexsort(keys[::-1])
+        return keys, values, given
+    order = rank_of(keys)
     keys = [k[order] for k in keys]
     first = np.flatnonzero(np.concatenate(([True], reduce(np.logical_or, [k[1:] != k[:-1] for k in keys]))))
-    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values]
+    return [k[first] for k in keys], [np.add.reduceat(v[order], first) for v in values], [g[order[first]] for g in given]
 
 
 def gathered(frame: pd.DataFrame, width: int) -> list[np.ndarray]:
@@ -308,23 +340,19 @@ def gathered(frame: pd.DataFrame, width: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(width)]
 
 
-def by_shard(rows: DataFrame, n_keys: int, width: int, n: int, portions: int) -> DataFrame:
-    """Rows of blobs, ready to be reduced by shard: every shard has a row, and many portions' rows are merged FAN at a time before.
+def every_shard(rows: DataFrame, n: int, blob: bytes) -> DataFrame:
+    """Rows by shard, with an empty blob for every shard, so that none goes without a file."""
+    every = rows.sparkSession.range(n).select(F.lit(0).alias("level"), F.col("id").alias("shard"), F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("portion"), F.lit(blob).alias("blob"))
+    return spread_out(rows.unionAll(every), 4 * n, "shard")
 
-    A blob has n_keys key columns, columns that depend on the key, and as the last one a count.
-    """
-    spark = rows.sparkSession
-    if portions > FAN:
 
-        def merge(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-            columns = gathered(frame, width)
-            keys, (counts,) = merged(columns[:-1], columns[-1:])
-            return pd.DataFrame([(frame["level"].iat[0], key[0], GRAMS, 0, packed([*keys, counts]))], columns=["level", "shard", "kind", "portion", "blob"])
+def merged_first(rows: DataFrame, merge, portions: int) -> DataFrame:
+    """Rows of many portions, FAN of a shard merged into one. merge: from a frame to a blob."""
 
-        rows = salted(rows, portions).groupBy("shard", "salt").applyInPandas(merge, ROWS)
-    empty = packed([np.empty(0, np.uint64)] * width)
-    every = spark.range(n).select(F.lit(0).alias("level"), F.col("id").alias("shard"), F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("portion"), F.lit(empty).alias("blob"))
-    return spread_out(rows.unionAll(every), 4 * n, "shard")
+    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+        return as_rows([(int(frame["level"].iat[0]), key[0], GRAMS, key[1], merge(frame))])
+
+    return salted(rows, portions).groupBy("shard", "salt").applyInPandas(run, ROWS) if portions > FAN else rows
 
 
 def salted(rows: DataFrame, portions: int) -> DataFrame:
@@ -333,10 +361,10 @@ def salted(rows: DataFrame, portions: int) -> DataFrame:
 
 
 def sent(level: int, kind: str, portion: int, shard: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    """A row for every shard that is sent something."""
+    """A row for every shard that is sent something. Columns are sorted by the first one."""
     order = np.argsort(shard, kind="stable")
     keys, cuts = np.unique(shard[order], return_index=True)
-    return [(level, int(s), kind, portion, packed([c[at] for c in columns])) for s, at in zip(keys, np.split(order, cuts[1:]))]
+    return [(level, int(s), kind, portion, packed([c[at] for c in columns], True)) for s, at in zip(keys, np.split(order, cuts[1:]))]
 
 
 def as_rows(rows: list[tuple]) -> pd.DataFrame:
@@ -370,84 +398,141 @@ class Model:
     gamma: float = 1.0
 
 
-def word_rows(folder: str, portion: int, order: int, n: int, count: bool) -> list[tuple]:
-    """A portion's words, for their shards: digests and, if count is set, how often training texts have them."""
-    s = Stream.read(folder, portion, order, 0)
-    codes = np.flatnonzero(np.arange(len(s.high)) != BEGIN_CODE)
-    columns = [s.high[codes], s.low[codes]]
-    if count:
-        columns.append(np.bincount(s.codes[s.train], minlength=len(s.high)).astype(np.uint64)[codes])
-    return sent(0, GRAMS, portion, s.high[codes] % np.uint64(n), columns)
+def word_shards(words: list[bytes], n: int) -> np.ndarray:
+    """The shard of each word; -1 for the begin mark, which is in none."""
+    import xxhash
+
+    out = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
+    out[BEGIN_CODE] = -1
+    return out
+
+
+def word_rows(folder: str, portion: int, order: int, n: int) -> list[tuple]:
+    """A portion's words, for their shards, and how often training texts have them."""
+    words = spelled_words(map_arrays(f"{folder}/portion-{portion}"))
+    s = Stream.read(folder, portion, order, len(words), 0)
+    counts, shard = np.bincount(s.codes[s.train], minlength=len(words)), word_shards(words, n)
+    return [(0, int(k), GRAMS, portion, with_words([words[i] for i in at], counts[at])) for k in np.unique(shard[shard >= 0]) for at in [np.flatnonzero(shard == k)]]
+
+
+def tallied(frame: pd.DataFrame) -> dict[bytes, int]:
+    """Words of all blobs of a frame and their summed counts."""
+    out: dict[bytes, int] = {}
+    for blob in frame["blob"]:
+        words, counts = words_of(blob)
+        for w, c in zip(words, counts.tolist()):
+            out[w] = out.get(w, 0) + c
+    return out
 
 
 def count_words(enc: Encoded, model: Model) -> None:
-    """Writes the words' shards and puts their totals into the model."""
+    """Writes the words' shards, the most frequent words first, and puts their totals into the model."""
     folder, order, n, target = enc.folder, enc.order, model.word_shards, model.folder
 
+    def merge(frame: pd.DataFrame) -> bytes:
+        found = tallied(frame)
+        return with_words(list(found), np.fromiter(found.values(), np.uint64, len(found)))
+
     def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        high, low, counts = gathered(frame, 3)
-        (high, low), (counts,) = merged([high, low], [counts])
-        used = counts > 0
-        put_arrays(f"{target}/words-{key[0]}", high=high[used], low=low[used], count=counts[used])
-        return pd.DataFrame({"n": [int(used.sum())], "total": [int(counts.sum())]})
-
-    rows = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n, True)), ROWS)
-    done = by_shard(rows, 2, 3, n, enc.n).groupBy("shard").applyInPandas(write, "n long, total long")
+        ranked = sorted(((-c, w) for w, c in tallied(frame).items() if c))
+        counts = np.array([-c for c, _ in ranked], np.uint64)
+        put_arrays(f"{target}/words-{key[0]}", blob=np.frombuffer(with_words([w for _, w in ranked], counts), np.uint8))
+        return pd.DataFrame({"n": [len(ranked)], "total": [int(counts.sum())]})
+
+    rows = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n)), ROWS)
+    done = every_shard(merged_first(rows, merge, enc.n), n, with_words([], np.empty(0))).groupBy("shard").applyInPandas(write, "n long, total long")
     model.distinct, model.total = (int(x or 0) for x in done.agg(F.sum("n"), F.sum("total")).first())
 
 
 def numbered(enc: Encoded, model: Model) -> DataFrame:
-    """(portion, grams): writes the numbers and counts of each portion's words beside it; grams: how many n-grams of the highest order it has."""
+    """The portions, once the numbers and counts of each one's words are written beside it."""
     folder, order, n, source = enc.folder, enc.order, model.word_shards, model.folder
     name = source.rsplit("/", 1)[1]
 
     def look_up(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        known = map_arrays(f"{source}/words-{key[0]}")
+        words, counts = words_of(map_arrays(f"{source}/words-{key[0]}")["blob"].tobytes())
+        rank, counts = {w: i for i, w in enumerate(words)}, np.append(counts, np.uint64(0))
         out = []
         for portion, blob in zip(frame["portion"].tolist(), frame["blob"]):
-            high, low = unpacked(blob)
-            at = np.searchsorted(known["high"], high)
-            while True:  # digests whose first halves are equal lie side by side
-                inside = np.minimum(at, max(len(known["high"]) - 1, 0))
-                here = (at < len(known["high"])) & (known["high"][inside] == high) if len(known["high"]) else np.zeros(len(high), bool)
-                hit = here.copy()
-                hit[here] = known["low"][at[here]] == low[here]
-                if not (here & ~hit).any():
-                    break
-                at[here & ~hit] += 1
-            ids, counts = np.full(len(high), UNKNOWN), np.zeros(len(high), np.uint64)
-            ids[hit], counts[hit] = at[hit].astype(np.uint64) * np.uint64(n) + np.uint64(key[0] + 1), known["count"][at[hit]]
-            out.append((0, key[0], GRAMS, portion, packed([ids, counts])))
+            asked = words_of(blob)[0]
+            at = np.fromiter((rank.get(w, -1) for w in asked), np.int64, len(asked))
+            ids = np.where(at < 0, UNKNOWN, at.astype(np.uint64) * np.uint64(n) + np.uint64(key[0] + 1))
+            out.append((0, key[0], GRAMS, portion, packed([ids, counts[at]])))
         return as_rows(out)
 
     def write(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        s = Stream.read(folder, key[0], order)
-        ids, counts = np.full(len(s.high), BEGIN_ID), np.zeros(len(s.high), np.uint64)
-        shard = (s.high % np.uint64(n)).astype(np.int64)
-        shard[BEGIN_CODE] = -1
+        words = spelled_words(map_arrays(f"{folder}/portion-{key[0]}"))
+        ids, counts, shard = np.full(len(words), BEGIN_ID), np.zeros(len(words), np.uint64), word_shards(words, n)
         for k, blob in zip(frame["shard"], frame["blob"]):
             own = np.flatnonzero(shard == k)
             ids[own], counts[own] = unpacked(blob)
         counts[BEGIN_CODE] = model.texts
-        put_arrays(f"{folder}/{name}-{key[0]}", ids=ids, counts=counts)
-        return pd.DataFrame({"portion": [key[0]], "grams": [int(s.levels[-1].wanted.sum())]})
+        put_arrays(f"{folder}/{name}-{key[0]}", blob=np.frombuffer(packed([ids, counts]), np.uint8))
+        return pd.DataFrame({"portion": [key[0]]})
 
-    asked = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n, False)), ROWS)
+    asked = spread_out(enc.portions, enc.n).mapInPandas(over_portions(lambda p: word_rows(folder, p, order, n)), ROWS)
     replies = spread_out(salted(asked, enc.n), 4 * n * (enc.n // FAN + 1), "shard", "salt").groupBy("shard", "salt").applyInPandas(look_up, ROWS)
-    return settle(spread_out(replies, enc.n, "portion").groupBy("portion").applyInPandas(write, "portion long, grams long"))
+    return settle(spread_out(replies, enc.n, "portion").groupBy("portion").applyInPandas(write, "portion long"))
+
+
+def numbers_of(folder: str, name: str, portion: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number, count in training texts) of each word of a portion."""
+    return tuple(unpacked(map_arrays(f"{folder}/{name}-{portion}")["blob"].tobytes()))
 
 
 def counted_grams(folder: str, name: str, portion: int, order: int, n: int) -> list[tuple]:
     """A portion's n-grams of the highest order in training texts, for their shards: numbers, spreads of all their contexts, counts."""
-    s, own = Stream.read(folder, portion, order), map_arrays(f"{folder}/{name}-{portion}")
+    ids, counts = numbers_of(folder, name, portion)
+    s = Stream.read(folder, portion, order, len(ids))
     top = s.levels[-1]
-    count = np.bincount(top.at[s.train].astype(np.int64), minlength=len(top.columns))
-    used = np.flatnonzero(count)
-    words, codes = own["ids"][top.columns[used]], top.columns[used]
-    spread = [splits(own["counts"], codes[:, j:-1]) for j in range(order - 1)]
-    rank = np.lexsort(words.T[::-1])
-    shard = shards_of(words, spread[0] if spread else np.ones(len(words), np.uint64), n)
-    return sent(order, GRAMS, portion, shard[rank], [*words[rank].T, *(x[rank] for x in spread), count[used][rank].astype(np.uint64)])
+    times = np.bincount(top.at[s.train], minlength=len(top.columns))
+    used = np.flatnonzero(times)
+    words = ids[top.columns[used]]
+    rank = rank_of(list(words.T))
+    words, codes, times = words[rank], top.columns[used][rank], times[used][rank]
+    spread = [splits(counts, codes[:, j:-1]) for j in range(order - 1)]
+    return sent(order, GRAMS, portion, shards_of(words, spread[0] if spread else np.ones(len(words), np.uint64), n), [*words.T, *spread, times])
+
+
+@dataclass
+class Shard:
+    """N-grams of a level: sorted hashes of contexts, where each one's words begin, words sorted inside a context, and counts."""
+
+    context: np.ndarray
+    begin: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, count: np.ndarray) -> Shard:
+        """From sorted n-grams."""
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:, :-1] != words[:-1, :-1]).any(axis=1)
+        begin = np.flatnonzero(new)
+        context, size = hashed(words[begin, :-1]), np.diff(begin, append=len(words))
+        rank = np.argsort(context)
+        size, ends = size[rank], np.cumsum(size[rank])
+        rows = np.arange(len(words)) + np.repeat(begin[rank] - (ends - size), size)
+        return cls(context[rank], np.concatenate(([0], ends)), words[rows, -1], count[rows])
+
+    def save(self, address: str) -> None:
+        """Most counts fit a byte; the others stand apart."""
+        big = np.flatnonzero(self.count >= 255)
+        put_arrays(address, context=self.context, begin=smallest(self.begin), word=smallest(self.word), small=np.minimum(self.count, 255).astype(np.uint8), big=big, whole=self.count[big])
+
+    @classmethod
+    def map(cls, address: str) -> Shard:
+        f = map_arrays(address)
+        count = f["small"].astype(np.uint64)
+        count[f["big"]] = f["whole"]
+        return cls(f["context"], f["begin"], f["word"], count)
+
+    def totals(self) -> list[np.ndarray]:
+        """Of each context: its total, and how many words follow it once, twice, more often."""
+        if not len(self.context):
+            return [np.empty(0, np.uint64)] * 4
+        first = self.begin[:-1].astype(np.int64)
+        return [np.add.reduceat(x.astype(np.uint64), first) for x in (self.count, self.count == 1, self.count == 2, self.count > 2)]
 
 
 def reduce_level(level: int, model: Model, folder: str):
@@ -456,35 +541,34 @@ def reduce_level(level: int, model: Model, folder: str):
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         columns = gathered(frame, 2 * level)
-        keys, (count,) = merged(columns[:-1], columns[-1:])
-        words, spread = np.stack(keys[:level], 1), keys[level:]
-        context = hashed(words[:, :-1])
-        rank = np.lexsort((words[:, -1], context))
-        context, word, sorted_count = context[rank], words[rank, -1], count[rank]
-        put_arrays(f"{folder}/grams-{level}-{key[0]}", context=context, word=smallest(word), count=smallest(sorted_count))
+        keys, (count,), spread = merged(columns[:level], columns[-1:], columns[level:-1])
+        words = np.stack(keys, 1)
+        shard = Shard.of(words, count)
+        shard.save(f"{folder}/grams-{level}-{key[0]}")
         stats = [len(count), int(count.sum()), *(int((count == k).sum()) for k in (1, 2, 3, 4)), int((count > 2).sum())]
         rows = [(level, int(key[0]), STATS, 0, np.array(stats, "<i8").tobytes())]
         if level > 1 and len(count):
             seen = np.where(words[:, 1] == BEGIN_ID, count, np.uint64(1)) if level > 2 else np.ones(len(count), np.uint64)
-            shorter, (seen,) = merged([*words[:, 1:].T, *spread[1:]], [seen])
-            grams = np.stack(shorter[: level - 1], 1)
-            shard = shards_of(grams, shorter[level - 1] if level > 2 else np.ones(len(grams), np.uint64), n)
-            rows += sent(level - 1, GRAMS, int(key[0]), shard, [*shorter, seen])
-            wide = spread[0][rank] > 1
+            shorter, (seen,), rest = merged(keys[1:], [seen], spread[1:])
+            grams = np.stack(shorter, 1)
+            rows += sent(level - 1, GRAMS, int(key[0]), shards_of(grams, rest[0] if rest else np.ones(len(grams), np.uint64), n), [*shorter, *rest, seen])
+            wide = np.isin(shard.context, hashed(words[spread[0] > 1, :-1]))
             if wide.any():
-                contexts, total, follow = runs(context[wide], sorted_count[wide])
-                rows += sent(level, TOTALS, int(key[0]), mixed(contexts, 4) % np.uint64(n), [contexts, total, *follow])
+                rows += sent(level, TOTALS, int(key[0]), mixed(shard.context[wide], 4) % np.uint64(n), [shard.context[wide], *(x[wide] for x in shard.totals())])
         return as_rows(rows)
 
     return run
 
 
-def runs(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of n-grams sorted by context: the contexts, their totals, and how many words follow each once, twice, more often."""
-    if not len(context):
-        return context, np.empty(0, np.uint64), [np.empty(0, np.uint64)] * 3
-    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-    return context[first], np.add.reduceat(count.astype(np.uint64), first), [np.add.reduceat(x.astype(np.uint64), first) for x in (count == 1, count == 2, count > 2)]
+def merge_grams(level: int):
+    """Function from a frame of n-grams of a level to one blob."""
+
+    def run(frame: pd.DataFrame) -> bytes:
+        columns = gathered(frame, 2 * level)
+        keys, counts, spread = merged(columns[:level], columns[-1:], columns[level:-1])
+        return packed([*keys, *spread, *counts], True)
+
+    return run
 
 
 def write_totals(level: int, folder: str):
@@ -492,7 +576,7 @@ def write_totals(level: int, folder: str):
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         columns = gathered(frame, 5)
-        (context,), values = merged(columns[:1], columns[1:])
+        (context,), values, _ = merged(columns[:1], columns[1:])
         put_arrays(f"{folder}/totals-{level}-{key[0]}", context=context, **dict(zip(("total", "one", "two", "more"), values)))
         return pd.DataFrame({"n": [len(context)]})
 
@@ -512,15 +596,15 @@ def discounts(n: list[int]) -> np.ndarray:
 def trained(enc: Encoded) -> tuple[Model, DataFrame]:
     """(model, numbered portions) of encoded texts."""
     spark = enc.rows.sparkSession
-    model = Model(new_folder(spark, "kneser-ney"), enc.order, -(-enc.spelled // SHARD) or 1, 1, texts=enc.texts)
+    model = Model(new_folder(spark, "kneser-ney"), enc.order, -(-enc.spelled // SHARD) or 1, -(-enc.tokens // SHARD) or 1, texts=enc.texts)
     count_words(enc, model)
     portions = numbered(enc, model)
-    model.shards = -(-(portions.agg(F.sum("grams")).first()[0] or 0) // SHARD) or 1
     folder, name, order, n, target = enc.folder, model.folder.rsplit("/", 1)[1], enc.order, model.shards, model.folder
-    rows, senders = spread_out(portions.select("portion"), enc.n).mapInPandas(over_portions(lambda p: counted_grams(folder, name, p, order, n)), ROWS), enc.n
+    rows, senders = spread_out(portions, enc.n).mapInPandas(over_portions(lambda p: counted_grams(folder, name, p, order, n)), ROWS), enc.n
     for level in range(order, 0, -1):
-        made = settle(by_shard(rows, level, 2 * level, n, senders).groupBy("shard").applyInPandas(reduce_level(level, model, target), ROWS))
-        totals = by_shard(made.where(F.col("kind") == TOTALS), 1, 5, n, 0).groupBy("shard").applyInPandas(write_totals(level, target), "n long")
+        empty = [packed([np.empty(0, np.uint64)] * k) for k in (2 * level, 5)]
+        made = settle(every_shard(merged_first(rows, merge_grams(level), senders), n, empty[0]).groupBy("shard").applyInPandas(reduce_level(level, model, target), ROWS))
+        totals = every_shard(made.where(F.col("kind") == TOTALS), n, empty[1]).groupBy("shard").applyInPandas(write_totals(level, target), "n long")
         totals.agg(F.sum("n")).collect()
 
         def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -536,23 +620,23 @@ def trained(enc: Encoded) -> tuple[Model, DataFrame]:
     return model, portions
 
 
-def wanted_grams(level: int, s: Stream, own: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def wanted_grams(level: int, s: Stream, ids: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(which n-grams of a level are asked for, in the order they are sent; their word numbers; spreads; shards)."""
     x = s.levels[level - 1]
-    words = own["ids"][x.columns]
+    words = ids[x.columns]
     known = (words[:, :-1] != UNKNOWN).all(axis=1) if level > 1 else words[:, 0] != UNKNOWN
     some = np.flatnonzero(x.wanted & known)
-    some = some[np.lexsort(words[some].T[::-1])]
-    spread = splits(own["counts"], x.columns[some, :-1])
+    some = some[rank_of(list(words[some].T))]
+    spread = splits(counts, x.columns[some, :-1])
     return some, words[some], spread, shards_of(words[some], spread, n)
 
 
 def questions(folder: str, name: str, portion: int, order: int, n: int) -> list[tuple]:
     """A portion's n-grams of all orders, for the shards that can have them, and its contexts that are spread."""
-    s, own = Stream.read(folder, portion, order), map_arrays(f"{folder}/{name}-{portion}")
-    out = []
+    ids, counts = numbers_of(folder, name, portion)
+    s, out = Stream.read(folder, portion, order, len(ids)), []
     for level in range(1, order + 1):
-        _, words, spread, shard = wanted_grams(level, s, own, n)
+        _, words, spread, shard = wanted_grams(level, s, ids, counts, n)
         out += sent(level, GRAMS, portion, shard, list(words.T))
         wide = np.unique(hashed(words[spread > 1, :-1]))
         if level > 1:
@@ -586,24 +670,27 @@ def answers(folder: str):
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
         level, shard, kind = key[0], key[1], key[2]
-        known = map_arrays(f"{folder}/{kind}-{level}-{shard}")
-        out = []
+        address, out = f"{folder}/{kind}-{level}-{shard}", []
         if kind == GRAMS:
-            contexts, total, follow = runs(known["context"], known["count"])
+            known = Shard.map(address)
+            context, values = known.context, known.totals()
+        else:
+            f = map_arrays(address)
+            context, values = f["context"], [f[k] for k in ("total", "one", "two", "more")]
         for portion, blob in zip(frame["portion"].tolist(), frame["blob"]):
             asked = unpacked(blob)
-            if kind == TOTALS:
-                at, hit = found_at(known["context"], asked[0])
-                values = [np.where(hit, known[k][at], 0) if len(known[k]) else np.zeros(len(at)) for k in ("total", "one", "two", "more")]
-            else:
+            q = asked[0]
+            if kind == GRAMS:
                 q = hashed(np.stack(asked[:-1], 1)) if len(asked) > 1 else np.zeros(len(asked[0]), np.uint64)
-                begin, stop = (np.searchsorted(known["context"], q, side) for side in ("left", "right"))
-                at, hit = within_runs(known["word"], begin, stop, asked[-1])
-                count = np.zeros(len(at), np.uint64)
-                count[hit] = known["count"][at[hit]]
-                at, hit = found_at(contexts, q)
-                values = [count, *(np.where(hit, v[at], 0) if len(v) else np.zeros(len(at)) for v in (total, *follow))]
-            out.append((level, shard, kind, portion, packed([v.astype(np.uint64) for v in values])))
+            at, hit = found_at(context, q)
+            found = [np.where(hit, v[at], 0) if len(v) else np.zeros(len(at)) for v in values]
+            if kind == GRAMS:
+                begin, stop = (np.where(hit, known.begin[at + k] if len(context) else 0, 0).astype(np.int64) for k in (0, 1))
+                where, there = within_runs(known.word, begin, stop, asked[-1])
+                count = np.zeros(len(where), np.uint64)
+                count[there] = known.count[where[there]]
+                found.insert(0, count)
+            out.append((level, shard, kind, portion, packed(found)))
         return as_rows(out)
 
     return run
@@ -617,11 +704,12 @@ def added_up(model: Model, folder: str, name: str):
     order, n = model.order, model.shards
 
     def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        s, own = Stream.read(folder, key[0], order), map_arrays(f"{folder}/{name}-{key[0]}")
+        ids, counts = numbers_of(folder, name, key[0])
+        s = Stream.read(folder, key[0], order, len(ids))
         got = {(a, b, c): unpacked(d) for a, b, c, d in zip(frame["level"], frame["kind"], frame["shard"], frame["blob"]) if d is not None}
         p = None
         for level in range(1, order + 1):
-            some, words, spread, shard = wanted_grams(level, s, own, n)
+            some, words, spread, shard = wanted_grams(level, s, ids, counts, n)
             count, total, follow = np.zeros(len(some)), np.zeros(len(some)), np.zeros((len(some), 3))
             for k in np.unique(shard):
                 at = np.flatnonzero(shard == k)
@@ -647,12 +735,12 @@ def added_up(model: Model, folder: str, name: str):
             there = total > 0
             at = some[there]
             p[at] = (kept[there] + follow[there] @ d[1:] * low[at]) / total[there]
-        base = np.log10((own["counts"] + 1.0) / (model.total + model.distinct + 1))
+        base = np.log10((counts + 1.0) / (model.total + model.distinct + 1))
         codes, size = s.codes[s.real], s.pieces["size"]
         piece = np.repeat(np.arange(len(size)), size)
         add = lambda values: np.bincount(piece, weights=values, minlength=len(size))
-        logs = np.log10(p[s.levels[-1].at[s.real].astype(np.int64)])
-        seen = add((own["counts"] > 0)[codes].astype(float)).astype(np.int64)
+        logs = np.log10(p[s.levels[-1].at[s.real]])
+        seen = add((counts > 0)[codes].astype(float)).astype(np.int64)
         return pd.DataFrame({"home": s.pieces["home"], "place": s.pieces["place"], "n_tokens": size, "n_known": seen, "base_score": add(base[codes]), "score": add(logs)})
 
     return run
@@ -661,7 +749,7 @@ def added_up(model: Model, folder: str, name: str):
 def scored(enc: Encoded, model: Model, portions: DataFrame, into: str = "lm") -> DataFrame:
     """The rows of encoded texts and a struct column: n_tokens, n_known, base_score, score and perplexity."""
     folder, name, order, n = enc.folder, model.folder.rsplit("/", 1)[1], enc.order, model.shards
-    asked = salted(spread_out(portions.select("portion"), enc.n).mapInPandas(over_portions(lambda p: questions(folder, name, p, order, n)), ROWS), enc.n)
+    asked = salted(spread_out(portions, enc.n).mapInPandas(over_portions(lambda p: questions(folder, name, p, order, n)), ROWS), enc.n)
     keys = ("level", "shard", "kind", "salt")
     replies = spread_out(asked, 4 * n * order * (enc.n // FAN + 1), *keys).groupBy(*keys).applyInPandas(answers(model.folder), ROWS)
     every = portions.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("shard"), F.lit("").alias("kind"), "portion", F.lit(None).cast("binary").alias("blob"))

@@ -414,7 +414,7 @@ def test_secrets_of_odd_rows(spark, odd):
 def test_running_sums_and_maxima(spark):
     for n in (0, 1, 2, 3, 7, 64, 1000):
         v = [(i * 7919) % 101 for i in range(n)]
-        (r,) = spark.createDataFrame([(v,)], "v array<int>").select(secret_links.running(F.col("v"), lambda a, b: a + b).alias("s"), secret_links.running(F.col("v"), F.greatest).alias("m")).collect()
+        (r,) = spark.createDataFrame([(v,)], "v array<int>").select(shared.running(F.col("v"), lambda a, b: a + b).alias("s"), shared.running(F.col("v"), F.greatest).alias("m")).collect()
         assert r["s"] == list(np.cumsum(v, dtype=int)) and r["m"] == [max(v[: i + 1]) for i in range(n)]
 
 
@@ -673,14 +673,14 @@ def test_packed_columns_round_trip():
     r = np.random.default_rng(0)
     columns = [np.sort(r.integers(0, 1 << 63, 1000).astype(np.uint64)), r.integers(0, 2000, 1000).astype(np.uint64), np.full(1000, kneser_ney.UNKNOWN)]
     for n in (1000, 1, 0):
-        got = kneser_ney.unpacked(kneser_ney.packed([c[:n] for c in columns]))
+        got = kneser_ney.unpacked(kneser_ney.packed([c[:n] for c in columns], True))
         assert all((a == c[:n]).all() and len(a) == n for a, c in zip(got, columns))
 
 
 def test_counts_beyond_32_bits():
     """Counts that don't fit 32 bits stay whole when they are merged and stored."""
     big = np.array([1 << 40, 5], np.uint64)
-    (keys,), (counts,) = kneser_ney.merged([np.array([7, 7], np.uint64)], [big])
+    (keys,), (counts,), _ = kneser_ney.merged([np.array([7, 7], np.uint64)], [big])
     assert counts.tolist() == [(1 << 40) + 5] and kneser_ney.smallest(counts).tolist() == counts.tolist()
     assert kneser_ney.smallest(np.array([3], np.uint64)).dtype == np.uint32
 
