@@ -10,14 +10,14 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a word (letters, numbers, underscore), of letters alone, and blanks, as inner parts of a class.
 WORD, LETTER = r"\p{L}\p{N}_", r"\p{L}\p{Nl}\p{No}"
 BLANK = r"\x09-\x0d\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Blanks at the end; the look behind makes a long run of blanks inside a text cost its length, not its square.
-TRAILING = f"(?<![{BLANK}])[{BLANK}]++$"
+#: All blanks.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Not inside a word, before and behind a place.
 OPEN, SHUT = f"(?<![{WORD}])", f"(?![{WORD}])"
 
@@ -29,7 +29,12 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Without blanks at both ends."""
-    return F.regexp_replace(text, f"^[{BLANK}]+|{TRAILING}", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def rstrip(text: Column) -> Column:
+    """Without blanks at the end."""
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def squeezed(text: Column) -> Column:
@@ -86,6 +91,20 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
 
 
+def rows_of(df: DataFrame, keep: list, array: Column, number: str, value: str) -> DataFrame:
+    """The columns to keep, and a row for each element of an array with its number from 1.
+
+    An outer explode, as for the plain one the optimizer would compute the array once more, to filter empty ones.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("__pos", value)).where(F.col("__pos").isNotNull())
+    return rows.withColumn(number, F.col("__pos") + 1).drop("__pos")
+
+
+def elements(df: DataFrame, keep: list, array: Column, value: str) -> DataFrame:
+    """The columns to keep, and a row for each element of an array."""
+    return rows_of(df, keep, array, "__number", value).drop("__number")
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by a space; none if there are fewer."""
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -138,7 +157,7 @@ def sentence_ends(text: Column) -> Column:
 
 def ends_with(text: Column, marks: str) -> Column:
     """Whether the text, without blanks at its end, ends with one of some marks."""
-    return F.regexp_replace(text, TRAILING, "").rlike(f"[{''.join(chr(92) + m for m in marks)}]$")
+    return F.substring(rstrip(text), -1, 1).isin(*marks)
 
 
 QUOTE = '["“«]([^"”»]{12,})["”»]'

@@ -5,7 +5,7 @@ Positions count from 1 and are part of every key, as rows of a DataFrame have no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
@@ -16,7 +16,7 @@ INLINE_ITEM = rf"(?:(?<=[:;])|^)[{T.BLANK}]*\p{{Nd}}+(?:\.-|\.|\)|-)[{T.BLANK}]+
 
 def rows_of(df: DataFrame, array, number: str, value: str) -> DataFrame:
     """A row for each element of an array column, with its number."""
-    return df.select("*", F.posexplode(array).alias("__pos", value)).withColumn(number, F.col("__pos") + 1).drop("__pos")
+    return T.rows_of(df, ["*"], array, number, value)
 
 
 def paragraph_rows(df: DataFrame, text: str = "text") -> DataFrame:
@@ -34,21 +34,22 @@ def list_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
 
     mark: the bullet in front, with its blanks; blank_after: how many blank lines follow.
     """
-    rows = rows_of(df.select(*key, text), T.lines(F.col(text)), "line_no", "line").drop(text)
-    ahead = Window.partitionBy(*key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    every = Window.partitionBy(*key)
-    full = T.strip(F.col("line")) != ""
-    rows = rows.withColumn("full", full).withColumn("next_full", F.min(F.when(F.col("full"), F.col("line_no"))).over(ahead)).withColumn("n_lines", F.max("line_no").over(every))
-    rows = rows.where("full").withColumn("blank_after", F.coalesce("next_full", F.col("n_lines") + 1) - F.col("line_no") - 1)
-    rows = rows.withColumn("block_no", F.row_number().over(Window.partitionBy(*key).orderBy("line_no")))
+
+
+    def full(lines: Column) -> Column:
+        """Lines that aren't blank, with how many lines there are until the next one."""
+        numbered = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: T.strip(x["line"]) != "")
+        return T.let(numbered, lambda n: F.transform(n, lambda x, k: F.struct(x["line"].alias("line"), (F.coalesce(F.get(n, k + 1)["i"], F.size(lines)) - x["i"] - 1).alias("blank_after"))))
+
+    rows = T.rows_of(df, key, T.let(T.lines(F.col(text)), full), "block_no", "x").select(*key, "block_no", "x.*")
     mark = F.regexp_extract("line", MARK, 1)
-    return rows.select(*key, "block_no", mark.alias("mark"), T.strip(F.substring("line", F.length(mark) + 1, F.length("line"))).alias("block"), F.col("blank_after").cast("int").alias("blank_after"))
+    return rows.select(*key, "block_no", mark.alias("mark"), T.strip(F.substring("line", F.length(mark) + 1, F.length("line"))).alias("block"), "blank_after")
 
 
 def flattened(line):
     """A line `head: 1.- A; 2.- B` as `head: A y B`; other lines as they are. Items' first capitals go, acronyms' stay."""
     head, tail = F.substring_index(line, ":", 1), F.substring(line, F.instr(line, ":") + 1, F.length(line))
-    bare = F.regexp_replace(tail, f"[{T.BLANK}]+$", "")
+    bare = T.rstrip(tail)
     end = F.when(bare.rlike("[.!?]$"), F.substring(bare, -1, 1)).otherwise(F.lit("."))
     cut = F.split(F.regexp_replace(tail, "[.!? ]+$", ""), ";")
     items = F.transform(cut, lambda x: F.regexp_replace(T.strip(F.regexp_replace(x, INLINE_ITEM, "")), r"\.+$", ""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,10 @@ from collatio.functions import lexicon, predicates
 from collatio.functions import text as T
 from collatio.operators import candidates, concepts, guards, halves, overlap, rhythm, segment
 
-from .report import fidelity_report
+from collatio.session import ship, spread
+from collatio.sources import docx
+
+from .report import fidelity_report, overall
 
 CONCEPTS = [("the", ["the"]), ("over", ["over", "of"]), ("des", ["des", "der"]), ("with", ["with*"]), ("que", ["que"]), ("nothing", ["zzzz"])]
 W = r"[\p{L}\p{N}_]"
@@ -35,7 +39,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +89,7 @@ def bullet_numbers(spark, sf_dir):
     return segment.bullet_numbers(bulleted(spark, sf_dir), ["doc_id"])
 
 
-@query()
+@query(f"WITH {BULLETS} SELECT doc_id, block_no, block, mark, blank_after FROM rows_")
 def list_maps(spark, sf_dir):
     """Lists' marks as JSON, read back and joined to their blocks."""
     rows = bulleted(spark, sf_dir)
@@ -227,7 +231,7 @@ def grams_sql(text: str, source: str, key: str, n: int) -> str:
 @query(f"WITH g AS ({grams_sql('text', 'documents', 'doc_id', 8)}) SELECT doc_id, g AS gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 2")
 def ngram_repeats(spark, sf_dir):
     """8-grams that a document says more than once."""
-    rows = table(spark, sf_dir).select("doc_id", F.explode(T.ngrams(T.tokens(F.col("text")), 8)).alias("gram"))
+    rows = T.elements(table(spark, sf_dir), ["doc_id"], T.ngrams(T.tokens(F.col("text")), 8), "gram")
     return rows.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).where("n >= 2")
 
 
@@ -245,18 +249,14 @@ def label_quality_by_overlap(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, a AS (SELECT DISTINCT doc_id, g FROM ({grams_sql('original', 'p', 'doc_id', 4)})), b AS ({grams_sql('version', 'p', 'doc_id', 4)}), c AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 3)) AS x FROM b SEMI JOIN a USING (doc_id, g)) GROUP BY doc_id) SELECT doc_id, CAST(coalesce(n, 0) AS DOUBLE) / greatest(1, len(regexp_extract_all(lower(version), '{W}+'))) AS bound FROM p LEFT JOIN c USING (doc_id)")
 def copied_bound(spark, sf_dir):
-    return overlap.copied_bounds(pairs(spark, sf_dir), ["doc_id"], run=4)
+    ship(spark)
+    return pairs(spark, sf_dir).select("doc_id", overlap.copied_bound(F.col("original"), F.col("version"), 4).alias("bound"))
 
 
 @query()
 def copied_share(spark, sf_dir):
-    """The exact share of every document; those without a shared run and those with equal words are settled natively."""
-    rows = pairs(spark, sf_dir)
-    a, b = F.col("original"), F.col("version")
-    none = overlap.copied_bound(a, b, 4) == 0
-    rows = rows.withColumn("known", F.when(none & a.isNotNull() & b.isNotNull(), F.lit(0.0)).when(T.tokens(a) == T.tokens(b), F.lit(1.0)))
-    out = overlap.with_copied_share(rows, "original", "version", 4, only=F.col("known").isNull())
-    return out.select("doc_id", F.coalesce("known", "share").alias("share"))
+    """The exact share of every document."""
+    return overlap.with_copied_share(pairs(spark, sf_dir), "original", "version", 4).select("doc_id", "share")
 
 
 @query()
@@ -269,7 +269,7 @@ def accent_density(spark, sf_dir):
     return table(spark, sf_dir).select("doc_id", guards.accent_density(F.col("text")).alias("density"))
 
 
-@query(r"""SELECT page_id, CASE WHEN m IS NOT NULL THEN '(broken characters: mojibake ''' || m || ''')' WHEN e IS NOT NULL THEN '(broken characters: HTML entity ''' || e || ''')' WHEN d IS NOT NULL THEN '(broken characters: digit inside a word ''' || d || ''')' END AS problem FROM (SELECT page_id, list_min(regexp_extract_all(html, '[ÃÂ][\x{80}-\x{bf}]')) AS m, list_min(regexp_extract_all(html, '&(?:[a-zA-Z]{2,8}|#\d{2,5});')) AS e, list_min(regexp_extract_all(html, '[\p{L}]+\d[\p{L}]+')) AS d FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN m IS NOT NULL THEN '(broken characters: mojibake ''' || left(m, 1) || CASE WHEN regexp_matches(m[2:2], '[\x{80}-\x{a0}\x{ad}]') THEN '\x' || lower(printf('%02x', unicode(m[2:2]))) ELSE m[2:2] END || ''')' WHEN e IS NOT NULL THEN '(broken characters: HTML entity ''' || e || ''')' WHEN d IS NOT NULL THEN '(broken characters: digit inside a word ''' || d || ''')' END AS problem FROM (SELECT page_id, list_min(regexp_extract_all(html, '[ÃÂ][\x{80}-\x{bf}]')) AS m, list_min(regexp_extract_all(html, '&(?:[a-zA-Z]{2,8}|#\d{2,5});')) AS e, list_min(regexp_extract_all(html, '[\p{L}]+\d[\p{L}]+')) AS d FROM pages)""")
 def encoding_defects(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", guards.encoding_problem(F.lit(""), F.col("html")).alias("problem"))
 
@@ -336,7 +336,8 @@ def rhythm_join(spark, sf_dir):
 @query()
 def rhythm_pauses(spark, sf_dir):
     out = rhythm.with_joined(pairs(spark, sf_dir), "original", pauses=2)
-    return rhythm.sentence_change(out.select("doc_id", "original", F.col("joined.text").alias("joined")), "original", "joined").select("doc_id", "n_before", "n_after")
+    out = rhythm.sentence_change(out.select("doc_id", "original", F.col("joined.text").alias("joined")), "original", "joined")
+    return out.select("doc_id", "n_before", "n_after", F.sha2(F.col("joined").cast("binary"), 256).alias("joined_sha256"))
 
 
 def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +472,47 @@ def fidelity_reports(spark, sf_dir):
     return fidelity_report(pairs(spark, sf_dir).withColumnRenamed("doc_id", "pair_id"), concept_table(spark))
 
 
+@query("SELECT count(*) AS n_pairs, count(*) FILTER (text IS NOT NULL) AS n_failed, 1 AS status FROM documents")
+def report_status(spark, sf_dir):
+    """Whether any pair of the reports failed; no document has every concept, so that all of them do."""
+    return overall(fidelity_reports(spark, sf_dir))
+
+
+def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content): every document as an office document, a line a paragraph, every third line an item of a list."""
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        return pd.Series([docx.plain_document(x, [i % 3 == 2 for i in range(len(x))]) for x in (t.split("\n") for t in texts)])
+
+    return table(spark, sf_dir).where("text IS NOT NULL").select("doc_id", made.asNondeterministic()(F.col("text")).alias("content"))
+
+
+SQUEEZED = "array_to_string(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''), ' ')"
+OFFICE = f"o AS (SELECT doc_id, i - 1 AS no, {SQUEEZED} AS t, i % 3 = 0 AS listed FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"WITH {OFFICE} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) AS INTEGER) AS unit_no, CAST(no AS INTEGER) AS paragraph_no, t AS unit FROM o WHERE t <> ''")
+def office_units(spark, sf_dir):
+    """Paragraphs of office documents, each a unit."""
+    units = docx.with_units(office_documents(spark, sf_dir)).select("doc_id", F.arrays_zip(F.col("units.paragraphs").alias("p"), docx.unit_texts(F.col("units")).alias("t")).alias("u"))
+    return T.rows_of(units, ["doc_id"], F.col("u"), "unit_no", "x").select("doc_id", "unit_no", F.get("x.p", F.lit(0)).alias("paragraph_no"), F.col("x.t").alias("unit"))
+
+
+PROSE = r"(len(string_split(t, ' ')) > 12 OR (len(string_split(t, ' ')) >= 5 AND NOT (regexp_matches(t, ':$') OR regexp_matches(t, '(?i)^(\d+[.)]\s|acci[oó]n\s+\d+[.:]|anexo\b)'))))"
+
+
+@query(f"WITH {OFFICE} SELECT doc_id, CAST(count(*) FILTER (t <> '' AND {PROSE}) AS INTEGER) AS n_prose, coalesce(string_agg(CASE WHEN {PROSE} THEN 'new ' || t ELSE t END, chr(10) ORDER BY no) FILTER (t <> ''), '') AS rebuilt FROM o GROUP BY doc_id")
+def office_rebuilt(spark, sf_dir):
+    """Office documents with a word in front of every unit, put together and read again: prose changes, headings stay."""
+    found = docx.with_units(office_documents(spark, sf_dir))
+    edited = F.array_join(F.transform(docx.unit_texts(F.col("units")), lambda t: F.concat(F.lit("new "), t)), "\n\n")
+    made = docx.with_rebuilt(found.withColumn("text", edited)).select("doc_id", "units", "rebuilt")
+    again = docx.with_units(made, content="rebuilt", into="again")
+    return again.select("doc_id", docx.prose_count(F.col("units")).alias("n_prose"), F.array_join(docx.unit_texts(F.col("again")), "\n").alias("rebuilt"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fidelity_reports(spark, sf_dir)
 

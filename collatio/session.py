@@ -1,4 +1,4 @@
-"""Brings the package to the executors."""
+"""Brings the package to the executors, and small inputs to all cores."""
 
 from __future__ import annotations
 
@@ -6,7 +6,16 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of an input, as it is stored, that are spread over all cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows over all cores, where the input is so small that its few row groups would leave most of them idle; a larger one stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def ship(spark: SparkSession) -> None:
