@@ -10,13 +10,15 @@ window). Words become numbers of the benchmark's vocabulary, 0 for all others, a
 The cursors of many stretches of a batch move at once, as numpy vectors; stretches overlap by a pattern's length less
 one word, so none is missed, and a gap word between texts keeps matches inside a text.
 
-The benchmark is measured first. While its words stay below max_words it is one automaton, which is broadcast. Beyond
-that it is cut into blocks of items below that size, and every block runs over all texts, one broadcast at a time in a
-worker.
+The benchmark is measured first, each item counted once however often its row repeats. While its words stay below max_words it
+is one automaton, which is broadcast. Beyond that, items are cut into pieces that overlap by a window less one word, so that
+every window lies in a piece, and the pieces go to blocks whose words are counted and, while one is above the bound, halved.
+Every block runs over all texts, one broadcast at a time in a worker.
 
 Null or wordless texts have no words and no hits; null or wordless items have no windows, and an item whose id is null
-goes by the name null. Repeated rows of texts give repeated rows, repeated item ids count once. Empty tables are
-allowed on either side. Other columns stay; the result is one struct column that the caller names.
+goes by the name null. Very long texts are searched whole, by many cursors. Repeated rows of texts give repeated rows, repeated item ids
+count once; items that share a window are all reported. Empty tables are allowed on either side. Other columns stay, whatever
+their names; the result is one struct column that the caller names, in place of one of that name.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_words, bound_batches, new_folder
+from collatio.functions.text import let
+
+from .shared import alnum_words, bound_batches, running, settle
 
 #: Words of a window; benchmark words in one broadcast; words that one cursor searches.
 WINDOW, MAX_WORDS, STRETCH = 10, 300_000, 256
@@ -165,41 +169,58 @@ def searcher(shared):
     return run.asNondeterministic()
 
 
+#: A word of a text whose A-Z aren't lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def blocks_of(items: DataFrame, window: int, max_words: int) -> tuple[DataFrame, int]:
+    """((block, id, text), number of blocks): pieces of items, no block of more than max_words words."""
+    step = max(1, max_words // 8 - window)
+    words = items.select("id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    pieces = words.withColumn("at", F.explode(starts)).select("id", "at", F.slice("w", F.col("at") + 1, F.lit(step + window - 1)).alias("w"))
+    pieces = settle(pieces.select("id", F.xxhash64("id", "at", "w").alias("hash"), F.size("w").alias("n"), F.array_join("w", " ").alias("text")))
+    n = max(1, -(-2 * (pieces.agg(F.sum("n")).first()[0] or 0) // max_words))
+    while True:
+        block = F.pmod("hash", F.lit(n)).cast("int")
+        if (pieces.groupBy(block.alias("b")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= max_words:
+            return pieces.select(block.alias("block"), "id", "text"), n
+        n *= 2
+
+
 def with_benchmark_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """df and a struct column: words, words hit, items (number, digest, names) and spans of hit words of each text."""
     spark = df.sparkSession
     bound_batches(spark)
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text")).distinct()
     size = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
-    blocks = -(-size // max_words) or 1
 
-    def automaton(k: int):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        return spark.sparkContext.broadcast(Automaton([(r["id"], r["text"]) for r in part.collect()], window))
+    def automaton(rows: DataFrame):
+        return spark.sparkContext.broadcast(Automaton([(r["id"], r["text"]) for r in rows.collect()], window))
 
-    if blocks == 1:
-        return df.withColumn(into, searcher(automaton(0))(df[text]))
-    return in_blocks(df, text, into, [searcher(automaton(k)) for k in range(blocks)])
+    if size <= max_words:
+        return df.withColumn(into, searcher(automaton(items))(df[text]))
+    pieces, n = blocks_of(items, window, max_words)
+    return in_blocks(df, text, into, [searcher(automaton(pieces.where(F.col("block") == k).select("id", "text"))) for k in range(n)])
 
 
 def in_blocks(df: DataFrame, text: str, into: str, searchers: list) -> DataFrame:
     """The same for a benchmark beyond one broadcast: each block over all rows, and the hits of a row put together."""
-    key = f"{into}_row"
-    folder = new_folder(df.sparkSession, "decontaminate")
-    df.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
-    rows = df.sparkSession.read.parquet(folder)
+    own = [F.col(f"`{c}`") for c in df.columns if c != into]
+    rows = settle(df.select(F.struct(*own).alias("row"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("id")))
     found = None
     for search in searchers:
-        one = rows.select(key, search(F.col(text)).alias("h")).select(key, "h.n_words", "h.items", "h.spans")
+        one = rows.select("id", search(F.col("text")).alias("h")).select("id", "h.n_words", "h.items", "h.spans")
         found = one if found is None else found.unionAll(one)
-    grouped = found.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    merged = F.expr("""aggregate(spans, cast(array() as array<struct<start: int, stop: int>>), (acc, x) -> CASE
-        WHEN size(acc) > 0 AND element_at(acc, -1).stop >= x.start
-        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, x.stop))))
-        ELSE concat(acc, array(x)) END)""")
-    grouped = grouped.withColumn("spans", merged).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, x) -> a + x.stop - x.start)"))
+    grouped = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # spans are apart where the next one begins behind all ends so far
+    reach = running(F.transform("spans", lambda x: x["stop"]), F.greatest)
+    apart = let(reach, lambda r: F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.get(r, i - 1)), F.struct(x["start"].alias("start"), i.alias("i")))), lambda x: x.isNotNull()))
+    ends = lambda a, r: F.transform(a, lambda x, k: F.struct(x["start"].alias("start"), F.get(r, F.coalesce(F.get(a, k + 1)["i"], F.size(r)) - 1).alias("stop")))
+    grouped = grouped.withColumn("spans", let(F.struct(apart.alias("a"), reach.alias("r")), lambda m: ends(m["a"], m["r"])))
+    grouped = grouped.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]))
     out = F.struct("n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
-    return rows.drop(into).join(grouped.select(key, out.alias(into)), key).drop(key)
+    return rows.select("row", "id").join(grouped.select("id", out.alias("hits")), "id").select("row.*", F.col("hits").alias(into))
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

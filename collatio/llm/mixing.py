@@ -15,26 +15,29 @@ others, null among them, share one stream with the weight `rest`. So the plan's
 most (len(weights) + 1) phases of P rows.
 
 The place of a row in its source's order is a running sum in two levels (buckets of the order, then rows of a bucket),
-so that no task ever holds a whole source.
+so that no task ever holds a whole source. The number of buckets grows with the rows. A bucket that is large all the same, since
+very many rows have no key or the same, is divided by key and size. The order is by a digest of the key, then the key, then the size.
 
-Null or empty texts count one character. Repeated rows each keep a place of their own; an empty table gives an empty
-result. Other columns stay; columns of the names slot, block, place and stream are replaced.
+Null or empty texts count one character, very long ones as many as they have. Rows with equal keys keep a place each (those
+with equal sizes in any order), as rows without a key do; an empty table gives an empty result. Other columns stay, whatever their names;
+columns of the names slot, block, place and stream are replaced.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .shared import settle
 
 #: Production weights; sources that are not listed share one stream.
 WEIGHTS, REST = {"src0": 8, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6": 2, "src7": 1}, 9
-#: Characters of a block; hexadecimal digits that name a bucket of a source's order; the stream of sources without weight.
-BLOCK, DIGITS, OTHERS = 65_536, 3, "*"
+#: Characters of a block; rows of a bucket on average and hexadecimal digits that name one, at least; the stream of sources without weight.
+BLOCK, BUCKET, DIGITS, OTHERS = 65_536, 50_000, 3, "*"
 
 
 def period(weights: dict[str, int]) -> list[str]:
@@ -81,15 +84,30 @@ def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def places(df: DataFrame, weights: dict[str, int], source: str, key: str, size: Column, block: int, seed: int) -> DataFrame:
-    """df's rows with their stream and `place`, the characters before them in the stream's order."""
+    """(row, stream, place, block): df's rows whole, and the characters before each in its stream's order."""
     stream = F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit(OTHERS)) if weights else F.lit(OTHERS)
-    slim = df.withColumns({"stream": F.coalesce(stream, F.lit(OTHERS)), "place_size": F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(1)).cast("long"), "place_key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))})
-    slim = slim.withColumn("place_bucket", F.substring("place_key", 1, DIGITS))
-    bucket = slim.groupBy("stream", "place_bucket").agg(F.sum("place_size").alias("n"))
-    before = Window.partitionBy("stream").orderBy("place_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket = bucket.select("stream", "place_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place_base"))
-    inside = Window.partitionBy("stream", "place_bucket").orderBy("place_key", F.col(key), "place_size").rowsBetween(Window.unboundedPreceding, -1)
-    return slim.join(bucket, ["stream", "place_bucket"]).withColumn("place", F.col("place_base") + F.coalesce(F.sum("place_size").over(inside), F.lit(0))).withColumn("block", F.expr(f"place div {block}"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))).cast("binary"))
+    size = F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(1)).cast("long")
+    digits = max(DIGITS, ceil(log(max(df.count(), 1) / BUCKET, 16)))
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(stream, F.lit(OTHERS)).alias("stream"), F.col(key).alias("key"), size.alias("size"), digest.alias("digest"))
+    rows = rows.withColumn("bucket", F.substring("digest", 1, digits))
+    sums = settle(rows.groupBy("stream", "bucket").agg(F.sum("size").alias("n"), F.count("*").alias("rows")))
+    busy = sums.where(F.col("rows") > shared.HOT_ROWS).select("stream", "bucket")
+    names = ["stream", "bucket"]
+    if not busy.isEmpty():
+        listed = busy.withColumn("busy", F.lit(True))
+        rows = rows.join(F.broadcast(listed) if listed.count() <= shared.SENT else listed, names, "left")
+        rows = rows.withColumn("part", F.when("busy", F.struct("digest", "key", "size"))).drop("busy")
+        sums = rows.groupBy(*names, "part").agg(F.sum("size").alias("n"))
+        names.append("part")
+    before = Window.partitionBy("stream").orderBy(*names[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*names, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*names).orderBy("digest", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    same = (F.col("r.stream") == F.col("b.stream")) & (F.col("r.bucket") == F.col("b.bucket"))
+    if "part" in names:
+        same = same & F.col("r.part").eqNullSafe(F.col("b.part"))
+    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r").join(sums.alias("b"), same)
+    return placed.select("r.row", "r.stream", (F.col("b.base") + F.col("r.ahead")).alias("place")).withColumn("block", F.expr(f"place div {block}"))
 
 
 def mix(df: DataFrame, weights: dict[str, int] | None = None, rest: int = REST, source: str = "source", key: str = "doc_id", text: str = "text", size: str | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -101,7 +119,7 @@ def mix(df: DataFrame, weights: dict[str, int] | None = None, rest: int = REST,
     if any(not isinstance(w, int) or w < 1 for w in [*weights.values(), rest]) or OTHERS in weights:
         raise ValueError("weights are positive integers, and the name of the stream of all others is taken")
     spark, own = df.sparkSession, [c for c in df.columns if c not in ("stream", "block", "slot", "place")]
-    rows = settle(places(df.select(*own), weights, source, key, F.col(size) if size else F.length(text), block, seed).select(*own, "stream", "place", "block"))
+    rows = settle(places(df.select(*[F.col(f"`{c}`") for c in own]), weights, source, key, F.col(size) if size else F.length(text), block, seed))
     counts = {r["stream"]: r["n"] + 1 for r in rows.groupBy("stream").agg(F.max("block").alias("n")).collect()}
     plan = phases(counts, weights | {OTHERS: rest})
     spans = table(spark, [(s, k, x["first"], x["first"] + x["blocks"] - 1, len(x["places"]), p["start"], p["period"]) for k, p in enumerate(plan) for s, x in p["sources"].items()], "stream string, phase int, low long, high long, share long, begin long, round long")
@@ -109,7 +127,7 @@ def mix(df: DataFrame, weights: dict[str, int] | None = None, rest: int = REST,
     r, s = rows.alias("r"), spans.alias("s")
     found = r.join(s, (F.col("r.stream") == F.col("s.stream")) & F.col("r.block").between(F.col("s.low"), F.col("s.high")))
     found = found.select("r.*", "s.phase", "s.begin", "s.round", F.expr("(r.block - s.low) div s.share").alias("rounds"), F.expr("(r.block - s.low) % s.share").alias("turn"))
-    return found.join(slots, ["stream", "phase", "turn"]).select(*own, "stream", "block", (F.col("begin") + F.col("rounds") * F.col("round") + F.col("at")).alias("slot"), "place")
+    return found.join(slots, ["stream", "phase", "turn"]).select("row.*", "stream", "block", (F.col("begin") + F.col("rounds") * F.col("round") + F.col("at")).alias("slot"), "place")
 
 
 def op3_pfair_mixing(spark, sf_dir: str) -> DataFrame:

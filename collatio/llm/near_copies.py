@@ -1,7 +1,12 @@
-"""Near copies: groups of the texts that share at least `share` of their word shingles, found exactly.
+"""Near copies by SimHash, completed: groups of the texts that share at least `share` of their word shingles.
 
 Nodes are distinct sets of shingles (XXH64 of `width` words, as in simhash), so that texts with equal sets are one node. A
-link is a pair with Jaccard of at least `share`; groups are what links connect. No link is missed, and none is taken unread:
+link is a pair with Jaccard of at least `share`; groups are what links connect. No link is missed, and none is taken unread.
+
+First pass, by simhash: the nodes' fingerprints are searched by generalised pigeonhole for pairs within NEAR bits, and each pair is verified over
+whole sets. This joins what is nearly equal, which is most of every large group. But two texts that share 0.8 of their shingles differ in
+9.7 of 64 bits on average, and no distance that can be searched holds them all (one pair in five lies beyond 12 bits). So a second pass
+finds the rest exactly, and leaves out all pairs that the first one has connected:
 
 1. All shingles have one order: those that a sample of texts repeats come last, the others follow their hashes. Any order gives
    the same links; this one keeps common lines out of what follows.
@@ -12,9 +17,10 @@ link is a pair with Jaccard of at least `share`; groups are what links connect.
    haven't connected to it yet. Nothing counts as connected but by a verified link. What a task has connected, and which
    pairs have failed, holds for its next buckets. A task yields fewer links than it has nodes.
 
-A text of fewer words than a shingle is one shingle; texts without words, and null, are one group. A group's component is its
-smallest non-null key. Repeated rows repeat (with_groups); empty tables give empty results. Other columns stay. Two texts of one bucket that
-don't link cost a comparison, so the work grows with the square of a bucket's unlike members, its rows don't.
+A text of fewer words than a shingle is one shingle; texts without words, and null, are one group. Very long texts are one set each,
+in memory while they are compared. A group's component is its smallest non-null key. Repeated rows repeat (with_groups); rows with one key and
+different texts are different members; empty tables give empty results. Other columns stay, whatever their names; the result's column is
+replaced. Two texts of one bucket that don't link cost a comparison, so the work grows with the square of a bucket's unlike members, its rows don't.
 """
 
 from __future__ import annotations
@@ -30,9 +36,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, components, filesystem, map_file, new_folder, put_file, settle
-from .simhash import SEED, SENT, shingle_hashes
+from . import simhash
+from .shared import SENT, Ranges, bound_batches, components, filesystem, join_hot, map_file, new_folder, put_file, settle
+from .simhash import SEED, shingle_hashes
 
+#: Bits by which fingerprints of the first pass may differ.
+NEAR = 3
 #: Texts of the sample; the shingles that it says are common at most (an order only, no shingle is left out).
 SAMPLE, COMMON = 4000, 100_000
 #: Files that a worker keeps mapped; nodes and failed pairs that a task remembers.
@@ -51,13 +60,13 @@ def node_of(s: np.ndarray) -> int:
 
 
 def nodes(text: Column, width: int) -> Column:
-    """The node of a text column, and the size of its set."""
+    """The node of a text column, the size of its set, and the set's fingerprint."""
 
-    @F.pandas_udf("node long, size long")
+    @F.pandas_udf("node long, size long, fp long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, width) for t in texts]
-            yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "size": np.array([len(s) for s in sets], np.int64)})
+            yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], np.int64), "size": np.array([len(s) for s in sets], np.int64), "fp": np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)})
 
     return run.asNondeterministic()(text)
 
@@ -150,7 +159,7 @@ def buckets(share: float):
 
 
 def stored_sets(width: int, folder: str):
-    """Function over (node, text): writes sets to files of the folder; (node, file, start) of each."""
+    """Function over (node, text): writes sets to files of the folder; (node, file, start, size) of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,7 +169,8 @@ def stored_sets(width: int, folder: str):
             sets = [shingle_set(t, width) for t in b["text"]]
             name = uuid.uuid4().hex
             put_file(f"{folder}/{name}", np.concatenate(sets).astype("<u8").tobytes())
-            yield pd.DataFrame({"node": b["node"].to_numpy(), "file": name, "start": np.cumsum([0, *map(len, sets)])[:-1].astype(np.int64)})
+            size = np.array([len(x) for x in sets], np.int64)
+            yield pd.DataFrame({"node": b["node"].to_numpy(), "file": name, "start": np.cumsum(size) - size, "size": size})
 
     return run
 
@@ -173,10 +183,10 @@ class Sets:
 
     def get(self, file: str, start: int, size: int) -> np.ndarray:
         if file not in self.maps:
-            self.maps[file] = map_file(f"{self.folder}/{file}").view("<u8")
+            self.maps[file] = Ranges(f"{self.folder}/{file}")
             if len(self.maps) > MAPPED:
                 self.maps.popitem(last=False)
-        return self.maps[file][start : start + size]
+        return self.maps[file].get(8 * start, 8 * size).view("<u8")
 
 
 def shared_with(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -186,8 +196,38 @@ def shared_with(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit, np.cumsum([0, *map(len, others)])[:-1], dtype=np.int64)
 
 
+def verified_pairs(share: float, folder: str):
+    """Function over pairs (u, v) and the places of their sets: those that share enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Sets(folder)
+        for b in batches:
+            good = np.zeros(len(b), bool)
+            for i, (a, c) in enumerate(zip(zip(b["u_file"], b["u_start"], b["u_size"]), zip(b["v_file"], b["v_start"], b["v_size"]))):
+                both = int(shared_with(sets.get(*a), [sets.get(*c)])[0])
+                good[i] = both >= share * (a[2] + c[2] - both)
+            yield b.loc[good, ["u", "v"]]
+
+    return run
+
+
+def nearly_equal(prints: DataFrame, places: DataFrame, share: float, folder: str) -> DataFrame:
+    """Links (u, v), stored, among nodes whose fingerprints differ by up to NEAR bits. prints: (node, fp); places: (node, file, start, size).
+
+    A fingerprint's first node stands for it in links to other fingerprints, and all its nodes are compared with that one.
+    """
+    first = settle(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    near = simhash.links(first.select("fp"), NEAR)
+    a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("u", "v"))
+    pairs = near.join(a, "u").join(b, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = pairs.unionAll(join_hot(prints, first.where("n > 1"), "fp", "n").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")))
+    for c in ("u", "v"):
+        pairs = pairs.join(places.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("file", "start", "size")]), c)
+    return settle(pairs.mapInPandas(verified_pairs(share, folder), "u long, v long").distinct())
+
+
 def verified_links(share: float, folder: str):
-    """Function over buckets sorted by h and size: links (u, v) that connect all nodes which links of at least `share` connect."""
+    """Function over buckets sorted by h and size: links (u, v) that, with the ones known before (a node's label), connect all nodes which links of at least `share` connect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, up, failed = Sets(folder), {}, set()
@@ -223,6 +263,10 @@ def verified_links(share: float, folder: str):
         for b in whole_keys(batches):
             h, size = b["h"].to_numpy(), b["size"].to_numpy()
             node, file, start = b["node"].tolist(), b["file"].tolist(), b["start"].tolist()
+            for k, label in zip(node, b["label"].tolist()):
+                if k != label and root(k) != root(label):
+                    x, y = root(k), root(label)
+                    up[max(x, y)] = min(x, y)
             cuts = (np.flatnonzero(np.diff(h)) + 1).tolist()
             out: list[tuple[int, int]] = []
             for s, e in zip([0, *cuts], [*cuts, len(h)]):
@@ -238,17 +282,21 @@ def verified_links(share: float, folder: str):
 
 
 def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
-    """Links (u, v), stored, that connect all nodes of (node, text) which links connect. n: about how many nodes there are."""
+    """Links (u, v), stored, that connect all nodes of (node, text, fp) which links connect. n: about how many nodes there are."""
     by_size = lambda df: df.repartition("h").sortWithinPartitions("h", "size", "node")
-    rows = texts.mapInPandas(prefixes(width, share, common_shingles(texts, n, width)), "h long, node long, size long")
+    rows = texts.select("node", "text").mapInPandas(prefixes(width, share, common_shingles(texts.select("node", "text"), n, width)), "h long, node long, size long")
     close = settle(by_size(rows).mapInPandas(buckets(share), "h long, node long, size long"))
     wanted = settle(close.select("node").distinct())
     if wanted.count() <= SENT:  # else both sides are shuffled by node, with their texts
         wanted = F.broadcast(wanted)
     folder = new_folder(texts.sparkSession, "sets")
-    stored = settle(texts.join(wanted, "node").select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long"))
-    places = stored.groupBy("node").agg(F.min(F.struct("file", "start")).alias("at")).select("node", "at.*")
-    found = settle(by_size(close.join(places, "node")).mapInPandas(verified_links(share, folder), "u long, v long").distinct())
+    stored = settle(texts.join(wanted, "node").select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
+    places = settle(stored.groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"))
+    prints = texts.select("node", "fp").distinct().join(places.select("node"), "node")  # nodes outside all buckets have no links
+    first = nearly_equal(settle(prints), places, share, folder)
+    labels = components(first).select("node", F.col("root").alias("label"))
+    labelled = places.drop("size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = settle(by_size(close.join(labelled, "node")).mapInPandas(verified_links(share, folder), "u long, v long").unionAll(first).distinct())
     store, path = filesystem(folder)
     if not stored.isEmpty():
         store.delete_dir(path)  # links are stored, nothing reads the sets again
@@ -256,22 +304,30 @@ def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
 
 
 def grouped(df: DataFrame, text: str, key: str, width: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, placed): df's rows (row, id, key, set), stored; and the root of every node, with the node's first row."""
+    """(rows, placed): df's rows (row, id, key, text, set), stored; and the root of every node, with the node's first row and its number of rows."""
     bound_batches(df.sparkSession)
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), nodes(F.col(text), width).alias("set"), F.monotonically_increasing_id().alias("id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
+    rows = df.select(whole.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), nodes(F.col(text), width).alias("set"), F.monotonically_increasing_id().alias("id"))
     rows = settle(rows)
-    known = settle(rows.groupBy("set.node").agg(F.min(F.struct(F.col("key").isNull().alias("without"), "key", "id")).alias("first")))
-    edges = links(rows.where("set.size > 0").select("set.node", F.col(f"row.{text}").alias("text")), known.count(), width, share)
+    known = settle(rows.groupBy("set.node").agg(F.min(F.struct(F.col("key").isNull().alias("without"), "key", "id")).alias("first"), F.count("*").alias("n")))
+    edges = links(rows.where("set.size > 0").select("set.node", "text", "set.fp"), known.count(), width, share)
     roots = components(edges).withColumnRenamed("node", "member")
-    return rows, known.join(roots, known["node"] == roots["member"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return rows, known.join(roots, known["node"] == roots["member"], "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+
+
+def restored(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The user's columns, in their order, of rows (row, text)."""
+    return rows.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 5, share: float = 0.8) -> DataFrame:
     """df and a struct column: node, component (the smallest key of the group) and root (the group's smallest node)."""
-    rows, placed = grouped(df.select(*[c for c in df.columns if c != into]), text, key, width, share)
-    least = placed.groupBy("root").agg(F.min("first.key").alias("component"))
-    groups = placed.join(least, "root").select("node", F.struct("node", "component", "root").alias(into))
-    return rows.select("row", "set.node").join(groups, "node").select("row.*", into)
+    own = [c for c in df.columns if c != into]
+    rows, placed = grouped(df.select(*[F.col(f"`{c}`") for c in own]), text, key, width, share)
+    least = placed.groupBy("root").agg(F.min("first.key").alias("component"), F.count("*").alias("nodes"))
+    groups = join_hot(placed, least, "root", "nodes").select("node", "n", F.struct("node", "component", "root").alias("near"))
+    joined = join_hot(rows.select("row", "text", F.col("set.node").alias("node")), settle(groups), "node", "n")
+    return joined.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in own], F.col("near").alias(into))
 
 
 def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, share: float = 0.8) -> DataFrame:
@@ -282,7 +338,7 @@ def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", widt
     rows, placed = grouped(df, text, key, width, share)
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.id")
     listed = Listed(rows.select("id").join(kept, "id", "left_anti"))
-    return rows.where(~listed.has("id")).select("row.*")
+    return restored(rows.where(~listed.has("id")), df.columns, text)
 
 
 class Listed:

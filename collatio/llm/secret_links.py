@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from collatio.functions.text import let
 
-from .shared import settle
+from .shared import running, settle
 
 #: Code points that a part's scope reaches to both sides; code points of a piece that is cut from a text at once.
 SCOPE, CHUNK = 400, 4096
@@ -49,16 +49,6 @@ IDS, SECRETS = ("access", "ident"), ("assign", "hex", "blob")
 SPANS = "array<struct<start: int, stop: int>>"
 
 
-def running(values: Column, op) -> Column:
-    """At each place of an array, op over all values up to it. Every pass doubles the reach, so there are log2(n) of them."""
-
-    def scan(v: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(v))).cast("int"), F.lit(0))), lambda k: F.pow(F.lit(2), k).cast("int"))
-        return F.aggregate(steps, v, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(F.get(acc, i - d), x)).otherwise(x)))
-
-    return let(values, scan)
-
-
 def spans(text: Column, kind: str) -> Column:
     """The places of a kind's matches. What lies between matches comes from a split by the same pattern."""
     pattern, group, least, tests = KINDS[kind]

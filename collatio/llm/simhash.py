@@ -22,7 +22,9 @@ Search, over distinct fingerprints (copies meet in the aggregation that makes th
 Connected components of the links run as group-bys over edges; nothing of it comes to the driver but the bit statistics.
 
 A text of fewer words than a shingle is one shingle; one without words, and null, has fingerprint 0, which links like
-any other. A group's id is its smallest non-null key. Repeated rows repeat; empty tables give empty results. Other columns stay.
+any other. Bits that are set in exactly half of the shingles are 0. Very long texts are hashed whole. A group's id is its smallest
+non-null key. Repeated rows repeat; rows of one fingerprint, however many, are joined to their group in parts; empty tables give empty
+results. Other columns stay, whatever their names; the result's column is replaced.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower_words, bound_batches, components, mixed, settle
+from .shared import ascii_lower_words, bound_batches, components, join_hot, mixed, settle
 
 BITS, SEED = 64, 42
-#: Members from which a bucket is divided; fingerprints that may be broadcast.
-HOT, SENT = 4096, 500_000
+#: Members from which a bucket is divided.
+HOT = 4096
 #: Cost of a verified candidate against that of one probe row.
 VERIFY = 0.02
 
@@ -59,7 +61,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """The fingerprint of one text, with shingles of `width` words."""
-    h = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -286,15 +292,15 @@ def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: st
 
         return near_copies.with_groups(df, text, key, into, width, share)
     bound_batches(df.sparkSession)
-    own = [c for c in df.columns if c != into and (keep_text or c != text)]
+    own = [F.col(f"`{c}`") for c in df.columns if c != into and (keep_text or c != text)]
     rows = settle(df.select(F.struct(*own).alias("row"), F.col(key).alias("key"), fingerprints(F.col(text), width).alias("fp")))
-    prints = settle(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    prints = settle(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     edges = links(prints, distance, hot)
     roots = components(edges)
-    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    groups = placed.join(least, "root").select("fp", F.struct("fp", "component", "root").alias(into))
-    return rows.join(groups, "fp").select("row.*", into)
+    placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    groups = join_hot(placed, least, "root", "members").select("fp", "n", F.struct("fp", "component", "root").alias("near"))
+    return join_hot(rows, settle(groups), "fp", "n").select("row.*", F.col("near").alias(into))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
