@@ -11,9 +11,12 @@ backward algorithms give every piece's expected count in every word, over all se
 that every piece has a probability in every language, and single bytes make every word segmentable. What comes to the
 driver is bounded by the vocabulary times the number of languages, which may be MAX_LANGUAGES at most.
 
+Sums are rescaled, so that no product of small probabilities is lost: those of short words, which are computed many at once,
+by SCALE for each byte, and those of long ones (all that has no blank, in some scripts a whole text) as they run. Words are never cut.
+
 A text that is null or has no letter is `und` with score 0, and so is every text if nothing was learned. Training rows
-with a null text or language teach nothing. Repeated rows repeat; empty tables are allowed; other columns stay, and the
-result is one struct column that the caller names.
+with a null text or language teach nothing. Very long texts are read whole, their words part by part. Repeated rows repeat; empty
+tables are allowed; other columns stay, whatever their names, and the result is one struct column that the caller names, in place of one of that name.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from .shared import bound_batches, mixed, settle
 
 #: Training texts of a language, about; rounds of expectation-maximisation; count added to every piece; languages at most.
 PER_LANGUAGE, ROUNDS, SMOOTH, MAX_LANGUAGES = 5000, 2, 0.05, 256
-#: Bytes of a word that are fitted as one (longer words are cut, in fitting alone); words whose probabilities a worker keeps.
-FIT_BYTES, KEPT = 32, 400_000
+#: Bytes of a word, with its blank, up to which many are computed at once; what sums are multiplied by for each byte; words whose probabilities a worker keeps.
+SHORT, SCALE, KEPT = 33, 4096.0, 400_000
 #: Bytes of words whose segmentations are computed together.
 GROUP = 200_000
 #: Words that fitting holds at a time.
@@ -77,13 +80,46 @@ def forward(word: bytes, get, longest: int, width: int) -> list[float]:
     return [math.log(max(x, 1e-320)) + shift for x in sums[n]]
 
 
+def long_expected(word: bytes, index: dict[bytes, int], longest: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, expected counts) over all segmentations of one word of any length, by sums that are rescaled as they run."""
+    n = len(word)
+    cuts: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by end: (begin, piece)
+    begins: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(max(0, i - longest), i):
+            k = index.get(word[j:i])
+            if k is not None:
+                cuts[i].append((j, k))
+                begins[j].append((i, k))
+
+    def logs(order: range, ways: list[list[tuple[int, int]]]) -> list[float]:
+        """Log of the sum at each place, which is added up from places that come before it in the order."""
+        value, shift, out = [0.0] * (n + 1), 0.0, [0.0] * (n + 1)
+        value[order[0]] = 1.0
+        for step, i in enumerate(order[1:], 1):
+            value[i] = sum(value[j] * p[k] for j, k in ways[i])
+            if value[i] < 1e-100:
+                top = max(value[j] for j in order[max(0, step - longest) : step + 1])
+                for j in order[max(0, step - longest) : step + 1]:
+                    value[j] /= top
+                shift += math.log(top)
+            out[i] = math.log(max(value[i], 1e-320)) + shift
+        return out
+
+    ahead, behind = logs(range(n + 1), cuts), logs(range(n, -1, -1), begins)
+    which = np.array([k for c in cuts for _, k in c], np.int64)
+    j, i = (np.array(x, np.int64) for x in ([b for c in cuts for b, _ in c], [e for e, c in enumerate(cuts) for _ in c]))
+    return which, np.exp(np.array(ahead)[j] + np.log(p[which]) + np.array(behind)[i] - ahead[n])
+
+
 class Pieces:
     """The vocabulary as hash tables over 64-bit hashes of byte strings, for many substrings at once."""
 
     BASE = np.uint64(0x100000001B3)
 
     def __init__(self, pieces: list[bytes]):
-        self.longest = max(map(len, pieces))
+        self.longest = max(len(x) for x in pieces if len(x.split()) < 2 and not x[1:2].isspace())  # others are in no word
+        self.index = {x: i for i, x in enumerate(pieces)}
         self.hashes = np.array([self.hash(p) for p in pieces], np.uint64)
         if len(np.unique(self.hashes)) < len(pieces):
             raise ValueError("two pieces share a hash")
@@ -146,32 +182,36 @@ def grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def many_forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """forward for many words of at most FIT_BYTES + 1 bytes. p: a row for each piece, a column for each language."""
+    """forward for many words of at most SHORT bytes. p: a row for each piece, a column for each language."""
     out = np.empty((len(words), p.shape[1]))
     for part, rows in grouped(words):
         sums = [np.zeros((len(part), p.shape[1])) for _ in range(rows.shape[1] + 1)]
         sums[0] += 1
         for j, i, at, which in pieces.lattice(rows):
-            sums[i][at] += sums[j][at] * p[which]
-        out[part] = np.log(np.maximum(sums[-1], 1e-320))
+            sums[i][at] += sums[j][at] * (p[which] * SCALE ** (i - j))
+        out[part] = np.log(np.maximum(sums[-1], 1e-320)) - rows.shape[1] * math.log(SCALE)
     return out
 
 
 def many_expected(words: list[bytes], times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Each piece's expected count, over all segmentations of words that occur so many times, by one language's probabilities."""
     out = np.zeros(len(p))
-    for part, rows in grouped(words):
-        n = rows.shape[1]
+    short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
+    for i in set(range(len(words))).difference(short.tolist()):
+        which, x = long_expected(words[i], pieces.index, pieces.longest, p)
+        out += np.bincount(which, x * times[i], len(p))
+    for part, rows in grouped([words[i] for i in short]):
+        part, n = short[part], rows.shape[1]
         ahead, behind = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
         ahead[0] = behind[n] = 1
         cuts = pieces.lattice(rows)
         for j, i, at, which in cuts:
-            ahead[i][at] += ahead[j][at] * p[which]
+            ahead[i][at] += ahead[j][at] * p[which] * SCALE ** (i - j)
         for j, i, at, which in reversed(cuts):
-            behind[j][at] += behind[i][at] * p[which]
-        scale = times[part] / np.maximum(ahead[n], 1e-300)
+            behind[j][at] += behind[i][at] * p[which] * SCALE ** (i - j)
+        scale = times[part] / ahead[n]
         for j, i, at, which in cuts:
-            out += np.bincount(which, ahead[j][at] * p[which] * behind[i][at] * scale[at], len(p))
+            out += np.bincount(which, ahead[j][at] * (p[which] * SCALE ** (i - j)) * scale[at] * behind[i][at], len(p))
     return out
 
 
@@ -193,7 +233,6 @@ class Predictor:
         self.model, self.kept = model, kept
         self.width = len(model.languages)
         self.pieces, self.columns = Pieces(model.pieces), np.ascontiguousarray(model.p.T)
-        self.index = {x: i for i, x in enumerate(model.pieces)}
         self.clear()
 
     def clear(self) -> None:
@@ -201,14 +240,14 @@ class Predictor:
         self.logs = np.empty((self.kept + 1, self.width))
 
     def one(self, piece: bytes):
-        i = self.index.get(piece)
+        i = self.pieces.index.get(piece)
         return None if i is None else self.columns[i].tolist()
 
     def of(self, words: list[str]) -> np.ndarray:
         """Likelihoods of words."""
         raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
         out = np.empty((len(raw), self.width))
-        short = [i for i, w in enumerate(raw) if len(w) <= FIT_BYTES + 1]
+        short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
         if short:
             out[short] = many_forward([raw[i] for i in short], self.pieces, self.columns)
         for i in set(range(len(raw))).difference(short):
@@ -269,16 +308,14 @@ class Predictor:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(lang, word, n) of rows (lang, text); words are bytes with a blank in front, cut at FIT_BYTES."""
+    """(lang, word, n) of rows (lang, text); words are bytes with a blank in front."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found: Counter = Counter()
             for lang, text in zip(b["lang"], b["text"]):
                 for w, n in Counter(text.split()).items():
-                    raw = b" " + w.encode("utf-8", "surrogatepass")
-                    for i in range(0, len(raw), FIT_BYTES):
-                        found[lang, raw[i : i + FIT_BYTES]] += n
+                    found[lang, b" " + w.encode("utf-8", "surrogatepass")] += n
             if found:  # an empty frame has no types
                 yield pd.DataFrame({"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())})
 

@@ -4,8 +4,9 @@
 is believed at the start or after a gap only if another header of the same version, layer and rate follows where the
 first frame ends (or the audio ends there); in sync, each frame leads to the next. When a header is not where it should
 be, bytes are skipped to the next believed header and the gap is counted. A leading Xing, Info or VBRI frame is
-metadata: its frame and byte counts, seek table and encoder delay are read. Layer III frames with a checksum are verified
-(CRC-16 over the header's last two bytes and the side information); other layers' checksums are counted as present.
+metadata: its frame and byte counts, seek table and encoder delay are read. Frames with a checksum are verified (CRC-16 over
+the header's last two bytes and layer III's side information, layer I's bit allocation, or layer II's bit allocation and
+scale factor selection). A free format's frame length is the distance to the next header that a third one confirms.
 The duration is exact: samples of all audio frames less the encoder's delay and padding, over the sampling rate. Every
 frame's byte offset is stored, so that sample s lies in frame s // samples_per_frame.
 
@@ -14,7 +15,8 @@ payload being the frames' ancillary bytes. Full frames have 320 kbit/s; the last
 the rest, and a frame of silence ends the stream. An ID3v2 tag keeps the payload's length and CRC-32, and a Xing frame keeps the counts and the seek table.
 
 Null media have null results; bytes without any frame give 0 frames and a null duration. Null texts are stored as
-empty payloads. Repeated rows repeat, empty tables stay empty, other columns stay; results are columns the caller names.
+empty payloads. Very long texts are one stream each, whole in a worker's memory, with a frame offset for each 957 bytes. Repeated rows repeat and
+equal texts are equal streams; empty tables stay empty; other columns stay, and results are columns the caller names.
 """
 
 from __future__ import annotations
@@ -41,9 +43,14 @@ RATES = {
     (False, 3): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
 }
 HERTZ = {1: [44100, 48000, 32000], 2: [22050, 24000, 16000], 25: [11025, 12000, 8000]}
+# Layer II: bits that allot each subband's bits, by (least kbit/s of a channel, tables at 44.1, 48 and 32 kHz), and at the lower sampling rates.
+ALLOT = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
+ALLOT_BY = [(96, "bab"), (56, "aaa"), (0, "ccd")]
 # End of fixed values.
 
 ALIGN, FRONT = 64, 4 + 2 + 17
+#: Bytes within which a free format's next frame is looked for.
+FREE_REACH = 1 << 14
 SCHEMA = "version string, layer int, sample_rate int, n_frames long, n_samples long, duration double, mean_kbps double, n_gaps long, gap_bytes long, n_checked long, n_bad_crc long, table string, tags map<string,string>, offsets array<long>"
 
 
@@ -58,26 +65,78 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """crc16 over a number of bits that need not fill the last byte."""
+    whole, rest = divmod(bits, 8)
+    c = crc16(data[:whole])
+    for k in range(rest):
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ (data[whole] >> (7 - k) & 1) else 0)) & 0xFFFF
+    return c
+
+
 @lru_cache(4096)
-def header(four: bytes) -> tuple | None:
-    """(version, layer, Hz, kbit/s, frame bytes, samples, protected, side information bytes) of a frame header; None if it is none."""
+def header(four: bytes, free: int = 0) -> tuple | None:
+    """(version, layer, Hz, kbit/s, frame bytes, samples, protected, side information bytes) of a frame header; None if it is none.
+
+    free: bytes of a free format's frames without padding; while it is 0, their length is 0.
+    """
     if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE0 != 0xE0:
         return None
     version, layer = {3: 1, 2: 2, 0: 25}.get(four[1] >> 3 & 3), 4 - (four[1] >> 1 & 3)
     rate, hertz, pad = four[2] >> 4, four[2] >> 2 & 3, four[2] >> 1 & 1
-    if version is None or layer == 4 or rate in (0, 15) or hertz == 3:
+    if version is None or layer == 4 or rate == 15 or hertz == 3:
         return None
     kbps, hz = RATES[version == 1, layer][rate], HERTZ[version][hertz]
-    if layer == 1:
-        size, samples = (12_000 * kbps // hz + pad) * 4, 384
+    samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
+    slot = 4 if layer == 1 else 1
+    if rate:
+        size = (samples // 8 * 1000 // slot * kbps // hz + pad) * slot
     else:
-        samples = 1152 if layer == 2 or version == 1 else 576
-        size = samples // 8 * 1000 * kbps // hz + pad
+        size, kbps = (free + pad * slot, free * hz // (samples * 125)) if free else (0, 0)
     mono = four[3] >> 6 == 3
     side = (17 if mono else 32) if version == 1 else (9 if mono else 17)
     return version, layer, hz, kbps, size, samples, not four[1] & 1, side if layer == 3 else 0
 
 
+def protected_bits(frame: bytes, h: tuple) -> int:
+    """How many bits behind a frame's header and checksum the checksum covers."""
+    version, layer, hz, kbps = h[:4]
+    if layer == 3:
+        return 8 * h[7]
+    mode, channels = frame[3] >> 6, 1 if frame[3] >> 6 == 3 else 2
+    joint = 4 * ((frame[3] >> 4 & 3) + 1) if mode == 1 else 32  # from this subband on, channels share what they are allotted
+    if layer == 1:
+        return 4 * (min(joint, 32) * channels + (32 - min(joint, 32)))
+    by = next(names for least, names in ALLOT_BY if kbps / channels >= least)
+    widths = ALLOT[by[HERTZ[1].index(hz)] if version == 1 else "low"]
+    bits, at, used = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(widths):
+        own = channels if band < joint else 1
+        for _ in range(own):
+            at += width
+            used += (channels if own < channels else 1) * bool(bits >> (512 - at) & ((1 << width) - 1))
+    return at + 2 * used
+
+
+def free_size(data: bytes, p: int, end: int, inner: bool = False) -> int:
+    """Bytes, without padding, of the free format's frames that begin at p; 0 if no second and third header say so, or if shorter frames
+    begin at a header on the way, which then p is not in step with."""
+    same = lambda q: (h := header(data[q : q + 4])) is not None and h[:3] == kind and not data[q + 2] >> 4
+    kind = header(data[p : p + 4])[:3]
+    pad = lambda q: (data[q + 2] >> 1 & 1) * (4 if kind[1] == 1 else 1)
+    q = data.find(b"\xff", p + 24, min(end, p + FREE_REACH))
+    while q >= 0:
+        if same(q):
+            size = q - p - pad(p)
+            after = q + size + pad(q)
+            if after == end or (after + 4 <= end and same(after)):
+                return size
+            if not inner and 0 < free_size(data, q, end, True) < size:
+                return 0
+        q = data.find(b"\xff", q + 1, min(end, p + FREE_REACH))
+    return 0
+
+
 def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     """(bytes, text frames) of an ID3v2 tag in front."""
     if data[:3] != b"ID3" or len(data) < 10 or any(b & 0x80 for b in data[6:10]):
@@ -149,20 +208,29 @@ def parse(data: bytes) -> dict:
     tags |= more
     offsets, gaps, lost, at, kind = [], 0, 0, start, None
     checked = bad = kbps = samples = 0
-    table, info = None, {}
+    table, info, free = None, {}, 0
+
+    def read(p: int) -> tuple | None:
+        """The header at p; the first of a free format tells the length of all."""
+        nonlocal free
+        h = header(data[p : p + 4], free)
+        if h and not h[4]:
+            free = free_size(data, p, end)
+            h = header(data[p : p + 4], free) if free else None
+        return h
 
     def believed(p: int) -> tuple | None:
-        h = header(data[p : p + 4])
+        h = read(p)
         if h is None or p + h[4] > end:
             return None
         if p + h[4] == end:
             return h
-        n = header(data[p + h[4] : p + h[4] + 4])
+        n = header(data[p + h[4] : p + h[4] + 4], free)
         return h if n and n[:3] == h[:3] else None
 
     synced = False
     while at + 4 <= end:
-        h = header(data[at : at + 4])
+        h = read(at)
         if synced:
             h = h if h and at + h[4] <= end and kind in (None, h[:3]) else None
         else:
@@ -171,7 +239,7 @@ def parse(data: bytes) -> dict:
             p = at
             while True:
                 p = data.find(b"\xff", p + (p == at), end)
-                if p < 0 or (believed(p) and (kind is None or header(data[p : p + 4])[:3] == kind)):
+                if p < 0 or (believed(p) and (kind is None or read(p)[:3] == kind)):
                     break
                 p += 1
             gaps, lost = gaps + 1, lost + ((p if p >= 0 else end) - at)
@@ -187,9 +255,10 @@ def parse(data: bytes) -> dict:
                 continue
             table = "none"
         synced = True
-        if h[6] and h[1] == 3:
+        if h[6]:
             checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h[7]]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            frame = data[at : at + min(h[4], 134)]
+            bad += crc16_bits(frame[2:4] + frame[6:], 16 + protected_bits(frame, h)) != int.from_bytes(frame[4:6], "big")
         offsets.append(at)
         kbps, samples = kbps + h[3], samples + h[5]
         at += h[4]

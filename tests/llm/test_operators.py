@@ -313,6 +313,59 @@ def test_damage_is_found():
             mpeg_audio.unpack(bytes(worse))
 
 
+def bitwise_crc(bits):
+    """CRC-16 of a string of 0 and 1, by long division."""
+    c = [1] * 16
+    for b in bits:
+        top = c.pop(0) ^ int(b)
+        c.append(0)
+        c = [x ^ (top & int(y)) for x, y in zip(c, f"{0x8005:016b}")]
+    return int("".join(map(str, c)), 2).to_bytes(2, "big")
+
+
+def in_bits(data):
+    return "".join(f"{b:08b}" for b in data)
+
+
+LAYERS = [
+    ("I mono", bytes([0xFF, 0xFE, 9 << 4, 0xC0]), lambda body: 128),
+    ("I stereo", bytes([0xFF, 0xFE, 9 << 4, 0x00]), lambda body: 256),
+    ("I joint 8", bytes([0xFF, 0xFE, 9 << 4, 0x50]), lambda body: 160),
+    ("II mono 128", bytes([0xFF, 0xFC, 8 << 4, 0xC0]), lambda body: 94 + 2 * 1),
+    ("II stereo 64", bytes([0xFF, 0xFC, 4 << 4 | 1 << 2, 0x00]), lambda body: 2 * (8 + 18) + 2 * 1),
+    ("II low", bytes([0xFF, 0xF4, 8 << 4, 0xC0]), lambda body: 16 + 21 + 38 + 2 * 1),
+]
+
+
+@pytest.mark.parametrize("name, four, covered", LAYERS)
+def test_checksums_of_the_other_layers(name, four, covered):
+    size = mpeg_audio.header(four)[4]
+    body = bytearray(size - 6)
+    body[0] = 0x10  # one subband of one channel is allotted bits
+    n = covered(body)
+    crc = bitwise_crc(in_bits(four[2:]) + in_bits(body)[:n])
+    audio = bytearray((four + crc + body) * 4)
+    good = mpeg_audio.parse(bytes(audio))
+    assert (good["n_frames"], good["n_checked"], good["n_bad_crc"]) == (4, 4, 0), name
+    for bit, bad in ((n - 1, 1), (n, 0)):
+        worse = bytearray(audio)
+        worse[size + 6 + bit // 8] ^= 128 >> bit % 8
+        assert mpeg_audio.parse(bytes(worse))["n_bad_crc"] == bad, name
+
+
+def test_free_format():
+    four, padded = bytes([0xFF, 0xFB, 0, 0xC0]), bytes([0xFF, 0xFB, 2, 0xC0])
+    body = b"\xff\xfb\x00" + bytes(773 - 7)
+    audio = b"".join((padded if i % 3 == 1 else four) + body + bytes(i % 3 == 1) for i in range(9))
+    got = mpeg_audio.parse(audio)
+    assert (got["n_frames"], got["n_gaps"], got["n_samples"]) == (9, 0, 9 * 1152) and got["offsets"][1:3] == [773, 2 * 773 + 1]
+    assert got["mean_kbps"] == 773 * 44100 // 144_000
+    audio = audio.replace(body, bytes(len(body)))  # without what looks like headers
+    broken = mpeg_audio.parse(audio[:773] + b"junk" + audio[773:])
+    assert (broken["n_frames"], broken["gap_bytes"]) in ((9, 4), (8, 777))
+    assert mpeg_audio.parse(four + bytes(3000))["n_frames"] == 0
+
+
 # 6 secrets
 
 
@@ -475,6 +528,64 @@ def test_forward_sums_all_segmentations():
     assert counts == pytest.approx(want) and (counts * [len(x) for x in pieces]).sum() == pytest.approx(sum(map(len, words)))
 
 
+def test_small_probabilities_are_not_lost():
+    """Words whose likelihoods lie far below the smallest double keep their order, short and long ones."""
+    pieces = [bytes([b]) for b in range(256)]
+    p = np.full((256, 2), 1e-11)
+    p[ord("b"), 1] = 1e-12
+    index, table = language_id.Pieces(pieces), {x: row.tolist() for x, row in zip(pieces, p)}
+    for n in (32, 33, 500):
+        word = b"a" * (n - 1) + b"b"
+        want = [math.log(1e-11) * n, math.log(1e-11) * (n - 1) + math.log(1e-12)]
+        got = language_id.many_forward([word], index, p)[0].tolist() if n <= language_id.SHORT else language_id.forward(word, table.get, 1, 2)
+        assert got == pytest.approx(want)
+        assert language_id.many_expected([word], np.ones(1), index, p[:, 0])[[ord("a"), ord("b")]] == pytest.approx([n - 1, 1])
+
+
+def test_long_words_are_fitted_whole():
+    r = random.Random(3)
+    pieces = [b"a", b"b", b"ab", b"ba", b"aab", b"bab"]
+    p = np.array([r.random() for _ in pieces])
+    index = language_id.Pieces(pieces)
+    for word in [b"abaabbab", b"aabab" * 2]:
+        which, x = language_id.long_expected(word, index.index, index.longest, p)
+        total, found = all_counts(word, dict(zip(pieces, p)))
+        assert np.bincount(which, x, len(pieces)) == pytest.approx([found[k] / total for k in pieces])
+    long = b"aab" * 20_000
+    which, x = language_id.long_expected(long, index.index, index.longest, p / 50)
+    assert (np.bincount(which, x, len(pieces)) * [len(k) for k in pieces]).sum() == pytest.approx(len(long))
+
+
+def test_predictions_equal_brute_force(spark, tmp_path):
+    """Fitting and prediction, stated segmentation by segmentation, with a small list of pieces."""
+    listed = [b" a", b" b", b"ab", b"ba", b"abc", b"bc", " é".encode(), b"cc"]
+    path = tmp_path / "pieces.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(x) + b" %d" % i for i, x in enumerate(listed)))
+    train = [("x", "abc ab abcbc éé"), ("x", "ab abc"), ("y", "ba bacc ccba b"), ("y", "bc ba"), ("z", "abcba cc"), (None, "ab"), ("x", None)]
+    asked = [None, "", "12 !", "ab", "ba ba", "abc bacc", "éé", "zz qq", "ab ba", "abcabcabc"]
+    pieces = [*listed, *(bytes([b]) for b in range(256) if bytes([b]) not in listed)]
+    p = {k: {x: 1 / len(pieces) for x in pieces} for k in "xyz"}
+    for _ in range(language_id.ROUNDS):
+        for k in p:
+            counts = Counter()
+            for lang, text in train:
+                for w in (text or "").split() if lang == k else ():
+                    total, found = all_counts(b" " + w.encode(), p[k])
+                    for x, v in found.items():
+                        counts[x] += v / total
+            whole = sum(counts.values()) + language_id.SMOOTH * len(pieces)
+            p[k] = {x: (counts[x] + language_id.SMOOTH) / whole for x in pieces}
+    model = language_id.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, lang string, text string"), vocabulary=str(path))
+    got = language_id.with_language(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), model).orderBy("i").collect()
+    for r in got:
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert tuple(r["language"]) == ("und", 0.0)
+            continue
+        like = {k: math.prod(all_ways(b" " + w.encode(), p[k]) for w in r["text"].split()) for k in p}
+        best = max(sorted(like), key=like.get)
+        assert r["language"]["lang"] == best and r["language"]["score"] == pytest.approx(like[best] / sum(like.values()))
+
+
 def test_language_of_odd_rows(spark, odd, nothing):
     model = language_id.fit(odd)
     assert model.languages == ["en"]
