@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collatio.functions.text import let
+from collatio.session import spread
 
 from .shared import alnum_words, bound_batches, running, settle
 
@@ -225,7 +226,7 @@ def in_blocks(df: DataFrame, text: str, into: str, searchers: list) -> DataFrame
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     out = with_benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "hits.n_words", "hits.n_hit", "hits.n_items", "hits.items_sha256", "hits.contaminated")
 

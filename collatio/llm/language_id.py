@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from collatio.session import spread
+
 from .shared import bound_batches, mixed, settle
 
 #: Training texts of a language, about; rounds of expectation-maximisation; count added to every piece; languages at most.
 PER_LANGUAGE, ROUNDS, SMOOTH, MAX_LANGUAGES = 5000, 2, 0.05, 256
 #: Bytes of a word, with its blank, up to which many are computed at once; what sums are multiplied by for each byte; words whose probabilities a worker keeps.
-SHORT, SCALE, KEPT = 33, 4096.0, 400_000
+SHORT, SCALE, KEPT = 33, 4096.0, 200_000
 #: Bytes of words whose segmentations are computed together.
 GROUP = 200_000
 #: Words that fitting holds at a time.
@@ -395,7 +397,7 @@ def held_out(key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit(docs.where(~held_out()))
     out = with_language(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")

@@ -12,8 +12,9 @@ sides, the share of the template's distinct shingles that the text has is counte
 match. Matches of one template that overlap count as one, the best.
 
 Null texts and texts of fewer than five words have no matches. Templates have five words or more, and together at most
-MAX_TEMPLATE_WORDS words, as they travel in the task. Repeated rows repeat, empty tables stay empty, other columns stay; the
-result is one struct column that the caller names.
+MAX_TEMPLATE_WORDS words, as they travel in the task. Very long texts are scanned whole, window by window. Of overlapping matches of one
+template that are equally good, the first counts. Repeated rows repeat, empty tables stay empty, other columns stay, whatever their
+names; the result is one struct column that the caller names, in place of one of that name.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collatio.session import spread
+
 from .shared import alnum_words, bound_batches, mixed
 
 WIDTH, BANDS, ROWS, WIDEST, CONTAINED = 5, 16, 2, 32, 0.8
@@ -189,7 +192,7 @@ def with_licenses(df: DataFrame, text: str = "text", into: str = "licenses", tem
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     """License notices in every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     x = F.col("licenses")
     spans = F.array_join(F.transform(x["found"], lambda m: F.concat_ws(":", m["id"], m["start"], m["stop"])), ",")
     return with_licenses(docs).select("doc_id", x["n"].alias("n_licenses"), F.array_join(x["ids"], ",").alias("license_ids"), x["best"].alias("best_containment"), spans.alias("spans"))

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collatio.session import spread
+
 from .shared import bound_batches, new_folder
 
 # Fixed values of the MPEG audio formats: bit rates in kbit/s by (version is 1, layer), sampling rates by version (1, 2, 2.5).
@@ -368,5 +370,5 @@ def store_media(df: DataFrame, text: str, media: str) -> DataFrame:
 
 def op5_mpeg_audio(spark, sf_dir: str) -> DataFrame:
     """Every document stored as MPEG audio, read back and measured."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     return store_media(docs, "text", "media").select("doc_id", read_back("media").alias("m")).select("doc_id", "m.*")

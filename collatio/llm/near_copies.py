@@ -45,7 +45,7 @@ NEAR = 3
 #: Texts of the sample; the shingles that it says are common at most (an order only, no shingle is left out).
 SAMPLE, COMMON = 4000, 100_000
 #: Files that a worker keeps mapped; nodes and failed pairs that a task remembers.
-MAPPED, REMEMBERED = 600, 1_000_000
+MAPPED, REMEMBERED = 600, 300_000
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

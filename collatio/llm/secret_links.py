@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatio.functions.text import let
+from collatio.session import spread
 
 from .shared import running, settle
 
@@ -144,7 +145,7 @@ def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
 
 def op6_secret_links(spark, sf_dir: str) -> DataFrame:
     """Strong and linked weak secrets of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     out = with_secrets(docs, keep_text=False)
     s = F.col("secrets")
     return out.select("doc_id", *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(s["base"].cast("binary"), 256).alias("base_sha256"), s["spans"].alias("spans"), *[F.size(s[k]).cast("long").alias(f"n_{k}") for k in WEAK])

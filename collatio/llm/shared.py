@@ -17,7 +17,7 @@ from collatio.functions.text import let
 from collatio.session import ship
 
 #: Bytes of text in one Arrow batch at most (a single longer row makes a batch of its own).
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 #: Rows of a key from which a join splits it; keys that may be broadcast.
 HOT_ROWS, SENT = 1_000_000, 500_000
 

@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collatio.session import spread
+
 from .shared import ascii_lower_words, bound_batches, components, join_hot, mixed, settle
 
 BITS, SEED = 64, 42
@@ -305,6 +307,6 @@ def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: st
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     out = with_groups(docs, keep_text=False)
     return out.select("doc_id", F.lower(F.lpad(F.hex("near.fp"), 16, "0")).alias("fingerprint"), F.col("near.component").alias("component_id"))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collatio.session import spread
+
 from .shared import bound_batches
 
 #: Characters of a chunk, and of its first overlap with the next.
@@ -157,6 +159,6 @@ def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     """Tokens of every document, by the production vocabulary."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
     out = with_token_counts(docs, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("doc_id", "tokens.*")

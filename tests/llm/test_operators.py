@@ -727,7 +727,7 @@ def brute_model(train, texts, order):
 SMALL = {"SHARD": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}
 
 
-@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"ORDER": 3}])
+@pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"ORDER": 3, "NARROW": 0}])
 def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, settings):
     """With one shard, and with many shards and portions, contexts that are spread, and texts that go on in other portions."""
     for k, x in settings.items():
