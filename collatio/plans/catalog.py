@@ -294,7 +294,48 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("original"), F.lead("text").over(order).alias("version")).where("version IS NOT NULL")
 
 
-@query()
+TOKENS = f"regexp_extract_all(lower(%s), '{W}+')"
+SPLIT = "list_filter(regexp_split_to_array(%s, '\\s+'), lambda x: x <> '')"
+TIDY = "regexp_replace(array_to_string(" + SPLIT % "lower(%s)" + ", ' '), '^[ .,;:]+|[ .,;:]+$', '', 'g')"
+QUOTED, REFERRED = """regexp_extract_all(%s, '["“«]([^"”»]{12,})["”»]', 1)""", r"regexp_extract_all(%s, '(?i)\(([^()]*\b(?:[ivxlc]+|\d+)\b[^()]*)\)', 1)"
+EDGE, ACCENTS = "(?:^|[^\\p{L}\\p{N}_])", f"[{lexicon.ACCENTED}]"
+
+
+def eight_grams(tokens: str) -> str:
+    return f"list_transform(generate_series(1, len({tokens}) - 7), lambda i: array_to_string({tokens}[i : i + 7], ' '))"
+
+
+def guards_sql() -> str:
+    """Every guard's rule on paragraphs side by side, by token lists, as DuckDB's patterns look neither ahead nor behind."""
+    side = lambda x: f"(SELECT doc_id, list_filter(list_transform(regexp_split_to_array({x}, '\\n\\s*\\n'), lambda y: {STRIP % 'y'}), lambda y: y <> '') AS l FROM p)"
+    broken = lambda pattern: f"list_min(list_filter(regexp_extract_all(b, '{pattern}'), lambda x: NOT list_contains(regexp_extract_all(a, '{pattern}'), x)))"
+    entity, unquoted = r"&(?:[a-zA-Z]{2,8}|#\d{2,5});", """regexp_replace(a, '["“”«»]', '', 'g')"""
+    density = lambda x: f"len(regexp_extract_all(lower({x}), '{ACCENTS}')) / greatest(1, len({SPLIT % x}))"
+    forms = f"list_filter(list_concat([strip_accents(w)], list_transform(list_filter(generate_series(1, length(w)), lambda i: regexp_matches(w[i:i], '{ACCENTS}')), lambda i: w[1 : i - 1] || strip_accents(w[i:i]) || w[i + 1 :]), list_transform(list_filter(generate_series(1, length(w) - 1), lambda i: regexp_matches(w[i:i], '{ACCENTS}')), lambda i: w[1 : i - 1] || w[i + 1 :])), lambda x: x <> w)"
+    vosotros = f"(?i){EDGE}((?:{lexicon.PENINSULAR.replace('[LETTERS]', '[{0}]').format(chr(92) + 'p{L}' + chr(92) + 'p{Nl}' + chr(92) + 'p{No}')}))(?:$|[^\\p{{L}}\\p{{N}}_])"
+    return rf"""
+WITH {PAIRS}, z AS (SELECT doc_id, unnest(o.l) AS a, unnest(v.l) AS b, unnest(generate_series(1, len(o.l))) AS para_no FROM {side('original')} o JOIN {side('version')} v USING (doc_id) WHERE len(o.l) = len(v.l)),
+t AS (SELECT *, {TOKENS % 'a'} AS ta, {TOKENS % 'b'} AS tb, {TOKENS % 'strip_accents(a)'} AS fa, {TOKENS % 'strip_accents(b)'} AS fb, {LETTERS.replace('text', 'a')} AS la, {LETTERS.replace('text', 'b')} AS lb, {QUOTED % 'a'} AS qa, {QUOTED % 'b'} AS qb, {REFERRED % 'a'} AS ra, {REFERRED % 'b'} AS rb FROM z),
+n AS (SELECT *, {among_sql('la', lexicon.SPANISH)} AS oes, {among_sql('la', lexicon.ENGLISH)} AS oen, {among_sql('lb', lexicon.SPANISH)} AS ves, {among_sql('lb', lexicon.ENGLISH)} AS ven, {among_sql('fa', lexicon.NEGATIONS.split('|'))} AS neg, {among_sql('fb', lexicon.NEGATIONS.split('|'))} AS left_, {eight_grams('fa')} AS ga, {eight_grams('fb')} AS gb,
+    list_sort(list_filter(list_distinct(ta), lambda w: length(w) >= 6 AND regexp_matches(w, '{ACCENTS}'))) AS long,
+    list_sort(list_distinct(list_filter(regexp_extract_all(a, '{EDGE}([A-ZÁÉÍÓÚÑ][\p{{L}}\p{{Nl}}\p{{No}}]*{ACCENTS}[\p{{L}}\p{{Nl}}\p{{No}}]*)', 1), lambda w: length(w) >= 4))) AS names FROM t),
+m AS (SELECT *, list_filter(list_transform(long, lambda w: list_min(list_filter({forms}, lambda x: list_contains(tb, x)))), lambda x: x IS NOT NULL)[1] AS eaten,
+    list_filter(names, lambda w: NOT list_contains(tb, lower(w)) AND list_contains(list_transform(tb, lambda x: strip_accents(x)), strip_accents(lower(w))))[1] AS bare,
+    list_filter(gb, lambda g: len(list_filter(gb, lambda x: x = g)) >= 2 AND len(list_filter(gb, lambda x: x = g)) > len(list_filter(ga, lambda x: x = g)))[1] AS again FROM n)
+SELECT doc_id, CAST(para_no AS INTEGER) AS para_no,
+    CASE WHEN {broken(entity)} IS NOT NULL THEN '(broken characters: HTML entity ''' || {broken(entity)} || ''')' END AS encoding,
+    CASE WHEN len(list_filter(qa, lambda q: NOT contains({TIDY % 'b'}, {TIDY % 'q'}))) > 0 THEN '(quote changed)' WHEN len(list_filter(qb, lambda q: NOT contains({TIDY % unquoted}, {TIDY % 'q'}))) > 0 THEN '(invented quote)' WHEN len(list_filter(rb, lambda q: NOT list_contains(list_transform(ra, lambda r: {TIDY % 'r'}), {TIDY % 'q'}))) > 0 THEN '(invented reference)' END AS citation,
+    CASE WHEN NOT regexp_matches(lower(a), '{ACCENTS}') THEN NULL WHEN regexp_matches(b, '[\p{{L}}\p{{Nl}}\p{{No}}]''[\p{{L}}\p{{Nl}}\p{{No}}]') AND NOT regexp_matches(a, '{W}''{W}') THEN '(broken accents)' WHEN eaten IS NOT NULL THEN '(accents lost: ' || eaten || ')'
+        WHEN len(regexp_extract_all(lower(a), '{ACCENTS}')) >= 4 AND {density('a')} >= 0.05 AND {density('b')} < 0.4 * ({density('a')}) THEN '(accents lost)' END AS spelling,
+    '(accent lost in a name: ' || bare || ')' AS name_accent,
+    CASE WHEN oes > oen AND ((ven >= 2 AND ven > 0.5 * ves) OR (ves = 0 AND len(lb) >= 5)) THEN '(switched to English)' WHEN oen > oes AND ves >= 2 AND ves > 0.5 * ven THEN '(switched to Spanish)' END AS language,
+    CASE WHEN oes > oen AND NOT regexp_matches(a, '{vosotros}') AND regexp_matches(b, '{vosotros}') THEN '(vosotros form: ' || regexp_extract(b, '{vosotros}', 1) || ')' END AS peninsular,
+    CASE WHEN neg >= 2 AND left_ < neg - greatest(1, neg // 3) THEN '(negations lost: ' || neg || ' -> ' || left_ || ')'
+        WHEN regexp_matches(lower(strip_accents(a)), '{EDGE}no (?:{W}+ ){{0,3}}(?:solo|solamente|unicamente)(?:[^\p{{L}}\p{{N}}_].*[^\p{{L}}\p{{N}}_]|[^\p{{L}}\p{{N}}_])sino(?:$|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(lower(strip_accents(a)), 'un solo') AND left_ = 0 THEN '(«no solo» lost)' END AS negation,
+    '(repeated: ' || again || ')' AS repetition FROM m"""
+
+
+@query(guards_sql())
 def guard_messages(spark, sf_dir):
     """Every guard on paragraphs of the derived pairs."""
     return guards.with_guards(overlap.paired_paragraphs(pairs(spark, sf_dir), ["doc_id"]), "a", "b").drop("a", "b")
