@@ -113,16 +113,19 @@ def generated(requests: DataFrame, generator: Generator = echo, options: dict |
     return out.withColumn("text", restored_percent(F.col("para"), cleaned(F.col("lead"), F.col("raw")))).drop("prompt", "limit", "raw")
 
 
-def requests(paras: DataFrame, round_no: int, tries: int, start: float = 1.0, bullets: bool = False) -> DataFrame:
+def requests(paras: DataFrame, round_no: int, tries: int, start: float = 1.0, bullets: bool = False, lead_words: int = LEAD_WORDS, given: str | None = None) -> DataFrame:
     """A row for every try of a round: (…, para, round, try, lead, temperature). Titles are not reworded.
 
     bullets: bullets that begin with an infinitive get a lead that rotates from bullet to bullet and try to try; the column
-    `bullet` then holds a bullet's number in its text, from 0.
+    `bullet` then holds a bullet's number in its text, from 0. lead_words: how many of a paragraph's words open its versions, 0 for none.
+    given: a column with the opening of those paragraphs that have one of their own, which goes before all others.
     """
     rows = paras.where(~is_title(F.col("para"))).withColumns({"round": F.lit(round_no), "try": F.explode(F.sequence(F.lit(1), F.lit(tries)))})
-    lead = first_words(F.col("para"))
+    lead = first_words(F.col("para"), lead_words)
     if bullets:
         lead = F.coalesce(bullet_lead(F.col("para"), F.col("bullet") + F.col("try") - 1 + round_no * tries), lead)
+    if given:
+        lead = F.coalesce(F.col(given), lead)
     return rows.withColumns({"lead": lead, "temperature": temperature(start, F.lit(round_no))})
 
 

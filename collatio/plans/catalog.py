@@ -206,22 +206,20 @@ def lost_negations(spark, sf_dir):
     return pairs(spark, sf_dir).select("doc_id", F.array_sort(concepts.lost_negations(F.col("original"), F.col("version"))).alias("lost"))
 
 
-FRAMED = "concat('Tema: x', doc_id, ' alfa. Texto: y', doc_id, ' beta.\n\nEl tema es uno.\n\nEl tema es dos.\n\nEl tema son tres.\n\nno x', doc_id, ', sino otro.')"
+TAIL = "chr(10) || chr(10) || 'Tema: x' || doc_id || ' alfa. Texto: y' || doc_id || ' beta.' || chr(10) || chr(10) || 'El tema es uno.' || chr(10) || chr(10) || 'El tema es dos.' || chr(10) || chr(10) || 'El tema son tres.' || chr(10) || chr(10) || 'no x' || doc_id || ', sino otro.' || chr(10) || chr(10) || 'Compromiso: que x' || doc_id"
+LABELLED = rf"'(?:^|[.;]\s+)([A-ZÁÉÍÓÚÑ]{W}*(?:\s+{W}+){{0,2}}):\s+(\S+)'"
 
 
-@query("""SELECT doc_id, CAST(1 AS INTEGER) AS para_no, 'labels' AS kind, 'Tema; Texto' AS excerpt FROM documents
-UNION ALL SELECT doc_id, CAST(2 AS INTEGER), 'frame', '«el tema» in paragraphs 2, 3, 4' FROM documents
-UNION ALL SELECT doc_id, CAST(5 AS INTEGER), 'antithesis', 'no x' || doc_id || ', sino' FROM documents""")
+@query(rf"""WITH x AS (SELECT doc_id, unnest(l) AS para, CAST(unnest(generate_series(1, len(l))) AS INTEGER) AS para_no FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda y: {STRIP % 'y'}), lambda y: y <> '') AS l FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) || {TAIL} AS t FROM documents))),
+y AS (SELECT *, regexp_extract_all(para, {LABELLED}, 1) AS labels, regexp_extract_all(para, {LABELLED}, 2) AS words FROM x),
+f AS (SELECT doc_id, frame, list_sort(list(para_no)) AS w FROM (SELECT doc_id, para_no, unnest(list_distinct(regexp_extract_all(lower(strip_accents(para)), '(?:^|[^\p{{L}}\p{{N}}_])((?:el|la|los|las|the)\s+{W}+(?:\s+{W}+)?)(?:\s*:|\s+(?:es|son|is|are)\b)', 1))) AS frame FROM x) GROUP BY doc_id, frame HAVING count(*) >= 3)
+SELECT doc_id, para_no, 'antithesis' AS kind, unnest(regexp_extract_all(para, '(?i)(?:^|[^\p{{L}}\p{{N}}_])((?:no|not)[^\p{{L}}\p{{N}}_.;:!?][^.;:!?]{{0,89}}?,?\s+(?:sino|but rather|but instead)\b)', 1)) AS excerpt FROM x
+UNION ALL SELECT doc_id, para_no, 'labels', array_to_string(labels, '; ') FROM y WHERE len(labels) >= 2
+UNION ALL SELECT doc_id, para_no, 'label-fragment', left(para, 60) FROM y WHERE len(labels) = 1 AND lower(words[1]) IN ('que', 'that') AND starts_with(para, labels[1])
+UNION ALL SELECT doc_id, w[1], 'frame', '«' || frame || '» in paragraphs ' || array_to_string(w, ', ') FROM f""")
 def flagged_shapes(spark, sf_dir):
-    """Shapes of a text that is built for each document, one of every kind but the fragment."""
-    return concepts.flagged_shapes(table(spark, sf_dir).select("doc_id", F.expr(FRAMED).alias("text")), ["doc_id"])
-
-
-@query()
-def document_shapes(spark, sf_dir):
     """Shapes of the documents' whole texts, with a tail that has one of every kind."""
-    tail = F.concat(F.lit("\n\n"), F.expr(FRAMED), F.lit("\n\nCompromiso: que x"), F.col("doc_id").cast("string"))
-    return concepts.flagged_shapes(pairs(spark, sf_dir).select("doc_id", F.concat("original", tail).alias("text")), ["doc_id"])
+    return concepts.flagged_shapes(pairs(spark, sf_dir).select("doc_id", F.concat("original", F.expr(TAIL)).alias("text")), ["doc_id"])
 
 
 def grams_sql(text: str, source: str, key: str, n: int) -> str:
@@ -444,7 +442,7 @@ def openers(spark, sf_dir):
     return table(spark, sf_dir).select("doc_id", predicates.opener(x, "en").alias("en"), predicates.opener(x, "es").alias("es"))
 
 
-@query("SELECT doc_id, regexp_matches(x, '(?i)(?:^|\\s)(?:Mr|Mrs|Ms|Dr|Prof|St|Sr|Sra|Srta|Dra|Lic|Ing|vs|etc|approx|e\\.g|i\\.e|U\\.S|p\\.ej)\\.$') AS short FROM (SELECT doc_id, text || [' Dr.', 'dr.', ' etc', ' p.ej.'][doc_id % 4 + 1] AS x FROM documents)")
+@query(f"SELECT doc_id, regexp_matches(x, '(?i){lexicon.ABBREVIATION}') AS short FROM (SELECT doc_id, text || [' Dr.', 'dr.', ' etc', ' p.ej.'][doc_id % 4 + 1] AS x FROM documents)")
 def abbreviations(spark, sf_dir):
     """Whether a text's last full stop belongs to an abbreviation."""
     end = F.element_at(F.array(*map(F.lit, (" Dr.", "dr.", " etc", " p.ej."))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -454,16 +452,20 @@ def abbreviations(spark, sf_dir):
 VERBS = {"Ofrecer": ("Ofrecemos", "Ofreceremos", "Vamos a ofrecer", "Queremos ofrecer"), "Formar": ("Formamos", "Formaremos", "Vamos a formar", "Queremos formar"), "Tener": ("Tenemos", "Tendremos", "Vamos a tener", "Queremos tener"), "Ir": (None,) * 4, "Decir": ("Decimos", "Diremos", "Vamos a decir", "Queremos decir"), "Reunirse": ("Vamos a reunirnos", "Vamos a reunirnos", "Vamos a reunirnos", "Queremos reunirnos"), "Lugar": (None,) * 4, "the": (None,) * 4}
 
 
+LINE_ROWS = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(generate_series(1, len(string_split(text, chr(10))))) AS INTEGER) AS line_no FROM documents"
+
+
 def bullet_sql() -> str:
     rows = ", ".join(f"({i}, {k}, {'NULL' if lead is None else repr(lead)})" for i, leads in enumerate(VERBS.values()) for k, lead in enumerate(leads))
-    return f"SELECT doc_id, lead FROM documents JOIN (VALUES {rows}) AS v(i, k, lead) ON i = doc_id % {len(VERBS)} AND k = doc_id % 7 % 4"
+    return rf"SELECT doc_id, line_no, CASE WHEN len(list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '')) < 40 THEN lead END AS lead FROM ({LINE_ROWS}) JOIN (VALUES {rows}) AS v(i, k, lead) ON i = (doc_id + line_no) % {len(VERBS)} AND k = doc_id % 7 % 4"
 
 
 @query(bullet_sql())
 def bullet_leads(spark, sf_dir):
-    """Openings of made-up bullets that begin with an infinitive."""
-    word = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("doc_id") % len(VERBS) + 1).cast("int"))
-    return table(spark, sf_dir).select("doc_id", candidates.bullet_lead(F.concat(word, F.lit(" algo nuevo")), F.col("doc_id") % 7 % 4).alias("lead"))
+    """Openings of the documents' lines, if they were bullets that begin with an infinitive."""
+    rows = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "line_no", "line").drop("text")
+    word = F.element_at(F.array(*map(F.lit, VERBS)), ((F.col("doc_id") + F.col("line_no")) % len(VERBS) + 1).cast("int"))
+    return rows.select("doc_id", "line_no", candidates.bullet_lead(F.concat(word, F.lit(" "), "line"), F.col("doc_id") % 7 % 4).alias("lead"))
 
 
 @query("""SELECT doc_id, regexp_extract_all(x, '["“«]([^"”»]{12,})["”»]', 1) AS quotes, regexp_extract_all(x, '(?i)\\(([^()]*\\b(?:[ivxlc]+|\\d+)\\b[^()]*)\\)', 1) AS refs FROM (SELECT doc_id, 'He said "' || replace(text, '"', '') || '" (see ' || doc_id || ') («x») (civic) (none here).' AS x FROM documents)""")
@@ -479,19 +481,20 @@ def only_paragraphs(spark, sf_dir):
     return candidates.only(rows, rows.withColumn("para", F.concat(F.lit("x"), "para")), [1, 3], ["doc_id"])
 
 
-@query("SELECT doc_id, 'a' || doc_id AS name, ['a' || doc_id, 'b c', 'd*'] AS variants FROM documents")
+@query(rf"""SELECT doc_id, line_no, v[1] AS name, v AS variants FROM (SELECT doc_id, line_no, list_filter(list_transform(string_split({STRIP % "split_part('  ' || line || ' | b c | | d* # e | f', '#', 1)"}, '|'), lambda y: {STRIP % 'y'}), lambda y: y <> '') AS v FROM ({LINE_ROWS})) WHERE len(v) > 0""")
 def concept_lines(spark, sf_dir):
-    """Concept files' lines, parsed."""
-    lines = table(spark, sf_dir).select("doc_id", F.concat(F.lit("  a"), F.col("doc_id").cast("string"), F.lit(" | b c | | d* # e | f")).alias("value"))
-    return concepts.parsed_concepts(lines, key=["doc_id"])
+    """The documents' lines as lines of concept files, parsed."""
+    lines = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "line_no", "line").drop("text")
+    value = F.concat(F.lit("  "), "line", F.lit(" | b c | | d* # e | f"))
+    return concepts.parsed_concepts(lines.select("doc_id", "line_no", value.alias("value")), key=["doc_id", "line_no"])
 
 
-@query("SELECT doc_id, CASE WHEN length(b) <= 18 THEN b ELSE left(b, 17) || '…' END AS name FROM (SELECT doc_id, 'file-' || source || '-' || repeat('x', CAST(doc_id % 20 AS INTEGER)) AS b FROM documents)")
+@query("SELECT page_id, CASE WHEN length(b) <= 18 THEN b ELSE left(b, 17) || '…' END AS name FROM (SELECT page_id, regexp_extract(replace(url, chr(92), '/'), '[^/]*$') AS b FROM pages)")
 def short_names(spark, sf_dir):
+    """The last part of every page's address, shortened."""
     from collatio.sources.texts import short_name
 
-    path = F.concat(F.lit("/a\\b/file-"), F.col("source"), F.lit("-"), F.repeat(F.lit("x"), (F.col("doc_id") % 20).cast("int")))
-    return table(spark, sf_dir).select("doc_id", short_name(path).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", short_name(F.col("url")).alias("name"))
 
 
 @query()

@@ -31,18 +31,33 @@ def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
 
 def save_progress(paras: DataFrame, path: str) -> None:
     """Adds finished paragraphs to a table, so that a stopped run goes on behind them."""
-    paras.write.mode("append").parquet(path)
+    paras.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def with_progress(paras: DataFrame, path: str, key: list[str], para: str = "para") -> DataFrame:
-    """paras with finished paragraphs of save_progress in place, the others as they are; `done` tells which."""
-    done = paras.sparkSession.read.parquet(path).select(*key, F.col(para).alias("__done")).dropDuplicates(key)
-    return paras.join(done, key, "left").withColumn("done", F.col("__done").isNotNull()).withColumn(para, F.coalesce("__done", para)).drop("__done")
-
-
-def write_candidates(candidates: DataFrame, path: str) -> None:
-    """Candidates by text and paragraph."""
-    candidates.write.mode("overwrite").partitionBy("doc_id", "para_no").parquet(path)
+    """paras with finished paragraphs of save_progress in place, the others as they are; `done` tells which. Of a paragraph
+    that was saved more than once, the last one counts (of two saved together, the greater text)."""
+    saved = paras.sparkSession.read.parquet(path).groupBy(*key).agg(F.max(F.struct("saved_at", para)).alias("last"))
+    done = saved.select(*key, F.col(f"last.{para}").alias("__done"), F.lit(True).alias("__is_done"))
+    joined = paras.join(done, key, "left").withColumn("done", F.coalesce("__is_done", F.lit(False)))
+    return joined.withColumn(para, F.when(F.col("done"), F.col("__done")).otherwise(F.col(para))).drop("__done", "__is_done")
+
+
+def write_candidates(candidates: DataFrame, path: str, key: list[str], buckets: int = 256) -> None:
+    """Candidates in up to `buckets` folders by a hash of their key, sorted in them, so that a text's candidates lie side by side and
+    the number of files doesn't grow with the paragraphs. read_candidates reads those of one key from its folder alone."""
+    rows = candidates.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets)).cast("int"))
+    order = [c for c in ("para_no", "cand_no") if c in candidates.columns and c not in key]
+    rows.repartition("bucket").sortWithinPartitions("bucket", *key, *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_candidates(spark: SparkSession, path: str, key: dict, buckets: int = 256) -> DataFrame:
+    """The candidates of one key."""
+    bucket = F.pmod(F.xxhash64(*[F.lit(str(v)) for v in key.values()]), F.lit(buckets)).cast("int")
+    rows = spark.read.parquet(path).where(F.col("bucket") == bucket).drop("bucket")
+    for k, v in key.items():
+        rows = rows.where(F.col(k) == v)
+    return rows
 
 
 def write_halves(halves: DataFrame, path: str) -> None:

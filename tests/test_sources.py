@@ -99,6 +99,33 @@ def test_texts_and_progress(spark, tmp_path):
     assert texts.file_digests(spark, str(tmp_path / "a.txt")).first()["length"] == 9
 
 
+def test_saved_twice_the_last_counts(spark, tmp_path):
+    paras = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "z")], "doc_id int, para_no int, para string")
+    for text in ("first", "second"):
+        texts.save_progress(paras.where("para_no < 3").withColumn("para", F.when(F.col("para_no") == 1, text)), str(tmp_path / "p"))
+    rows = texts.with_progress(paras, str(tmp_path / "p"), ["doc_id", "para_no"]).orderBy("para_no").collect()
+    assert [(r["para"], r["done"]) for r in rows] == [("second", True), (None, True), ("z", False)]
+
+
+def test_candidates_lie_in_few_folders(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id div 10 AS doc_id", "cast(id % 10 AS int) AS para_no", "concat('t', id) AS text")
+    texts.write_candidates(rows, str(tmp_path / "c"), ["doc_id"], buckets=4)
+    assert len(list((tmp_path / "c").glob("bucket=*"))) <= 4
+    got = texts.read_candidates(spark, str(tmp_path / "c"), {"doc_id": 7}, buckets=4)
+    assert sorted(r["text"] for r in got.collect()) == [f"t{i}" for i in range(70, 80)]
+
+
+def test_functions_in_sql(spark):
+    from collatio.functions import registry
+
+    assert set(registry.register(spark)) == {"copied_share", "copied_bound", "fold", "similarity", "paragraphs", "word_runs"}
+    words = " ".join(f"w{i}" for i in range(10))
+    row = spark.sql(f"SELECT copied_share('{words}', '{words}') AS s, copied_bound('{words}', 'x') AS b, fold('ÁRBOL') AS f, similarity('abcd', 'abxd') AS r, fold(NULL) AS n").first()
+    assert (row["s"], row["b"], row["f"], row["r"], row["n"]) == (1.0, 0.0, "arbol", 0.75, None)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM paragraphs('a\\n\\n b \\n\\n')").collect()] == [(1, "a"), (2, "b")]
+    assert [r["run"] for r in spark.sql("SELECT * FROM word_runs('A b, c', 2)").collect()] == ["a b", "b c"]
+
+
 def test_documents_are_written(spark, tmp_path):
     df = spark.createDataFrame([("a.docx", bytearray(DOC))], "name string, rebuilt binary")
     docx.write_documents(df, str(tmp_path / "docs"))

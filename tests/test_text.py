@@ -196,3 +196,19 @@ def test_rescue_rounds_ask_only_for_what_is_left(spark, tmp_path):
     assert {(r["round"], r["problem"]) for r in tries.collect()} == {(0, "(copied)"), (1, None)}
     status = {r["para_no"]: r["status"] for r in candidates.chosen(paras, tries, ["doc_id", "para_no"]).collect()}
     assert status == {1: "accepted", 2: "title"}
+
+
+def test_openings_of_requests(spark):
+    para = "Uno es el primero de todos los que hay. Dos viene después."
+    paras = spark.createDataFrame([(1, para, None), (2, para, "Desde la")], "k int, para string, own string")
+    lead = lambda **o: [r["lead"] for r in candidates.requests(paras, 0, 1, **o).orderBy("k").collect()]
+    assert lead() == ["Uno es"] * 2 and lead(lead_words=0) == ["", ""] and lead(given="own") == ["Uno es", "Desde la"]
+    made = candidates.requests(paras, 2, 3, start=1.3).collect()
+    assert {r["try"] for r in made} == {1, 2, 3} and {r["temperature"] for r in made} == {1.4}
+
+
+def test_options_reach_the_generator(spark):
+    seen = lambda request, lead, options: " " + ",".join(f"{k}={v}" for k, v in sorted(options.items()))
+    paras = spark.createDataFrame([(1, "Uno es el primero de todos los que hay.")], "k int, para string")
+    text = candidates.generated(candidates.requests(paras, 0, 1), seen, candidates.ANTI_COPY_OPTIONS).first()["text"]
+    assert text == "Uno es dry_allowed_length=2,dry_base=1.75,dry_multiplier=0.8,limit=127,min_p=0.08,temperature=1.0,top_p=0.95"
