@@ -54,12 +54,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = "p AS (SELECT doc_id, o AS original, replace(replace(replace(o, ' the ', ' a '), ' of ', ' over '), 'é', 'e') AS version FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS o FROM documents))"
 
 
+MARKS = ("• ", "- ", "  * ", "‣", "– ")
+
+
 def bulleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.list_rows(table(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n• ")).alias("text")), ["doc_id"])
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("doc_id") % len(MARKS) + 1).cast("int"))
+    return segment.list_rows(table(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)).alias("text")), ["doc_id"])
 
 
 STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
-BULLETS = rf"""l AS (SELECT doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i, len(x) AS n FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || '• '), chr(10)) AS x FROM documents)),
+BULLETS = rf"""l AS (SELECT doc_id, unnest(x) AS line, unnest(generate_series(1, len(x))) AS i, len(x) AS n FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || {list(MARKS)}[doc_id % {len(MARKS)} + 1]), chr(10)) AS x FROM documents)),
 f AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM l WHERE {STRIP % 'line'} <> ''),
 rows_ AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS block_no, regexp_extract(line, '^(\s*(?:[•●◦▪▫·‣⁃∙*]\s*|[-–—]\s+))', 1) AS mark, {STRIP % "substr(line, length(regexp_extract(line, '^(\\s*(?:[•●◦▪▫·‣⁃∙*]\\s*|[-–—]\\s+))', 1)) + 1)"} AS block, CAST(coalesce(nx, n + 1) - i - 1 AS INTEGER) AS blank_after FROM f)"""
 
@@ -107,9 +111,13 @@ def paragraphs(spark, sf_dir):
     return segment.paragraph_rows(pairs(spark, sf_dir).select("doc_id", "original"), "original")
 
 
-@query(rf"""SELECT doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS sent_no, unnest(s) AS sentence FROM (SELECT doc_id, string_split(regexp_replace({STRIP % 'text'}, '\. ([A-ZÁÉÍÓÚÑ¿¡])', '.' || chr(1) || '\1', 'g'), chr(1)) AS s FROM documents)""")
+@query(rf"""WITH n AS (SELECT doc_id, {STRIP % "CASE WHEN doc_id % 3 = 0 THEN '2.1. ' || upper(left(text, 1)) || substr(text, 2) ELSE text END"} AS t FROM documents), c AS (SELECT doc_id, string_split(regexp_replace(t, '\. ([A-ZÁÉÍÓÚÑ¿¡])', '.' || chr(1) || '\1', 'g'), chr(1)) AS s FROM n),
+g AS (SELECT doc_id, CASE WHEN len(s) > 1 AND regexp_matches(s[1], '^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+\s+)?\d+(?:\.\d+)*\.$') THEN list_concat([s[1] || ' ' || s[2]], s[3:]) ELSE s END AS s FROM c)
+SELECT doc_id, CAST(unnest(generate_series(1, len(s))) AS INTEGER) AS sent_no, unnest(s) AS sentence FROM g""")
 def sentences(spark, sf_dir):
-    return segment.sentence_rows(table(spark, sf_dir).select("doc_id", "text"), "text")
+    """Sentences of the documents; every third one begins with a list number, which stays with what follows it."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2.1. "), F.upper(F.substring("text", 1, 1)), F.substring("text", F.lit(2), F.length("text")))).otherwise(F.col("text"))
+    return segment.sentence_rows(table(spark, sf_dir).select("doc_id", text.alias("text")), "text")
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?](?:\s|$)')) AS INTEGER) AS n FROM documents")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatio.operators.concepts import parsed_concepts
+from collatio.session import ship
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -25,10 +26,33 @@ def joined_text(paras: DataFrame, key: list[str], para: str = "para") -> DataFra
 
 
 def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
-    """A text file for each partition of rows; every text ends with its own line end."""
+    """A text file for each partition of rows; every text ends with its own line end. write_files gives each text a file."""
     df.select(F.regexp_replace(text, "\n$", "").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "text") -> None:
+    """Each row's text (in UTF-8) or bytes as a file of the folder, which all executors must reach; written under another name, then renamed."""
+    ship(df.sparkSession)
+
+    def save(rows) -> None:
+        import os
+        import uuid
+        from urllib.parse import urlparse
+
+        from pyarrow import fs
+
+        local = urlparse(folder).scheme in ("", "file")
+        store, root = (fs.LocalFileSystem(), urlparse(folder).path) if local else fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for r in rows:
+            part = os.path.join(root, f".{r[name]}.{uuid.uuid4().hex}")
+            with store.open_output_stream(part) as out:
+                out.write(bytes(r[content]))
+            store.move(part, os.path.join(root, r[name]))
+
+    df.select(name, F.col(content).cast("binary").alias(content)).where(F.col(content).isNotNull()).foreachPartition(save)
+
+
 def save_progress(paras: DataFrame, path: str) -> None:
     """Adds finished paragraphs to a table, so that a stopped run goes on behind them."""
     paras.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -115,6 +115,11 @@ def test_candidates_lie_in_few_folders(spark, tmp_path):
     assert sorted(r["text"] for r in got.collect()) == [f"t{i}" for i in range(70, 80)]
 
 
+def test_a_file_for_each_text(spark, tmp_path):
+    texts.write_files(spark.createDataFrame([("a.txt", "uno é\n"), ("b.txt", ""), ("c.txt", None)], "name string, text string"), str(tmp_path / "f"))
+    assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "f").glob("*.txt")} == {"a.txt": "uno é\n", "b.txt": ""}
+
+
 def test_functions_in_sql(spark):
     from collatio.functions import registry
 
