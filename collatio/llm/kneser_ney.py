@@ -53,8 +53,8 @@ from .shared import bound_batches, map_file, mixed, new_folder, put_file, settle
 #: Words that a probability depends on, the predicted one included. With three the check tool stopped the query on 0.10 GB of
 #: documents at 0.71 GB of disk (16 million trigrams), seven times the input and before it scored; its budget is four times.
 ORDER = 2
-#: Entries that a shard is sent on average; occurrences of a context's rarest word for each shard that it is spread over; portions merged at once.
-SHARD, HOT, FAN = 3_000_000, 3_000_000, 2048
+#: N-grams and words that a shard is sent on average; occurrences of a context's rarest word for each shard that it is spread over; portions merged at once.
+SHARD, WORDS, HOT, FAN = 1_200_000, 800_000, 3_000_000, 2048
 #: Bytes of texts in a portion, and of a piece of a long text.
 PORTION, SEGMENT = 10 << 20, 1 << 20
 #: Stand for words that no text has: they contain a blank. Their codes in every portion.
@@ -606,7 +606,7 @@ def discounts(n: list[int]) -> np.ndarray:
 def trained(enc: Encoded) -> tuple[Model, DataFrame]:
     """(model, numbered portions) of encoded texts."""
     spark = enc.rows.sparkSession
-    model = Model(new_folder(spark, "kneser-ney"), enc.order, -(-enc.spelled // SHARD) or 1, -(-enc.tokens // SHARD) or 1, texts=enc.texts)
+    model = Model(new_folder(spark, "kneser-ney"), enc.order, -(-enc.spelled // WORDS) or 1, -(-enc.tokens // SHARD) or 1, texts=enc.texts)
     count_words(enc, model)
     portions = numbered(enc, model)
     folder, name, order, n, target = enc.folder, model.folder.rsplit("/", 1)[1], enc.order, model.shards, model.folder

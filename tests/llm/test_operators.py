@@ -724,7 +724,7 @@ def brute_model(train, texts, order):
     return n, out
 
 
-SMALL = {"SHARD": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}
+SMALL = {"SHARD": 3000, "WORDS": 3000, "PORTION": 20_000, "HOT": 200, "FAN": 3, "SEGMENT": 700}
 
 
 @pytest.mark.parametrize("settings", [{}, SMALL, SMALL | {"ORDER": 3, "NARROW": 0}])
