@@ -191,6 +191,8 @@ def blocks_of(items: DataFrame, window: int, max_words: int) -> tuple[DataFrame,
 
 def with_benchmark_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """df and a struct column: words, words hit, items (number, digest, names) and spans of hit words of each text."""
+    if max_words < 8 * window:
+        raise ValueError("a block must hold several windows")
     spark = df.sparkSession
     bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text")).distinct()

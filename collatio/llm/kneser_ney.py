@@ -772,7 +772,7 @@ def scored(enc: Encoded, model: Model, portions: DataFrame, into: str = "lm") ->
     pieces = spread_out(replies.unionAll(every), enc.n, "portion").groupBy("portion").applyInPandas(added_up(model, folder, name), RESULT)
     texts = pieces.groupBy("home", "place").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     texts = texts.select("home", "place", F.struct("n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), F.least(-F.col("score") / F.col("n_tokens"), F.lit(300.0))).alias("perplexity")).alias("lm"))
-    r, t = enc.rows.alias("r"), texts.alias("t")
+    r, t = enc.rows.alias("r"), texts.hint("merge").alias("t")  # both sides grow with the texts: neither is broadcast
     joined = r.join(t, (F.col("r.at.portion") == F.col("t.home")) & (F.col("r.at.place") == F.col("t.place")))
     return joined.select("r.row", F.col("t.lm").alias("lm")).select("row.*", F.col("lm").alias(into))
 

@@ -97,7 +97,7 @@ def places(df: DataFrame, weights: dict[str, int], source: str, key: str, size:
     if not busy.isEmpty():
         listed = busy.withColumn("busy", F.lit(True))
         rows = rows.join(F.broadcast(listed) if listed.count() <= shared.SENT else listed, names, "left")
-        rows = rows.withColumn("part", F.when("busy", F.struct("digest", "key", "size"))).drop("busy")
+        rows = rows.withColumn("part", F.when(F.col("busy"), F.struct("digest", "key", "size"))).drop("busy")
         sums = rows.groupBy(*names, "part").agg(F.sum("size").alias("n"))
         names.append("part")
     before = Window.partitionBy("stream").orderBy(*names[1:]).rowsBetween(Window.unboundedPreceding, -1)

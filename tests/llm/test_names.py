@@ -1,0 +1,88 @@
+"""Columns of any name pass through every operator and every stage, and very long texts, nulls and repeated rows with them."""
+
+from __future__ import annotations
+
+import shutil
+
+import corpus_pipeline as pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from collatio.llm import decontaminate, kneser_ney, language_id, license_scan, mixing, mpeg_audio, near_copies, secret_links, simhash, token_counts
+
+#: Names that operators use for columns of their own.
+NAMES = """row rows key id text_key scan whole linked parts cell w c kind start stop fp node size set near first root component label at portion place
+more lm home score level shard salt blob stream block slot digest bucket busy part base ahead phase turn begin round rounds hits items spans n h
+language found lang_pred license tokens media payload content header record __salt __parts __pos __number a.b""".split()
+TEXTS = ["one two three four five six seven", "one two three four five six seven", None, "", "ein Satz mit password=abcdef123456 darin", "long words " * 20_000]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    listed = [(i if i != 3 else None, t, "en" if i % 2 else "de", "src0" if i < 3 else None) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame([*listed, listed[0]], "doc_id long, text string, lang string, source string")
+    return df.withColumns({k: F.lit(f"<{k}>") for k in NAMES})
+
+
+def benchmark(spark):
+    return spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "words long words long words long words long words long words"), (None, None)], "item_id long, text string")
+
+
+OPERATORS = {
+    "op1": lambda df: token_counts.with_token_counts(df, into="out"),
+    "op2": lambda df: decontaminate.with_benchmark_hits(df, benchmark(df.sparkSession), into="out"),
+    "op2 in blocks": lambda df: decontaminate.with_benchmark_hits(df, benchmark(df.sparkSession), into="out", window=1, max_words=16),
+    "op3": lambda df: mixing.mix(df),
+    "op4": lambda df: simhash.with_groups(df, into="out"),
+    "near copies": lambda df: near_copies.with_groups(df, into="out"),
+    "op5": lambda df: mpeg_audio.store_media(df.withColumn("t", F.col("text")), "t", "out"),
+    "op6": lambda df: secret_links.with_secrets(df, into="out"),
+    "op7": lambda df: language_id.with_language(df, language_id.fit(df), into="out"),
+    "op9": lambda df: kneser_ney.with_scores(df, kneser_ney.train(df), into="out"),
+    "op10": lambda df: license_scan.with_licenses(df, into="out"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_names_clash_with_nothing(rows, name):
+    out = OPERATORS[name](rows)
+    new = {"stream", "block", "slot", "place"} if name == "op3" else {"out"}
+    kept = [c for c in rows.columns if c not in new]
+    assert set(out.columns) == set(kept) | new and len(out.columns) == len(set(out.columns))
+    quoted = [F.col(f"`{c}`") for c in kept]
+    assert sorted(map(str, out.select(*quoted).collect())) == sorted(map(str, rows.select(*quoted).collect()))
+
+
+def test_names_clash_with_nothing_in_the_pipeline(spark, rows, tmp_path):
+    benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = rows.withColumn("n_chars", F.length("text"))
+    for name, stage in pipeline.STAGES:
+        docs = pipeline.settle(stage(spark, docs, str(tmp_path)))
+        if name != "mixture":
+            assert docs.columns == [*rows.columns, "n_chars"]
+    got = docs.collect()
+    assert got and all(r[k] == f"<{k}>" for r in got for k in NAMES if k not in ("stream", "block", "slot", "place"))
+    shutil.rmtree(tmp_path)
+
+
+def test_blocks_equal_one_automaton(spark, rows):
+    """Items cut into pieces and blocks are found as in one automaton, a long item and repeated rows among them."""
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(n))) for i, n in enumerate([3, 12, 9, 200, 11, 1])] * 2, "item_id long, text string")
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * 3 + k) % 40}" for k in range(n))) for i, n in enumerate([0, 5, 30, 400, 2])], "doc_id long, text string")
+    whole = decontaminate.with_benchmark_hits(texts, items).orderBy("doc_id").collect()
+    for most in (160, 300):
+        assert decontaminate.with_benchmark_hits(texts, items, max_words=most).orderBy("doc_id").collect() == whole
+
+
+def test_many_rows_without_a_key_share_no_bucket(spark, monkeypatch):
+    """A bucket of rows with one key is divided by size; places stay a gapless order."""
+    from collatio.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    df = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("src0").alias("source"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"))
+    got = mixing.mix(df).select(F.length("text").alias("n"), "place").orderBy("place").collect()
+    at = 0
+    for r in got:
+        assert r["place"] == at
+        at += max(r["n"], 1)
+    assert len(got) == 300
