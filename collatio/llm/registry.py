@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, language_id, license_scan, mixing, mpeg_audio, secret_links, simhash, token_counts, warc_store
+from . import decontaminate, kneser_ney, language_id, license_scan, line_frequency, mixing, mpeg_audio, secret_links, simhash, token_counts, warc_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_store": warc_store.op8_warc_store,
         "op9_kneser_ney": kneser_ney.op9_kneser_ney,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op13_line_frequency": line_frequency.op13_line_frequency,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_pfair_mixing": mixing.op3_sql(),
         "op6_secret_links": secret_links.op6_sql(),
         "op8_warc_store": warc_store.OP8_SQL,
+        "op13_line_frequency": line_frequency.OP13_SQL,
     }

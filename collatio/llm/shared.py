@@ -55,7 +55,16 @@ def settle(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a table in the shared folder, so that a lost executor costs no recomputation upstream."""
     folder = new_folder(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored.stored_at = folder
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of settle that nothing reads any more."""
+    for table in tables:
+        store, path = filesystem(table.stored_at)
+        store.delete_dir(path)
 
 
 def filesystem(address: str):
@@ -107,7 +116,7 @@ class Ranges:
         return self.mapped[start : start + size] if self.file is None else np.frombuffer(self.file.read_at(size, start), np.uint8)
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, hot: int | None = None) -> DataFrame:
+def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], rows: str, hot: int | None = None) -> DataFrame:
     """many joined to one (a row for each key), where a key may hold a large part of many.
 
     rows: the column of one that says how many rows of many a key has. A key of more than `hot` of them is split into parts of
@@ -115,14 +124,15 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, rows: str, hot: int | No
     behind a check of their number, beyond which the planner's own splitting of skewed partitions is left to act.
     """
     hot = HOT_ROWS if hot is None else hot
-    busy = settle(one.where(F.col(rows) > hot).select(key, F.ceil(F.col(rows) / hot).cast("int").alias("__parts")))
+    keys = [key] if isinstance(key, str) else key
+    busy = settle(one.where(F.col(rows) > hot).select(*keys, F.ceil(F.col(rows) / hot).cast("int").alias("__parts")))
     n = busy.count()
     if not 0 < n <= SENT:
         return many.join(one, key)
     parts = F.coalesce("__parts", F.lit(1))
     left = many.join(F.broadcast(busy), key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("__parts")
     right = one.join(F.broadcast(busy), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def running(values: Column, op) -> Column:
