@@ -799,38 +799,80 @@ def test_counts_beyond_32_bits():
 # 10 licenses
 
 
+def sequences(words):
+    return [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
 def brute_licenses(text, templates):
-    words = lambda t: [w.decode() for w in shared.alnum_words(t)]
-    sh = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    doc, out = sh(words(text)), set()
+    """All matches by one table over all hits of a template, without retrieval and hashes; (name, containment, start, stop)."""
+    words = [w.decode() for w in shared.alnum_words(text)]
+    out = []
     for name, t in templates:
-        s = sh(words(t))
-        n, known = len(s), set(s)
-        for at in range(-(n // 4) - n, len(doc)):
-            part = set(doc[max(0, at - n // 4) : max(0, at + n + n // 4)])
-            if len(part & known) >= license_scan.CONTAINED * len(known):
-                out.add(name)
-                break
-    return out
+        own = sequences([w.decode() for w in shared.alnum_words(t)])
+        hits = [(p, q) for p, g in enumerate(sequences(words)) if g in own for q, h in enumerate(own) if g == h]
+        need, far = math.ceil(0.8 * len(own) - 1e-9), max(2 * len(own), 64) + 5
+        state = []  # (hits of the cut, hits of the chain, chain, the cut before it)
+        for i, (p, q) in enumerate(hits):
+            done = max((s for (e, _), s in zip(hits, state) if e + 5 <= p and s[1] >= need), key=lambda s: s[0], default=(0, 0, [], []))
+            way = (done[0] + 1, 1, [p], done[3] + [done[2]] * bool(done[2]))
+            for k in range(i - 1, -1, -1):
+                s = state[k]
+                if p > hits[k][0] >= p - far and hits[k][1] < q and ((s[0] + 1, s[1] + 1) > way[:2] or ((s[0] + 1, s[1] + 1) == way[:2] and len(way[2]) == 1)):
+                    way = (s[0] + 1, s[1] + 1, s[2] + [p], s[3])
+            state.append(way)
+        best = max((s for s in state if s[1] >= need), key=lambda s: s[0], default=None)
+        out += [(name, len(c) / len(own), c[0], c[-1] + 5) for c in (best[3] + [best[2]] if best else [])]
+    return sorted(out, key=lambda x: (x[2], x[0]))
+
+
+def found_licenses(index, texts):
+    found = index.scan([shared.alnum_words(t) for t in texts])
+    return [sorted(found.get(i, []), key=lambda x: (x[2], x[0])) for i in range(len(texts))]
 
 
-def test_templates_are_found(spark, sf_dir):
+def test_notices_equal_brute_force():
+    """Notices with changed words, stretches put in, words gone, in a row, cut short, inside one another's words."""
     r = random.Random(3)
-    index = license_scan.Index(license_scan.TEMPLATES)
-    texts = []
-    for _, t in license_scan.TEMPLATES:
-        for edits in (0, 0, 1, 2, 3):
+    index, texts = license_scan.Index(license_scan.TEMPLATES), []
+    for name, t in license_scan.TEMPLATES:
+        for edits in (0, 1, 2, 3):
             w = t.split()
             for _ in range(edits):
-                w[r.randrange(len(w))] = "zzz"
-            texts.append(" ".join([f"f{r.randrange(999)}" for _ in range(r.randrange(80))] + w + [f"b{r.randrange(999)}" for _ in range(r.randrange(80))]))
-    found = index.scan([shared.alnum_words(t) for t in texts])
-    for i, t in enumerate(texts):
-        assert {x[0] for x in found.get(i, [])} == brute_licenses(t, license_scan.TEMPLATES)
+                k = r.randrange(len(w))
+                w[k : k + r.randrange(3)] = [f"z{r.randrange(99)}" for _ in range(r.choice((0, 1, 1, 9, len(w))))]
+            texts.append(" ".join([f"f{r.randrange(999)}" for _ in range(r.randrange(30))] + w + [f"b{r.randrange(999)}" for _ in range(r.randrange(30))]))
+        w = t.split()
+        texts += [f"{t} {t}", " ".join(w[: len(w) * 9 // 10] + w + w[len(w) // 2 :] + w)]
+    assert found_licenses(index, texts) == [brute_licenses(t, license_scan.TEMPLATES) for t in texts]
+
+
+def test_an_inserted_stretch_is_found():
+    """Whatever is put into a notice, up to its reach: found if 0.8 of its shingles are left."""
+    r = random.Random(8)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, t in license_scan.TEMPLATES:
+        w, n = t.split(), len(shared.alnum_words(t)) - 4
+        for _ in range(12):
+            k = r.randrange(1, len(w))
+            text = " ".join(w[:k] + [f"z{r.randrange(999)}" for _ in range(r.choice((1, 7, max(64, 2 * n) - 4)))] + w[k:])
+            if n - 4 >= 0.8 * n:
+                assert name in {x[0] for x in found_licenses(index, [text])[0]}
+
+
+def test_two_thousand_copies_are_two_thousand():
+    isc = dict(license_scan.TEMPLATES)["isc"]
+    found = [x for x in found_licenses(license_scan.Index(license_scan.TEMPLATES), [" ".join([isc] * 2000)])[0] if x[0] == "isc"]
+    assert found == [("isc", 1.0, 34 * k, 34 * k + 34) for k in range(2000)]
+
+
+def test_licenses_of_documents_equal_brute_force(spark, sf_dir):
     texts = texts_of(spark, sf_dir)
-    for x in license_scan.op10_license_scan(spark, sf_dir).collect():
-        want = brute_licenses(texts[x["doc_id"]], license_scan.TEMPLATES[:6]) if "icense" in texts[x["doc_id"]] else set()
-        assert x["license_ids"] == ",".join(sorted(want))
+    rows = license_scan.op10_license_scan(spark, sf_dir).collect()
+    assert any(r["n_licenses"] for r in rows) and len(rows) == len(texts)
+    for x in rows:
+        want = brute_licenses(texts[x["doc_id"]], license_scan.TEMPLATES)
+        assert x["spans"] == ",".join(f"{m[0]}:{m[2]}:{m[3]}" for m in want) and x["n_licenses"] == len(want)
+        assert x["license_ids"] == ",".join(sorted({m[0] for m in want})) and x["best_containment"] == max((m[1] for m in want), default=0.0)
 
 
 def test_licenses_of_odd_rows(spark, odd, nothing):
