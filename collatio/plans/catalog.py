@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from collatio.functions import lexicon, predicates
 from collatio.functions import text as T
-from collatio.operators import candidates, concepts, guards, halves, overlap, rhythm, segment
+from collatio.operators import automaton, candidates, concepts, guards, halves, overlap, rhythm, segment
 
 from collatio.session import ship, spread
 from collatio.sources import docx
@@ -191,6 +191,33 @@ def fidelity_totals(spark, sf_dir):
     return concepts.fidelity(concepts.concept_hits(pairs(spark, sf_dir), concept_table(spark), ["doc_id"], "version"), ["doc_id"])
 
 
+#: Characters of the prefixes among the benchmark's concepts.
+STEM = 5
+
+
+def benchmark_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, variants): every word of the benchmark, every two words in a row, and every beginning of a longer word."""
+    words = table(spark, sf_dir, "benchmark").select(T.tokens(T.fold(F.col("text"))).alias("w"))
+    terms = F.concat("w", T.ngrams(F.col("w"), 2), F.transform(F.filter("w", lambda w: F.length(w) >= STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
+    return T.elements(words, [], terms, "name").distinct().select("name", F.array("name").alias("variants"))
+
+
+ATOMS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')"
+
+
+@query(f"""WITH w AS (SELECT regexp_extract_all(lower(strip_accents(text)), '{W}+') AS w FROM benchmark),
+c AS (SELECT DISTINCT unnest(list_concat(list_transform(generate_series(1, len(w)), lambda i: ['', w[i], w[i]]), list_transform(generate_series(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i] || ' ' || w[i + 1]]))) AS t FROM w),
+f AS (SELECT t[1] AS head, t[2] || e AS form, t[3] AS name FROM c, (VALUES (''), ('s'), ('es')) AS v(e)),
+s AS (SELECT DISTINCT left(x, {STEM}) AS stem FROM (SELECT unnest(w) AS x FROM w) WHERE length(x) >= {STEM}),
+a AS (SELECT doc_id, unnest(l) AS a, unnest(list_concat([''], l[1 : len(l) - 1])) AS b FROM (SELECT doc_id, {ATOMS} AS l FROM documents)),
+h AS (SELECT doc_id, name FROM a JOIN f ON a.a = f.form AND f.head = '' UNION SELECT doc_id, name FROM a JOIN f ON a.a = f.form AND a.b = f.head AND f.head <> '' UNION SELECT doc_id, stem || '*' FROM a JOIN s ON left(a.a, {STEM}) = s.stem)
+SELECT doc_id, count(name) AS n_found, sha256(coalesce(string_agg(name, ',' ORDER BY name), '')) AS found_sha256 FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN h USING (doc_id) GROUP BY doc_id UNION ALL SELECT doc_id, 0, NULL FROM documents WHERE text IS NULL""")
+def concept_automaton(spark, sf_dir):
+    """All concepts of a long list in every document, in one pass."""
+    found = automaton.with_found_concepts(table(spark, sf_dir).select("doc_id", "text"), benchmark_concepts(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(F.size("found").cast("long"), F.lit(0)).alias("n_found"), F.sha2(F.array_join("found", ",").cast("binary"), 256).alias("found_sha256"))
+
+
 @query()
 def extracted_concepts(spark, sf_dir):
     return concepts.extracted_concepts(table(spark, sf_dir), ["doc_id"])
