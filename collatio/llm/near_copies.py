@@ -3,24 +3,27 @@
 Nodes are distinct sets of shingles (XXH64 of `width` words, as in simhash), so that texts with equal sets are one node. A
 link is a pair with Jaccard of at least `share`; groups are what links connect. No link is missed, and none is taken unread.
 
-First pass, by simhash: the nodes' fingerprints are searched by generalised pigeonhole for pairs within NEAR bits, and each pair is verified over
-whole sets. This joins what is nearly equal, which is most of every large group. But two texts that share 0.8 of their shingles differ in
-9.7 of 64 bits on average, and no distance that can be searched holds them all (one pair in five lies beyond 12 bits). So a second pass
-finds the rest exactly, and leaves out all pairs that the first one has connected:
-
 1. All shingles have one order: those that a sample of texts repeats come last, the others follow their hashes. Any order gives
    the same links; this one keeps common lines out of what follows.
 2. A set's first n - ceil(share * n) + 1 shingles are its prefix. Two sets that link have a common shingle in their prefixes
    (prefix filter), so every link lies inside the bucket of one shingle. Buckets where no two sizes fit are left out.
 3. The sets of the rest's nodes are written to files of the shared folder once, which workers map.
-4. Inside a bucket each member is compared, over whole sets, with all later ones whose size fits and which verified links
+4. Nodes of large buckets are searched by simhash first: pairs of fingerprints within NEAR bits, by generalised pigeonhole, each verified over
+   whole sets. This connects what is nearly equal, which is most of a large group of copies, and spares the comparisons inside it. Where
+   there are no large buckets it would cost more than it spares, and is left out. It can't be all, as two texts that share 0.8 of their shingles
+   differ in 9.7 of 64 bits on average: one pair in five lies beyond 12 bits, the most that can be searched.
+5. Buckets whose members are connected already are dropped. One that still has more than LARGE unconnected parts is divided: sets that link
+   share two shingles within prefixes that are longer by one, so that every link of the bucket lies in the smaller bucket of another shingle too; and
+   so on, with three, while buckets are large and the division makes progress. What has more than BLOCK members even so is cut
+   into blocks, and every two of them are a bucket. No task holds more than two blocks.
+6. Inside a bucket each member is compared, over whole sets, with all later ones whose size fits and which verified links
    haven't connected to it yet. Nothing counts as connected but by a verified link. What a task has connected, and which
    pairs have failed, holds for its next buckets. A task yields fewer links than it has nodes.
 
 A text of fewer words than a shingle is one shingle; texts without words, and null, are one group. Very long texts are one set each,
 in memory while they are compared. A group's component is its smallest non-null key. Repeated rows repeat (with_groups); rows with one key and
 different texts are different members; empty tables give empty results. Other columns stay, whatever their names; the result's column is
-replaced. Two texts of one bucket that don't link cost a comparison, so the work grows with the square of a bucket's unlike members, its rows don't.
+replaced.
 """
 
 from __future__ import annotations
@@ -37,13 +40,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import SENT, Ranges, bound_batches, components, filesystem, join_hot, map_file, new_folder, put_file, settle
+from .shared import SENT, Ranges, bound_batches, components, discard, filesystem, join_hot, map_file, new_folder, put_file, settle
 from .simhash import SEED, shingle_hashes
 
 #: Bits by which fingerprints of the first pass may differ.
 NEAR = 3
 #: Texts of the sample; the shingles that it says are common at most (an order only, no shingle is left out).
 SAMPLE, COMMON = 4000, 100_000
+#: Unconnected parts from which a bucket is divided, members of a block, shingles by which a bucket is divided at most.
+LARGE, BLOCK, DEEP = 200, 100_000, 6
 #: Files that a worker keeps mapped; nodes and failed pairs that a task remembers.
 MAPPED, REMEMBERED = 600, 300_000
 
@@ -71,23 +76,24 @@ def nodes(text: Column, width: int) -> Column:
     return run.asNondeterministic()(text)
 
 
-def common_shingles(texts: DataFrame, n: int, width: int) -> np.ndarray:
-    """Shingles that a sample of about SAMPLE of the n nodes has three times or more, the most frequent last."""
+def common_shingles(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, list[int]]:
+    """Shingles that a sample of about SAMPLE of the n nodes has three times or more, the most frequent last; and those among them that, by the sample, more than BLOCK nodes have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for node, text in zip(b["node"], b["text"]):
                 yield pd.DataFrame({"node": node, "h": shingle_set(text, width).view(np.int64)})
 
-    some = texts.where(F.pmod("node", F.lit(max(1, n // SAMPLE))) == 0)
+    step = max(1, n // SAMPLE)
+    some = texts.where(F.pmod("node", F.lit(step)) == 0)
     counts = some.mapInPandas(run, "node long, h long").distinct().groupBy("h").count().where("count >= 3")
     top = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64), [r["h"] for r in top if r["count"] * step > BLOCK]
 
 
-def prefix(s: np.ndarray, share: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a sorted set: as many as two sets that link can't both do without. common: sorted, and their ranks."""
-    n = len(s) - ceil(share * len(s) - 1e-9) + 1
+def prefix(s: np.ndarray, share: float, common: tuple[np.ndarray, np.ndarray], more: int = 0) -> np.ndarray:
+    """The first shingles of a sorted set: as many as two sets that link have one, and `more`, of in common. common: sorted, and their ranks."""
+    n = len(s) - ceil(share * len(s) - 1e-9) + 1 + more
     known, rank = common
     if len(known):
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -96,10 +102,15 @@ def prefix(s: np.ndarray, share: float, common: tuple[np.ndarray, np.ndarray]) -
     return s[:n]
 
 
+def ranked(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common shingles, sorted; the rank of each)."""
+    order = np.argsort(common)
+    return common[order], order
+
+
 def prefixes(width: int, share: float, common: np.ndarray):
     """Function over (node, text): a row (h, node, size) for each shingle of a node's prefix."""
-    order = np.argsort(common)
-    known = common[order], order
+    known = ranked(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies meet later too; this spares most of their rows
@@ -144,16 +155,22 @@ def whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def buckets(share: float):
-    """Function over (h, node, size) sorted by h and size: the rows, once each, that have a row of a fitting size in their bucket."""
+    """Function over (h, node, size, …) sorted by h, size and node: the rows, once each, that have a row of a fitting size in their bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_keys(batches):
-            b = b.drop_duplicates(["h", "node"])
+        held, left = None, False  # the last row so far, and whether the one before it fits
+        for b in batches:
+            if not len(b):
+                continue
+            b = (b if held is None else pd.concat([held, b])).drop_duplicates(["h", "node"])
             h, size = b["h"].to_numpy(), b["size"].to_numpy()
             fits = (h[1:] == h[:-1]) & (size[:-1] >= share * size[1:] - 1e-9)
-            keep = np.append(fits, False) | np.append(False, fits)
-            if keep.any():
-                yield b[keep]
+            keep = np.append(fits, False) | np.append(left, fits)
+            if keep[:-1].any():
+                yield b.iloc[:-1][keep[:-1]]
+            held, left = b.iloc[-1:], bool(fits[-1]) if len(fits) else left
+        if held is not None and left:
+            yield held
 
     return run
 
@@ -281,25 +298,98 @@ def verified_links(share: float, folder: str):
     return run
 
 
+BUCKET = "h long, taken array<long>, node long, size long, label long, file string, start long"
+
+
+def divided(share: float, folder: str, common: np.ndarray):
+    """Function over BUCKET rows: a row for each further shingle of the member's prefix, longer by as many as are taken. The bucket of two shingles is the
+    same, whichever of them came first."""
+    import xxhash
+
+    known = ranked(common)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Sets(folder)
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part, out = b.iloc[at : at + 1000], []
+                for i, (taken, size, file, start) in enumerate(zip(part["taken"], part["size"], part["file"], part["start"])):
+                    own = set(taken.tolist())
+                    for h in prefix(sets.get(file, start, size), share, known, len(own)).view(np.int64).tolist():
+                        if h not in own:
+                            both = sorted((*own, h))
+                            out.append((xxhash.xxh64_intdigest(np.array(both, np.int64).tobytes(), SEED), both, i))
+                if out:
+                    rows = part.iloc[[i for _, _, i in out]].copy()
+                    rows["h"], rows["taken"] = np.array([h for h, _, _ in out], np.uint64).view(np.int64), [t for _, t, _ in out]
+                    yield rows
+
+    return run
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    return df.repartition("h").sortWithinPartitions("h", "size", "node")
+
+
+def small_buckets(rows: DataFrame, share: float, folder: str, common: np.ndarray) -> DataFrame:
+    """BUCKET rows cut into buckets that one task can hold and compare; links of unconnected members are all inside one."""
+    done, before = None, None
+    for depth in range(1, DEEP + 1):
+        parts = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
+        parts = settle(parts.where("labels > 1"))
+        joined = settle(join_hot(rows, parts, "h", "n"))
+        large = joined.where(F.col("labels") > LARGE)
+        work = parts.where(F.col("labels") > LARGE).agg(F.max("labels")).first()[0]
+        # a division that leaves the largest bucket as it is would only repeat its rows
+        last = work is None or depth == DEEP or (before is not None and work > 0.9 * before)
+        fine = joined if last else joined.where(F.col("labels") <= LARGE)
+        done = fine if done is None else done.unionAll(fine)
+        if last:
+            break
+        before = work
+        cut = large.drop("n", "labels").mapInPandas(divided(share, folder, common), BUCKET)
+        rows = settle(by_size(cut).mapInPandas(buckets(share), BUCKET))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = done.where(F.col("n") <= BLOCK).select("h", "node", "size", "label", "file", "start")
+    own = done.where(F.col("n") > BLOCK).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return one.unionAll(own.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "node", "size", "label", "file", "start"))
+
+
 def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
     """Links (u, v), stored, that connect all nodes of (node, text, fp) which links connect. n: about how many nodes there are."""
-    by_size = lambda df: df.repartition("h").sortWithinPartitions("h", "size", "node")
-    rows = texts.select("node", "text").mapInPandas(prefixes(width, share, common_shingles(texts.select("node", "text"), n, width)), "h long, node long, size long")
-    close = settle(by_size(rows).mapInPandas(buckets(share), "h long, node long, size long"))
+    common, hot = common_shingles(texts.select("node", "text"), n, width)
+    rows = texts.select("node", "text").mapInPandas(prefixes(width, share, common), "h long, node long, size long")
+    if hot:  # the members of these buckets are not one task's; they have rows of fitting sizes
+        rows = settle(rows)
+        busy = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
+        close = by_size(rows.join(busy, "h", "left_anti")).mapInPandas(buckets(share), "h long, node long, size long").unionAll(rows.join(busy, "h", "left_semi").distinct())
+    else:
+        close = by_size(rows).mapInPandas(buckets(share), "h long, node long, size long")
+    close = settle(close)
     wanted = settle(close.select("node").distinct())
-    if wanted.count() <= SENT:  # else both sides are shuffled by node, with their texts
-        wanted = F.broadcast(wanted)
+    some = texts.join(F.broadcast(wanted), "node") if wanted.count() <= SENT else texts.where(Listed(wanted.select(F.col("node").alias("id"))).has("node"))
     folder = new_folder(texts.sparkSession, "sets")
-    stored = settle(texts.join(wanted, "node").select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
+    stored = settle(some.select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
     places = settle(stored.groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"))
-    prints = texts.select("node", "fp").distinct().join(places.select("node"), "node")  # nodes outside all buckets have no links
-    first = nearly_equal(settle(prints), places, share, folder)
-    labels = components(first).select("node", F.col("root").alias("label"))
-    labelled = places.drop("size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    found = settle(by_size(close.join(labelled, "node")).mapInPandas(verified_links(share, folder), "u long, v long").unionAll(first).distinct())
+    counts = settle(close.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    first = None
+    if not counts.isEmpty():
+        many = join_hot(close.select("h", "node"), counts, "h", "n").select("node").distinct()
+        first = nearly_equal(settle(texts.select("node", "fp").distinct().join(many, "node")), places, share, folder)
+    labelled = places.drop("size")
+    if first is None:
+        labelled = labelled.withColumn("label", F.col("node"))
+    else:
+        labels = components(first).select("node", F.col("root").alias("label"))
+        labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = close.join(labelled, "node").select("h", F.array("h").alias("taken"), "node", "size", "label", "file", "start")
+    members = small_buckets(members, share, folder, common) if first is not None else members.drop("taken")
+    found = by_size(members).mapInPandas(verified_links(share, folder), "u long, v long")
+    found = settle((found if first is None else found.unionAll(first)).distinct())
     store, path = filesystem(folder)
     if not stored.isEmpty():
         store.delete_dir(path)  # links are stored, nothing reads the sets again
+    discard(close, wanted, stored, places, counts)
     return found
 
 

@@ -103,3 +103,52 @@ def test_first_rows_of_groups(spark):
     assert out.columns == df.columns
     assert sorted((r["doc_id"] or 0 for r in out.collect())) == [0, 4, 6, 9]
     assert near_copies.first_of_groups(df.limit(0)).count() == 0
+
+
+def unlike(n, shared_words=9, own=40):
+    """n texts that have one line of five shingles in common, and two near copies of every 50th."""
+    line = " ".join(f"s{i}" for i in range(shared_words))
+    r = random.Random(n)
+    words = [[f"w{i}x{k}" for k in range(own)] for i in range(n)]
+    return [f"{line} {' '.join(w)}" for w in words] + [f"{line} {edited(r, w, 1)}" for w in words[::50] for _ in range(2)]
+
+
+@pytest.mark.parametrize("large, block, deep", [(200, 100_000, 6), (3, 100_000, 6), (3, 100_000, 1), (3, 10, 2), (0, 7, 6)])
+def test_large_buckets_are_divided(spark, monkeypatch, large, block, deep):
+    """Whatever the order of shingles (here common ones aren't known), divided and blocked buckets give the same groups."""
+    for name, value in (("LARGE", large), ("BLOCK", block), ("DEEP", deep), ("COMMON", 0)):
+        monkeypatch.setattr(near_copies, name, value)
+    texts = unlike(120)
+    words = [f"c{i}" for i in range(150)]
+    r = random.Random(1)
+    texts += [edited(r, words, 3) for _ in range(60)]
+    assert found(spark, texts) == brute(texts)
+
+
+def test_hot_shingles_known_from_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 5)
+    r = random.Random(2)
+    texts = unlike(40) + [edited(r, [f"c{i}" for i in range(150)], 3) for _ in range(60)]
+    assert found(spark, texts) == brute(texts)
+
+
+def test_many_unlike_texts_with_a_line_in_common(spark, monkeypatch):
+    """One bucket of all texts is divided; all pairs would be two hundred million comparisons."""
+    monkeypatch.setattr(near_copies, "COMMON", 0)
+    texts = unlike(20_000, 6, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = near_copies.with_groups(df).select("doc_id", "near.component").collect()
+    assert {r["doc_id"]: r["component"] for r in rows if r["doc_id"] != r["component"]} == {20_000 + i: i // 2 * 50 for i in range(800)}
+
+
+def test_buckets_stream_over_batches():
+    import pandas as pd
+
+    r = random.Random(3)
+    rows = sorted({(r.randrange(6), r.randrange(1, 40), r.randrange(20)) for _ in range(150)} | {(9, 10, 1)})
+    df = pd.DataFrame([(h, 100 * h + 40 * k + s, s) for h, s, k in rows], columns=["h", "node", "size"])
+    df = pd.concat([df, df.iloc[::5]]).sort_values(["h", "size", "node"])
+    want = {(h, n) for h, n, s in df.itertuples(index=False) if any(h == g and n != m and min(s, t) >= 0.8 * max(s, t) for g, m, t in df.itertuples(index=False))}
+    for cut in (1, 2, 7, 500):
+        got = pd.concat(list(near_copies.buckets(0.8)(iter([df[i : i + cut] for i in range(0, len(df), cut)]))))
+        assert sorted(zip(got["h"], got["node"])) == sorted(want)
