@@ -11,8 +11,10 @@ backward algorithms give every piece's expected count in every word, over all se
 that every piece has a probability in every language, and single bytes make every word segmentable. What comes to the
 driver is bounded by the vocabulary times the number of languages, which may be MAX_LANGUAGES at most.
 
-Sums are rescaled, so that no product of small probabilities is lost: those of short words, which are computed many at once,
-by SCALE for each byte, and those of long ones (all that has no blank, in some scripts a whole text) as they run. Words are never cut.
+A long word (all that has no blank, in some scripts a whole text) falls into parts wherever no piece of the vocabulary lies across a place: every
+segmentation cuts there, so that its sum is exactly the product of the parts' sums. Most parts are short and repeat, so that texts of such scripts
+take the way of short words, many at once; a part that stays long is summed place by place. Sums are rescaled, so that no product of
+small probabilities is lost: those of short words by SCALE for each byte, those of long parts as they run.
 
 A text that is null or has no letter is `und` with score 0, and so is every text if nothing was learned. Training rows
 with a null text or language teach nothing. Very long texts are read whole, their words part by part. Repeated rows repeat; empty
@@ -42,6 +44,8 @@ PER_LANGUAGE, ROUNDS, SMOOTH, MAX_LANGUAGES = 5000, 2, 0.05, 256
 SHORT, SCALE, KEPT = 33, 4096.0, 200_000
 #: Bytes of words whose segmentations are computed together.
 GROUP = 200_000
+#: Bytes of a long word that are looked through at once.
+STRETCH = 1 << 18
 #: Words that fitting holds at a time.
 HELD = 200_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -62,37 +66,14 @@ def pieces_of(path: str) -> list[bytes]:
     return list(dict.fromkeys([*found, *(bytes([b]) for b in range(256))]))
 
 
-def forward(word: bytes, get, longest: int, width: int) -> list[float]:
-    """For each language, the log of the sum over all segmentations of a word. get: probabilities of a piece, by language."""
-    n, shift = len(word), 0.0
-    sums: list[list[float] | None] = [[1.0] * width]
-    for i in range(1, n + 1):
-        total = [0.0] * width
-        for j in range(max(0, i - longest), i):
-            p = get(word[j:i])
-            if p is not None:
-                total = [t + a * x for t, a, x in zip(total, sums[j], p)]
-        sums.append(total)
-        if i > longest:
-            sums[i - longest - 1] = None
-        if n > 24 and i % 8 == 0 and (top := max(total)) < 1e-100:
-            for j in range(max(0, i - longest), i + 1):
-                sums[j] = [x / top for x in sums[j]]
-            shift += math.log(top)
-    return [math.log(max(x, 1e-320)) + shift for x in sums[n]]
-
-
-def long_expected(word: bytes, index: dict[bytes, int], longest: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def long_expected(word: bytes, pieces: "Pieces", p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, expected counts) over all segmentations of one word of any length, by sums that are rescaled as they run."""
-    n = len(word)
-    cuts: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # by end: (begin, piece)
+    n, longest = len(word), pieces.longest
+    cuts: list[list[tuple[int, int]]] = [[], *([(i - size, k) for size, k in ways] for i, ways in enumerate(pieces.ways(word), 1))]  # by end: (begin, piece)
     begins: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(max(0, i - longest), i):
-            k = index.get(word[j:i])
-            if k is not None:
-                cuts[i].append((j, k))
-                begins[j].append((i, k))
+    for i, ways in enumerate(cuts):
+        for j, k in ways:
+            begins[j].append((i, k))
 
     def logs(order: range, ways: list[list[tuple[int, int]]]) -> list[float]:
         """Log of the sum at each place, which is added up from places that come before it in the order."""
@@ -120,7 +101,8 @@ class Pieces:
     BASE = np.uint64(0x100000001B3)
 
     def __init__(self, pieces: list[bytes]):
-        self.longest = max(len(x) for x in pieces if len(x.split()) < 2 and not x[1:2].isspace())  # others are in no word
+        self.sizes = sorted({len(x) for x in pieces if len(x.split()) < 2 and not x[1:2].isspace()})  # others are in no word
+        self.longest = self.sizes[-1]
         self.index = {x: i for i, x in enumerate(pieces)}
         self.hashes = np.array([self.hash(p) for p in pieces], np.uint64)
         if len(np.unique(self.hashes)) < len(pieces):
@@ -157,6 +139,43 @@ class Pieces:
             rest = rest[~same]
         return np.concatenate(at), np.concatenate(which)
 
+    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, piece) of all pieces in a row of bytes."""
+        begins, sizes, found, h = [], [], [], np.zeros(len(data) + 1, np.uint64)
+        for size in range(1, min(self.longest, len(data)) + 1):
+            h = h[:-1] * self.BASE + data[size - 1 :] + np.uint64(1)
+            if size in self.sizes:
+                at, which = self.find(h)
+                begins.append(at)
+                sizes.append(np.full(len(at), size))
+                found.append(which)
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (begins, sizes, found))
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """A word, cut wherever no piece lies across: every segmentation cuts there, so that its sum is the product of the parts'."""
+        data, cuts = np.frombuffer(word, np.uint8), [0]
+        for start in range(0, len(data), STRETCH):
+            a, b = max(0, start - self.longest), min(len(data), start + STRETCH + self.longest)
+            begin, size, _ = self.spans(data[a:b])
+            edges = np.bincount(begin + 1, minlength=b - a + 1) - np.bincount(begin + size, minlength=b - a + 1)[: b - a + 1]
+            free = np.flatnonzero(np.cumsum(edges) == 0) + a
+            cuts += free[(free > max(0, start - 1)) & (free < min(len(data), start + STRETCH))].tolist()
+        return [word[i:j] for i, j in zip(cuts, [*cuts[1:], len(word)])]
+
+    def ways(self, word: bytes) -> Iterator[list[tuple[int, int]]]:
+        """For each place of a word behind the first byte, (size, piece) of the pieces that end there."""
+        data = np.frombuffer(word, np.uint8)
+        for start in range(0, len(data), STRETCH):
+            a, b = max(0, start - self.longest), min(len(data), start + STRETCH)
+            begin, size, which = self.spans(data[a:b])
+            end = begin + size + a
+            own = np.flatnonzero(end > start)
+            order = own[np.argsort(end[own], kind="stable")]
+            listed = list(zip(size[order].tolist(), which[order].tolist()))
+            edges = np.searchsorted(end[order], np.arange(start + 1, b + 2)).tolist()
+            for i, j in zip(edges, edges[1:]):
+                yield listed[i:j]
+
     def lattice(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, words, pieces) of all pieces in words of equal length, a row of bytes each; by end."""
         n, out = words.shape[1], []
@@ -165,7 +184,7 @@ class Pieces:
             prefix.append(prefix[-1] * self.BASE + words[:, i] + np.uint64(1))
         power = [np.uint64(pow(int(self.BASE), k, 1 << 64)) for k in range(n + 1)]
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in [i - size for size in reversed(self.sizes) if size <= i]:
                 at, which = self.find(prefix[i] - prefix[j] * power[i - j])
                 if len(at):
                     out.append((j, i, at, which))
@@ -183,8 +202,25 @@ def grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(len(part), n)
 
 
+def forward(word: bytes, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """For each language, the log of the sum over all segmentations of a word of any length. p: a row for each piece, a column for each language."""
+    width, ring, shift = p.shape[1], pieces.longest + 1, 0.0
+    sums: list[list[float]] = [[1.0] * width for _ in range(ring)]
+    rows: dict[int, list[float]] = {}
+    for i, ways in enumerate(pieces.ways(word), 1):
+        total = [0.0] * width
+        for size, k in ways:
+            row = rows.get(k) or rows.setdefault(k, p[k].tolist())
+            total = [t + a * x for t, a, x in zip(total, sums[(i - size) % ring], row)]
+        sums[i % ring] = total
+        if i % 8 == 0 and (top := max(total)) < 1e-100:
+            sums = [[x / top for x in s] for s in sums]
+            shift += math.log(top)
+    return np.log(np.maximum(sums[len(word) % ring], 1e-320)) + shift
+
+
 def many_forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """forward for many words of at most SHORT bytes. p: a row for each piece, a column for each language."""
+    """forward for many words of at most SHORT bytes."""
     out = np.empty((len(words), p.shape[1]))
     for part, rows in grouped(words):
         sums = [np.zeros((len(part), p.shape[1])) for _ in range(rows.shape[1] + 1)]
@@ -197,13 +233,16 @@ def many_forward(words: list[bytes], pieces: Pieces, p: np.ndarray) -> np.ndarra
 
 def many_expected(words: list[bytes], times: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Each piece's expected count, over all segmentations of words that occur so many times, by one language's probabilities."""
-    out = np.zeros(len(p))
-    short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
-    for i in set(range(len(words))).difference(short.tolist()):
-        which, x = long_expected(words[i], pieces.index, pieces.longest, p)
-        out += np.bincount(which, x * times[i], len(p))
-    for part, rows in grouped([words[i] for i in short]):
-        part, n = short[part], rows.shape[1]
+    out, found = np.zeros(len(p)), Counter()
+    for w, n in zip(words, times.tolist()):
+        for x in [w] if len(w) <= SHORT else pieces.parts(w):
+            found[x] += n
+    for w in [w for w in found if len(w) > SHORT]:
+        which, x = long_expected(w, pieces, p)
+        out += np.bincount(which, x * found.pop(w), len(p))
+    words, times = list(found), np.array(list(found.values()))
+    for part, rows in grouped(words):
+        n = rows.shape[1]
         ahead, behind = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
         ahead[0] = behind[n] = 1
         cuts = pieces.lattice(rows)
@@ -239,21 +278,26 @@ class Predictor:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.parts: dict[bytes, np.ndarray] = {}
         self.logs = np.empty((self.kept + 1, self.width))
 
-    def one(self, piece: bytes):
-        i = self.pieces.index.get(piece)
-        return None if i is None else self.columns[i].tolist()
-
     def of(self, words: list[str]) -> np.ndarray:
-        """Likelihoods of words."""
+        """Likelihoods of words; those of long ones from their parts."""
         raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
-        out = np.empty((len(raw), self.width))
+        out = np.zeros((len(raw), self.width))
         short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
         if short:
             out[short] = many_forward([raw[i] for i in short], self.pieces, self.columns)
         for i in set(range(len(raw))).difference(short):
-            out[i] = forward(raw[i], self.one, self.pieces.longest, self.width)
+            cut = Counter(self.pieces.parts(raw[i]))
+            if len(self.parts) > self.kept:
+                self.parts.clear()
+            new = [x for x in cut if x not in self.parts]
+            small = [x for x in new if len(x) <= SHORT]
+            known = dict(zip(small, many_forward(small, self.pieces, self.columns))) if small else {}
+            known |= {x: forward(x, self.pieces, self.columns) for x in new if len(x) > SHORT}
+            out[i] = sum(n * (known[x] if x in known else self.parts[x]) for x, n in cut.items())
+            self.parts |= {x: v for x, v in known.items() if len(x) <= SHORT}
         return out
 
     def learn(self, words: set[str]) -> None:

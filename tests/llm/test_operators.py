@@ -517,7 +517,7 @@ def test_forward_sums_all_segmentations():
     for w, got in zip(words, many):
         for k in range(2):
             want = math.log(all_ways(w, {x: v[k] for x, v in table.items()}))
-            assert got[k] == pytest.approx(want) and language_id.forward(w, table.get, 3, 2)[k] == pytest.approx(want)
+            assert got[k] == pytest.approx(want) and language_id.forward(w, index, p)[k] == pytest.approx(want)
     one = {x: v[0] for x, v in table.items()}
     counts = language_id.many_expected(words, np.ones(len(words)), index, p[:, 0])
     want = np.zeros(len(pieces))
@@ -533,11 +533,11 @@ def test_small_probabilities_are_not_lost():
     pieces = [bytes([b]) for b in range(256)]
     p = np.full((256, 2), 1e-11)
     p[ord("b"), 1] = 1e-12
-    index, table = language_id.Pieces(pieces), {x: row.tolist() for x, row in zip(pieces, p)}
+    index = language_id.Pieces(pieces)
     for n in (32, 33, 500):
         word = b"a" * (n - 1) + b"b"
         want = [math.log(1e-11) * n, math.log(1e-11) * (n - 1) + math.log(1e-12)]
-        got = language_id.many_forward([word], index, p)[0].tolist() if n <= language_id.SHORT else language_id.forward(word, table.get, 1, 2)
+        got = language_id.many_forward([word], index, p)[0].tolist() if n <= language_id.SHORT else language_id.forward(word, index, p).tolist()
         assert got == pytest.approx(want)
         assert language_id.many_expected([word], np.ones(1), index, p[:, 0])[[ord("a"), ord("b")]] == pytest.approx([n - 1, 1])
 
@@ -548,14 +548,61 @@ def test_long_words_are_fitted_whole():
     p = np.array([r.random() for _ in pieces])
     index = language_id.Pieces(pieces)
     for word in [b"abaabbab", b"aabab" * 2]:
-        which, x = language_id.long_expected(word, index.index, index.longest, p)
+        which, x = language_id.long_expected(word, index, p)
         total, found = all_counts(word, dict(zip(pieces, p)))
         assert np.bincount(which, x, len(pieces)) == pytest.approx([found[k] / total for k in pieces])
     long = b"aab" * 20_000
-    which, x = language_id.long_expected(long, index.index, index.longest, p / 50)
+    which, x = language_id.long_expected(long, index, p / 50)
     assert (np.bincount(which, x, len(pieces)) * [len(k) for k in pieces]).sum() == pytest.approx(len(long))
 
 
+@pytest.mark.parametrize("stretch", [7, 64, 1 << 18])
+def test_parts_multiply_to_the_whole(monkeypatch, stretch):
+    """Cuts lie where no piece does, in any stretches; likelihoods and expected counts over parts are those of the whole word."""
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    r = random.Random(stretch)
+    listed = ["日本", "本語", "です", "ます", " 日", "は今", "天気", "ไทย", "ภา", "ab", "bcd", "cc"]
+    pieces = [*dict.fromkeys(x.encode() for x in listed), *(bytes([b]) for b in range(256))]
+    p = np.array([[r.random() / 9 for _ in range(3)] for _ in pieces])
+    index = language_id.Pieces(pieces)
+    for n in (1, 5, 60, 300):
+        word = (" " + "".join(r.choice("日本語です今は天気ますไทยภาabcd") for _ in range(n))).encode()
+        parts = index.parts(word)
+        assert b"".join(parts) == word
+        inside = {i for i in range(1, len(word)) if not any(word[j:k] in index.index for j in range(max(0, i - 9), i) for k in range(i + 1, min(len(word), i + 9) + 1))}
+        cuts = np.cumsum([len(x) for x in parts])[:-1].tolist()
+        assert set(cuts) == inside
+        whole = language_id.forward(word, index, p)
+        assert sum(language_id.forward(x, index, p) for x in parts) == pytest.approx(whole)
+        assert language_id.Predictor.of(predictor(index, p), [word[1:].decode()])[0] == pytest.approx(whole)
+        which, x = language_id.long_expected(word, index, p[:, 0])
+        assert language_id.many_expected([word], np.ones(1), index, p[:, 0]) == pytest.approx(np.bincount(which, x, len(pieces)))
+
+
+def predictor(index, p):
+    out = language_id.Predictor.__new__(language_id.Predictor)
+    out.pieces, out.columns, out.width, out.kept = index, p, p.shape[1], 100
+    out.clear()
+    return out
+
+
+def test_texts_without_blanks_cost_about_as_much_as_others():
+    import time
+
+    model = language_id.Model(["a", "b", "c", "d"], language_id.pieces_of(language_id.default_vocabulary()), None)
+    r = random.Random(4)
+    kana = [chr(c) for c in [*range(0x3042, 0x3094), *range(0x4E00, 0x4F00)]]
+    unspaced = "".join(r.choice(kana) for _ in range(32_000))
+    spaced = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(16_000))
+    took = []
+    for text in (spaced, unspaced):
+        guess = language_id.Predictor(model)
+        began = time.perf_counter()
+        guess.predict(text)
+        took.append((time.perf_counter() - began) / len(text.encode()))
+    assert took[1] < 6 * took[0]
+
+
 def test_predictions_equal_brute_force(spark, tmp_path):
     """Fitting and prediction, stated segmentation by segmentation, with a small list of pieces."""
     listed = [b" a", b" b", b"ab", b"ba", b"abc", b"bc", " é".encode(), b"cc"]
