@@ -25,16 +25,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatio.functions.text import let
 from collatio.session import spread
 
-from .shared import alnum_words, bound_batches, running, settle
+from .shared import alnum_words, bound_batches, discard, map_file, mixed, new_folder, put_file, settle
 
 #: Words of a window; benchmark words in one broadcast; words that one cursor searches.
 WINDOW, MAX_WORDS, STRETCH = 10, 300_000, 256
@@ -42,6 +42,21 @@ SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def stops(jump: np.ndarray, m: int) -> np.ndarray:
+    """The places where cursors that jump so far from each place, one for each stretch, find no jump: possible ends of patterns of length m."""
+    n, found = len(jump), [np.empty(0, np.int64)]
+    at = np.arange(m - 1, n, STRETCH)
+    last = np.minimum(at + STRETCH, n)
+    while len(at):
+        step = jump[at]
+        if len(hit := at[step == 0]):
+            found.append(hit)
+        at = at + np.maximum(step, 1)
+        live = at < last
+        at, last = at[live], last[live]
+    return np.concatenate(found)
+
+
 class Group:
     """The patterns of one length."""
 
@@ -81,19 +96,9 @@ class Group:
         codes = self.blocks(ids)
         jump = self.shift[self.slot(codes)]
         jump[ids == 0] = m
-        at = np.arange(m - 1, n, STRETCH)
-        last = np.minimum(at + STRETCH, n)
-        found = []
-        while len(at):
-            step = jump[at]
-            if len(hit := at[step == 0]):
-                found.append(hit)
-            at = at + np.maximum(step, 1)
-            live = at < last
-            at, last = at[live], last[live]
-        if not found:
+        ends = stops(jump, m)
+        if not len(ends):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        ends = np.concatenate(found)
         both = self.both(codes[ends], codes[ends - m + self.b])
         low, high = np.searchsorted(self.keys, both, "left"), np.searchsorted(self.keys, both, "right")
         starts, which = [], []
@@ -150,6 +155,19 @@ def runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]
 
 
+HITS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
+
+
+def hit_rows(words: list[list[bytes]], starts: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> list[tuple]:
+    """Rows of SCHEMA, of what a search gives."""
+    total, rows = np.concatenate(([0], np.cumsum(hit))), []
+    for d, w in enumerate(words):
+        a, b = int(starts[d]), int(starts[d]) + len(w)
+        k = int(total[b] - total[a])
+        rows.append(digest(len(w), k, items.get(d, ()), runs(hit[a:b]) if k else []))
+    return rows
+
+
 def searcher(shared):
     """Pandas function from texts to SCHEMA, over the automaton in a broadcast."""
 
@@ -158,72 +176,184 @@ def searcher(shared):
         automaton = shared.value
         for texts in batches:
             words = [alnum_words(t) for t in texts]
-            starts, hit, items = automaton.search(words)
-            total = np.concatenate(([0], np.cumsum(hit)))
-            rows = []
-            for d, w in enumerate(words):
-                a, b = int(starts[d]), int(starts[d]) + len(w)
-                k = int(total[b] - total[a])
-                rows.append(digest(len(w), k, items.get(d, ()), runs(hit[a:b]) if k else []))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+            yield pd.DataFrame(hit_rows(words, *automaton.search(words)), columns=HITS)
 
     return run.asNondeterministic()
 
 
 #: A word of a text whose A-Z aren't lower-cased yet.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows of a shard, about; bits of the slots in one range of a shift table; files that a worker keeps mapped.
+SHARD, RANGE, MAPPED = 200_000, 20, 500
+ROW = np.dtype([("at", "<u8"), ("size", "<u4"), ("name", "<u4")])
+
+
+def block_codes(h: np.ndarray, b: int) -> np.ndarray:
+    """The code of the block of b words that ends at each place of hashed words (along the last axis)."""
+    if b == 1:
+        return mixed(h, 1)
+    out = h.copy()
+    with np.errstate(over="ignore"):
+        out[..., 1:] ^= h[..., :-1] * MIX
+    return mixed(out, 2)
+
+
+def hashed_words(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    index = dict(zip(dict.fromkeys(words), count()))
+    values = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in index), np.uint64, len(index))
+    return values[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
+
+
+class Tables:
+    """A benchmark's shift tables and windows in files. lengths: windows by their number of words; bits: of the slots of a length's shift table, and of those in one file; shards of its windows."""
+
+    def __init__(self, folder: str, bits: dict[int, int], shards: dict[int, int], part: int):
+        self.folder, self.bits, self.shards, self.part = folder, bits, shards, part
+        self.there: dict[str, object] = {}
+
+    def file(self, name: str, kind):
+        """A file's array, or None if there is none."""
+        if name not in self.there:
+            if len(self.there) >= MAPPED:
+                self.there.clear()
+            try:
+                self.there[name] = map_file(f"{self.folder}/{name}").view(kind)
+            except FileNotFoundError:
+                self.there[name] = None
+        return self.there[name]
+
+    def jumps(self, codes: np.ndarray, m: int, b: int) -> np.ndarray:
+        slots = (codes >> np.uint64(64 - self.bits[m])).astype(np.int64)
+        out = np.full(len(slots), m - b + 1, np.int32)
+        order = np.argsort(slots, kind="stable")
+        ranges = slots[order] >> self.part
+        cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+            table = self.file(f"shift-{m}-{ranges[i]}", np.uint8)
+            if table is not None:
+                own = order[i:j]
+                out[own] = np.minimum(table[slots[own] & ((1 << self.part) - 1)], m - b + 1)
+        return out
 
-
-def blocks_of(items: DataFrame, window: int, max_words: int) -> tuple[DataFrame, int]:
-    """((block, id, text), number of blocks): pieces of items, no block of more than max_words words."""
-    step = max(1, max_words // 8 - window)
+    def find(self, words: list[bytes], h: np.ndarray, m: int) -> Iterator[tuple[int, str]]:
+        """(start, item) of every window of m words in words."""
+        b = min(2, m)
+        codes = block_codes(h, b)
+        jump = self.jumps(codes, m, b)
+        jump[h == 0] = m
+        ends = stops(jump, m)
+        both = Group.both(codes[ends], codes[ends - m + b])
+        shard = both % np.uint64(self.shards[m])
+        for k in np.unique(shard).tolist():
+            keys = self.file(f"keys-{m}-{k}", "<u8")
+            if keys is None:
+                continue
+            own = np.flatnonzero(shard == k)
+            low, high = np.searchsorted(keys, both[own], "left"), np.searchsorted(keys, both[own], "right")
+            rows, blob = self.file(f"rows-{m}-{k}", ROW), self.file(f"text-{m}-{k}", np.uint8)
+            for i in np.flatnonzero(high > low).tolist():
+                end = int(ends[own[i]])
+                text = b" ".join(words[end - m + 1 : end + 1])
+                for r in rows[low[i] : high[i]]:
+                    at = int(r["at"])
+                    if r["size"] == len(text) and blob[at : at + len(text)].tobytes() == text:
+                        yield end - m + 1, blob[at + len(text) : at + len(text) + int(r["name"])].tobytes().decode("utf-8", "surrogatepass")
+
+
+def tables_of(items: DataFrame, window: int) -> Tables:
+    """Writes the tables of items (id, text)."""
+    folder = new_folder(items.sparkSession, "benchmark")
     words = items.select("id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
-    pieces = words.withColumn("at", F.explode(starts)).select("id", "at", F.slice("w", F.col("at") + 1, F.lit(step + window - 1)).alias("w"))
-    pieces = settle(pieces.select("id", F.xxhash64("id", "at", "w").alias("hash"), F.size("w").alias("n"), F.array_join("w", " ").alias("text")))
-    n = max(1, -(-2 * (pieces.agg(F.sum("n")).first()[0] or 0) // max_words))
-    while True:
-        block = F.pmod("hash", F.lit(n)).cast("int")
-        if (pieces.groupBy(block.alias("b")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= max_words:
-            return pieces.select(block.alias("block"), "id", "text"), n
-        n *= 2
+    m = F.least(F.size("w"), F.lit(window))
+    starts = F.sequence(F.lit(1), F.size("w") - m + 1)
+    windows = words.select("id", "w", m.alias("m"), F.explode(starts).alias("at")).select("id", "m", F.array_join(F.slice("w", F.col("at"), F.col("m")), " ").alias("text"))
+    windows = settle(windows.distinct())
+    sizes = {r["m"]: r["count"] for r in windows.groupBy("m").count().collect()}
+    bits = {k: max(12, int(n * k).bit_length() + 3) for k, n in sizes.items()}
+    shards = {k: n // SHARD + 1 for k, n in sizes.items()}
+
+    def hashed(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame, list[bytes], np.ndarray]]:
+        """By length: (length, rows, words joined, codes)."""
+        for k, part in frame.groupby("m"):
+            split = [alnum_words(t) for t in part["text"]]
+            yield int(k), part, [b" ".join(w) for w in split], block_codes(hashed_words([w for s in split for w in s]).reshape(len(part), int(k)), min(2, int(k)))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for k, part, joined, codes in hashed(frame):
+                both = Group.both(codes[:, k - 1], codes[:, min(2, k) - 1])
+                yield pd.DataFrame({"m": k, "shard": (both % np.uint64(shards[k])).astype(np.int64), "both": both.view(np.int64), "text": joined, "id": part["id"]})
+
+    def shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for k, _, _, codes in hashed(frame):
+                for j in range(min(2, k) - 1, k):
+                    yield pd.DataFrame({"m": k, "slot": np.unique((codes[:, j] >> np.uint64(64 - bits[k])).astype(np.int64)), "shift": k - 1 - j})
+
+    def write_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        k, shard = key
+        frame = frame.drop_duplicates(["text", "id"])
+        both = frame["both"].to_numpy().view(np.uint64)
+        order = np.argsort(both, kind="stable")
+        texts, names = frame["text"].tolist(), [x.encode("utf-8", "surrogatepass") for x in frame["id"]]
+        rows, blob, at = np.zeros(len(order), ROW), [], 0
+        for i, j in enumerate(order.tolist()):
+            rows[i] = at, len(texts[j]), len(names[j])
+            blob += [texts[j], names[j]]
+            at += len(texts[j]) + len(names[j])
+        for name, data in (("keys", both[order].astype("<u8").tobytes()), ("rows", rows.tobytes()), ("text", b"".join(blob))):
+            put_file(f"{folder}/{name}-{k}-{shard}", data)
+        return pd.DataFrame({"m": [k]})
+
+    def write_range(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        k, part = key
+        table = np.full(1 << min(RANGE, bits[int(k)]), 255, np.uint8)
+        table[frame["slot"].to_numpy() & ((1 << RANGE) - 1)] = frame["shift"].to_numpy()
+        put_file(f"{folder}/shift-{k}-{part}", table.tobytes())
+        return pd.DataFrame({"m": [k]})
+
+    windows.mapInPandas(keyed, "m long, shard long, both long, text binary, id string").groupBy("m", "shard").applyInPandas(write_shard, "m long").count()
+    low = windows.mapInPandas(shifts, "m long, slot long, shift long").groupBy("m", "slot").agg(F.min("shift").alias("shift"))
+    low.groupBy("m", F.shiftright("slot", RANGE).alias("part")).applyInPandas(write_range, "m long").count()
+    discard(windows)
+    return Tables(folder, bits, shards, RANGE)
+
+
+def file_searcher(tables: Tables):
+    """searcher over tables in files."""
+    folder, bits, shards, part = tables.folder, tables.bits, tables.shards, tables.part
+
+    @F.pandas_udf(SCHEMA)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Tables(folder, bits, shards, part)
+        for texts in batches:
+            words = [alnum_words(t) for t in texts]
+            flat = [w for t in words for w in (*t, b"")]
+            starts = np.cumsum([0, *(len(t) + 1 for t in words)])
+            h, edge, items = hashed_words(flat), np.zeros(len(flat) + 1, np.int32), {}
+            for m in sorted(bits):
+                for at, item in own.find(flat, h, m):
+                    edge[at] += 1
+                    edge[at + m] -= 1
+                    items.setdefault(int(np.searchsorted(starts, at, "right")) - 1, set()).add(item)
+            hit = np.cumsum(edge)[:-1] > 0
+            yield pd.DataFrame(hit_rows(words, starts, hit, items), columns=HITS)
+
+    return run.asNondeterministic()
 
 
 def with_benchmark_hits(df: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """df and a struct column: words, words hit, items (number, digest, names) and spans of hit words of each text."""
-    if max_words < 8 * window:
-        raise ValueError("a block must hold several windows")
     spark = df.sparkSession
     bound_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.col(item_text).alias("text")).distinct()
-    size = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
-
-    def automaton(rows: DataFrame):
-        return spark.sparkContext.broadcast(Automaton([(r["id"], r["text"]) for r in rows.collect()], window))
-
-    if size <= max_words:
-        return df.withColumn(into, searcher(automaton(items))(df[text]))
-    pieces, n = blocks_of(items, window, max_words)
-    return in_blocks(df, text, into, [searcher(automaton(pieces.where(F.col("block") == k).select("id", "text"))) for k in range(n)])
-
-
-def in_blocks(df: DataFrame, text: str, into: str, searchers: list) -> DataFrame:
-    """The same for a benchmark beyond one broadcast: each block over all rows, and the hits of a row put together."""
-    own = [F.col(f"`{c}`") for c in df.columns if c != into]
-    rows = settle(df.select(F.struct(*own).alias("row"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("id")))
-    found = None
-    for search in searchers:
-        one = rows.select("id", search(F.col("text")).alias("h")).select("id", "h.n_words", "h.items", "h.spans")
-        found = one if found is None else found.unionAll(one)
-    grouped = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    # spans are apart where the next one begins behind all ends so far
-    reach = running(F.transform("spans", lambda x: x["stop"]), F.greatest)
-    apart = let(reach, lambda r: F.filter(F.transform("spans", lambda x, i: F.when((i == 0) | (x["start"] > F.get(r, i - 1)), F.struct(x["start"].alias("start"), i.alias("i")))), lambda x: x.isNotNull()))
-    ends = lambda a, r: F.transform(a, lambda x, k: F.struct(x["start"].alias("start"), F.get(r, F.coalesce(F.get(a, k + 1)["i"], F.size(r)) - 1).alias("stop")))
-    grouped = grouped.withColumn("spans", let(F.struct(apart.alias("a"), reach.alias("r")), lambda m: ends(m["a"], m["r"])))
-    grouped = grouped.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]))
-    out = F.struct("n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
-    return rows.select("row", "id").join(grouped.select("id", out.alias("hits")), "id").select("row.*", F.col("hits").alias(into))
+    size = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if (size["n"] or 0) <= max_words and (size["bytes"] or 0) <= 16 * max_words:
+        automaton = spark.sparkContext.broadcast(Automaton([(r["id"], r["text"]) for r in items.collect()], window))
+        return df.withColumn(into, searcher(automaton)(df[text]))
+    return df.withColumn(into, file_searcher(tables_of(items, window))(df[text]))
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -86,3 +86,17 @@ def test_many_rows_without_a_key_share_no_bucket(spark, monkeypatch):
         assert r["place"] == at
         at += max(r["n"], 1)
     assert len(got) == 300
+
+
+def test_tables_in_many_files_equal_one_automaton(spark, monkeypatch):
+    """Shift tables in several ranges, windows in several shards, few files kept mapped, an item whose window is in all others."""
+    items = [(i, f"the very same window of ten words is in all {i} " + " ".join(f"w{(i * 11 + k) % 900}" for k in range(60))) for i in range(60)]
+    items += [(100 + i, "the very same window of ten words is in all items " * (i % 2 + 1)) for i in range(40)] + [(500, "w7"), (501, "w7 w8")]
+    texts = [(i, " ".join(f"w{(i * 11 + k) % 900}" for k in range(i))) for i in range(0, 90, 3)] + [(900, "the very same window of ten words is in all items " * 3), (901, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.with_benchmark_hits(docs, bench).orderBy("doc_id").collect()
+    for name, value in (("SHARD", 50), ("RANGE", 8)):
+        monkeypatch.setattr(decontaminate, name, value)
+    for most in (1000, 0):
+        assert decontaminate.with_benchmark_hits(docs, bench, max_words=most).orderBy("doc_id").collect() == whole
+    assert sum(r["hits"]["contaminated"] for r in whole) > 20
