@@ -1,13 +1,12 @@
 """How much of a version is copied: the exact share, a bound that spares most of the work, and shared n-grams at scale.
 
-The share is defined by the matching blocks of `difflib`, so it needs Python. One Arrow function takes both texts' words once and
-goes no further than it must: equal words are a share of 1, no common run is one of 0, and where a limit is given, texts
-whose bound is below it are cleared in linear time. Only what is left is matched.
+The share is defined by matching blocks, longest first, so it needs Python. One Arrow function takes both texts' words once; equal words
+are a share of 1, and of all others the maximal common runs are found in one pass. Their words are a bound that clears texts below a limit;
+what is left is a choice among few runs (see blocks).
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 
 import pandas as pd
@@ -18,6 +17,8 @@ from collatio.functions import text as T
 from collatio.functions.predicates import is_check_heading
 from collatio.session import ship
 
+from .blocks import matching_blocks
+
 # Words in a row that count as copied, shares from which a block is still the original; the same for short blocks.
 RUN, LIMIT = 8, 0.6
 SHORT_WORDS, SHORT_RUN, SHORT_LIMIT = 40, 4, 0.4
@@ -51,13 +52,9 @@ def share_of(original: str | None, version: str | None, run: int, least: float =
     a, b = (WORDS.findall(t.lower()) for t in (original, version))
     if a == b:
         return float(len(b) >= run > 0)
-    bound = covered(a, b, run) / max(1, len(b))
-    if bound < least:
+    if least and covered(a, b, run) / max(1, len(b)) < least:
         return None
-    if not bound:
-        return 0.0
-    blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-    return sum(m.size for m in blocks if m.size >= run) / max(1, len(b))
+    return sum(n for _, _, n in matching_blocks(a, b, run)) / max(1, len(b))
 
 
 def exact_share(original: Column, version: Column, run: Column, least: Column) -> Column:
