@@ -602,3 +602,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+
+
+from . import relations  # noqa: E402,F401  (registers more queries)
