@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +55,28 @@ def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "
     df.select(name, F.col(content).cast("binary").alias(content)).where(F.col(content).isNotNull()).foreachPartition(save)
 
 
-def save_progress(paras: DataFrame, path: str) -> None:
-    """Adds finished paragraphs to a table, so that a stopped run goes on behind them."""
-    paras.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(path)
+def save_progress(paras: DataFrame, path: str, batch: int | None = None) -> None:
+    """Stores finished paragraphs under a batch's number, so that a stopped run goes on behind them. A batch that is retried under its number replaces
+    itself; without a number it is the next one by the clock."""
+    batch = time.time_ns() // 1000 if batch is None else batch
+    paras.write.mode("overwrite").parquet(f"{path}/batch={batch:08d}")
+
+
+def last_progress(spark: SparkSession, path: str, key: list[str], para: str = "para", order: str | None = None) -> DataFrame:
+    """(key, para): of each paragraph, what the last batch that has it saved; of two in one batch that of the greatest `order` (without one, the greater text)."""
+    rank = ["batch"] + ([order] if order else []) + [para]
+    saved = spark.read.option("basePath", path).parquet(path).groupBy(*key).agg(F.max(F.struct(*rank)).alias("last"))
+    return saved.select(*key, F.col(f"last.{para}").alias(para))
+
+
+def compact_progress(spark: SparkSession, path: str, target: str, key: list[str], para: str = "para", order: str | None = None, files: int = 64) -> None:
+    """Writes what last_progress gives as the first batch of another folder, in few files."""
+    last_progress(spark, path, key, para, order).coalesce(files).write.mode("overwrite").parquet(f"{target}/batch={0:08d}")
 
 
-def with_progress(paras: DataFrame, path: str, key: list[str], para: str = "para") -> DataFrame:
-    """paras with finished paragraphs of save_progress in place, the others as they are; `done` tells which. Of a paragraph
-    that was saved more than once, the last one counts (of two saved together, the greater text)."""
-    saved = paras.sparkSession.read.parquet(path).groupBy(*key).agg(F.max(F.struct("saved_at", para)).alias("last"))
-    done = saved.select(*key, F.col(f"last.{para}").alias("__done"), F.lit(True).alias("__is_done"))
+def with_progress(paras: DataFrame, path: str, key: list[str], para: str = "para", order: str | None = None) -> DataFrame:
+    """paras with finished paragraphs of save_progress in place, the others as they are; `done` tells which."""
+    done = last_progress(paras.sparkSession, path, key, para, order).select(*key, F.col(para).alias("__done"), F.lit(True).alias("__is_done"))
     joined = paras.join(done, key, "left").withColumn("done", F.coalesce("__is_done", F.lit(False)))
     return joined.withColumn(para, F.when(F.col("done"), F.col("__done")).otherwise(F.col(para))).drop("__done", "__is_done")
 
