@@ -8,10 +8,11 @@ link is a pair with Jaccard of at least `share`; groups are what links connect.
 2. A set's first n - ceil(share * n) + 1 shingles are its prefix. Two sets that link have a common shingle in their prefixes
    (prefix filter), so every link lies inside the bucket of one shingle. Buckets where no two sizes fit are left out.
 3. The sets of the rest's nodes are written to files of the shared folder once, which workers map.
-4. Nodes of large buckets are searched by simhash first: pairs of fingerprints within NEAR bits, by generalised pigeonhole, each verified over
+4. Nodes of crowded buckets are searched by simhash first: pairs of fingerprints within NEAR bits, by generalised pigeonhole, each verified over
    whole sets. This connects what is nearly equal, which is most of a large group of copies, and spares the comparisons inside it. Where
-   there are no large buckets it would cost more than it spares, and is left out. It can't be all, as two texts that share 0.8 of their shingles
-   differ in 9.7 of 64 bits on average: one pair in five lies beyond 12 bits, the most that can be searched.
+   there are no crowded buckets it would cost more than it spares, and is left out. It can't be all, as two texts that share 0.8 of their shingles
+   differ in 9.7 of 64 bits on average: one pair in five lies beyond 12 bits, the most that can be searched. Then every member of a crowded bucket is
+   compared with a few hubs, members that no earlier hub connects, in one stream over the bucket. This connects most of what copies of copies are.
 5. Buckets whose members are connected already are dropped. One that still has more than LARGE unconnected parts is divided: sets that link
    share two shingles within prefixes that are longer by one, so that every link of the bucket lies in the smaller bucket of another shingle too; and
    so on, with three, while buckets are large and the division makes progress. What has more than BLOCK members even so is cut
@@ -47,8 +48,10 @@ from .simhash import SEED, shingle_hashes
 NEAR = 3
 #: Texts of the sample; the shingles that it says are common at most (an order only, no shingle is left out).
 SAMPLE, COMMON = 4000, 100_000
-#: Unconnected parts from which a bucket is divided, members of a block, shingles by which a bucket is divided at most.
-LARGE, BLOCK, DEEP = 200, 100_000, 6
+#: Members of a crowded bucket, its hubs; unconnected parts from which a bucket is divided, members of a block, shingles by which a bucket is divided at most.
+CROWDED, HUBS, LARGE, BLOCK, DEEP = 200, 16, 1000, 100_000, 6
+#: Rows that a division makes at a time.
+MADE = 20_000
 #: Files that a worker keeps mapped; nodes and failed pairs that a task remembers.
 MAPPED, REMEMBERED = 600, 300_000
 
@@ -243,17 +246,65 @@ def nearly_equal(prints: DataFrame, places: DataFrame, share: float, folder: str
     return settle(pairs.mapInPandas(verified_pairs(share, folder), "u long, v long").distinct())
 
 
+class Forest:
+    """What links connect so far; each tree has its smallest node as root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, k: int) -> int:
+        while (p := self.up.get(k, k)) != k:
+            self.up[k] = self.up.get(p, p)
+            k = p
+        return k
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+def hub_links(share: float, folder: str):
+    """Function over BUCKET rows sorted by h and size: links (u, v) of members with hubs of their bucket. A bucket streams by; only its hubs are kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets, trees, at = Sets(folder), Forest(), None
+        hubs: list[tuple[int, int, np.ndarray]] = []
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for h, node, size, label, file, start in zip(b["h"], b["node"], b["size"], b["label"], b["file"], b["start"]):
+                if h != at:
+                    at, hubs = h, []
+                trees.join(node, label)
+                own = trees.root(node)
+                near = [x for x in hubs if trees.root(x[0]) != own and x[1] >= share * size - 1e-6]
+                if len(hubs) - len(near) and any(trees.root(x[0]) == own for x in hubs):
+                    continue
+                s = sets.get(file, start, size) if near or len(hubs) < HUBS else None
+                linked = False
+                if near:
+                    both = shared_with(s, [x[2] for x in near])
+                    for x, n in zip(near, both.tolist()):
+                        if n >= share * (size + x[1] - n):
+                            out.append((x[0], node))
+                            trees.join(x[0], node)
+                            linked = True
+                if not linked and len(hubs) < HUBS:
+                    hubs.append((node, size, np.array(s)))
+            if len(trees.up) > REMEMBERED:
+                trees.up.clear()
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
+
+
 def verified_links(share: float, folder: str):
     """Function over buckets sorted by h and size: links (u, v) that, with the ones known before (a node's label), connect all nodes which links of at least `share` connect."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, up, failed = Sets(folder), {}, set()
-
-        def root(k: int) -> int:
-            while (p := up.get(k, k)) != k:
-                up[k] = up.get(p, p)
-                k = p
-            return k
+        sets, trees, failed = Sets(folder), Forest(), set()
+        root = trees.root
 
         def search(node: list[int], size: np.ndarray, file: list[str], start: list[int], out: list[tuple[int, int]]) -> None:
             label = np.array([root(k) for k in node], np.int64)
@@ -274,24 +325,23 @@ def verified_links(share: float, folder: str):
                         elif label[j] != label[i]:
                             out.append((node[i], node[j]))
                             a, b = root(node[i]), root(node[j])
-                            up[max(a, b)] = up[min(a, b)] = min(a, b)
+                            trees.join(a, b)
                             label[(label == a) | (label == b)] = min(a, b)
 
         for b in whole_keys(batches):
             h, size = b["h"].to_numpy(), b["size"].to_numpy()
             node, file, start = b["node"].tolist(), b["file"].tolist(), b["start"].tolist()
             for k, label in zip(node, b["label"].tolist()):
-                if k != label and root(k) != root(label):
-                    x, y = root(k), root(label)
-                    up[max(x, y)] = min(x, y)
+                if k != label:
+                    trees.join(k, label)
             cuts = (np.flatnonzero(np.diff(h)) + 1).tolist()
             out: list[tuple[int, int]] = []
             for s, e in zip([0, *cuts], [*cuts, len(h)]):
                 search(node[s:e], size[s:e], file[s:e], start[s:e], out)
                 if len(failed) >= REMEMBERED:  # forgetting costs comparisons, no links
                     failed.clear()
-                if len(up) > REMEMBERED:
-                    up.clear()
+                if len(trees.up) > REMEMBERED:
+                    trees.up.clear()
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
@@ -311,18 +361,24 @@ def divided(share: float, folder: str, common: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Sets(folder)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part, out = b.iloc[at : at + 1000], []
-                for i, (taken, size, file, start) in enumerate(zip(part["taken"], part["size"], part["file"], part["start"])):
-                    own = set(taken.tolist())
-                    for h in prefix(sets.get(file, start, size), share, known, len(own)).view(np.int64).tolist():
-                        if h not in own:
-                            both = sorted((*own, h))
-                            out.append((xxhash.xxh64_intdigest(np.array(both, np.int64).tobytes(), SEED), both, i))
-                if out:
-                    rows = part.iloc[[i for _, _, i in out]].copy()
-                    rows["h"], rows["taken"] = np.array([h for h, _, _ in out], np.uint64).view(np.int64), [t for _, t, _ in out]
-                    yield rows
+            out: list[tuple[int, list[int], int]] = []
+
+            def rows() -> pd.DataFrame:
+                made = b.iloc[[i for _, _, i in out]].copy()
+                made["h"], made["taken"] = np.array([h for h, _, _ in out], np.uint64).view(np.int64), [t for _, t, _ in out]
+                return made
+
+            for i, (taken, size, file, start) in enumerate(zip(b["taken"], b["size"], b["file"], b["start"])):
+                own = set(taken.tolist())
+                for h in prefix(sets.get(file, start, size), share, known, len(own)).view(np.int64).tolist():
+                    if h not in own:
+                        both = sorted((*own, h))
+                        out.append((xxhash.xxh64_intdigest(np.array(both, np.int64).tobytes(), SEED), both, i))
+                        if len(out) >= MADE:
+                            yield rows()
+                            out = []
+            if out:
+                yield rows()
 
     return run
 
@@ -371,25 +427,27 @@ def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
     folder = new_folder(texts.sparkSession, "sets")
     stored = settle(some.select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
     places = settle(stored.groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"))
-    counts = settle(close.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    crowded = settle(close.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
+    label = lambda edges: places.drop("size").join(components(edges).select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    columns = [F.col("h"), F.array("h").alias("taken"), *map(F.col, ("node", "size", "label", "file", "start"))]
     first = None
-    if not counts.isEmpty():
-        many = join_hot(close.select("h", "node"), counts, "h", "n").select("node").distinct()
-        first = nearly_equal(settle(texts.select("node", "fp").distinct().join(many, "node")), places, share, folder)
-    labelled = places.drop("size")
-    if first is None:
-        labelled = labelled.withColumn("label", F.col("node"))
+    if crowded.isEmpty():
+        members = close.join(places.drop("size").withColumn("label", F.col("node")), "node").select("h", "node", "size", "label", "file", "start")
     else:
-        labels = components(first).select("node", F.col("root").alias("label"))
-        labelled = labelled.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = close.join(labelled, "node").select("h", F.array("h").alias("taken"), "node", "size", "label", "file", "start")
-    members = small_buckets(members, share, folder, common) if first is not None else members.drop("taken")
+        busy = settle(join_hot(close, crowded, "h", "n").drop("n"))
+        many = busy.select("node").distinct()
+        first = nearly_equal(settle(texts.select("node", "fp").distinct().join(many, "node")), places, share, folder)
+        hubs = by_size(busy.join(label(first), "node").select(*columns)).mapInPandas(hub_links(share, folder), "u long, v long")
+        first = settle(first.unionAll(hubs).distinct())
+        members = settle(close.join(label(first), "node").select(*columns))
+        members = small_buckets(members, share, folder, common)
+        discard(busy)
     found = by_size(members).mapInPandas(verified_links(share, folder), "u long, v long")
     found = settle((found if first is None else found.unionAll(first)).distinct())
     store, path = filesystem(folder)
     if not stored.isEmpty():
         store.delete_dir(path)  # links are stored, nothing reads the sets again
-    discard(close, wanted, stored, places, counts)
+    discard(close, wanted, stored, places, crowded)
     return found
 
 

@@ -116,7 +116,7 @@ def unlike(n, shared_words=9, own=40):
 @pytest.mark.parametrize("large, block, deep", [(200, 100_000, 6), (3, 100_000, 6), (3, 100_000, 1), (3, 10, 2), (0, 7, 6)])
 def test_large_buckets_are_divided(spark, monkeypatch, large, block, deep):
     """Whatever the order of shingles (here common ones aren't known), divided and blocked buckets give the same groups."""
-    for name, value in (("LARGE", large), ("BLOCK", block), ("DEEP", deep), ("COMMON", 0)):
+    for name, value in (("CROWDED", large), ("LARGE", large), ("BLOCK", block), ("DEEP", deep), ("COMMON", 0), ("HUBS", 1 + deep % 3)):
         monkeypatch.setattr(near_copies, name, value)
     texts = unlike(120)
     words = [f"c{i}" for i in range(150)]
