@@ -1,6 +1,5 @@
 """Text kernel, lists, halves, concepts, shapes, leads: against plain statements of the rules."""
 
-import itertools
 import re
 import unicodedata
 
@@ -87,28 +86,80 @@ def test_concept_files(spark):
     assert [(r["name"], r["variants"]) for r in rows] == [("Kant", ["Kant", "Immanuel Kant"])]
 
 
-def plain_concepts(body):
-    """The rules of extraction, stated on one string at a time."""
+CAPITALS, JOINERS = set("ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÑÜ"), {"de", "del", "la", "las", "los", "y", "of", "the"}
+
+
+def names_in(body):
+    """(words, what stands before) of runs of capitalised words, token by token."""
+    tokens = [[m.start(), m.group()] for m in re.finditer(r"\w+", body)]
+    near = lambda k: k < len(tokens) and body[tokens[k - 1][0] + len(tokens[k - 1][1]) : tokens[k][0]].isspace()
+    begins = lambda k: near(k) and tokens[k][1][0] in CAPITALS and len(tokens[k][1]) > 1
+    k = 0
+    while k < len(tokens):
+        at, word = tokens[k]
+        inside = next((i for i, c in enumerate(word[:-1]) if c in CAPITALS), None)
+        k += 1
+        if inside is None:
+            continue
+        words = [word[inside:]]
+        while begins(k) or (near(k) and tokens[k][1] in JOINERS and begins(k + 1)):
+            words.append(tokens[k][1])
+            k += 1
+        yield words, body[: at + inside]
+
+
+def figures_in(body):
+    """Digits with points and commas between them, and a percent sign behind."""
+    k = 0
+    while k < len(body):
+        end = k
+        while end < len(body) and (body[end].isdecimal() or (end > k and body[end] in ".," and body[end + 1 : end + 2].isdecimal())):
+            end += 1
+        if end > k:
+            rest = len(body[end:]) - len(body[end:].lstrip())
+            end += rest + (body[end + rest : end + rest + 1] == "%")
+            yield body[k:end]
+        k = max(end, k + 1)
+
+
+def terms_in(body):
+    """What stands in brackets or angle quotes, 2 to 40 characters, without such marks of its own kind."""
+    k = 0
+    while k < len(body):
+        pair = {"(": "()", "«": "«»"}.get(body[k])
+        end = next((i for i in range(k + 1, len(body)) if body[i] in pair), None) if pair else None
+        if end is not None and body[end] == pair[1] and 3 <= end - k <= 41:
+            yield body[k + 1 : end]
+            k = end
+        k += 1
+
+
+def scanned_concepts(body):
+    """Concepts by walking over a text: names, figures, terms; the first of equal ones."""
     common = lambda w: text.fold_text(w) in lexicon.NOT_NAMES
-    capital = r"[A-ZÁÉÍÓÚÑÜ]\w+"
-    offers = []
-    for m in re.finditer(rf"{capital}(?:(?:\s+(?:de|del|la|las|los|y|of|the)\s+|\s+){capital})*", body):
-        words, ahead = m.group().split(), body[: m.start()].rstrip()
-        if not ahead or ahead[-1] in '.!?¿¡:\n«"—':
-            words = list(itertools.dropwhile(common, words[1:]))
-        if words and not common(words[0]):
-            offers.append((words, words[-1:] if len(words) > 1 else []))
-    for found in (re.findall(r"\d+(?:[.,]\d+)*\s*%?", body), [a or b for a, b in re.findall(r"\(([^()]{2,40})\)|«([^«»]{2,40})»", body)]):
-        for x in found:
-            words = x.strip(" .,;:«»\"'()").split()
-            offers.append((list(itertools.dropwhile(common, words)) or words[-1:], []))
-    out = {}
-    for words, others in offers:
-        if len(name := " ".join(words)) >= 3:
-            out.setdefault(text.fold_text(name), (name, [name, *others]))
-    return list(out.values())
-
-
+    after_common = lambda ws: next((ws[i:] for i, w in enumerate(ws) if not common(w)), [])
+    listed = []
+    for words, before in names_in(body):
+        opens = not before.strip() or before.rstrip()[-1] in ".!?¿¡:\n«\"—"
+        words = after_common(words[1:]) if opens else words if not common(words[0]) else []
+        listed += [[" ".join(words), *(words[-1:] if len(words) > 1 else [])]]
+    for term in [*figures_in(body), *terms_in(body)]:
+        words = term.strip(" .,;:«»\"'()").split()
+        listed += [[" ".join(after_common(words) or words[-1:])]]
+    first = {}
+    for name, *others in listed:
+        if len(name) > 2:
+            first.setdefault(text.fold_text(name), (name, [name, *others]))
+    return list(first.values())
+
+
+CONCEPTS_FOUND = [
+    ["Immanuel Kant+Kant", "Sol de Mayo+Mayo", "60%", "razón pura"],
+    ["Kant", "Razón", "12,5 %", "1.000", "uno"],
+    ["Río", "Vio", "Juan", "Cruz y Teresa+Teresa", "Ávila", "3 %", "Del"],
+    ["Bc De+De"],
+    [],
+]
 CONCEPT_TEXTS = [
     "Ayer vino Immanuel Kant (razón pura) con 60% y 12. El Sol de Mayo.",
     "El de Kant. KANT y Kant, 12,5 % de «la Razón» («»), (de la), (el uno) y 1.000.",
@@ -123,8 +174,11 @@ def test_extracted_concepts(spark, sf_dir):
     assert got["Immanuel Kant"] == ["Immanuel Kant", "Kant"] and "60%" in got and "razón pura" in got and "12" not in got
     documents = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").collect()]
     df = spark.createDataFrame(list(enumerate(CONCEPT_TEXTS + documents)), "k long, text string")
-    for r in df.select("text", concepts.concepts_of(F.col("text")).alias("c")).collect():
-        assert [(x["name"], list(x["variants"])) for x in r["c"]] == plain_concepts(r["text"])
+    for r in df.select("k", "text", concepts.concepts_of(F.col("text")).alias("c")).collect():
+        found = [(x["name"], list(x["variants"])) for x in r["c"]]
+        assert found == scanned_concepts(r["text"])
+        if r["k"] < len(CONCEPTS_FOUND):
+            assert ["+".join(v) for _, v in found] == CONCEPTS_FOUND[r["k"]]
     assert concepts.extracted_concepts(spark.createDataFrame([(1, None), (2, "")], "k int, text string"), ["k"]).count() == 0
 
 
