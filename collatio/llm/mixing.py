@@ -25,6 +25,7 @@ columns of the names slot, block, place and stream are replaced.
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 from math import ceil, floor, log
 
@@ -37,7 +38,7 @@ from .shared import settle
 #: Production weights; sources that are not listed share one stream.
 WEIGHTS, REST = {"src0": 8, "src1": 4, "src2": 4, "src3": 3, "src4": 3, "src5": 2, "src6": 2, "src7": 1}, 9
 #: Characters of a block; rows of a bucket on average and hexadecimal digits that name one, at least; the stream of sources without weight.
-BLOCK, BUCKET, DIGITS, OTHERS = 65_536, 50_000, 3, "*"
+BLOCK, BUCKET, DIGITS, SALTS, OTHERS = 65_536, 50_000, 3, 1024, "*"
 
 
 def period(weights: dict[str, int]) -> list[str]:
@@ -74,13 +75,11 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
 
 
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of literals, without Python objects on the executors."""
+    """A table of the driver's as one literal, without Python objects on the executors; as long as the weights' sum and the phases allow, so that it is broadcast."""
     names = [c.split()[0] for c in schema.split(", ")]
-    if not rows:
-        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in schema.split(", "))).where("false")
-    value = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
-    body = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
-    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {c.split()[1]}) AS {n}' for n, c in zip(names, schema.split(', ')))} FROM VALUES {body} AS t({', '.join(names)})")
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    kind = "array<struct<" + ", ".join(": ".join(c.split()) for c in schema.split(", ")) + ">>"
+    return F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("x")).select("x.*"))
 
 
 def places(df: DataFrame, weights: dict[str, int], source: str, key: str, size: Column, block: int, seed: int) -> DataFrame:
@@ -96,8 +95,10 @@ def places(df: DataFrame, weights: dict[str, int], source: str, key: str, size:
     names = ["stream", "bucket"]
     if not busy.isEmpty():
         listed = busy.withColumn("busy", F.lit(True))
+        # equal rows of one key may come in any order, so that a number deals them out
+        rows = settle(rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
         rows = rows.join(F.broadcast(listed) if listed.count() <= shared.SENT else listed, names, "left")
-        rows = rows.withColumn("part", F.when(F.col("busy"), F.struct("digest", "key", "size"))).drop("busy")
+        rows = rows.withColumn("part", F.when(F.col("busy"), F.struct("digest", "key", "size", "salt"))).drop("busy")
         sums = rows.groupBy(*names, "part").agg(F.sum("size").alias("n"))
         names.append("part")
     before = Window.partitionBy("stream").orderBy(*names[1:]).rowsBetween(Window.unboundedPreceding, -1)

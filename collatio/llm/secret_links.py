@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from collatio.functions.text import let
 from collatio.session import spread
 
-from .shared import running, settle
+from .shared import join_hot, running, settle
 
 #: Code points that a part's scope reaches to both sides; code points of a piece that is cut from a text at once.
 SCOPE, CHUNK = 400, 4096
@@ -116,7 +116,9 @@ def with_secrets(df: DataFrame, text: str = "text", into: str = "secrets", scope
     scanned = settle(scanned.select("row", "scan", F.when(weak, F.sha2(F.col("whole").cast("binary"), 256)).alias("text_key")))
     linked = links(scanned, scope).select("text_key", F.struct(*WEAK).alias("linked"))
     plain = scanned.where("text_key IS NULL").withColumn("linked", F.lit(None).cast(linked.schema["linked"].dataType))
-    joined = scanned.where("text_key IS NOT NULL").join(linked, "text_key", "left").select("row", "scan", "text_key", "linked").unionAll(plain)
+    keyed = scanned.where("text_key IS NOT NULL")
+    each = keyed.groupBy("text_key").agg(F.count("*").alias("rows")).join(linked, "text_key", "left")
+    joined = join_hot(keyed, each, "text_key", "rows").select("row", "scan", "text_key", "linked").unionAll(plain)
     found = {k: F.col(f"scan.{k}") for k in BASE} | {k: F.coalesce(F.col(f"linked.{k}"), F.array().cast(SPANS)) for k in WEAK}
     out = F.struct(*[c.alias(k) for k, c in found.items()], listed({k: found[k] for k in BASE}).alias("base"), listed(found).alias("spans"))
     return joined.select("row.*", out.alias(into))

@@ -16,8 +16,9 @@ Search, over distinct fingerprints (copies meet in the aggregation that makes th
 5. Verify: distances are counted over all 64 bits. Inside a bucket, a search that compares each reached fingerprint with
    those not yet reached gives a spanning forest of its links. So a bucket yields fewer rows than it has members, and no
    two members that links connect are parted.
-6. A bucket of more than HOT fingerprints is divided first: what is left of the distance must fit, by the same
-   principle, into parts of the remaining bits, and each part's value makes a smaller bucket of its own.
+6. A bucket of more than HOT fingerprints is divided first: two that link agree in one of distance + 1 groups of bits, by the same
+   principle, and each group's value makes a smaller bucket of its own. What stays large is divided again by other groups, LEVELS
+   times at most; the rest is cut into blocks, and every two of them are a bucket, so that no task holds more than two blocks.
 
 Connected components of the links run as group-bys over edges; nothing of it comes to the driver but the bit statistics.
 
@@ -29,6 +30,7 @@ results. Other columns stay, whatever their names; the result's column is replac
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations, repeat
 from math import comb
@@ -40,11 +42,11 @@ from pyspark.sql import functions as F
 
 from collatio.session import spread
 
-from .shared import ascii_lower_words, bound_batches, components, join_hot, mixed, settle
+from .shared import SENT, ascii_lower_words, bound_batches, components, join_hot, mixed, settle
 
 BITS, SEED = 64, 42
-#: Members from which a bucket is divided.
-HOT = 4096
+#: Members from which a bucket is divided; divisions at most.
+HOT, LEVELS = 4096, 3
 #: Cost of a verified candidate against that of one probe row.
 VERIFY = 0.02
 
@@ -229,7 +231,7 @@ def bucket_links(distance: int):
     """Function over rows sorted by key: the links inside every key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.uint64))
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key, which may go on
 
         def solve(key: np.ndarray, x: np.ndarray) -> pd.DataFrame | None:
             cuts = np.flatnonzero(np.diff(key)) + 1
@@ -248,19 +250,30 @@ def bucket_links(distance: int):
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)}) if len(u) else None
 
         for batch in batches:
-            key, x = np.concatenate((carried[0], batch["key"].to_numpy())), np.concatenate((carried[1], batch["fp"].to_numpy().view(np.uint64)))
+            key, x = batch["key"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
             if not len(key):
                 continue
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
-            carried = key[cut:], x[cut:]
-            if cut and (out := solve(key[:cut], x[:cut])) is not None:
-                yield out
-        if len(carried[0]) > 1 and (out := solve(*carried)) is not None:
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut or (held and held[-1][0][-1] != key[0]):
+                done = [np.concatenate(c) for c in zip(*held, (key[:cut], x[:cut]))]
+                held = []
+                if len(done[0]) and (out := solve(*done)) is not None:
+                    yield out
+            held.append((key[cut:], x[cut:]))
+        done = [np.concatenate(c) for c in zip(*held)]
+        if held and len(done[0]) > 1 and (out := solve(*done)) is not None:
             yield out
 
     return run
 
 
+def dealt_bits(groups: int, level: int) -> list[list[int]]:
+    """All bits, dealt out to groups in another way at every level."""
+    bits = list(range(64))
+    random.Random(level).shuffle(bits)
+    return [bits[g::groups] for g in range(groups)]
+
+
 def links(prints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints `fp` which links of up to `distance` bits connect."""
     n, both = bit_statistics(prints)
@@ -268,16 +281,28 @@ def links(prints: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     kept = [(mask, g, t) for g, t in chosen for mask in masks(g, t)]
     probes = settle(prints.select("fp").mapInPandas(keyed([k[0] for k in kept]), "key long, mask int, fp long"))
     usual = max(n / 2.0 ** (len(g) - t) for g, t in chosen)  # members of a bucket if all were alike
-    crowded = probes.groupBy("key").count().where(F.col("count") > max(hot, 16 * usual)).select("key")
-    if not crowded.isEmpty():
-        crowded = settle(crowded)
-        # inside a bucket the other partitions' bits must hold all of the difference that the blanked bits don't
-        parts = grouped_bits(correlations(n, both), distance + 1)
-        finer = [sum(1 << b for b in g) for g in parts]
-        inside = probes.join(crowded, "key", "left_semi").withColumnRenamed("key", "bucket")
+    bound, done = max(hot, 16 * usual), None
+    rows = probes.select("key", "fp")
+    for level in range(LEVELS + 1):
+        crowded = settle(rows.groupBy("key").count().where(F.col("count") > bound))
+        size = crowded.count()
+        if not size:
+            break
+        few = (lambda df: F.broadcast(df)) if size <= SENT else (lambda df: df)
+        apart = rows.join(few(crowded.select("key")), "key", "left_anti")
+        done = apart if done is None else done.unionAll(apart)
+        inside = rows.join(few(crowded), "key")
+        if level == LEVELS:  # what no division makes smaller is cut into blocks, and every two of them meet
+            blocks = F.ceil(F.col("count") / bound).cast("int")
+            own = inside.withColumn("own", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            rows = own.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+            break
+        # two that differ in up to `distance` bits agree in one of more groups of bits, whatever the groups are
+        groups = grouped_bits(correlations(n, both), distance + 1) if level == 0 else dealt_bits(distance + 1, level)
+        finer = [sum(1 << b for b in g) for g in groups]
         split = inside.withColumn("part", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("v")) for i, m in enumerate(finer)])))
-        split = split.select(F.xxhash64("bucket", "part.i", "part.v").alias("key"), "fp")
-        probes = probes.join(crowded, "key", "left_anti").select("key", "fp").unionAll(split)
+        rows = settle(split.select(F.xxhash64("key", "part.i", "part.v").alias("key"), "fp"))
+    probes = rows if done is None else done.unionAll(rows)
     sorted_probes = probes.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     return sorted_probes.mapInPandas(bucket_links(distance), "u long, v long").distinct()
 
