@@ -10,36 +10,69 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import BLANK, LETTER, among, ends_with, found, n_parts, strip
+from .text import BLANK, LETTER, among, found, let, n_parts, strip
 
 NUMBERED = rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*+(?:\.-?|\))[{BLANK}]+(.+)$"
 INNER_STOP = f"[.!?…][{BLANK}]"
 DOCUMENT_HEADING = rf"(?i)^(\p{{Nd}}+[.)][{BLANK}]|acci[oó]n[{BLANK}]+\p{{Nd}}+[.:]|anexo(?![\p{{L}}\p{{N}}_]))"
 
 
+def line_facts(p: Column) -> dict[str, Column]:
+    """What the heading rules ask of a line: its number of words, itself, itself without blanks at both ends, and the last mark."""
+    return {"n": n_parts(p), "p": p, "s": strip(p), "last": F.substring(strip(p), -1, 1)}
+
+
+def title_of(x) -> Column:
+    rest = F.regexp_extract(x["s"], NUMBERED, 1)
+    colon = (x["last"] == ":") & (x["n"] <= 8) & ~x["s"].rlike(INNER_STOP)
+    numbered = (rest != "") & ~rest.rlike(INNER_STOP)
+    return (x["n"] <= 12) & ((x["n"] <= 4) | colon | ~x["last"].isin(*".!?…:") | numbered)
+
+
+def check_heading_of(x) -> Column:
+    return (x["n"] <= 4) | ~x["last"].isin(*".!?…")
+
+
+def document_heading_of(x) -> Column:
+    return (x["n"] <= 12) & ((x["n"] < 5) | (x["last"] == ":") | x["s"].rlike(DOCUMENT_HEADING))
+
+
+def half_heading_of(x) -> Column:
+    return (x["n"] <= 12) & ~x["p"].rlike(r"[.!?]$")
+
+
+def prose_of(x) -> Column:
+    return (x["n"] >= 5) & ~document_heading_of(x)
+
+
+RULES = {"title": title_of, "check_heading": check_heading_of, "document_heading": document_heading_of, "half_heading": half_heading_of, "prose": prose_of}
+
+
+def line_kinds(p: Column) -> Column:
+    """All rules' answers for a line, as a struct of RULES; what they ask is found once."""
+    facts = F.struct(*[c.alias(k) for k, c in line_facts(p).items()])
+    return let(facts, lambda x: F.struct(*[rule(x).alias(name) for name, rule in RULES.items()]))
+
+
 def is_title(p: Column) -> Column:
     """Up to twelve words, and four at most, or a colon at the end of up to eight, or no closing mark, or a numbered heading of one sentence."""
-    n, rest = n_parts(p), F.regexp_extract(strip(p), NUMBERED, 1)
-    colon = ends_with(p, ":") & (n <= 8) & ~strip(p).rlike(INNER_STOP)
-    numbered = (rest != "") & ~rest.rlike(INNER_STOP)
-    return (n <= 12) & ((n <= 4) | colon | ~ends_with(p, ".!?…:") | numbered)
+    return title_of(line_facts(p))
 
 
 def is_check_heading(p: Column) -> Column:
-    return (n_parts(p) <= 4) | ~ends_with(p, ".!?…")
+    return check_heading_of(line_facts(p))
 
 
 def is_document_heading(text: Column) -> Column:
-    t = strip(text)
-    return (n_parts(t) <= 12) & ((n_parts(t) < 5) | t.endswith(":") | t.rlike(DOCUMENT_HEADING))
+    return document_heading_of(line_facts(text))
 
 
 def is_half_heading(p: Column) -> Column:
-    return (n_parts(p) <= 12) & ~p.rlike(r"[.!?]$")
+    return half_heading_of(line_facts(p))
 
 
 def is_prose(text: Column) -> Column:
-    return (n_parts(text) >= 5) & ~is_document_heading(text)
+    return prose_of(line_facts(text))
 
 
 def opener(sentence: Column, lang: str) -> Column:

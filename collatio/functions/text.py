@@ -27,6 +27,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, op) -> Column:
+    """At each place of an array, op over all values up to it. Every pass doubles the reach, so there are log2(n) of them."""
+
+    def scan(v: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(v))).cast("int"), F.lit(0))), lambda k: F.pow(F.lit(2), k).cast("int"))
+        return F.aggregate(steps, v, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(F.get(acc, i - d), x)).otherwise(x)))
+
+    return let(values, lambda v: F.when(F.size(v) > 1, scan(v)).otherwise(v))
+
+
 def strip(text: Column) -> Column:
     """Without blanks at both ends."""
     return F.btrim(text, F.lit(BLANKS))

@@ -91,15 +91,16 @@ def misspelled(word: Column) -> Column:
     return F.array_except(F.array_compact(F.concat(F.array(T.plain(word)), forms)), F.array(word))
 
 
-def spelling_problem(original: Column, version: Column) -> Column:
-    """Accents of longer words lost or broken, or far fewer of them than the original has."""
+def spelling_problem(original: Column, version: Column, tokens: tuple[Column, Column] | None = None) -> Column:
+    """Accents of longer words lost or broken, or far fewer of them than the original has. tokens: distinct words of both texts, if they are at hand."""
+    ours, theirs = tokens or (F.array_distinct(T.tokens(original)), F.array_distinct(T.tokens(version)))
     broken = version.rlike(f"[{L}]'[{L}]") & ~original.rlike(f"[{T.WORD}]'[{T.WORD}]")
-    long = F.filter(F.array_sort(F.array_distinct(T.tokens(original))), lambda w: (F.length(w) >= LONG_WORD) & w.rlike(ACCENT))
+    long = F.filter(F.array_sort(ours), lambda w: (F.length(w) >= LONG_WORD) & w.rlike(ACCENT))
     forms = F.transform(long, lambda w: F.struct(w.alias("word"), misspelled(w).alias("forms")))
 
     def first(known: Column) -> Column:
         """The first word's first form that the version has; most versions have none, and then no word is looked at."""
-        hits = F.array_intersect(F.flatten(F.transform(known, lambda x: x["forms"])), F.array_distinct(T.tokens(version)))
+        hits = F.array_intersect(F.flatten(F.transform(known, lambda x: x["forms"])), theirs)
         least = lambda h: F.get(F.filter(F.transform(known, lambda x: F.array_min(F.array_intersect(x["forms"], h))), lambda x: x.isNotNull()), F.lit(0))
         return T.let(hits, lambda h: F.when(F.size(h) > 0, least(h)))
 
@@ -114,13 +115,13 @@ def accent_density(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(ACCENT)) / F.greatest(F.lit(1), T.n_parts(text))
 
 
-def name_accent_problem(original: Column, version: Column) -> Column:
-    """A capitalised word with an accent that the version has only without it."""
+def name_accent_problem(original: Column, version: Column, tokens: tuple[Column, Column] | None = None) -> Column:
+    """A capitalised word with an accent that the version has only without it. tokens: as for spelling_problem."""
+    low = tokens[1] if tokens else F.array_distinct(T.tokens(version))
 
     names = F.array_sort(F.filter(F.array_distinct(T.found(original, CAPITAL_ACCENTED)), lambda w: F.length(w) >= LONG_NAME))
 
     def first(known: Column) -> Column:
-        low = F.array_distinct(T.tokens(version))
         gone = T.let(F.array_except(F.transform(known, F.lower), low), lambda g: F.filter(known, lambda w: F.array_contains(g, F.lower(w))))
         bare = lambda g: F.array_intersect(F.transform(g, lambda w: T.plain(F.lower(w))), F.transform(low, T.plain))
         named = lambda g: T.let(bare(g), lambda x: F.get(F.filter(g, lambda w: F.array_contains(x, T.plain(F.lower(w)))), F.lit(0)))
@@ -172,13 +173,17 @@ def repetition_problem(original: Column, version: Column, n: int = RUN, folded:
     """The first run of n words that is said twice or more, and more often than in the original. folded: both texts folded, if they are at hand."""
     t, u = folded or (T.fold(original), T.fold(version))
 
+    def numbered(grams: Column) -> Column:
+        """Each repeated run with the number of the time it is said, from the second on, so that multisets are compared as sets."""
+        order = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        starts = lambda s: F.transform(s, lambda x, k: F.when((k == 0) | (F.get(s, k - 1)["g"] != x["g"]), k).otherwise(0))
+        times = lambda s: T.let(T.running(starts(s), F.greatest), lambda r: F.transform(s, lambda x, k: F.struct(x["g"].alias("g"), (k - F.get(r, k) + 1).alias("n"))))
+        return T.let(order, lambda s: F.filter(times(s), lambda x: x["n"] > 1))
+
     def counted(b: Column) -> Column:
-        times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-        # runs that repeat lie side by side in order; only these are counted
-        doubled = T.let(F.array_sort(b["have"]), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
-        more = lambda d: F.filter(d, lambda g: times(b["have"], g) > times(b["had"], g))
+        more = lambda d: F.transform(F.array_except(d, numbered(b["had"])), lambda x: x["g"])
         first = lambda d: F.get(F.filter(b["have"], lambda g: F.array_contains(d, g)), F.lit(0))
-        return T.let(T.let(doubled, more), lambda d: F.when(F.size(d) > 0, F.concat(F.lit("(repeated: "), first(d), F.lit(")"))))
+        return T.let(T.let(numbered(b["have"]), more), lambda d: F.when(F.size(d) > 0, F.concat(F.lit("(repeated: "), first(F.array_distinct(d)), F.lit(")"))))
 
     both = F.struct(T.ngrams(T.tokens(u), n).alias("have"), T.ngrams(T.tokens(t), n).alias("had"))
     # most versions repeat nothing, and then no run is counted
@@ -201,16 +206,18 @@ GUARDS = {
 def sides(df: DataFrame, original: str, version: str) -> DataFrame:
     """df and what several guards need of both texts, made once."""
     a, b = F.col(original), F.col(version)
-    return df.withColumns({"__of": T.fold(a), "__vf": T.fold(b), "__oc": word_counts(a), "__vc": word_counts(b)})
+    accented = F.lower(a).rlike(ACCENT)
+    words = lambda c: F.when(accented, F.array_distinct(T.tokens(c)))  # noqa: E731  only what has accents is asked for words
+    return df.withColumns({"__of": T.fold(a), "__vf": T.fold(b), "__oc": word_counts(a), "__vc": word_counts(b), "__ow": words(a), "__vw": words(b)})
 
 
-SHARED = ("__of", "__vf", "__oc", "__vc")
+SHARED = ("__of", "__vf", "__oc", "__vc", "__ow", "__vw")
 
 
 def messages(original: str, version: str) -> dict[str, Column]:
     """Every guard's message, over sides."""
-    folded, counts = (F.col("__of"), F.col("__vf")), (F.col("__oc"), F.col("__vc"))
-    more = {"language": {"counts": counts}, "peninsular": {"counts": counts}, "negation": {"folded": folded}, "repetition": {"folded": folded}}
+    folded, counts, tokens = (F.col("__of"), F.col("__vf")), (F.col("__oc"), F.col("__vc")), (F.col("__ow"), F.col("__vw"))
+    more = {"spelling": {"tokens": tokens}, "name_accent": {"tokens": tokens}, "language": {"counts": counts}, "peninsular": {"counts": counts}, "negation": {"folded": folded}, "repetition": {"folded": folded}}
     return {name: guard(F.col(original), F.col(version), **more.get(name, {})) for name, guard in GUARDS.items()}
 
 

@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
 from collatio.functions.predicates import is_half_heading
 
-from .segment import paragraph_rows
+HALVES = "array<struct<half_no: int, half: string, n_words: bigint>>"
 
 
-def halves(df: DataFrame, key: list[str], text: str = "text", max_words: int = 1400) -> DataFrame:
-    """(key, half_no, half, n_words).
+def halves_of(text: Column, max_words: int = 1400) -> Column:
+    """(half_no, half, n_words) of a text's halves, in its own row.
 
     A text of up to max_words words, or of one paragraph, is one half. Others are cut before the heading nearest to the
     middle if one lies within 15 % of it, else before the nearest paragraph; a cut moves up past headings, so that no half
-    ends with one. The first of equally near places wins. Texts without paragraphs give no row.
+    ends with one. The first of equally near places wins. Texts without paragraphs have none.
     """
-    inside = Window.partitionBy(*key).orderBy("para_no")
-    whole = Window.partitionBy(*key)
-    p = paragraph_rows(df.select(*key, text), text)
-    p = p.withColumns({"n": T.n_parts(F.col("para")), "heading": is_half_heading(F.col("para"))})
-    p = p.withColumns({"before": F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(whole), "count": F.count("*").over(whole)})
-    distance = F.abs(2 * F.col("before") - F.col("total"))
-    near = F.col("heading") & (10 * distance <= 3 * F.col("total"))
-    place = F.when(F.col("para_no") > 1, F.struct((~near).alias("far"), distance.alias("d"), "para_no"))
-    p = p.withColumn("cut", F.min(place).over(whole)["para_no"])
-    # the cut moves to just behind the last paragraph before it that is no heading
-    p = p.withColumn("body", F.max(F.when((F.col("para_no") < F.col("cut")) & ~F.col("heading"), F.col("para_no"))).over(whole))
-    p = p.withColumn("cut", F.greatest(F.coalesce("body", F.lit(1)) + 1, F.lit(2)))
-    one = (F.col("total") <= max_words) | (F.col("count") < 2)
-    p = p.withColumn("half_no", F.when(one | (F.col("para_no") < F.col("cut")), 1).otherwise(2))
-    out = p.groupBy(*key, "half_no").agg(F.array_sort(F.collect_list(F.struct("para_no", "para"))).alias("ps"), F.sum("n").alias("n_words"))
-    return out.select(*key, "half_no", F.concat(F.array_join(F.transform("ps", lambda x: x["para"]), "\n\n"), F.lit("\n")).alias("half"), "n_words")
+    joined = lambda ps: F.concat(F.array_join(ps, "\n\n"), F.lit("\n"))
+    half = lambda no, ps, n: F.struct(F.lit(no).alias("half_no"), joined(ps).alias("half"), n.cast("long").alias("n_words"))
+
+    def cut_at(m: Column) -> Column:
+        """The number, from 1, of the paragraph that begins the second half."""
+        ps, so_far = m["ps"], m["so_far"]
+        total = F.element_at(so_far, -1)
+
+        def place(i: Column) -> Column:
+            distance = F.abs(2 * F.get(so_far, i - 2) - total)
+            near = F.get(m["heads"], i - 1) & (10 * distance <= 3 * total)
+            return F.struct((~near).alias("far"), distance.alias("d"), i.alias("i"))
+
+        best = F.array_min(F.transform(F.sequence(F.lit(2), F.size(ps)), place))["i"]
+        # the cut moves to just behind the last paragraph before it that is no heading
+        prose = lambda c: F.array_max(F.filter(F.sequence(F.lit(1), c - 1), lambda i: ~F.get(m["heads"], i - 1)))
+        return T.let(best, lambda c: F.greatest(F.coalesce(prose(c), F.lit(1)) + 1, F.lit(2)))
+
+    def two(m: Column) -> Column:
+        ps, so_far = m["ps"], m["so_far"]
+        total = F.element_at(so_far, -1)
+        return T.let(cut_at(m), lambda c: F.array(half(1, F.slice(ps, 1, c - 1), F.get(so_far, c - 2)), half(2, F.slice(ps, c, F.size(ps)), total - F.get(so_far, c - 2))))
+
+    def parts(m: Column) -> Column:
+        total = F.element_at(m["so_far"], -1)
+        one = F.array(half(1, m["ps"], total))
+        return F.when(F.size(m["ps"]) == 0, F.array().cast(HALVES)).when((total <= max_words) | (F.size(m["ps"]) < 2), one).otherwise(two(m))
+
+    def counted(ps: Column) -> Column:
+        words = F.transform(ps, T.n_parts)
+        return F.struct(ps.alias("ps"), T.running(words, lambda a, b: a + b).alias("so_far"), F.transform(ps, is_half_heading).alias("heads"))
+
+    return T.let(T.let(T.paragraphs(text), counted), parts)
+
+
+def halves(df: DataFrame, key: list[str], text: str = "text", max_words: int = 1400) -> DataFrame:
+    """(key, half_no, half, n_words): a row for each of halves_of."""
+    return T.elements(df, key, halves_of(F.col(text), max_words), "h").select(*key, "h.*")
 
 
 def check_phrase(half: Column, original: Column, size: int = 7) -> Column:

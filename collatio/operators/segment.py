@@ -29,21 +29,73 @@ def sentence_rows(df: DataFrame, para: str = "para") -> DataFrame:
     return rows_of(df, T.sentences(F.col(para)), "sent_no", "sentence").drop(para)
 
 
-def list_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, block_no, mark, block, blank_after): a row for each line that isn't blank.
+BLOCKS = "array<struct<mark: string, block: string, blank_after: int>>"
+
+
+def blocks_of(text: Column) -> Column:
+    """(mark, block, blank_after) of every line that isn't blank, in the text's own row.
 
     mark: the bullet in front, with its blanks; blank_after: how many blank lines follow.
     """
 
-
     def full(lines: Column) -> Column:
         """Lines that aren't blank, with how many lines there are until the next one."""
         numbered = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"))), lambda x: T.strip(x["line"]) != "")
-        return T.let(numbered, lambda n: F.transform(n, lambda x, k: F.struct(x["line"].alias("line"), (F.coalesce(F.get(n, k + 1)["i"], F.size(lines)) - x["i"] - 1).alias("blank_after"))))
+        return T.let(numbered, lambda n: F.transform(n, lambda x, k: cut(x["line"], F.coalesce(F.get(n, k + 1)["i"], F.size(lines)) - x["i"] - 1)))
+
+    def cut(line: Column, after: Column) -> Column:
+        return T.let(F.regexp_extract(line, MARK, 1), lambda m: F.struct(m.alias("mark"), T.strip(F.substring(line, F.length(m) + 1, F.length(line))).alias("block"), after.alias("blank_after")))
+
+    return T.let(T.lines(text), full)
+
+
+def list_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, block_no, mark, block, blank_after): a row for each of blocks_of."""
+    return T.rows_of(df, key, blocks_of(F.col(text)), "block_no", "x").select(*key, "block_no", "x.*")
+
+
+def merged_blocks(blocks: Column) -> Column:
+    """(mark, block, blank_after, merged) of an array of blocks: runs of consecutive bullets as one block of sentences, in their own row.
+
+    A blank line ends a run. Blocks without a bullet are kept, inline lists in them flattened; merged is null there.
+    """
+    bullet = lambda x: T.strip(x["mark"]) != ""
+    closed = lambda x: F.when(T.ends_with(x, ".!?…"), x).otherwise(F.concat(F.regexp_replace(x, "[ ;,]+$", ""), F.lit(".")))
+
+    def merged(b: Column) -> Column:
+        goes_on = lambda i: bullet(F.get(b, i)) & bullet(F.get(b, i - 1)) & (F.get(b, i - 1)["blank_after"] == 0)
+        starts = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | ~goes_on(i))
+
+        def run(at: Column, end: Column) -> Column:
+            first, own = F.get(b, at), F.slice(b, at + 1, end - at)
+            listed = bullet(first)
+            text = F.when(listed, F.array_join(F.transform(own, lambda x: closed(x["block"])), " ")).otherwise(flattened(first["block"]))
+            mark = F.when(listed, F.lit("")).otherwise(first["mark"])
+            return F.struct(mark.alias("mark"), text.alias("block"), F.get(b, end - 1)["blank_after"].alias("blank_after"), F.when(listed, end - at).alias("merged"))
+
+        return T.let(starts, lambda s: F.transform(s, lambda at, k: run(at, F.coalesce(F.get(s, k + 1), F.size(b)))))
+
+    none = F.array().cast("array<struct<mark: string, block: string, blank_after: int, merged: int>>")
+    return T.let(blocks, lambda b: F.when(F.size(b) > 0, merged(b)).otherwise(none))
+
+
+def restored_text(blocks: Column) -> Column:
+    """The text of an array of blocks with their marks again, at most one blank line between, none at the end."""
+    line = lambda x: F.concat(x["mark"], T.strip(x["block"]), F.when(x["blank_after"] > 0, F.lit("\n")).otherwise(F.lit("")))
+    return F.concat(F.regexp_replace(F.array_join(F.transform(blocks, line), "\n"), "\n+$", ""), F.lit("\n"))
+
+
+def map_of(blocks: Column) -> Column:
+    """Marks and blank lines (and merged) of an array of blocks as JSON."""
+    return F.to_json(F.transform(blocks, lambda x: x.dropFields("block")))
+
 
-    rows = T.rows_of(df, key, T.let(T.lines(F.col(text)), full), "block_no", "x").select(*key, "block_no", "x.*")
-    mark = F.regexp_extract("line", MARK, 1)
-    return rows.select(*key, "block_no", mark.alias("mark"), T.strip(F.substring("line", F.length(mark) + 1, F.length("line"))).alias("block"), "blank_after")
+def with_map(blocks: Column, stored: Column) -> Column:
+    """(block, mark, blank_after) of edited blocks (texts, in order) and a stored map of theirs, in their own row; an error where their numbers differ."""
+    parsed = F.from_json(stored, "array<struct<mark: string, blank_after: int, merged: int>>")
+    both = lambda m: F.zip_with(blocks, m, lambda x, y: F.struct(x.alias("block"), y["mark"].alias("mark"), y["blank_after"].alias("blank_after")))
+    wrong = F.raise_error(F.lit("the text and its map differ in their number of blocks")).cast("array<struct<block: string, mark: string, blank_after: int>>")
+    return T.let(parsed, lambda m: F.when(F.size(blocks) == F.size(m), both(m)).otherwise(wrong))
 
 
 def flattened(line):

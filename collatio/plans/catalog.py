@@ -57,9 +57,13 @@ PAIRS = "p AS (SELECT doc_id, o AS original, replace(replace(replace(o, ' the ',
 MARKS = ("• ", "- ", "  * ", "‣", "– ")
 
 
-def bulleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bulleted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("doc_id") % len(MARKS) + 1).cast("int"))
-    return segment.list_rows(table(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)).alias("text")), ["doc_id"])
+    return table(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark)).alias("text"))
+
+
+def bulleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.list_rows(bulleted_texts(spark, sf_dir), ["doc_id"])
 
 
 STRIP = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
@@ -79,13 +83,15 @@ r AS (SELECT *, trim(mark) <> '' AS bullet, sum(CASE WHEN trim(mark) <> '' AND l
 SELECT doc_id, CAST(run AS INTEGER) AS block_no, CASE WHEN first(bullet) THEN '' ELSE first(mark) END AS mark, string_agg(CASE WHEN NOT bullet OR regexp_matches(block, '[.!?…]\s*$') THEN block ELSE regexp_replace(block, '[ ;,]+$', '') || '.' END, ' ' ORDER BY block_no) AS block, max_by(blank_after, block_no) AS blank_after, CASE WHEN first(bullet) THEN CAST(count(*) AS INTEGER) END AS merged FROM r GROUP BY doc_id, run""".replace("lag(trim(mark) <> '', 1, false) OVER w AND lag(blank_after, 1, 1) OVER w = 0", "a AND b = 0").replace("AS a FROM rows_) WINDOW w AS (PARTITION BY doc_id ORDER BY block_no))", "AS a, lag(blank_after, 1, 1) OVER (PARTITION BY doc_id ORDER BY block_no) AS b FROM rows_))"))
 def merge_lists(spark, sf_dir):
     """Runs of bullets as one block."""
-    return segment.merged_lists(bulleted(spark, sf_dir), ["doc_id"])
+    blocks = segment.merged_blocks(segment.blocks_of(F.col("text")))
+    return T.rows_of(bulleted_texts(spark, sf_dir), ["doc_id"], blocks, "block_no", "x").select("doc_id", "block_no", "x.*")
 
 
 @query(f"WITH {BULLETS} SELECT doc_id, regexp_replace(string_agg(mark || block || CASE WHEN blank_after > 0 THEN chr(10) ELSE '' END, chr(10) ORDER BY block_no), '\\n+$', '') || chr(10) AS text FROM rows_ GROUP BY doc_id")
 def restore_lists(spark, sf_dir):
     """Blocks and bullets put together again."""
-    return segment.restored_lists(bulleted(spark, sf_dir), ["doc_id"])
+    rows = bulleted_texts(spark, sf_dir).select("doc_id", segment.blocks_of(F.col("text")).alias("blocks")).where(F.size("blocks") > 0)
+    return rows.select("doc_id", segment.restored_text(F.col("blocks")).alias("text"))
 
 
 @query(f"WITH {BULLETS} SELECT doc_id, coalesce(list_sort(list(block_no) FILTER (trim(mark) <> '')), []) AS bullets FROM rows_ GROUP BY doc_id")
@@ -95,9 +101,9 @@ def bullet_numbers(spark, sf_dir):
 
 @query(f"WITH {BULLETS} SELECT doc_id, block_no, block, mark, blank_after FROM rows_")
 def list_maps(spark, sf_dir):
-    """Lists' marks as JSON, read back and joined to their blocks."""
-    rows = bulleted(spark, sf_dir)
-    return segment.with_list_map(rows, segment.list_map(rows, ["doc_id"]), ["doc_id"])
+    """Lists' marks as JSON, read back and put to their blocks."""
+    again = T.let(segment.blocks_of(F.col("text")), lambda b: segment.with_map(F.transform(b, lambda x: x["block"]), segment.map_of(b)))
+    return T.rows_of(bulleted_texts(spark, sf_dir), ["doc_id"], again, "block_no", "x").select("doc_id", "block_no", "x.*")
 
 
 @query(rf"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_parts, CAST(len(regexp_extract_all(lower(text), '{W}+')) AS INTEGER) AS n_tokens, CAST(len(list_distinct(regexp_extract_all(lower(text), '{W}+'))) AS INTEGER) AS n_distinct FROM documents""")
@@ -137,8 +143,7 @@ n >= 5 AND NOT (n <= 12 AND (n < 5 OR regexp_matches(s, ':$') OR regexp_matches(
 def headings(spark, sf_dir):
     """The four heading rules and the prose rule, line by line."""
     rows = segment.rows_of(table(spark, sf_dir).select("doc_id", "text"), F.split("text", "\n"), "line_no", "line").drop("text")
-    x, p = F.col("line"), predicates
-    return rows.select("doc_id", "line_no", p.is_title(x).alias("title"), p.is_check_heading(x).alias("check_heading"), p.is_document_heading(x).alias("document_heading"), p.is_half_heading(x).alias("half_heading"), p.is_prose(x).alias("prose"))
+    return rows.select("doc_id", "line_no", predicates.line_kinds(F.col("line")).alias("k")).select("doc_id", "line_no", "k.*")
 
 
 def in_list(words) -> str:
@@ -398,8 +403,8 @@ REGISTRY["text_halves"] = REGISTRY["text_halves"][0], REGISTRY["text_halves"][1]
 @query()
 def check_phrases(spark, sf_dir):
     """The first new phrase of every half."""
-    both = halves.halves(pairs(spark, sf_dir), ["doc_id"], "version", 400).join(pairs(spark, sf_dir).select("doc_id", "original"), "doc_id")
-    return both.select("doc_id", "half_no", halves.check_phrase(F.col("half"), F.col("original")).alias("phrase"))
+    phrase = lambda h: F.struct(h["half_no"].alias("half_no"), halves.check_phrase(h["half"], F.col("original")).alias("phrase"))
+    return T.elements(pairs(spark, sf_dir), ["doc_id"], F.transform(halves.halves_of(F.col("version"), 400), phrase), "h").select("doc_id", "h.*")
 
 
 @query()
