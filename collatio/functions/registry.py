@@ -1,24 +1,36 @@
 """Functions and generators for SQL: register(spark) makes them known to a session by name.
 
-Scalar functions are the library's own columns or Arrow functions under a name. SQL can't call column functions of Python, so
-what is native in the DataFrame interface is offered as a SQL function too: `CREATE TEMPORARY FUNCTION` with a body where the body is
-short, a table function where a row gives several.
+What is native in the DataFrame interface is a SQL function with a body, so that the planner sees through it: folding, paragraphs and runs of
+words. What needs Python is an Arrow function under a name.
 """
 
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from collatio.functions.text import fold_text
+from collatio.functions.text import BLANK, BLANKS, WORD, accent_table
 from collatio.operators.overlap import RUN, bound_of, share_of
 from collatio.session import ship
 
-BREAK = re.compile(r"\n\s*\n")
+
+def literal(text: str) -> str:
+    """A string as SQL, its characters by number where they could be mistaken."""
+    return "'" + "".join(c if c.isalnum() else f"\\u{ord(c):04X}" for c in text) + "'"
+
+
+def bodies() -> dict[str, str]:
+    """Native functions by name: what stands behind it in CREATE FUNCTION."""
+    accented, plain = accent_table()
+    breaks, word = literal(f"\n[{BLANK}]*\n"), literal(f"[{WORD}]+")
+    return {
+        "fold": f"(text STRING) RETURNS STRING RETURN regexp_replace(translate(lower(text), {literal(accented)}, {literal(plain)}), {literal('[' + chr(92) + 'p{Mn}]+')}, '')",
+        "paragraphs": f"(text STRING) RETURNS TABLE(para_no INT, para STRING) RETURN SELECT pos + 1, col FROM posexplode(filter(transform(split(text, {breaks}), x -> btrim(x, {literal(BLANKS)})), x -> x <> ''))",
+        "word_runs": f"(text STRING, n INT) RETURNS TABLE(run_no INT, run STRING) RETURN SELECT pos + 1, col FROM posexplode(transform(array(regexp_extract_all(lower(text), {word}, 0)), w -> CASE WHEN size(w) >= n THEN transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')) ELSE array() END)[0])",
+    }
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -39,32 +51,15 @@ def register(spark: SparkSession) -> list[str]:
     def copied_bound(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([bound_of(x, y, RUN) for x, y in zip(a, b)], dtype="float64")
 
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fold_text(t))
-
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         ratio = lambda x, y: None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
         return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    @F.udtf(returnType="para_no int, para string")
-    class Paragraphs:
-        def eval(self, text: str):
-            found = (x.strip() for x in BREAK.split(text or ""))
-            yield from enumerate((x for x in found if x), 1)
-
-    @F.udtf(returnType="run_no int, run string")
-    class WordRuns:
-        def eval(self, text: str, n: int):
-            words = re.findall(r"\w+", (text or "").lower())
-            for i in range(len(words) - n + 1):
-                yield i + 1, " ".join(words[i : i + n])
-
-    scalar = {"copied_share": copied_share, "copied_bound": copied_bound, "fold": fold, "similarity": similarity}
-    tables = {"paragraphs": Paragraphs, "word_runs": WordRuns}
+    scalar = {"copied_share": copied_share, "copied_bound": copied_bound, "similarity": similarity}
     for name, f in scalar.items():
         spark.udf.register(name, f)
-    for name, f in tables.items():
-        spark.udtf.register(name, f)
-    return [*scalar, *tables]
+    native = bodies()
+    for name, body in native.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return [*scalar, *native]

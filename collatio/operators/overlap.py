@@ -146,10 +146,10 @@ def comparable(original: Column, version: Column) -> Column:
     return F.size(T.paragraphs(original)) == F.size(T.paragraphs(version))
 
 
-def shared_ngrams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text", n: int = RUN, most: int = 2_000_000) -> DataFrame:
+def shared_ngrams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text", n: int = RUN, most: int = 64 << 20) -> DataFrame:
     """(left_key, right_key, n_shared): pairs of texts with distinct n-grams in common (an extension). `right` should be the smaller side.
 
-    Runs of words are compared themselves, not by a hash alone. Where the right side has up to `most` of them, they are broadcast, so that the left side
+    Runs of words are compared themselves, not by a hash alone. Where those of the right side have up to `most` bytes, they are broadcast, so that the left side
     isn't shuffled and no frequent run is a hot key. Beyond that both sides are shuffled by run, and partitions that a frequent run makes too
     large are left to the planner to split. Pairs are counted inside a task before they are shuffled.
     """
@@ -157,7 +157,7 @@ def shared_ngrams(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     def grams(df: DataFrame, key: str) -> DataFrame:
         return T.elements(df, [key], F.array_distinct(T.ngrams(T.tokens(F.col(text)), n)), "g")
 
-    size = right.select(F.sum(F.greatest(F.size(T.tokens(F.col(text))) - (n - 1), F.lit(0))).alias("n")).first()["n"] or 0
+    size = n * (right.select(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)  # every word is in n of them at most
     known = grams(right, right_key)
     if size <= most:
         known = F.broadcast(known.groupBy("g").agg(F.collect_set(right_key).alias(right_key)))
