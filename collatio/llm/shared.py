@@ -8,12 +8,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager, suppress
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatio.functions.text import let
+from collatio.functions.text import running  # noqa: F401  (operators take it from here)
 from collatio.session import ship
 
 #: Bytes of text in one Arrow batch at most (a single longer row makes a batch of its own).
@@ -46,9 +47,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Lists of the folders that were made since they were opened.
+WATCHED: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The address of a folder of its own below shared_dir."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in WATCHED:
+        made.append(folder)
+    return folder
+
+
+@contextmanager
+def folders_made():
+    """The folders that operators make meanwhile, so that what nothing reads any more can be deleted."""
+    made: list[str] = []
+    WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        WATCHED[:] = [w for w in WATCHED if w is not made]
+
+
+def delete_folders(folders: list[str], but: str) -> None:
+    """Deletes folders of the shared folder, all but one; those that are gone are no error."""
+    for folder in folders:
+        if folder != but:
+            store, path = filesystem(folder)
+            with suppress(FileNotFoundError):
+                store.delete_dir(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -135,16 +163,6 @@ def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], rows: str, h
     return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
-def running(values: Column, op) -> Column:
-    """At each place of an array, op over all values up to it. Every pass doubles the reach, so there are log2(n) of them."""
-
-    def scan(v: Column) -> Column:
-        steps = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(v))).cast("int"), F.lit(0))), lambda k: F.pow(F.lit(2), k).cast("int"))
-        return F.aggregate(steps, v, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, op(F.get(acc, i - d), x)).otherwise(x)))
-
-    return let(values, scan)
-
-
 def ascii_lower_words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text whose A-Z are lower-cased, as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
