@@ -343,16 +343,19 @@ def eight_grams(tokens: str) -> str:
     return f"list_transform(generate_series(1, len({tokens}) - 7), lambda i: array_to_string({tokens}[i : i + 7], ' '))"
 
 
-def guards_sql() -> str:
-    """Every guard's rule on paragraphs side by side, by token lists, as DuckDB's patterns look neither ahead nor behind."""
+def guards_sql(source: str = PAIRS) -> str:
+    """Every guard's rule on paragraphs side by side, by token lists, as DuckDB's patterns look neither ahead nor behind. source: a table p of pairs."""
     side = lambda x: f"(SELECT doc_id, list_filter(list_transform(regexp_split_to_array({x}, '\\n\\s*\\n'), lambda y: {STRIP % 'y'}), lambda y: y <> '') AS l FROM p)"
     broken = lambda pattern: f"list_min(list_filter(regexp_extract_all(b, '{pattern}'), lambda x: NOT list_contains(regexp_extract_all(a, '{pattern}'), x)))"
+    mojibake, letter = r"[ÃÂ][\x{80}-\x{bf}]", r"[\p{L}\p{Nl}\p{No}]"
+    inside = lambda x: f"list_filter(regexp_extract_all({x}, '{W}+'), lambda w: regexp_full_match(w, '{letter}+\\d+{letter}+'))"
+    new_digit = f"list_min(list_filter({inside('b')}, lambda w: NOT list_contains({inside('a')}, w)))"
     entity, unquoted = r"&(?:[a-zA-Z]{2,8}|#\d{2,5});", """regexp_replace(a, '["“”«»]', '', 'g')"""
     density = lambda x: f"len(regexp_extract_all(lower({x}), '{ACCENTS}')) / greatest(1, len({SPLIT % x}))"
     forms = f"list_filter(list_concat([strip_accents(w)], list_transform(list_filter(generate_series(1, length(w)), lambda i: regexp_matches(w[i:i], '{ACCENTS}')), lambda i: w[1 : i - 1] || strip_accents(w[i:i]) || w[i + 1 :]), list_transform(list_filter(generate_series(1, length(w) - 1), lambda i: regexp_matches(w[i:i], '{ACCENTS}')), lambda i: w[1 : i - 1] || w[i + 1 :])), lambda x: x <> w)"
     vosotros = f"(?i){EDGE}((?:{lexicon.PENINSULAR.replace('[LETTERS]', '[{0}]').format(chr(92) + 'p{L}' + chr(92) + 'p{Nl}' + chr(92) + 'p{No}')}))(?:$|[^\\p{{L}}\\p{{N}}_])"
     return rf"""
-WITH {PAIRS}, z AS (SELECT doc_id, unnest(o.l) AS a, unnest(v.l) AS b, unnest(generate_series(1, len(o.l))) AS para_no FROM {side('original')} o JOIN {side('version')} v USING (doc_id) WHERE len(o.l) = len(v.l)),
+WITH {source}, z AS (SELECT doc_id, unnest(o.l) AS a, unnest(v.l) AS b, unnest(generate_series(1, len(o.l))) AS para_no FROM {side('original')} o JOIN {side('version')} v USING (doc_id) WHERE len(o.l) = len(v.l)),
 t AS (SELECT *, {TOKENS % 'a'} AS ta, {TOKENS % 'b'} AS tb, {TOKENS % 'strip_accents(a)'} AS fa, {TOKENS % 'strip_accents(b)'} AS fb, {LETTERS.replace('text', 'a')} AS la, {LETTERS.replace('text', 'b')} AS lb, {QUOTED % 'a'} AS qa, {QUOTED % 'b'} AS qb, {REFERRED % 'a'} AS ra, {REFERRED % 'b'} AS rb FROM z),
 n AS (SELECT *, {among_sql('la', lexicon.SPANISH)} AS oes, {among_sql('la', lexicon.ENGLISH)} AS oen, {among_sql('lb', lexicon.SPANISH)} AS ves, {among_sql('lb', lexicon.ENGLISH)} AS ven, {among_sql('fa', lexicon.NEGATIONS.split('|'))} AS neg, {among_sql('fb', lexicon.NEGATIONS.split('|'))} AS left_, {eight_grams('fa')} AS ga, {eight_grams('fb')} AS gb,
     list_sort(list_filter(list_distinct(ta), lambda w: length(w) >= 6 AND regexp_matches(w, '{ACCENTS}'))) AS long,
@@ -361,7 +364,7 @@ m AS (SELECT *, list_filter(list_transform(long, lambda w: list_min(list_filter(
     list_filter(names, lambda w: NOT list_contains(tb, lower(w)) AND list_contains(list_transform(tb, lambda x: strip_accents(x)), strip_accents(lower(w))))[1] AS bare,
     list_filter(gb, lambda g: len(list_filter(gb, lambda x: x = g)) >= 2 AND len(list_filter(gb, lambda x: x = g)) > len(list_filter(ga, lambda x: x = g)))[1] AS again FROM n)
 SELECT doc_id, CAST(para_no AS INTEGER) AS para_no,
-    CASE WHEN {broken(entity)} IS NOT NULL THEN '(broken characters: HTML entity ''' || {broken(entity)} || ''')' END AS encoding,
+    CASE WHEN {broken(mojibake)} IS NOT NULL THEN '(broken characters: mojibake ''' || {broken(mojibake)} || ''')' WHEN {broken(entity)} IS NOT NULL THEN '(broken characters: HTML entity ''' || {broken(entity)} || ''')' WHEN {new_digit} IS NOT NULL THEN '(broken characters: digit inside a word ''' || {new_digit} || ''')' END AS encoding,
     CASE WHEN len(list_filter(qa, lambda q: NOT contains({TIDY % 'b'}, {TIDY % 'q'}))) > 0 THEN '(quote changed)' WHEN len(list_filter(qb, lambda q: NOT contains({TIDY % unquoted}, {TIDY % 'q'}))) > 0 THEN '(invented quote)' WHEN len(list_filter(rb, lambda q: NOT list_contains(list_transform(ra, lambda r: {TIDY % 'r'}), {TIDY % 'q'}))) > 0 THEN '(invented reference)' END AS citation,
     CASE WHEN NOT regexp_matches(lower(a), '{ACCENTS}') THEN NULL WHEN regexp_matches(b, '[\p{{L}}\p{{Nl}}\p{{No}}]''[\p{{L}}\p{{Nl}}\p{{No}}]') AND NOT regexp_matches(a, '{W}''{W}') THEN '(broken accents)' WHEN eaten IS NOT NULL THEN '(accents lost: ' || eaten || ')'
         WHEN len(regexp_extract_all(lower(a), '{ACCENTS}')) >= 4 AND {density('a')} >= 0.05 AND {density('b')} < 0.4 * ({density('a')}) THEN '(accents lost)' END AS spelling,
@@ -379,6 +382,37 @@ def guard_messages(spark, sf_dir):
     return guards.with_guards(overlap.paired_paragraphs(pairs(spark, sf_dir), ["doc_id"]), "a", "b").drop("a", "b")
 
 
+#: What is put behind a text and its version, by document: an invented reference, a changed and an invented quotation, an accent read wrong, a digit in a word.
+DEFECTS = (("", " (see 12)"), (" “quoted words here now”", " “quoted words there now”"), ("", " “quoted words here now”"), (" cafÂ¡", " cafÃ© cafÂ¡ &amp;"), (" x1y", " ab1cd x1y"))
+
+
+def defective_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pairs, each with a defect at its end."""
+    end = lambda i: F.element_at(F.array(*[F.lit(d[i]) for d in DEFECTS]), (F.col("doc_id") % len(DEFECTS) + 1).cast("int"))
+    return pairs(spark, sf_dir).select("doc_id", F.concat("original", end(0)).alias("original"), F.concat("version", end(1)).alias("version"))
+
+
+DEFECTIVE = f"{PAIRS.replace('p AS (', 'p0 AS (', 1)}, p AS (SELECT doc_id, original || {[a for a, _ in DEFECTS]}[doc_id % {len(DEFECTS)} + 1] AS original, version || {[b for _, b in DEFECTS]}[doc_id % {len(DEFECTS)} + 1] AS version FROM p0)"
+
+
+@query(guards_sql(DEFECTIVE))
+def guard_defects(spark, sf_dir):
+    """Every guard on paragraphs of pairs with quotations, references, wrong encodings and digits in words."""
+    return guards.with_guards(overlap.paired_paragraphs(defective_pairs(spark, sf_dir), ["doc_id"]), "a", "b").drop("a", "b")
+
+
+EACH_GUARD = " UNION ALL ".join(f"SELECT doc_id, para_no, {i} AS i, {k} AS problem FROM g WHERE {k} IS NOT NULL" for i, k in enumerate(guards.GUARDS))
+
+
+@query(f"WITH g AS ({guards_sql(DEFECTIVE)}), f AS ({EACH_GUARD}) SELECT doc_id, problem, n_tries FROM (SELECT doc_id, problem, count(*) AS n_tries, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(para_no * 10 + i)) AS k FROM f GROUP BY doc_id, problem) WHERE k <= 2")
+def document_failures(spark, sf_dir):
+    """The two most common failures of every document's paragraphs."""
+    rows = guard_defects(spark, sf_dir)
+    each = F.array(*[F.struct(F.lit(i).alias("try"), F.col(k).alias("problem")) for i, k in enumerate(guards.GUARDS)])
+    tried = rows.select("doc_id", F.col("para_no").alias("round"), F.explode(each).alias("x")).select("doc_id", "round", "x.*").where("problem IS NOT NULL")
+    return candidates.common_failures(tried, ["doc_id"])
+
+
 @query()
 def guard_verdicts(spark, sf_dir):
     """The chain of guards on paragraphs of the derived pairs."""
@@ -562,6 +596,28 @@ def report_status(spark, sf_dir):
     return overall(fidelity_reports(spark, sf_dir))
 
 
+BOTH = " AND ".join(f"list_has_any({TOKENS % 'text'}, {[w, w + 's', w + 'es']})" for w in ("the", "of"))
+
+
+@query(f"SELECT count(*) AS n_pairs, count(*) FILTER (NOT ({BOTH})) AS n_failed, CAST(max(CASE WHEN {BOTH} THEN 0 ELSE 1 END) AS INTEGER) AS status FROM documents WHERE text IS NOT NULL AND len({TOKENS % 'text'}) > 20")
+def reversed_status(spark, sf_dir):
+    """Whether any report failed, where versions are their originals' words backwards: those that have both concepts pass, unless they are copied even so."""
+    texts = table(spark, sf_dir).where(F.col("text").isNotNull() & (F.size(T.tokens(F.col("text"))) > 20))
+    words = T.parts(F.col("text"))
+    rows = texts.select(F.col("doc_id").alias("pair_id"), F.array_join(words, " ").alias("original"), F.array_join(F.reverse(words), " ").alias("version"))
+    listed = spark.sql("SELECT * FROM VALUES ('the', array('the')), ('of', array('of')) AS c(name, variants)")
+    return overall(fidelity_report(rows, listed))
+
+
+@query(r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}]+'), lambda x: x <> '')[1:3] AS w FROM documents), i AS (SELECT doc_id, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^\p{Lu}(?:[^\p{Lu}]|$)') THEN lower(x[1:1]) || x[2:] ELSE x END) AS w FROM w WHERE len(w) = 3) SELECT doc_id, 'Goals ' || doc_id || ': ' || w[1] || ', ' || w[2] || ' y ' || w[3] || '.' AS line FROM i")
+def inline_lists(spark, sf_dir):
+    """The documents' first words as a list inside a line, flattened."""
+    w = F.slice(F.filter(F.split("text", r"[^\p{L}]+"), lambda x: x != ""), 1, 3)
+    line = lambda x: F.concat(F.lit("Goals "), F.col("doc_id").cast("string"), F.lit(": 1.- "), x[0], F.lit("; 2.- "), x[1], F.lit("; 3) "), x[2], F.lit("."))
+    rows = table(spark, sf_dir).select("doc_id", w.alias("w")).where(F.size("w") == 3)
+    return rows.select("doc_id", segment.flattened(line(F.col("w"))).alias("line"))
+
+
 def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): every document as an office document, a line a paragraph, every third line an item of a list."""
     ship(spark)
