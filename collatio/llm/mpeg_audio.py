@@ -139,27 +139,66 @@ def free_size(data: bytes, p: int, end: int, inner: bool = False) -> int:
     return 0
 
 
+def synchronised(body: bytes) -> bytes:
+    """Bytes without the zeros that keep them from looking like a frame."""
+    return body.replace(b"\xff\x00", b"\xff")
+
+
+def text_frame(body: bytes) -> list[str]:
+    """The strings of a text frame, by the encoding that its first byte names."""
+    code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
+    return body[1:].decode(code, "replace").split("\0")
+
+
 def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
-    """(bytes, text frames) of an ID3v2 tag in front."""
+    """(bytes, text frames by their names) of an ID3v2 tag in front, of version 2 to 4. Frames that are packed or enciphered are passed over."""
     if data[:3] != b"ID3" or len(data) < 10 or any(b & 0x80 for b in data[6:10]):
         return 0, {}
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    size = min(len(data), 10 + safe(data[6:10]) + (10 if data[5] & 0x10 else 0))
-    at, out, major = 10, {}, data[3]
-    if data[5] & 0x40 and major >= 3 and size >= 14:  # extended header
-        at += safe(data[10:14]) if major == 4 else 4 + int.from_bytes(data[10:14], "big")
-    while major >= 3 and at + 10 <= size and data[at] >= 0x41:
-        name, n = data[at : at + 4].decode("latin-1"), safe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(size, at + 10 + n)]
-        if name[0] == "T" and body:
-            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            text = body[1:].decode(code, "replace").split("\0")
-            key, value = (f"TXXX:{text[0]}", text[1] if len(text) > 1 else "") if name == "TXXX" else (name, text[0])
-            out[key] = value
-        at += 10 + n
+    major, flags, inner = data[3], data[5], safe(data[6:10])
+    size = min(len(data), 10 + inner + (10 if flags & 0x10 else 0))
+    body, out = data[10 : min(size, 10 + inner)], {}
+    if flags & 0x80 and major < 4:  # the whole tag; version 4 says so of each frame
+        body = synchronised(body)
+    at = 0
+    if flags & 0x40 and major >= 3 and len(body) >= 4:  # extended header
+        at = safe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big")
+    long = major >= 3
+    head, letters = (10, 4) if long else (6, 3)
+    while at + head <= len(body) and body[at] >= 0x41:
+        name, field = body[at : at + letters].decode("latin-1"), body[at + letters : at + 2 * letters]
+        n = safe(field) if major == 4 else int.from_bytes(field, "big")
+        kind = body[at + 9] if long else 0
+        value = body[at + head : at + head + n]
+        at += head + n
+        if kind & (0x0C if major == 4 else 0xC0):
+            continue
+        if major == 4:
+            value = value[4:] if kind & 0x01 else value
+            value = synchronised(value) if kind & 0x02 else value
+        if name[0] == "T" and value:
+            text = text_frame(value)
+            if name in ("TXXX", "TXX"):
+                out[f"{name}:{text[0]}"] = text[1] if len(text) > 1 else ""
+            else:
+                out[name] = text[0]
     return size, out
 
 
+def ape_items(items: bytes) -> dict[str, str]:
+    """The text items of an APEv2 tag."""
+    out, at = {}, 0
+    while at + 9 <= len(items):
+        n, flags = struct.unpack("<II", items[at : at + 8])
+        end = items.find(b"\0", at + 8)
+        if end < 0 or end + 1 + n > len(items):
+            break
+        if not flags >> 1 & 3:
+            out[f"ape:{items[at + 8 : end].decode('latin-1')}"] = items[end + 1 : end + 1 + n].decode("utf-8", "replace")
+        at = end + 1 + n
+    return out
+
+
 def trailer(data: bytes, start: int) -> tuple[int, dict[str, str]]:
     """(end of the audio, tags) with an ID3v1 tag and an APEv2 tag behind set apart."""
     end, out = len(data), {}
@@ -172,7 +211,8 @@ def trailer(data: bytes, start: int) -> tuple[int, dict[str, str]]:
         size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
         whole = size + (32 if flags >> 31 else 0)
         if whole <= end - start:
-            out["ape:bytes"], end = str(whole), end - whole
+            out |= ape_items(data[end - size : end - 32]) | {"ape:bytes": str(whole)}
+            end -= whole
     return end, out
 
 
@@ -338,7 +378,7 @@ def audio_features(media: Column | str) -> Column:
     return run.asNondeterministic()(media)
 
 
-READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, offsets array<long>"
 
 
 def read_back(media: Column | str) -> Column:
@@ -351,9 +391,10 @@ def read_back(media: Column | str) -> Column:
             for b in map(bytes, blobs):
                 p = parse(b)
                 payload, n = unpack(b, p)
+                length = p["n_samples"] * 1_000_000 // p["sample_rate"]
                 seek = hashlib.sha256(struct.pack(f"<{len(p['offsets'])}Q", *p["offsets"])).hexdigest()[:16]
-                feature = f"mpeg{p['version']} layer{p['layer']} {p['sample_rate']}Hz frames={p['n_frames']} samples={p['n_samples']} us={p['n_samples'] * 1_000_000 // p['sample_rate']} kbps={p['mean_kbps']:.3f} crc={p['n_checked'] - p['n_bad_crc']}/{p['n_checked']} {p['table']} seek={seek}"
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(b), hashlib.sha256(b).hexdigest(), feature))
+                feature = f"mpeg{p['version']} layer{p['layer']} {p['sample_rate']}Hz frames={p['n_frames']} samples={p['n_samples']} us={length} kbps={p['mean_kbps']:.3f} crc={p['n_checked'] - p['n_bad_crc']}/{p['n_checked']} {p['table']} seek={seek}"
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(b), hashlib.sha256(b).hexdigest(), feature, length, list(p["offsets"])))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
 
     return run.asNondeterministic()(media)

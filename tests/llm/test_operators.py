@@ -278,6 +278,31 @@ def frames(n, rate=9, version_byte=0xFB, start=0):
     return b"".join(four + bytes([start + i & 0x7F] * (size - 4)) for i in range(n)), size
 
 
+def id3(major, flags, frames):
+    n = len(frames)
+    return b"ID3" + bytes([major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + frames
+
+
+def test_tags_of_all_versions():
+    """Short frames, bytes kept from looking like frames, data lengths, packed frames; items of a tag behind."""
+    two = b"TT2\x00\x00\x06\x00title" + b"TXX\x00\x00\x04\x00a\x00b" + b"PIC\x00\x00\x02\x00\x00"
+    assert mpeg_audio.id3v2(id3(2, 0, two) + b"rest") == (10 + len(two), {"TT2": "title", "TXX:a": "b"})
+    wide = b"TIT2\x00\x00\x00\x05\x00\x00\x01\xff\xfeA\x00"
+    hidden = wide.replace(b"\xff", b"\xff\x00")
+    assert mpeg_audio.id3v2(id3(3, 0x80, hidden))[1] == {"TIT2": "A"} == mpeg_audio.id3v2(id3(3, 0, wide))[1]
+    packed = b"TIT1\x00\x00\x00\x02\x00\x80zz"
+    assert mpeg_audio.id3v2(id3(3, 0, packed + wide))[1] == {"TIT2": "A"}
+    four = b"TIT2\x00\x00\x00\x0a\x00\x03\x00\x00\x00\x05\x01\xff\x00\xfeA\x00" + b"TPE1\x00\x00\x00\x03\x00\x00\x03\xc3\xa9"
+    assert mpeg_audio.id3v2(id3(4, 0x80, four))[1] == {"TIT2": "A", "TPE1": "é"}
+    items = b"\x05\x00\x00\x00\x00\x00\x00\x00Title\x00s\xc3\xb6ng" + b"\x01\x00\x00\x00\x02\x00\x00\x00Cover\x00\xff"
+    foot = lambda n, f: b"APETAGEX" + (2000).to_bytes(4, "little") + n.to_bytes(4, "little") + (2).to_bytes(4, "little") + f.to_bytes(4, "little") + bytes(8)
+    tag = foot(len(items) + 32, 0xA0000000) + items + foot(len(items) + 32, 0x80000000)
+    assert mpeg_audio.trailer(b"audio" + tag, 0) == (5, {"ape:Title": "söng", "ape:bytes": str(len(tag))})
+    for cut in range(len(tag)):  # broken tags are no error
+        mpeg_audio.trailer(tag[cut:], 0)
+        mpeg_audio.id3v2(id3(4, 0xC0, four)[: cut + 3])
+
+
 def test_parser_resynchronises_and_reads_tags_and_tables():
     audio, size = frames(10)
     plain = mpeg_audio.parse(audio)
