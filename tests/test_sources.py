@@ -148,3 +148,28 @@ def test_streams(spark, tmp_path):
     assert got == {"p1": "(switched to English)", "p2": None}
     counts = watch.counts_by_window(spark.createDataFrame([(at, "el uno de la"), (at, "the one of")], "at timestamp, text string"))
     assert {(r["lang"], r["n_words"]) for r in counts.collect()} == {("es", 4), ("en", 3)}
+
+
+def test_halves_with_phrases_are_stored_as_lines(spark, tmp_path):
+    """The halves of texts and their check phrases, written as one table of JSON lines and read again."""
+    from collatio.operators import halves
+
+    body = "\n\n".join(" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6))
+    rows = spark.createDataFrame([(1, body, "other words"), (2, "short", "short"), (3, None, None)], "doc_id int, text string, original string")
+    phrase = lambda h: F.struct(h["half_no"].alias("half_no"), h["half"].alias("half"), halves.check_phrase(h["half"], F.col("original")).alias("phrase"))
+    found = rows.select("doc_id", F.explode(F.transform(halves.halves_of(F.col("text"), 100), phrase)).alias("h")).select("doc_id", "h.*")
+    texts.write_halves(found, str(tmp_path / "halves"))
+    got = {(r["doc_id"], r["half_no"]): r for r in spark.read.schema("doc_id int, half_no int, half string, phrase string").json(str(tmp_path / "halves")).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1)} and got[1, 1]["half"].split() + got[1, 2]["half"].split() == body.split()
+    assert got[1, 2]["phrase"] == " ".join(f"w3x{k}" for k in range(7)) and got[2, 1]["phrase"] is None
+
+
+def test_measured_files(spark, tmp_path):
+    """Digests and lengths of files as they are, of texts in any encoding too."""
+    import hashlib
+
+    data = {"a.txt": "é\n".encode(), "b.bin": bytes(range(256)), "empty": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["length"], r["sha256"]) for r in texts.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in data.items()}
