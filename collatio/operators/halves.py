@@ -16,7 +16,7 @@ def halves_of(text: Column, max_words: int = 1400) -> Column:
 
     A text of up to max_words words, or of one paragraph, is one half. Others are cut before the heading nearest to the
     middle if one lies within 15 % of it, else before the nearest paragraph; a cut moves up past headings, so that no half
-    ends with one. The first of equally near places wins. Texts without paragraphs have none.
+    ends with one. The first of equally near places wins. Texts without paragraphs have none; null gives null.
     """
     joined = lambda ps: F.concat(F.array_join(ps, "\n\n"), F.lit("\n"))
     half = lambda no, ps, n: F.struct(F.lit(no).alias("half_no"), joined(ps).alias("half"), n.cast("long").alias("n_words"))
@@ -44,7 +44,7 @@ def halves_of(text: Column, max_words: int = 1400) -> Column:
     def parts(m: Column) -> Column:
         total = F.element_at(m["so_far"], -1)
         one = F.array(half(1, m["ps"], total))
-        return F.when(F.size(m["ps"]) == 0, F.array().cast(HALVES)).when((total <= max_words) | (F.size(m["ps"]) < 2), one).otherwise(two(m))
+        return F.when(m["ps"].isNull(), F.lit(None).cast(HALVES)).when(F.size(m["ps"]) == 0, F.array().cast(HALVES)).when((total <= max_words) | (F.size(m["ps"]) < 2), one).otherwise(two(m))
 
     def counted(ps: Column) -> Column:
         words = F.transform(ps, T.n_parts)

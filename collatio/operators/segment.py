@@ -75,8 +75,9 @@ def merged_blocks(blocks: Column) -> Column:
 
         return T.let(starts, lambda s: F.transform(s, lambda at, k: run(at, F.coalesce(F.get(s, k + 1), F.size(b)))))
 
-    none = F.array().cast("array<struct<mark: string, block: string, blank_after: int, merged: int>>")
-    return T.let(blocks, lambda b: F.when(F.size(b) > 0, merged(b)).otherwise(none))
+    none_kind = "array<struct<mark: string, block: string, blank_after: int, merged: int>>"
+    none = F.array().cast(none_kind)
+    return T.let(blocks, lambda b: F.when(b.isNull(), F.lit(None).cast(none_kind)).when(F.size(b) > 0, merged(b)).otherwise(none))
 
 
 def restored_text(blocks: Column) -> Column:
@@ -91,11 +92,13 @@ def map_of(blocks: Column) -> Column:
 
 
 def with_map(blocks: Column, stored: Column) -> Column:
-    """(block, mark, blank_after) of edited blocks (texts, in order) and a stored map of theirs, in their own row; an error where their numbers differ."""
+    """(block, mark, blank_after) of edited blocks (texts, in order) and a stored map of theirs, in their own row; an error where their numbers differ, null where one is null."""
+    kind = "array<struct<block: string, mark: string, blank_after: int>>"
     parsed = F.from_json(stored, "array<struct<mark: string, blank_after: int, merged: int>>")
     both = lambda m: F.zip_with(blocks, m, lambda x, y: F.struct(x.alias("block"), y["mark"].alias("mark"), y["blank_after"].alias("blank_after")))
-    wrong = F.raise_error(F.lit("the text and its map differ in their number of blocks")).cast("array<struct<block: string, mark: string, blank_after: int>>")
-    return T.let(parsed, lambda m: F.when(F.size(blocks) == F.size(m), both(m)).otherwise(wrong))
+    wrong = F.raise_error(F.lit("the text and its map differ in their number of blocks")).cast(kind)
+    null = F.lit(None).cast(kind)
+    return T.let(parsed, lambda m: F.when(blocks.isNull() | m.isNull(), null).when(F.size(blocks) == F.size(m), both(m)).otherwise(wrong))
 
 
 def flattened(line):

@@ -104,7 +104,7 @@ def write_halves(halves: DataFrame, path: str) -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
+    """(path, length, sha256) of files; empty files, which have no part to read, are left out."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

@@ -266,3 +266,20 @@ def test_options_reach_the_generator(spark):
     paras = spark.createDataFrame([(1, "Uno es el primero de todos los que hay.")], "k int, para string")
     text = candidates.generated(candidates.requests(paras, 0, 1), seen, candidates.ANTI_COPY_OPTIONS).first()["text"]
     assert text == "Uno es dry_allowed_length=2,dry_base=1.75,dry_multiplier=0.8,limit=127,min_p=0.08,temperature=1.0,top_p=0.95"
+
+
+def test_row_local_lists_equal_tables_of_blocks(spark):
+    """Lists in their own row as over tables of blocks, with nulls, texts without lines and maps that don't fit."""
+    texts = ["a\n\n• b\n• c.\n\n- d\nEnd: 1.- Uno; 2.- Dos\n", "• x\n\n\n• y", "", "\n \n", None, "- only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = segment.list_rows(df, ["k"])
+    blocks = segment.blocks_of(F.col("text"))
+    merged = text.rows_of(df, ["k"], segment.merged_blocks(blocks), "block_no", "x").select("k", "block_no", "x.*")
+    assert sorted(map(str, merged.collect())) == sorted(map(str, segment.merged_lists(rows, ["k"]).select(*merged.columns).collect()))
+    again = {r["k"]: r["t"] for r in df.select("k", segment.restored_text(blocks).alias("t")).collect()}
+    assert {k: t for k, t in again.items() if t not in (None, "\n")} == {r["k"]: r["text"] for r in segment.restored_lists(rows, ["k"]).collect()}
+    lines = F.transform(blocks, lambda x: x["block"])
+    put = df.select("k", segment.with_map(lines, segment.map_of(blocks)).alias("x")).collect()
+    assert [r["x"] is None for r in put] == [t is None for t in texts]
+    with pytest.raises(Exception, match="differ in their number"):
+        df.where("k = 0").select(segment.with_map(F.slice(lines, 1, 1), segment.map_of(blocks))).collect()
