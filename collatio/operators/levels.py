@@ -36,10 +36,10 @@ def estimates(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.select(*by, F.hll_sketch_estimate("distinct").alias("n_distinct"))
 
 
-def shared_estimates(sketches: DataFrame, by: str) -> DataFrame:
-    """(a, b, n_shared): distinct values that two groups have in common, for all pairs of groups; groups are sources or days, not documents."""
+def shared_estimates(sketches: DataFrame, by: str, pairs: DataFrame) -> DataFrame:
+    """(a, b, n_shared): distinct values that two groups have in common, for the given pairs (a, b) of groups."""
     a, b = sketches.select(F.col(by).alias("a"), F.col("members").alias("x")), sketches.select(F.col(by).alias("b"), F.col("members").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.theta_sketch_estimate(F.theta_intersection("x", "y")).alias("n_shared"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", F.theta_sketch_estimate(F.theta_intersection("x", "y")).alias("n_shared"))
 
 
 def chance(key: Column, seed: str) -> Column:

@@ -90,7 +90,7 @@ def test_sketches_merge_within_their_error(spark):
     for r in levels.estimates(merged, ["g"]).collect():
         assert abs(r["n_distinct"] / exact[r["g"]] - 1) < 4 * 1.04 / 2 ** (levels.DISTINCT_BITS / 2)
     shared = df.where("g = 'a'").select("v").distinct().join(df.where("g = 'b'").select("v").distinct(), "v").count()
-    (pair,) = levels.shared_estimates(merged, "g").collect()
+    (pair,) = levels.shared_estimates(merged, "g", spark.createDataFrame([("a", "b")], "a string, b string")).collect()
     assert (pair["a"], pair["b"]) == ("a", "b") and abs(pair["n_shared"] - shared) < 4 * (exact["a"] + exact["b"]) / 2 ** (levels.SHARED_BITS / 2)
 
 
