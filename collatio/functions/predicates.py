@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from . import lexicon
 from .text import BLANK, LETTER, among, found, let, n_parts, strip
 
+# A numbered heading and what it says, a stop inside a line, how headings of office documents begin.
 NUMBERED = rf"^\p{{Nd}}+(?:\.\p{{Nd}}+)*+(?:\.-?|\))[{BLANK}]+(.+)$"
 INNER_STOP = f"[.!?…][{BLANK}]"
 DOCUMENT_HEADING = rf"(?i)^(\p{{Nd}}+[.)][{BLANK}]|acci[oó]n[{BLANK}]+\p{{Nd}}+[.:]|anexo(?![\p{{L}}\p{{N}}_]))"
+# End of fixed values.
 
 
 def line_facts(p: Column) -> dict[str, Column]:

@@ -143,9 +143,10 @@ def lines(text: Column) -> Column:
     return let(cut, lambda c: F.when(F.element_at(c, -1) == "", F.slice(c, 1, F.size(c) - 1)).otherwise(c))
 
 
-#: A capital or an opening mark, as sentences begin with.
+# A capital or an opening mark, as sentences begin with; a list number alone or after one capitalised word.
 BEGIN = "A-ZÁÉÍÓÚÑ¿¡"
 LIST_NUMBER = r"^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñü]+[%s]+)?\p{Nd}+(?:\.\p{Nd}+)*+\.$" % BLANK
+# End of fixed values.
 
 
 def is_list_number(text: Column) -> Column:
@@ -170,8 +171,10 @@ def ends_with(text: Column, marks: str) -> Column:
     return F.substring(rstrip(text), -1, 1).isin(*marks)
 
 
+# Quotations of twelve characters or more, brackets with a number or roman digits.
 QUOTE = '["“«]([^"”»]{12,})["”»]'
 REFERENCE = r"(?i)\(([^()]*(?<![%s])(?:[ivxlc]+|\p{Nd}+)(?![%s])[^()]*)\)" % (WORD, WORD)
+# End of fixed values.
 
 
 def quotes(text: Column) -> Column:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from collatio.functions import text as T
 
+# A bullet in front of a line, an item of a list inside a line.
 MARK = f"^([{T.BLANK}]*(?:[•●◦▪▫·‣⁃∙*]|[-–—](?=[{T.BLANK}]))[{T.BLANK}]*)"
 INLINE_ITEM = rf"(?:(?<=[:;])|^)[{T.BLANK}]*\p{{Nd}}+(?:\.-|\.|\)|-)[{T.BLANK}]+"
+# End of fixed values.
 
 
 def rows_of(df: DataFrame, array, number: str, value: str) -> DataFrame:
