@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatio.functions import text as T
+from collatio.session import ship
 
 #: Parts of a stratum that are ranked apart before its first rows meet.
 PARTS = 64
@@ -70,13 +76,85 @@ def gram_rows(df: DataFrame, key: list[str], text: str, n: int) -> DataFrame:
     return T.elements(df, key, T.ngrams(T.tokens(F.col(text)), n), "gram")
 
 
+def keys_apart(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """df's rows whose key no other row has, and the others; None if there are none, and then nothing but the keys has been read."""
+    many = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"__{k}") for k in key])
+    if many.isEmpty():
+        return df, None
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    return df.join(many, same, "left_anti"), df.join(many, same, "left_semi")
+
+
+def grams_of(words: str, n: int) -> Counter:
+    """How often a text of words with blanks between says each n of them in a row."""
+    w = words.split(" ") if words else []
+    return Counter(zip(*[w[i:] for i in range(n)]))
+
+
+def counted(text: Column, n: int, other: Column | None = None) -> Column:
+    """(gram, n), both arrays: n-grams that a text says twice or more or, with another text, more often than that one."""
+
+    alone = other is None
+
+    @F.pandas_udf("gram array<string>, n array<long>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        if alone:
+            found = [{g: k for g, k in grams_of(x, n).items() if k > 1} for x in a]
+        else:
+            found = [grams_of(x, n) - grams_of(y, n) for x, y in zip(a, b)]
+        return pd.DataFrame({"gram": [[" ".join(g) for g in c] for c in found], "n": [list(c.values()) for c in found]})
+
+    return run.asNondeterministic()(text, F.lit("") if alone else other)
+
+
+def in_both(text: Column, other: Column, n: int) -> Column:
+    """How many n-grams two texts have in common, each as often as both say it."""
+
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sum((grams_of(x, n) & grams_of(y, n)).values()) for x, y in zip(a, b)], dtype="int64")
+
+    return run.asNondeterministic()(text, other)
+
+
+def word_line(text: str) -> Column:
+    """A text's words, as native operators know them, with blanks between; empty for null."""
+    return F.coalesce(F.array_join(T.tokens(F.col(text)), " "), F.lit(""))
+
+
+def gram_counts(rows: DataFrame, key: list[str], found: Column, into: str) -> DataFrame:
+    listed = rows.select(*key, found.alias("x")).select(*key, F.arrays_zip(F.col("x.gram").alias("gram"), F.col("x.n").alias(into)).alias("x"))
+    return T.elements(listed, key, F.col("x"), "g").select(*key, "g.gram", f"g.{into}")
+
+
+def said_repeatedly(df: DataFrame, key: list[str], text: str = "text", n: int = 8) -> DataFrame:
+    """(key, gram, n): n-grams that the texts of a key say more than once. A text is counted in its own row; only texts of keys that several rows have are shuffled, as n-grams."""
+    ship(df.sparkSession)
+    one, more = keys_apart(df.select(*key, text), key)
+    out = gram_counts(one, key, counted(word_line(text), n), "n")
+    if more is None:
+        return out
+    return out.unionAll(gram_rows(more, key, text, n).groupBy(*key, "gram").agg(F.count("*").alias("n")).where("n > 1"))
+
+
 def said_more_often(pairs: DataFrame, key: list[str], original: str = "original", version: str = "version", n: int = 4) -> DataFrame:
-    """(key, gram, n_more): n-grams that a version says more often than its original, as a difference of multisets. Equal rows are combined in each task before they are shuffled."""
-    more = gram_rows(pairs, key, version, n).exceptAll(gram_rows(pairs, key, original, n))
-    return more.groupBy(*key, "gram").agg(F.count("*").alias("n_more"))
+    """(key, gram, n_more): n-grams that a version says more often than its original, as a difference of multisets. A pair is compared in its own row; only
+    pairs of keys that several rows have are shuffled, as n-grams."""
+    ship(pairs.sparkSession)
+    one, more = keys_apart(pairs.select(*key, original, version), key)
+    out = gram_counts(one, key, counted(word_line(version), n, word_line(original)), "n_more")
+    if more is None:
+        return out
+    rest = gram_rows(more, key, version, n).exceptAll(gram_rows(more, key, original, n))
+    return out.unionAll(rest.groupBy(*key, "gram").agg(F.count("*").alias("n_more")))
 
 
 def said_in_both(pairs: DataFrame, key: list[str], original: str = "original", version: str = "version", n: int = 4) -> DataFrame:
-    """(key, n_both): how many n-grams a version and its original have in common, each as often as both say it."""
-    both = gram_rows(pairs, key, version, n).intersectAll(gram_rows(pairs, key, original, n))
-    return both.groupBy(*key).agg(F.count("*").alias("n_both"))
+    """(key, n_both): how many n-grams a version and its original have in common, each as often as both say it. Rows as in said_more_often."""
+    ship(pairs.sparkSession)
+    one, more = keys_apart(pairs.select(*key, original, version), key)
+    out = one.select(*key, in_both(word_line(version), word_line(original), n).alias("n_both")).where("n_both > 0")
+    if more is None:
+        return out
+    rest = gram_rows(more, key, version, n).intersectAll(gram_rows(more, key, original, n))
+    return out.unionAll(rest.groupBy(*key).agg(F.count("*").alias("n_both")))

@@ -109,3 +109,33 @@ def test_multisets(spark):
     df = spark.createDataFrame([(1, "a b c d a b c d", "a b c d a b c d a b c d"), (2, None, "x y z w"), (3, "x y z w", None)], "k int, original string, version string")
     assert {(r["k"], r["gram"]): r["n_more"] for r in levels.said_more_often(df, ["k"]).collect()} == {(1, "a b c d"): 1, (1, "b c d a"): 1, (1, "c d a b"): 1, (1, "d a b c"): 1, (2, "x y z w"): 1}
     assert [tuple(r) for r in levels.said_in_both(df, ["k"]).collect()] == [(1, 5)]
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_multisets_of_keys_of_one_row_are_not_shuffled(spark):
+    rows = [(1, "a b c d a b c d", "a b c d a b c d a b c d"), (None, "", "x y z w x y z w x"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, original string, version string")
+    for made in (levels.said_more_often(df, ["k"]), levels.said_in_both(df, ["k"]), levels.said_repeatedly(df, ["k"], "version", 4)):
+        assert "Exchange" not in planned(made)
+
+
+def test_multisets_equal_plain_statements_whatever_keys_repeat(spark):
+    r = random.Random(7)
+    text = lambda: r.choice((None, "", " ".join(r.choice("abc") for _ in range(r.randrange(30)))))
+    rows = [(r.choice((None, k, 1, k)), text(), text()) for k in range(40)]
+    df = spark.createDataFrame(rows, "k int, original string, version string")
+
+    def grams(i: int, n: int) -> Counter:
+        return Counter((row[0], " ".join(w[j : j + n])) for row in rows if row[i] is not None for w in [row[i].split()] for j in range(len(w) - n + 1))
+
+    got = lambda made: Counter(map(tuple, made.collect()))
+    had, have = grams(1, 4), grams(2, 4)
+    assert got(levels.said_more_often(df, ["k"])) == Counter((*g, n) for g, n in (have - had).items())
+    both = Counter()
+    for (k, _), n in (have & had).items():
+        both[k] += n
+    assert got(levels.said_in_both(df, ["k"])) == Counter(both.items())
+    assert got(levels.said_repeatedly(df, ["k"], "version", 3)) == Counter((*g, n) for g, n in grams(2, 3).items() if n > 1)
