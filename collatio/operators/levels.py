@@ -48,6 +48,32 @@ def shared_estimates(sketches: DataFrame, by: str, pairs: DataFrame) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", F.theta_sketch_estimate(F.theta_intersection("x", "y")).alias("n_shared"))
 
 
+#: Groups that are bits of one number.
+BITS = 62
+
+
+def values_in_common(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(a, b, n_shared): distinct values that two groups have in common, counted exactly, for all pairs of groups (a < b) that have any.
+
+    Up to BITS groups are bits of one number, so that a value is shuffled once, with its number, whatever groups have it; more groups are sets. Groups of a value
+    are few, so that pairs are made of sets of groups, each with its number of values.
+    """
+    rows = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
+    names = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().limit(BITS + 1).collect()]
+    if len(names) > BITS:
+        sets = rows.select(by, value).distinct().groupBy(value).agg(F.array_sort(F.collect_set(by)).alias("s")).where(F.size("s") > 1).groupBy("s").agg(F.count("*").alias("n"))
+    elif not names:
+        return df.select(F.col(by).alias("a"), F.col(by).alias("b"), F.lit(0).cast("long").alias("n_shared")).limit(0)
+    else:
+        listed = F.array(*map(F.lit, names))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(listed, F.col(by)) - 1).cast("int"))
+        masks = rows.select(value, bit.alias("m")).groupBy(value).agg(F.bit_or("m").alias("m")).where(F.bit_count("m") > 1).groupBy("m").agg(F.count("*").alias("n"))
+        has = lambda x, i: F.call_function("shiftright", F.col("m"), i).bitwiseAND(F.lit(1)) == 1
+        sets = masks.select(F.filter(listed, has).alias("s"), "n")
+    both = sets.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b")
+    return both.groupBy("a", "b").agg(F.sum("n").alias("n_shared"))
+
+
 def chance(key: Column, seed: str) -> Column:
     """A number above 0 and up to 1 that a row's key and a seed fix."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))

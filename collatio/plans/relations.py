@@ -107,10 +107,7 @@ def shared_sources(spark, sf_dir):
     stored = levels.stored_sketches(grams.withColumn("part", F.col("doc_id") % 7), ["source", "part"], "g")
     merged = levels.merged_sketches(stored, ["source"])
     sizes = levels.estimates(merged, ["source"])
-    own = grams.select("source", "g").distinct()
-    # sources of an n-gram are few, so that pairs are made of sets of sources, each with its number of n-grams
-    sets = own.groupBy("g").agg(F.array_sort(F.collect_set("source")).alias("s")).where(F.size("s") > 1).groupBy("s").agg(F.count("*").alias("n"))
-    both = sets.select("n", F.explode("s").alias("a"), "s").select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("n_shared"))
+    both = levels.values_in_common(grams, "source", "g")
     near = levels.shared_estimates(merged, "source", both.select("a", "b"))
     out = both.join(near.withColumnRenamed("n_shared", "guess"), ["a", "b"])
     out = out.join(sizes.select(F.col("source").alias("a"), F.col("n_distinct").alias("na")), "a").join(sizes.select(F.col("source").alias("b"), F.col("n_distinct").alias("nb")), "b")

@@ -139,3 +139,20 @@ def test_multisets_equal_plain_statements_whatever_keys_repeat(spark):
         both[k] += n
     assert got(levels.said_in_both(df, ["k"])) == Counter(both.items())
     assert got(levels.said_repeatedly(df, ["k"], "version", 3)) == Counter((*g, n) for g, n in grams(2, 3).items() if n > 1)
+
+
+@pytest.mark.parametrize("groups", [0, 1, 5, 62, 70])
+def test_values_in_common_equal_a_plain_statement(spark, groups):
+    """Groups as bits of a number and, beyond it, as sets; a value is shuffled once as bits."""
+    r = random.Random(groups)
+    rows = [(None if k % 9 == 0 else f"s{k % groups}", None if k % 11 == 0 else r.randrange(40)) for k in range(400 if groups else 0)]
+    df = spark.createDataFrame(rows, "s string, v long")
+    made = levels.values_in_common(df, "s", "v")
+    own = {}
+    for s, v in rows:
+        if s is not None and v is not None:
+            own.setdefault(s, set()).add(v)
+    want = {(a, b, n) for a in own for b in own if a < b and (n := len(own[a] & own[b]))}
+    assert Counter(map(tuple, made.collect())) == Counter(want)
+    if groups == 5:
+        assert planned(levels.values_in_common(df, "s", "v")).count("hashpartitioning(v") == 1
