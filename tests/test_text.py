@@ -283,3 +283,14 @@ def test_row_local_lists_equal_tables_of_blocks(spark):
     assert [r["x"] is None for r in put] == [t is None for t in texts]
     with pytest.raises(Exception, match="differ in their number"):
         df.where("k = 0").select(segment.with_map(F.slice(lines, 1, 1), segment.map_of(blocks))).collect()
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    """Whatever was set before, operators that ship the package bound what gathers in a Python worker."""
+    from collatio.session import BATCH_BYTES, BATCH_ROWS, ship
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == BATCH_BYTES == "8m"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == BATCH_ROWS == "4000"
