@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .shared import SENT, Ranges, bound_batches, components, discard, filesystem, join_hot, map_file, new_folder, put_file, settle
+from .shared import SENT, Ranges, bound_batches, components, discard, drop_shuffles, filesystem, join_hot, map_file, new_folder, place, put_file, settle, standing
 from .simhash import SEED, shingle_hashes
 
 #: Bits by which fingerprints of the first pass may differ.
@@ -84,11 +84,12 @@ def common_shingles(texts: DataFrame, n: int, width: int) -> tuple[np.ndarray, l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for node, text in zip(b["node"], b["text"]):
-                yield pd.DataFrame({"node": node, "h": shingle_set(text, width).view(np.int64)})
+            for text in b["text"]:
+                s = shingle_set(text, width)
+                yield pd.DataFrame({"node": node_of(s), "h": s.view(np.int64)})
 
     step = max(1, n // SAMPLE)
-    some = texts.where(F.pmod("node", F.lit(step)) == 0)
+    some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
     counts = some.mapInPandas(run, "node long, h long").distinct().groupBy("h").count().where("count >= 3")
     top = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64), [r["h"] for r in top if r["count"] * step > BLOCK]
@@ -112,19 +113,17 @@ def ranked(common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(width: int, share: float, common: np.ndarray):
-    """Function over (node, text): a row (h, node, size) for each shingle of a node's prefix."""
+    """Function over texts: a row (h, node, size) for each shingle of a node's prefix."""
     known = ranked(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # copies meet later too; this spares most of their rows
         for b in batches:
             out, node, size = [], [], []
-            for k, text in zip(b["node"], b["text"]):
-                if k in seen:
-                    continue
-                seen.add(k)
+            for text in b["text"]:
                 s = shingle_set(text, width)
-                if len(s):
+                if len(s) and (k := node_of(s)) not in seen:
+                    seen.add(k)
                     out.append(prefix(s, share, known))
                     node.append(k)
                     size.append(len(s))
@@ -179,18 +178,17 @@ def buckets(share: float):
 
 
 def stored_sets(width: int, folder: str):
-    """Function over (node, text): writes sets to files of the folder; (node, file, start, size) of each."""
+    """Function over texts: writes sets to files of the folder; (node, file, start, size) of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b.drop_duplicates("node")
             if not len(b):
                 continue
             sets = [shingle_set(t, width) for t in b["text"]]
             name = uuid.uuid4().hex
             put_file(f"{folder}/{name}", np.concatenate(sets).astype("<u8").tobytes())
             size = np.array([len(x) for x in sets], np.int64)
-            yield pd.DataFrame({"node": b["node"].to_numpy(), "file": name, "start": np.cumsum(size) - size, "size": size})
+            yield pd.DataFrame({"node": np.array([node_of(x) for x in sets], np.int64), "file": name, "start": np.cumsum(size) - size, "size": size})
 
     return run
 
@@ -388,7 +386,7 @@ def by_size(df: DataFrame) -> DataFrame:
 
 
 def small_buckets(rows: DataFrame, share: float, folder: str, common: np.ndarray) -> DataFrame:
-    """BUCKET rows cut into buckets that one task can hold and compare; links of unconnected members are all inside one."""
+    """BUCKET rows cut into buckets that one task can hold and compare; links of unconnected members are all inside one. rows are of settle, and deleted."""
     done, before = None, None
     for depth in range(1, DEEP + 1):
         parts = rows.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
@@ -398,6 +396,8 @@ def small_buckets(rows: DataFrame, share: float, folder: str, common: np.ndarray
         work = parts.where(F.col("labels") > LARGE).agg(F.max("labels")).first()[0]
         # a division that leaves the largest bucket as it is would only repeat its rows
         last = work is None or depth == DEEP or (before is not None and work > 0.9 * before)
+        discard(rows, parts)
+        drop_shuffles(joined.sparkSession)
         fine = joined if last else joined.where(F.col("labels") <= LARGE)
         done = fine if done is None else done.unionAll(fine)
         if last:
@@ -411,10 +411,10 @@ def small_buckets(rows: DataFrame, share: float, folder: str, common: np.ndarray
     return one.unionAll(own.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "node", "size", "label", "file", "start"))
 
 
-def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
-    """Links (u, v), stored, that connect all nodes of (node, text, fp) which links connect. n: about how many nodes there are."""
-    common, hot = common_shingles(texts.select("node", "text"), n, width)
-    rows = texts.select("node", "text").mapInPandas(prefixes(width, share, common), "h long, node long, size long")
+def links(texts: DataFrame, prints: DataFrame, n: int, width: int, share: float) -> DataFrame:
+    """Links (u, v), stored, that connect all nodes of the texts (id, text) which links connect. prints: (id, node, fp) of texts with words, stored; n: about how many nodes there are."""
+    common, hot = common_shingles(texts, n, width)
+    rows = texts.select("text").mapInPandas(prefixes(width, share, common), "h long, node long, size long")
     if hot:  # the members of these buckets are not one task's; they have rows of fitting sizes
         rows = settle(rows)
         busy = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
@@ -422,45 +422,52 @@ def links(texts: DataFrame, n: int, width: int, share: float) -> DataFrame:
     else:
         close = by_size(rows).mapInPandas(buckets(share), "h long, node long, size long")
     close = settle(close)
-    wanted = settle(close.select("node").distinct())
-    some = texts.join(F.broadcast(wanted), "node") if wanted.count() <= SENT else texts.where(Listed(wanted.select(F.col("node").alias("id"))).has("node"))
+    if hot:
+        discard(rows)
+    drop_shuffles(texts.sparkSession)
+    # one text of each node that has a row
+    wanted = settle(prints.join(close.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
+    some = texts.join(F.broadcast(wanted), "id") if wanted.count() <= SENT else texts.where(Listed(wanted).has("id"))
     folder = new_folder(texts.sparkSession, "sets")
-    stored = settle(some.select("node", "text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
-    places = settle(stored.groupBy("node").agg(F.min(F.struct("file", "start", "size")).alias("at")).select("node", "at.*"))
+    places = settle(some.select("text").mapInPandas(stored_sets(width, folder), "node long, file string, start long, size long"))
     crowded = settle(close.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED))
     label = lambda edges: places.drop("size").join(components(edges).select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     columns = [F.col("h"), F.array("h").alias("taken"), *map(F.col, ("node", "size", "label", "file", "start"))]
     first = None
     if crowded.isEmpty():
         members = close.join(places.drop("size").withColumn("label", F.col("node")), "node").select("h", "node", "size", "label", "file", "start")
+        found = by_size(members).mapInPandas(verified_links(share, folder), "u long, v long")
     else:
         busy = settle(join_hot(close, crowded, "h", "n").drop("n"))
         many = busy.select("node").distinct()
-        first = nearly_equal(settle(texts.select("node", "fp").distinct().join(many, "node")), places, share, folder)
+        first = nearly_equal(settle(prints.select("node", "fp").distinct().join(many, "node")), places, share, folder)
         hubs = by_size(busy.join(label(first), "node").select(*columns)).mapInPandas(hub_links(share, folder), "u long, v long")
         first = settle(first.unionAll(hubs).distinct())
         members = settle(close.join(label(first), "node").select(*columns))
+        discard(busy, close)
+        drop_shuffles(texts.sparkSession)
         members = small_buckets(members, share, folder, common)
-        discard(busy)
-    found = by_size(members).mapInPandas(verified_links(share, folder), "u long, v long")
-    found = settle((found if first is None else found.unionAll(first)).distinct())
+        found = by_size(members).mapInPandas(verified_links(share, folder), "u long, v long").unionAll(first)
+    found = settle(found.distinct())
+    drop_shuffles(texts.sparkSession)
     store, path = filesystem(folder)
-    if not stored.isEmpty():
+    if not places.isEmpty():
         store.delete_dir(path)  # links are stored, nothing reads the sets again
-    discard(close, wanted, stored, places, crowded)
+    discard(wanted, places, crowded, *([close] if first is None else []))
     return found
 
 
-def grouped(df: DataFrame, text: str, key: str, width: int, share: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, placed): df's rows (row, id, key, text, set), stored; and the root of every node, with the node's first row and its number of rows."""
+def grouped(df: DataFrame, text: str, key: str, width: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, rows, placed): df's rows (row, text, id), where they lie; (id, key, node, fp) of them, stored; and the root of every node, with the node's first row and its number of rows."""
     bound_batches(df.sparkSession)
+    df = standing(df)
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
-    rows = df.select(whole.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), nodes(F.col(text), width).alias("set"), F.monotonically_increasing_id().alias("id"))
-    rows = settle(rows)
-    known = settle(rows.groupBy("set.node").agg(F.min(F.struct(F.col("key").isNull().alias("without"), "key", "id")).alias("first"), F.count("*").alias("n")))
-    edges = links(rows.where("set.size > 0").select("set.node", "text", "set.fp"), known.count(), width, share)
+    texts = df.select(whole.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), place(df).alias("id"))
+    rows = settle(texts.select("id", "key", nodes(F.col("text"), width).alias("set")).select("id", "key", "set.*"))
+    known = settle(rows.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("without"), "key", "id")).alias("first"), F.count("*").alias("n")))
+    edges = links(texts.select("id", "text"), rows.where("size > 0").select("id", "node", "fp"), known.count(), width, share)
     roots = components(edges).withColumnRenamed("node", "member")
-    return rows, known.join(roots, known["node"] == roots["member"], "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    return texts, rows, known.join(roots, known["node"] == roots["member"], "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
 
 
 def restored(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -471,10 +478,10 @@ def restored(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
 def with_groups(df: DataFrame, text: str = "text", key: str = "doc_id", into: str = "near", width: int = 5, share: float = 0.8) -> DataFrame:
     """df and a struct column: node, component (the smallest key of the group) and root (the group's smallest node)."""
     own = [c for c in df.columns if c != into]
-    rows, placed = grouped(df.select(*[F.col(f"`{c}`") for c in own]), text, key, width, share)
+    texts, rows, placed = grouped(df if own == df.columns else df.select(*[F.col(f"`{c}`") for c in own]), text, key, width, share)
     least = placed.groupBy("root").agg(F.min("first.key").alias("component"), F.count("*").alias("nodes"))
     groups = join_hot(placed, least, "root", "nodes").select("node", "n", F.struct("node", "component", "root").alias("near"))
-    joined = join_hot(rows.select("row", "text", F.col("set.node").alias("node")), settle(groups), "node", "n")
+    joined = join_hot(texts.join(rows.select("id", "node"), "id").select("row", "text", "node"), settle(groups), "node", "n")
     return joined.select(*[(F.col("text") if c == text else F.col("row").getField(c)).alias(c) for c in own], F.col("near").alias(into))
 
 
@@ -483,10 +490,10 @@ def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", widt
 
     The numbers of all other rows go to files, so that texts aren't shuffled.
     """
-    rows, placed = grouped(df, text, key, width, share)
+    texts, rows, placed = grouped(df, text, key, width, share)
     kept = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.id")
     listed = Listed(rows.select("id").join(kept, "id", "left_anti"))
-    return restored(rows.where(~listed.has("id")), df.columns, text)
+    return restored(texts.where(~listed.has("id")), df.columns, text)
 
 
 class Listed:

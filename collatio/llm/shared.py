@@ -5,7 +5,9 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager, suppress
@@ -19,6 +21,8 @@ from collatio.session import ship
 
 #: Bytes of text in one Arrow batch at most (a single longer row makes a batch of its own).
 BATCH_BYTES = "8m"
+#: Names of the files that Spark writes: folder, task, file of the task.
+WRITTEN = re.compile(r"(.*/)part-(\d+)-[^/]*-c(\d+)\.[^/]*parquet")
 #: Rows of a key from which a join splits it; keys that may be broadcast.
 HOT_ROWS, SENT = 1_000_000, 500_000
 
@@ -88,6 +92,22 @@ def settle(df: DataFrame) -> DataFrame:
     return stored
 
 
+def standing(df: DataFrame) -> DataFrame:
+    """df itself where it is a plain table of files that one job of Spark wrote to a folder, so that its rows can be told by their places; else df of settle."""
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        found = [WRITTEN.fullmatch(f) for f in df.inputFiles()]
+        if all(found) and len({m[1] for m in found}) <= 1 and len({(int(m[2]), int(m[3])) for m in found}) == len(found) and all(int(m[2]) < 1 << 17 and int(m[3]) < 1 << 12 for m in found):
+            return df
+    return settle(df)
+
+
+def place(df: DataFrame) -> Column:
+    """A number for each row of a table of standing, the same however often it is read: the numbers of its file and of the row in it."""
+    at = df.metadataColumn("_metadata")
+    part, file = (F.regexp_extract(at["file_name"], pattern, 1).cast("long") for pattern in (r"^part-(\d+)-", r"-c(\d+)\."))
+    return F.shiftleft(part, 46) + F.shiftleft(file, 34) + at["row_index"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of settle that nothing reads any more."""
     for table in tables:
@@ -95,6 +115,12 @@ def discard(*tables: DataFrame) -> None:
         store.delete_dir(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles whose queries have ended, which it does when the driver collects garbage; with little garbage that can be hours later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(address: str):
     """(pyarrow file system, path) of a folder or file that every executor can reach."""
     from pyarrow import fs

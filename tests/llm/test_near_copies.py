@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from collatio.llm import near_copies, simhash
+from collatio.llm import near_copies, shared, simhash
 
 
 def shingles(text):
@@ -152,3 +152,28 @@ def test_buckets_stream_over_batches():
     for cut in (1, 2, 7, 500):
         got = pd.concat(list(near_copies.buckets(0.8)(iter([df[i : i + cut] for i in range(0, len(df), cut)]))))
         assert sorted(zip(got["h"], got["node"])) == sorted(want)
+
+
+def test_texts_that_lie_in_files_are_not_stored_again(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(i, texts[i % 30] + (" more" if i >= 60 else "")) for i in range(90)] + [(None, None), (90, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(5).write.parquet(str(tmp_path / "docs"))
+    with shared.folders_made() as made:
+        lying = {r["doc_id"] for r in near_copies.first_of_groups(spark.read.parquet(str(tmp_path / "docs"))).collect()}
+    tables = [f for f in made if "/table-" in f]
+    left = [f for f in tables if shared.filesystem(f)[0].get_file_info(shared.filesystem(f)[1]).type.name == "Directory"]
+    assert left and not any("text" in spark.read.parquet(f).columns for f in left)
+    assert lying == {r["doc_id"] for r in near_copies.first_of_groups(df).collect()} == {*range(30), None}
+
+
+def test_rows_of_a_table_are_told_by_place(spark, tmp_path):
+    spark.range(1000).repartition(7).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert shared.standing(t) is t
+    read = lambda: {r["id"]: r["at"] for r in t.select("id", shared.place(t).alias("at")).collect()}
+    first = read()
+    assert len(set(first.values())) == 1000 and first == read()
+    assert shared.standing(t.where("id < 5")) is not t
+    shared.filesystem(str(tmp_path))[0].move(str(next((tmp_path / "t").glob("part-*"))), str(tmp_path / "t" / "other.parquet"))
+    assert hasattr(shared.standing(spark.read.parquet(str(tmp_path / "t"))), "stored_at")
