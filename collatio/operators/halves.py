@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +74,73 @@ def check_phrase(half: Column, original: Column, size: int = 7) -> Column:
         return F.when(usable, first).otherwise(F.array().cast("array<string>"))
 
     return T.let(line(original), lambda have: F.get(F.flatten(F.transform(F.split(half, f"\n[{T.BLANK}]*\n"), lambda p: pieces(p, have))), F.lit(0)))
+
+
+#: Words of the longest pieces that have an index of their own.
+INDEXED = 8
+
+
+class Said:
+    """What a row of words has, as text with one blank between words: pieces may begin and end inside a word, so that all but their outer words are looked up."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.text = words, " ".join(words)
+        self.around: dict[int, dict[tuple[str, ...], set[tuple[str, str]]]] = {}
+        self.places: dict[tuple[str, ...], list[int]] | None = None
+
+    def has(self, piece: list[str]) -> bool:
+        n = len(piece)
+        if n < 3:
+            return " ".join(piece) in self.text
+        if n > INDEXED:
+            return self.has_long(piece)
+        if n not in self.around:
+            at: dict[tuple[str, ...], set[tuple[str, str]]] = {}
+            for row in zip(*[self.words[i:] for i in range(n)]):
+                at.setdefault(row[1:-1], set()).add((row[0], row[-1]))
+            self.around[n] = at
+        outer = self.around[n].get(tuple(piece[1:-1]), ())
+        return (piece[0], piece[-1]) in outer or any(a.endswith(piece[0]) and b.startswith(piece[-1]) for a, b in outer)
+
+    def has_long(self, piece: list[str]) -> bool:
+        """has for longer pieces, by the places of their first inner words."""
+        if self.places is None:
+            self.places = {}
+            for i, row in enumerate(zip(*[self.words[i:] for i in range(INDEXED)])):
+                self.places.setdefault(row[1:-1], []).append(i)
+        w, last = self.words, len(piece) - 1
+        at = (i for i in self.places.get(tuple(piece[1 : INDEXED - 1]), ()) if i + last < len(w))
+        return any(w[i].endswith(piece[0]) and w[i + last].startswith(piece[-1]) and w[i + 1 : i + last] == piece[1:-1] for i in at)
+
+
+def first_new(words: list[str], plain: list[str], said: Said, size: int) -> str | None:
+    """The first run of `size` words whose first and last four are both new. plain: the words, lower case, other characters as blanks."""
+    tokens = [x.split() for x in plain]
+    known: dict[int, bool] = {}
+
+    def new(i: int) -> bool:
+        if i not in known:
+            known[i] = not said.has([t for x in tokens[i : i + 4] for t in x])
+        return known[i]
+
+    return next((" ".join(words[i : i + size]) for i in range(len(words) - size + 1) if new(i) and new(i + size - 4)), None)
+
+
+def indexed_check_phrase(half: Column, original: Column, size: int = 7) -> Column:
+    """check_phrase in time linear in long texts (not inside functions over arrays). Words are found natively; looking them up in the original is Python, as
+    it takes an index: searching the whole original for every word of a half is quadratic.
+    """
+    plain = lambda x: F.regexp_replace(F.lower(x), f"[^{T.WORD}\n]+", " ")
+    usable = F.filter(F.split(half, f"\n[{T.BLANK}]*\n"), lambda p: (T.n_parts(p) > 12) & ~T.strip(p).contains("\n"))
+    lined = T.let(usable, lambda ps: F.transform(ps, lambda p: F.array_join(T.parts(p), "\n")))
+
+    @F.pandas_udf("string")
+    def phrase(shown: pd.Series, lowered: pd.Series, have: pd.Series) -> pd.Series:
+        out = []
+        for ps, qs, text in zip(shown, lowered, have):
+            said = None if text is None or ps is None else Said(text.split())
+            found = (first_new(p.split("\n"), q.split("\n"), said, size) for p, q in zip(ps, qs)) if said is not None else ()
+            out.append(next((x for x in found if x is not None), None))
+        return pd.Series(out, dtype=object)
+
+    return phrase.asNondeterministic()(lined, F.transform(lined, plain), plain(original))

@@ -294,3 +294,24 @@ def test_python_batches_are_bounded_by_bytes(spark):
     ship(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == BATCH_BYTES == "8m"
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == BATCH_ROWS == "4000"
+
+
+def test_indexed_check_phrase_equals_check_phrase_and_is_linear(spark):
+    import random
+    import time
+
+    draw = random.Random(5)
+    words = ["ab", "Abc", "b", "–", "c'd", "x-y-z", "Éa", "a.b.c.d.e.f.g", "_", "7", "ΑΣ", "İ"]
+    rows = []
+    for n in range(300):
+        old = [draw.choice(words) for _ in range(draw.randint(0, 60))]
+        new = [w if draw.random() > 0.1 else draw.choice([w[:1], w[-1:], "new", w]) for w in old]
+        cut = draw.randint(0, len(new))
+        rows.append((" ".join(old), " ".join(new[:cut]) + draw.choice(["\n\n", "\n", " ", "\n \n"]) + " ".join(new[cut:])))
+    rows += [(None, "a " * 20), ("a " * 20, None), (None, None), ("", "a b c d e f g h i j k l m n"), ("a b", "")]
+    df = spark.createDataFrame(rows, "o string, h string")
+    got = df.select(halves.check_phrase(F.col("h"), F.col("o")).alias("a"), halves.indexed_check_phrase(F.col("h"), F.col("o")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and 20 < sum(r["a"] is not None for r in got) < 290
+    began, long = time.time(), " ".join(f"w{i}" for i in range(200_000))  # hours, if every word searches the whole text
+    assert spark.createDataFrame([(long, long)], "o string, h string").select(halves.indexed_check_phrase(F.col("h"), F.col("o")).alias("x")).first()["x"] is None
+    assert time.time() - began < 60
