@@ -315,3 +315,9 @@ def test_indexed_check_phrase_equals_check_phrase_and_is_linear(spark):
     began, long = time.time(), " ".join(f"w{i}" for i in range(200_000))  # hours, if every word searches the whole text
     assert spark.createDataFrame([(long, long)], "o string, h string").select(halves.indexed_check_phrase(F.col("h"), F.col("o")).alias("x")).first()["x"] is None
     assert time.time() - began < 60
+
+
+def test_folding_of_single_bytes_and_others(spark):
+    texts = ["", "Plain ASCII 7_!", "É", "é", "a\x00b", "́", "ß ñ", "\U0001f600", "x" * 1000 + "ü", None]
+    got = [r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.fold(F.col("t")).alias("x")).collect()]
+    assert got == ["", "plain ascii 7_!", "e", "e", "a\x00b", "", "ß n", "\U0001f600", "x" * 1000 + "u", None]
