@@ -26,6 +26,8 @@ from collatio.session import ship
 ATOMS = re.compile(r"\w+|\s+|[^\w\s]")
 #: Characters of a block's variants.
 BLOCK = 32_000_000
+#: Characters of the texts whose places are walked together. A place takes some hundred bytes on the way, so that this bounds a worker's memory.
+PART = 1 << 18
 PLURALS = ("", "s", "es")
 
 
@@ -136,6 +138,20 @@ class Automaton:
         return [None if t is None else o for o, t in zip(out, texts)]
 
 
+def parts(texts: list[str | None], size: int | None = None) -> Iterator[list[str | None]]:
+    """Texts in a row, of `size` characters together at most; a longer one is a part of its own."""
+    part: list[str | None] = []
+    n = 0
+    for t in texts:
+        if part and n + len(t or "") > (size or PART):
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t or "")
+    if part:
+        yield part
+
+
 def blocks(concepts: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[str, list[str]]]]:
     """(name, variants) by name, folded, in lists whose variants have about `size` characters at most."""
     rows = concepts.select("name", F.transform("variants", lambda v: T.strip(T.fold(v))).alias("variants"))
@@ -161,7 +177,8 @@ def found_names(folded: Column, automaton) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = np.array(automaton.value.names, object)
         for texts in batches:
-            yield pd.Series([None if f is None else names[f] for f in automaton.value.scan(texts.tolist())])
+            for part in parts(texts.tolist()):
+                yield pd.Series([None if f is None else names[f] for f in automaton.value.scan(part)], dtype=object)
 
     return run.asNondeterministic()(folded)
 
@@ -173,13 +190,14 @@ def hits_of(folded: Column, automaton) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = automaton.value.names
         for texts in batches:
-            out = []
-            for f in automaton.value.scan(texts.tolist()):
-                hit = [None] * len(names) if f is None else [False] * len(names)
-                for i in [] if f is None else f.tolist():
-                    hit[i] = True
-                out.append([{"name": n, "hit": h} for n, h in zip(names, hit)])
-            yield pd.Series(out)
+            for part in parts(texts.tolist()):
+                out = []
+                for f in automaton.value.scan(part):
+                    hit = [None] * len(names) if f is None else [False] * len(names)
+                    for i in [] if f is None else f.tolist():
+                        hit[i] = True
+                    out.append([{"name": n, "hit": h} for n, h in zip(names, hit)])
+                yield pd.Series(out, dtype=object)
 
     return run.asNondeterministic()(folded)
 

@@ -84,3 +84,19 @@ def test_a_hundred_thousand_concepts_take_one_pass(spark):
         took.append(time.perf_counter() - began)
         assert [set(f.tolist()) >= {i for i in range(min(n, len(words))) if words[i] in set(b.split())} for f, b in zip(found[:5], body)] == [True] * 5
     assert took[1] < 12 * took[0] + 1
+
+
+def test_places_of_few_texts_are_walked_together():
+    """A batch of many texts is scanned in parts of bounded size, and the hits are those of the whole batch."""
+    rng = random.Random(8)
+    rows = texts(rng, 400) + [None, ""]
+    listed = terms(rng, 60)
+    scanner = automaton.Automaton(sorted((n, [T.fold_text(v).strip() for v in vs]) for n, vs in listed))
+    folded = [None if t is None else T.fold_text(t) for t in rows]
+    parts = list(automaton.parts(folded, 500))
+    assert [t for part in parts for t in part] == folded and len(parts) > 10
+    assert all(len(part) == 1 or sum(len(t or "") for t in part) <= 500 for part in parts) and list(automaton.parts([])) == []
+    whole, cut = scanner.scan(folded), [f for part in parts for f in scanner.scan(part)]
+    assert [None if f is None else f.tolist() for f in whole] == [None if f is None else f.tolist() for f in cut]
+    many = ["a word or two of a longer text " * 20] * 5000
+    assert sum(map(len, many)) > 10 * automaton.PART and max(sum(map(len, part)) for part in automaton.parts(many)) <= automaton.PART
