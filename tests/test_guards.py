@@ -1,5 +1,7 @@
 """Guards, one case a row: what passes and what is rejected with which message."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,22 @@ def test_still_original_pairs_paragraphs_by_position(spark):
     rows = [(1, f"Title\n\n{body}", f"Title\n\n{body}"), (2, f"{body}\n\nmore text", body), (3, f"{body}", " ".join(f"new{i}" for i in range(50)) + ".")]
     got = still_original(spark.createDataFrame(rows, "k int, original string, version string"), ["k"]).collect()
     assert [(r["k"], r["para_no"], r["share"]) for r in got] == [(1, 2, 1.0)]
+
+
+def test_steps_of_every_line_are_computed_once(spark):
+    """A title's facts stand once in a plan; words are the same with and without the short way for single bytes; runs said again are told apart by how often."""
+    from collatio.functions import predicates
+    from collatio.functions import text as T
+
+    rows = [a + f"{b}".join(("one", "two", "", "tres")) + c for b in T.BLANKS for a, c in (("", ""), (" ", "\t"), ("é", " "), ("", " ñ"))]
+    df = spark.createDataFrame([(t,) for t in [*rows, "", " ", None]], "t string")
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan(f(F.col("t"))).count("split(") for f in (predicates.is_title, predicates.is_document_heading, predicates.is_prose)] == [1, 1, 1]
+    got = df.select("t", T.parts(F.col("t")).alias("w")).collect()
+    assert [r for r in got if r["w"] != (None if r["t"] is None else [w for w in re.split("[" + re.escape(T.BLANKS) + "]+", r["t"]) if w])] == []
+    run = " ".join(f"w{i}" for i in range(8))
+    said = lambda n: ". ".join([run] * n)
+    pairs = spark.createDataFrame([(said(a), said(b)) for a, b in ((1, 1), (1, 2), (2, 2), (2, 3), (3, 2))], "a string, b string")
+    problem = guards.repetition_problem(F.col("a"), F.col("b"))
+    assert [r["p"] is not None for r in pairs.select(problem.alias("p")).collect()] == [False, True, False, True, False]
+    assert pairs.select(problem.alias("p")).collect()[1]["p"] == f"(repeated: {run})"
